@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnfield import config
@@ -49,9 +49,9 @@ def mercator_xy(lon: Column, lat: Column) -> tuple[Column, Column]:
     return lon / 180 * half, F.log(F.tan(phi) + 1 / F.cos(phi)) / math.pi * half
 
 
-# The local projection follows the ellipsoidal azimuthal-equidistant series of Snyder (1987,
-# p. 199): the geodesic from the centre by the Guam-free general form, good to well below a
-# millimetre at the few-kilometre extents used here.
+# The local projection follows the ellipsoidal azimuthal-equidistant series of Snyder (1987),
+# "Map projections: a working manual", good to well below a millimetre at the few-kilometre
+# extents used here.
 _E2 = config.WGS84_F * (2 - config.WGS84_F)
 
 
@@ -102,26 +102,62 @@ def to_lonlat(x: Column, y: Column, lon0: float | Column, lat0: float | Column)
     return lam, F.when(near_equator, F.degrees(psi)).otherwise(lat)
 
 
-def area_bounds(lon0: Column, lat0: Column, width_m: Column, height_m: Column, margin_m: float = 0.0) -> dict[str, Column]:
-    """Longitude / latitude box of a local rectangle from its four corners."""
-    xs, ys = width_m / 2 + margin_m, height_m / 2 + margin_m
-    corners = [to_lonlat(sx * xs, sy * ys, lon0, lat0) for sx in (-1, 1) for sy in (-1, 1)]
-    lons, lats = [c[0] for c in corners], [c[1] for c in corners]
-    return {"west": F.least(*lons), "south": F.least(*lats), "east": F.greatest(*lons), "north": F.greatest(*lats)}
+def project_points(points: Column, lon0: float | Column, lat0: float | Column) -> Column:
+    """Array of (lon, lat) structs to local (x, y) structs; one expression however long the array."""
 
+    def one(p: Column) -> Column:
+        x, y = to_local(p["lon"], p["lat"], lon0, lat0)
+        return F.struct(x.alias("x"), y.alias("y"))
 
-def viewport_cells(west: Column, south: Column, east: Column, north: Column, grid: GridSpec) -> dict[str, Column]:
-    """Half-open row and column box of a viewport: four projected corners, floor / ceil, clamp."""
-    corners = [to_local(x, y, grid.lon0, grid.lat0) for x in (west, east) for y in (south, north)]
-    xs, ys = [c[0] for c in corners], [c[1] for c in corners]
+    return F.transform(points, one)
+
+
+def unproject_points(points: Column, lon0: float | Column, lat0: float | Column) -> Column:
+    """Array of local (x, y) structs to (lon, lat) structs."""
+
+    def one(p: Column) -> Column:
+        lon, lat = to_lonlat(p["x"], p["y"], lon0, lat0)
+        return F.struct(lon.alias("lon"), lat.alias("lat"))
+
+    return F.transform(points, one)
+
+
+def _ends(points: Column, field: str) -> tuple[Column, Column]:
+    values = F.transform(points, lambda p: p[field])
+    return F.array_min(values), F.array_max(values)
+
+
+def area_bounds(areas: DataFrame, margin_m: float = 0.0) -> DataFrame:
+    """Longitude / latitude box of local rectangles (lon0, lat0, width_m, height_m) from their corners."""
+    xs, ys = F.col("width_m") / 2 + margin_m, F.col("height_m") / 2 + margin_m
+    corners = F.array(
+        *[F.struct((sx * xs).alias("x"), (sy * ys).alias("y")) for sx in (-1, 1) for sy in (-1, 1)]
+    )
+    placed = areas.withColumn("_c", unproject_points(corners, F.col("lon0"), F.col("lat0")))
+    (west, east), (south, north) = _ends(F.col("_c"), "lon"), _ends(F.col("_c"), "lat")
+    return placed.withColumns({"west": west, "south": south, "east": east, "north": north}).drop("_c")
+
+
+def viewport_cells(views: DataFrame, grid: GridSpec) -> DataFrame:
+    """Half-open row and column box of viewports (west, south, east, north).
+
+    Four projected corners, then floor / ceil and a clamp to the grid.
+    """
+    corners = F.array(
+        *[F.struct(F.col(x).alias("lon"), F.col(y).alias("lat")) for x in ("west", "east") for y in ("south", "north")]
+    )
+    placed = views.withColumn("_c", project_points(corners, grid.lon0, grid.lat0))
+    (x0, x1), (y0, y1) = _ends(F.col("_c"), "x"), _ends(F.col("_c"), "y")
 
     def clamp(value: Column, limit: int) -> Column:
         return F.greatest(F.lit(0), F.least(F.lit(limit), value.cast("int")))
 
     half_w, half_h = grid.width_m / 2, grid.height_m / 2
-    return {
-        "row0": clamp(F.floor((F.least(*ys) + half_h) / grid.dy), grid.height),
-        "row1": clamp(F.ceil((F.greatest(*ys) + half_h) / grid.dy), grid.height),
-        "col0": clamp(F.floor((F.least(*xs) + half_w) / grid.dx), grid.width),
-        "col1": clamp(F.ceil((F.greatest(*xs) + half_w) / grid.dx), grid.width),
-    }
+    return placed.withColumns(
+        {
+            "row0": clamp(F.floor((y0 + half_h) / grid.dy), grid.height),
+            "row1": clamp(F.ceil((y1 + half_h) / grid.dy), grid.height),
+            "col0": clamp(F.floor((x0 + half_w) / grid.dx), grid.width),
+            "col1": clamp(F.ceil((x1 + half_w) / grid.dx), grid.width),
+        }
+    ).drop("_c")
