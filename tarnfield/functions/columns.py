@@ -119,3 +119,17 @@ def phase_hash(row: Column, col: Column) -> Column:
     a = ((row.cast("long") + 1) * 73856093).bitwiseAND(mask)
     b = ((col.cast("long") + 1) * 19349663).bitwiseAND(mask)
     return a.bitwiseXOR(b) / F.lit(4294967296.0)
+
+
+def nice_numbers(value: Column) -> Column:
+    """Readable numbers around a value, closest first (smaller magnitude on ties)."""
+    exponent = F.floor(F.log10(F.abs(value)))
+    mantissas = F.array(*[F.lit(float(m)) for m in config.NICE_MANTISSAS])
+    scaled = F.flatten(
+        F.transform(
+            F.array(F.lit(-1), F.lit(0), F.lit(1)),
+            lambda d: F.transform(mantissas, lambda m: m * F.pow(F.lit(10.0), exponent + d) * F.signum(value)),
+        )
+    )
+    ranked = F.transform(F.array_distinct(scaled), lambda n: F.struct(F.abs(n - value).alias("d"), F.abs(n).alias("m"), n.alias("n")))
+    return F.transform(F.array_sort(ranked), lambda s: s["n"])

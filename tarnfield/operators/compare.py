@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnfield import config
 from tarnfield.operators.ordered import exact_quantiles
+from tarnfield.runtime import cut_lineage
 
 CELL = ["row", "col"]
 
@@ -33,7 +34,7 @@ def accuracy_gate(
 
     ``full`` and ``candidate`` carry max_depth per cell.
     """
-    pairs = align(full, candidate, CELL, ["max_depth"])
+    pairs = cut_lineage(align(full, candidate, CELL, ["max_depth"]))
     a, b = flooded(F.col("full_max_depth")), flooded(F.col("cand_max_depth"))
     counts = pairs.agg(
         F.count_if(a | b).alias("union_cells"),

@@ -6,6 +6,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnfield.runtime import cut_lineage
+
 ROWS_PER_SLICE = 500_000
 
 
@@ -24,14 +26,14 @@ def slice_by_value(df: DataFrame, order: str, rows: int | None = None) -> tuple[
     return sliced, len(bounds) - 1
 
 
-def running_total(df: DataFrame, order: str, amount: str, out: str) -> DataFrame:
+def running_total(df: DataFrame, order: str, amount: str, out: str, rows: int | None = None) -> DataFrame:
     """Inclusive running sum of ``amount`` over distinct ascending ``order`` values.
 
     Slices are summed first; each slice then adds the total of the slices before it. The table
     of slice totals has at most 4096 rows, which is what bounds the broadcast.
     """
     keyed = df.withColumn("_order", F.col(order).cast("double"))
-    sliced, n = slice_by_value(keyed, "_order")
+    sliced, n = slice_by_value(keyed, "_order", rows)
     within = Window.partitionBy("_slice").orderBy("_order")
     local = sliced.withColumn("_local", F.sum(amount).over(within))
     if n == 1:
@@ -49,14 +51,16 @@ def exact_quantiles(df: DataFrame, value: str, probabilities: dict[str, float])
     Equal values are counted first, ranks come from the sliced running total, and one
     aggregate picks the two order statistics around every position. NULL where df is empty.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(
-        F.count(F.lit(1)).alias("n")
+    counts = cut_lineage(
+        df.filter(F.col(value).isNotNull())
+        .groupBy(F.col(value).cast("double").alias("v"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
-    ranked = running_total(counts, "v", "n", "upto")
-    total = ranked.agg(F.max("upto").alias("total")).first()["total"]
+    size = counts.agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("total")).first()
+    total = size["total"]
     if not total:
-        spark = df.sparkSession
-        return spark.range(1).select(*[F.lit(None).cast("double").alias(k) for k in probabilities])
+        return df.sparkSession.range(1).select(*[F.lit(None).cast("double").alias(k) for k in probabilities])
+    ranked = running_total(counts, "v", "n", "upto", size["values"])
     picks = []
     for name, p in probabilities.items():
         place = p * (total - 1)

@@ -76,7 +76,7 @@ def s3(spark, folder):
 @query(
     "s17_cube_sink_round_trip",
     "frames",
-    """SELECT t, "row" // 4 AS trow, count(*) AS n, round(sum(h), 6) AS depth_sum FROM frames GROUP BY 1, 2""",
+    """SELECT t, "row" // 4 AS trow, count(*) AS n, round(sum(CAST(CAST(h AS FLOAT) AS DOUBLE)), 6) AS depth_sum FROM frames GROUP BY 1, 2""",
 )
 def s17(spark, folder):
     path = scratch_path(spark, "cube")

@@ -391,3 +391,36 @@ def s5(spark, folder):
     rows.unionByName(rows).write.option("header", True).csv(path)
     found = catalogue.read_stations(spark, path)
     return found.select("station_id", "name", r6(F.col("lon_deg"), "lon"), r6(F.col("lat_deg"), "lat"))
+
+
+@query(
+    "s7_catalogue_documents",
+    "rain_events",
+    """SELECT CAST(event_id AS VARCHAR) AS event_id, station_id, duration_minutes, total_mm AS total_precipitation_mm FROM rain_events""",
+)
+def s7(spark, folder):
+    path = scratch_path(spark, "documents")
+    event = F.struct(
+        F.col("event_id").cast("string").alias("event_id"),
+        "station_id",
+        "duration_minutes",
+        F.col("total_mm").alias("total_precipitation_mm"),
+    )
+    document = F.to_json(F.struct(F.lit("1").alias("schema_version"), F.array(event).alias("events")))
+    A.rain_events(spark, folder).select(document.alias("value")).write.text(path)
+    found = catalogue.load_catalogue(spark, path, "events", multi_line=False)
+    return found.select("event_id", "station_id", "duration_minutes", "total_precipitation_mm")
+
+
+@query(
+    "m13_nice_numbers",
+    "",
+    """WITH c AS (SELECT o_orderkey, o_totalprice AS v, m * pow(10.0, floor(log10(o_totalprice)) + d) AS n FROM orders,
+         (VALUES (1.0::DOUBLE), (1.25), (1.5), (2.0), (2.5), (3.0), (4.0), (5.0), (7.5), (10.0)) x(m), (VALUES (-1), (0), (1)) y(d))
+       SELECT o_orderkey, round(arg_min(n, row(abs(n - v), n)), 3) AS nice FROM c GROUP BY 1""",
+)
+def m13(spark, folder):
+    from tarnfield.functions.columns import nice_numbers
+
+    price = F.col("o_totalprice")
+    return A.table(spark, folder, "orders").select("o_orderkey", F.round(F.get(nice_numbers(price), 0), 3).alias("nice"))

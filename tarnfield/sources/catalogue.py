@@ -188,11 +188,17 @@ def read_events(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EVENT_SCHEMA).option("mode", "FAILFAST").json(path)
 
 
-def load_catalogue(spark: SparkSession, path: str, kind: str, version: str = "1") -> DataFrame:
-    """A versioned catalogue document {schema_version, <kind>: [...]} as rows."""
+def load_catalogue(
+    spark: SparkSession, path: str, kind: str, version: str = "1", multi_line: bool = True
+) -> DataFrame:
+    """Versioned catalogue documents {schema_version, <kind>: [...]} as rows.
+
+    Large catalogues come as one document per line (``multi_line=False``), which keeps files
+    splittable.
+    """
     item = EVENT_SCHEMA if kind == "events" else STATION_SCHEMA
     schema = f"schema_version STRING, {kind} ARRAY<STRUCT<{', '.join(_struct_field(f) for f in item.split(', '))}>>"
-    documents = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    documents = spark.read.schema(schema).option("multiLine", multi_line).option("mode", "FAILFAST").json(path)
     wrong = documents.filter(~F.col("schema_version").eqNullSafe(version)).first()
     if wrong is not None:
         raise CatalogueError(f"unsupported catalogue version {wrong['schema_version']}")

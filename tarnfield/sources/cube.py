@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tarnfield import config
 from tarnfield.operators.grid import GridSpec, block
 
-FRAME_SCHEMA = "run_id STRING, t INT, row INT, col INT, h DOUBLE, u DOUBLE, v DOUBLE"
+# Values are stored as 32-bit floats; sums and comparisons widen them.
+FRAME_SCHEMA = "run_id STRING, t INT, row INT, col INT, h FLOAT, u FLOAT, v FLOAT"
 STORED_COLUMNS = ["run_id", "t", "trow", "tcol", "row", "col", "h", "u", "v"]
 
 
@@ -22,7 +23,8 @@ def write_cube(frames: DataFrame, path: str, tile: int = config.TILE, files_per_
     The exchange key holds the tile, so one hot run or frame still spreads over many tasks,
     and the sort gives row groups narrow (row, col) bounds for pushed-down windows.
     """
-    tiled = frames.withColumns({"trow": block("row", tile), "tcol": block("col", tile)})
+    stored = {name: F.col(name).cast("float") for name in ("h", "u", "v")}
+    tiled = frames.withColumns({"trow": block("row", tile), "tcol": block("col", tile), **stored})
     keys = ["run_id", "t", "trow", "tcol"]
     placed = tiled.repartition(files_per_frame, *keys) if files_per_frame else tiled.repartition(*keys)
     placed.sortWithinPartitions(*keys, "row", "col").select(*STORED_COLUMNS).write.mode("overwrite").partitionBy(
