@@ -77,7 +77,7 @@ def elapsed_label(value: Column, start: Column, fallback: Column) -> Column:
     seconds = F.when(numeric, value.try_cast("double") - start.try_cast("double")).otherwise(
         (F.unix_micros(value.try_cast("timestamp")) - F.unix_micros(start.try_cast("timestamp"))) / 1e6
     )
-    label = duration_label(F.greatest(seconds, F.lit(0.0)) / 60)
+    label = F.when(seconds.isNotNull(), duration_label(F.greatest(seconds, F.lit(0.0)) / 60))
     return F.coalesce(label, value, F.concat(F.lit("index "), fallback.cast("string")))
 
 

@@ -105,7 +105,7 @@ def w5(spark, folder):
 
 
 FACE_BINS = """, f AS (SELECT '1:' || "row" || ':' || col AS face_id, "row", col, sqrt(u*u+v*v) AS speed FROM frames WHERE t = 7 AND h >= 0.01),
-  bins AS (SELECT *, least(3, CAST(floor(("row" + 0.5) * 4 / hh) AS INT)) AS rb, least(3, CAST(floor((col + 0.5) * 4 / ww) AS INT)) AS cb
+  bins AS (SELECT *, least(2, CAST(floor(("row" + 0.5) * 3 / hh) AS INT)) AS rb, least(2, CAST(floor((col + 0.5) * 3 / ww) AS INT)) AS cb
            FROM f, """ + EXTENT + """)
   SELECT arg_min(face_id, row(-speed, face_id)) AS face_id, round(max(speed), 6) AS speed FROM bins GROUP BY rb, cb"""
 
@@ -114,7 +114,7 @@ def sampled_faces(spark, folder):
     from tarnfield.operators.blocks import face_id
 
     faces = frame(spark, folder).withColumns({"size": F.lit(1), "frow": F.col("row"), "fcol": F.col("col")})
-    return sampling.face_sampling(faces.withColumn("face_id", face_id()), grid_of(spark, folder), 16)
+    return sampling.face_sampling(faces.withColumn("face_id", face_id()), grid_of(spark, folder), 9)
 
 
 @query("w3_first_per_bin", "frames frame_cells", FACE_BINS)
@@ -135,7 +135,7 @@ def g18(spark, folder):
     best = sampled_faces(spark, folder)
 
     def bin_of(index, extent):
-        return F.least(F.lit(3), F.floor((F.col(index) + 0.5) * 4 / extent).cast("int"))
+        return F.least(F.lit(2), F.floor((F.col(index) + 0.5) * 3 / extent).cast("int"))
 
     keys = [bin_of("frow", grid.height).alias("rbin"), bin_of("fcol", grid.width).alias("cbin")]
     return best.groupBy(*keys).agg(F.count(F.lit(1)).alias("faces"))
@@ -144,7 +144,7 @@ def g18(spark, folder):
 @query(
     "j13_frame_interpolation",
     "frames",
-    """, a AS (SELECT *, sqrt(u*u+v*v) AS s FROM frames WHERE t = 7), b AS (SELECT *, sqrt(u*u+v*v) AS s FROM frames WHERE t = 8)
+    """, a AS (SELECT *, sqrt(u*u+v*v) AS s FROM frames WHERE t = 7), b AS (SELECT *, sqrt(u*u+v*v) AS s FROM frames WHERE t = 8 AND u*u+v*v > 0)
        SELECT a."row", a.col, round(a.u + (coalesce(b.u, a.u) - a.u) * 0.25, 6) + 0.0 AS u, round(a.v + (coalesce(b.v, a.v) - a.v) * 0.25, 6) + 0.0 AS v,
          round(a.s + (coalesce(b.s, a.s) - a.s) * 0.25, 6) AS speed FROM a LEFT JOIN b ON a."row" = b."row" AND a.col = b.col
        WHERE a.h >= 0.01 AND a.s > 0""",

@@ -53,7 +53,7 @@ def normal_label(text: Column) -> Column:
 def file_encodings(spark: SparkSession, path: str) -> dict[str, list[str]]:
     """Group the files of a folder by charset: UTF-8 unless a line fails to decode."""
     lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.instr("value", "�").alias("bad")
+        F.col("_metadata.file_path").alias("file"), (~F.is_valid_utf8("value")).alias("bad")
     )
     flagged = lines.groupBy("file").agg(F.max("bad").alias("bad"))
     groups: dict[str, list[str]] = {}
