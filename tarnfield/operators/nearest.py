@@ -1,24 +1,59 @@
-"""Exact k nearest sites by widening cell search, on the sphere or in the plane."""
+"""Exact k nearest sites by descending a cell tree, on the sphere or in the plane."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnfield import config
 from tarnfield.functions.geo import haversine_km
 from tarnfield.operators.ordered import top_per_key
-from tarnfield.runtime import cut_lineage
+from tarnfield.runtime import broadcast_if_small, cut_lineage
 
-MAX_LEVEL = 20
+AXES = ("x", "y", "z")
+# Levels gained per descent: up to 16 children in the plane, 64 boxes (few of them occupied) in space.
+STRIDE = 2
+# Descent ends once no cell holds more sites than this, or cells reach the finest level.
 CROWD = 32
+MAX_LEVEL = 40
+SLACK = 1e-9
+
+
+def _place(df: DataFrame, sphere: bool) -> DataFrame:
+    """Coordinates to search in: the plane itself, or the unit sphere in space.
+
+    Straight-line distance in space grows with great-circle distance, so boxes prune both.
+    """
+    if not sphere:
+        return df.withColumns({"lon": F.col("x"), "lat": F.col("y"), "z": F.lit(0.0)})
+    lon, lat = F.radians("x"), F.radians("y")
+    return df.withColumns(
+        {
+            "lon": F.col("x"),
+            "lat": F.col("y"),
+            "x": F.cos(lat) * F.cos(lon),
+            "y": F.cos(lat) * F.sin(lon),
+            "z": F.sin(lat),
+        }
+    )
+
+
+def _cell(level: int, origin: dict[str, float], span: float) -> list[Column]:
+    """Index of the cell that holds a site, one number per axis."""
+    size = span / 2**level
+    return [F.floor((F.col(a) - origin[a]) / size).cast("long").alias(f"c{a}") for a in AXES]
 
 
-def _keys(x: Column, y: Column, level: int, origin: tuple, span: float) -> tuple[Column, Column]:
+def _bounds(level: int, origin: dict[str, float], span: float) -> tuple[Column, Column]:
+    """Nearest and farthest a cell's content can be from the point (px, py, pz)."""
     size = span / 2**level
-    return F.floor((x - origin[0]) / size), F.floor((y - origin[1]) / size)
+    near, far = F.lit(0.0), F.lit(0.0)
+    for a in AXES:
+        low = F.col(f"c{a}") * size + origin[a]
+        below, above = low - F.col(f"p{a}"), F.col(f"p{a}") - (low + size)
+        outside = F.greatest(F.lit(0.0), below, above)
+        reach = F.greatest(F.abs(below), F.abs(above))
+        near, far = near + outside * outside, far + reach * reach
+    return F.sqrt(near), F.sqrt(far)
 
 
 def nearest_k(
@@ -29,102 +64,81 @@ def nearest_k(
     skip_self: bool = False,
     within: float | None = None,
 ) -> DataFrame:
-    """(point_id, site_id, distance, rank) for the k nearest sites, ties by site id.
-
-    ``points`` has point_id, x, y and ``sites`` site_id, x, y (degrees when ``sphere``). A point
-    first looks into the 3 x 3 cells around it at a level where cells hold few sites. It is
-    done when its k-th distance lies inside the radius those cells surely cover; the others
-    repeat with cells twice as wide. Sites beyond the first k of one exact coordinate can never
-    rank, so copies of a place do not multiply the pairs.
+    """(point_id, site_id, distance, rank) of the k nearest sites, ties by site id.
+
+    ``points`` has point_id, x, y and ``sites`` site_id, x, y (degrees when ``sphere``). All
+    points descend together from one cell: each kept (point, cell) pair opens the cell's
+    occupied children, the k-th smallest farthest-possible distance bounds the answer, and
+    cells that begin beyond the bound go. Only then do the few cells left meet their sites, so
+    a point far from a dense cluster never meets all of it. Sites beyond the first k of one
+    exact coordinate cannot rank and are dropped first. The number of descents depends on the
+    sites alone.
     """
     keep = k + 1 if skip_self else k
-    ranked = top_per_key(sites.select("site_id", "x", "y"), ["x", "y"], [F.col("site_id")], keep, F.col("site_id"))
-    sites = cut_lineage(ranked.drop("rank"))
-    box = [sites.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count(F.lit(1))).first()]
-    if not sphere:
-        box.append(points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first())
-    n_sites = box[0][4]
-    if n_sites == 0:
-        return points.select("point_id", F.lit(None).alias("site_id"), F.lit(0.0).alias("distance"), F.lit(0).alias("rank")).limit(0)
-    if sphere:
-        origin, span = (-180.0, -90.0), 360.0
-    else:
-        known = [b for b in box if b[0] is not None]
-        origin = (min(b[0] for b in known), min(b[2] for b in known))
-        span = max(max(b[1] for b in known) - origin[0], max(b[3] for b in known) - origin[1], 1e-9) * 1.0000001
-    level = _start_level(sites, k, n_sites, origin, span, box[0])
-    open_points, done = cut_lineage(points.select("point_id", "x", "y")), None
-    while True:
-        found = _search(open_points, sites, k, level, origin, span, sphere, skip_self)
-        covered = _covered(level, span, sphere) if level > 0 else F.lit(float("inf"))
-        settled = (F.col("_kth") <= covered) if level > 0 else F.lit(True)
-        if within is not None:
-            settled = settled | (covered >= within)
-        found = cut_lineage(found.withColumn("_done", settled))
-        part = found.filter("_done AND site_id IS NOT NULL").select("point_id", "site_id", "distance", "rank")
-        done = part if done is None else done.unionByName(part)
-        left = found.filter("NOT _done").select("point_id", "x", "y").distinct()
-        if level == 0 or left.isEmpty():
-            return done.filter(F.col("distance") <= within) if within is not None else done
-        open_points, level = cut_lineage(left), level - 1
-
-
-def _start_level(sites: DataFrame, k: int, n: int, origin: tuple, span: float, box) -> int:
-    """Cells small enough for a few sites on average, and finer while one is crowded."""
-    area = max(box[1] - box[0], 1e-9) * max(box[3] - box[2], 1e-9)
-    size = math.sqrt(area * max(1.0, k / 2) / n)
-    level = min(MAX_LEVEL, max(0, int(math.log2(span / size)))) if size > 0 else 0
-    while level < MAX_LEVEL:
-        ix, iy = _keys(F.col("x"), F.col("y"), level, origin, span)
-        most = sites.groupBy(ix.alias("ix"), iy.alias("iy")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-        if most <= max(CROWD, 4 * k):
-            break
-        level += 1
-    return level
-
-
-def _covered(level: int, span: float, sphere: bool) -> Column:
-    """Distance from the point that the 3 x 3 cells contain for certain."""
-    size = span / 2**level
-    if not sphere:
-        return F.lit(size)
-    if size >= 90:
-        return F.lit(0.0)
-    step = math.radians(size)
-    sideways = F.asin(F.cos(F.radians(F.col("y"))) * math.sin(step))
-    return F.least(F.lit(step), sideways) * (config.EARTH_RADIUS_KM * (1 - 1e-9))
-
-
-def _search(points, sites, k, level, origin, span, sphere, skip_self) -> DataFrame:
-    """The k best candidates per point among the 3 x 3 cells; points without any keep one NULL row."""
-    ix, iy = _keys(F.col("x"), F.col("y"), level, origin, span)
-    around = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    if level == 0:
-        asking = points.withColumns({"ix": F.lit(0), "iy": F.lit(0)})
-        offered = sites.withColumns({"ix": F.lit(0), "iy": F.lit(0)})
-    else:
-        asking = points.withColumns({"ix": ix, "iy": iy, "_s": F.explode(around)})
-        wrap = 2**level
-        across = F.pmod(F.col("ix") + F.col("_s.a"), F.lit(wrap)) if sphere else F.col("ix") + F.col("_s.a")
-        asking = asking.withColumns({"ix": across, "iy": F.col("iy") + F.col("_s.b")}).drop("_s").distinct()
-        offered = sites.withColumns({"ix": F.pmod(ix, F.lit(wrap)) if sphere else ix, "iy": iy})
-    offered = offered.select("ix", "iy", "site_id", F.col("x").alias("sx"), F.col("y").alias("sy"))
-    pairs = asking.join(offered, ["ix", "iy"], "left")
+    first = top_per_key(sites.select("site_id", "x", "y"), ["x", "y"], [F.col("site_id")], keep, F.col("site_id"))
+    placed = cut_lineage(_place(first.drop("rank"), sphere))
+    box = placed.agg(*[f(a).alias(f"{n}{a}") for a in AXES for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    asked = _place(points.select("point_id", "x", "y"), sphere).select(
+        "point_id", *[F.col(a).alias(f"p{a}") for a in AXES], F.col("lon").alias("plon"), F.col("lat").alias("plat")
+    )
+    if box["lox"] is None:
+        nothing = asked.select("point_id", F.lit(None).alias("site_id"), F.lit(0.0).alias("distance"), F.lit(0).alias("rank"))
+        return nothing.filter(F.lit(False))
+    origin = {a: box[f"lo{a}"] for a in AXES}
+    span = max(box[f"hi{a}"] - origin[a] for a in AXES) * (1 + 1e-9) + 1e-12
+    level, crowd, held = 0, None, None
+    while level < MAX_LEVEL and (crowd is None or crowd > max(CROWD, 2 * keep)):
+        level += STRIDE
+        children = cut_lineage(placed.groupBy(*_cell(level, origin, span)).agg(F.count(F.lit(1)).alias("n")))
+        opened = _open_root(asked, children) if held is None else _open(held, children)
+        held = _prune(opened, level, origin, span, keep, None if sphere else within)
+        crowd = children.agg(F.max("n")).first()[0]
+    return _rank(held, placed, level, origin, span, k, sphere, skip_self, within)
+
+
+def _open_root(asked: DataFrame, children: DataFrame) -> DataFrame:
+    """The first cells, 64 at most, next to every point."""
+    cells = [F.struct(*[F.lit(r[c]).cast("long").alias(c) for c in children.columns]) for r in children.collect()]
+    return asked.withColumn("_c", F.explode(F.array(*cells))).select(*asked.columns, "_c.*")
+
+
+def _open(held: DataFrame, children: DataFrame) -> DataFrame:
+    """The occupied children of the kept cells."""
+    ratio, keys = 2**STRIDE, [f"c{a}" for a in AXES]
+    parents = children.select(*[F.floor(F.col(c) / ratio).cast("long").alias(f"up_{c}") for c in keys], *keys, "n")
+    above = held.select(*[c for c in held.columns if c not in keys], *[F.col(c).alias(f"up_{c}") for c in keys])
+    return above.join(broadcast_if_small(parents), [f"up_{c}" for c in keys]).drop(*[f"up_{c}" for c in keys])
+
+
+def _prune(opened, level, origin, span, keep, within) -> DataFrame:
+    """Drop the cells that begin beyond the bound set by the others."""
+    near, far = _bounds(level, origin, span)
+    sized = opened.withColumns({"near": near, "far": far})
+    # rows of one point only: its kept cells and their children
+    inward = Window.partitionBy("point_id").orderBy("far")
+    sized = sized.withColumn("upto", F.sum("n").over(inward))
+    bound = F.min(F.when(F.col("upto") >= keep, F.col("far"))).over(Window.partitionBy("point_id"))
+    limit = F.coalesce(bound, F.lit(float("inf")))
+    if within is not None:
+        limit = F.least(limit, F.lit(float(within)))
+    kept = sized.withColumn("limit", limit).filter(F.col("near") <= F.col("limit") * (1 + SLACK) + SLACK)
+    return kept.drop("n", "near", "far", "upto", "limit")
+
+
+def _rank(held, placed, level, origin, span, k, sphere, skip_self, within) -> DataFrame:
+    """Exact distances to the sites of the cells that are left."""
+    keys = [f"c{a}" for a in AXES]
+    offered = placed.select(*_cell(level, origin, span), "site_id", F.col("lon").alias("slon"), F.col("lat").alias("slat"))
+    pairs = held.join(offered, keys)
     if sphere:
-        distance = haversine_km(F.col("x"), F.col("y"), F.col("sx"), F.col("sy"))
+        distance = haversine_km(F.col("plon"), F.col("plat"), F.col("slon"), F.col("slat"))
     else:
-        dx, dy = F.col("x") - F.col("sx"), F.col("y") - F.col("sy")
+        dx, dy = F.col("plon") - F.col("slon"), F.col("plat") - F.col("slat")
         distance = F.sqrt(dx * dx + dy * dy)
-    own = F.lit(False)
+    pairs = pairs.select("point_id", "site_id", distance.alias("distance"))
     if skip_self:
-        own = F.coalesce(F.col("site_id") == F.col("point_id"), F.lit(False))
-    pairs = pairs.select(
-        "point_id", "x", "y", F.when(~own, F.col("site_id")).alias("site_id"), F.when(~own, distance).alias("distance")
-    )
-    order = Window.partitionBy("point_id").orderBy(F.col("distance").asc_nulls_last(), F.col("site_id"))
-    best = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    whole = Window.partitionBy("point_id")
-    full = F.count("site_id").over(whole) >= k
-    return best.withColumn("_kth", F.when(full, F.max("distance").over(whole)).otherwise(float("inf"))).filter(
-        (F.col("rank") == 1) | F.col("site_id").isNotNull()
-    )
+        pairs = pairs.filter(F.col("site_id") != F.col("point_id"))
+    if within is not None:
+        pairs = pairs.filter(F.col("distance") <= within)
+    order = Window.partitionBy("point_id").orderBy("distance", "site_id")
+    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

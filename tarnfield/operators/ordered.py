@@ -112,6 +112,8 @@ def global_row_number(df: DataFrame, order: list[Column], slice_on: str, out: st
     filled = keyed.withColumn("_lead", F.coalesce("_lead", F.lit(float("inf")).cast("double")))
     sliced, n = slice_by_value(filled, "_lead")
     local = sliced.withColumn("_local", F.row_number().over(Window.partitionBy("_slice").orderBy(*order)))
+    if n == 1:
+        return local.withColumn(out, F.col("_local").cast("long")).drop("_local", "_slice", "_lead")
     sizes = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_sum"))
     before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_slice", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))

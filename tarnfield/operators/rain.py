@@ -128,20 +128,10 @@ def resolve_scenarios(scenarios: DataFrame, events: DataFrame) -> DataFrame:
 def distributed_forcing(series: DataFrame, cells: DataFrame) -> DataFrame:
     """rate[t] x weight[cell], joined on the area both belong to.
 
-    The series of an area is folded into one array first, so the join carries one row per area
-    and the times unfold next to each cell, wherever that cell's partition is.
+    The result holds every (time, cell) of an area by nature; a hot area is split on both
+    sides by the adaptive skew join.
     """
-    folded = series.groupBy("area_id").agg(
-        F.array_sort(F.collect_list(F.struct("elapsed_s", "intensity"))).alias("samples")
-    )
-    return (
-        cells.join(folded, "area_id")
-        .withColumn("s", F.explode("samples"))
-        .select(
-            "area_id",
-            "row",
-            "col",
-            F.col("s.elapsed_s").alias("elapsed_s"),
-            (F.col("s.intensity") * F.col("rain_weight")).alias("rate"),
-        )
+    samples = series.select("area_id", "elapsed_s", "intensity")
+    return cells.join(samples, "area_id").select(
+        "area_id", "row", "col", "elapsed_s", (F.col("intensity") * F.col("rain_weight")).alias("rate")
     )

@@ -65,8 +65,8 @@ def r2(spark, folder):
     STEPS + f"SELECT run_id, sequence, state, prev_state, {LEGAL} AS legal FROM steps",
 )
 def r2_stream(spark, folder):
-    checked = monitor.check_transitions_stream(stream_of_events(spark, folder))
-    return monitor.drain(checked, "append", "transitions", monitor.ROCKSDB).drop("batch_id")
+    checked = monitor.check_transitions_stream(stream_of_events(spark, folder), CHUNK)
+    return checked.select("run_id", "sequence", "state", "prev_state", "legal")
 
 
 LATEST = """, latest AS (SELECT run_id, min(ts) AS started, max(sequence) AS sequence, arg_max(state, sequence) AS state,

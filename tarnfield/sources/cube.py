@@ -17,19 +17,26 @@ class EmptyWindow(ValueError):
     """The requested window does not meet the grid."""
 
 
-def write_cube(frames: DataFrame, path: str, tile: int = config.TILE, files_per_frame: int | None = None) -> None:
-    """Partition by run and frame, cluster by tile inside the files.
-
-    The exchange key holds the tile, so one hot run or frame still spreads over many tasks,
-    and the sort gives row groups narrow (row, col) bounds for pushed-down windows.
+def write_cube(
+    frames: DataFrame, path: str, tile: int = config.TILE, layout: str = "frame", files: int | None = None
+) -> None:
+    """Store a cube clustered by tile, for one of two ways of reading.
+
+    ``frame`` puts each (run, t) into its own folder: windows of one frame read little. ``tile``
+    puts each tile's whole time line together, so per-cell reductions over time fold inside
+    the scan tasks before anything is exchanged, and point series read one folder. Either
+    way the exchange key holds the tile, so one hot run or frame spreads over many tasks.
     """
+    if layout not in ("frame", "tile"):
+        raise ValueError("layout is frame or tile")
     stored = {name: F.col(name).cast("float") for name in ("h", "u", "v")}
     tiled = frames.withColumns({"trow": block("row", tile), "tcol": block("col", tile), **stored})
-    keys = ["run_id", "t", "trow", "tcol"]
-    placed = tiled.repartition(files_per_frame, *keys) if files_per_frame else tiled.repartition(*keys)
-    placed.sortWithinPartitions(*keys, "row", "col").select(*STORED_COLUMNS).write.mode("overwrite").partitionBy(
-        "run_id", "t"
-    ).parquet(path)
+    folders = ["run_id", "t"] if layout == "frame" else ["run_id", "trow", "tcol"]
+    keys = ["run_id", "t", "trow", "tcol"] if layout == "frame" else [*folders, F.floor(F.col("row") * 8 / tile)]
+    placed = tiled.repartition(files, *keys) if files else tiled.repartition(*keys)
+    placed.sortWithinPartitions(*folders, "trow", "tcol", "row", "col", "t").select(*STORED_COLUMNS).write.mode(
+        "overwrite"
+    ).partitionBy(*folders).parquet(path)
 
 
 def read_cube(spark: SparkSession, path: str) -> DataFrame:

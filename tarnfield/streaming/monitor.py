@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
 
 from tarnfield import config
 from tarnfield.operators.ordered import next_in_key, previous_in_key
@@ -161,9 +161,11 @@ def parse_timings(logs: DataFrame, key: str, text: str = "log") -> DataFrame:
 
 # --- streams ----------------------------------------------------------------------------------
 
-def drain(
-    stream: DataFrame, mode: str, name: str, options: dict[str, str] | None = None, folder: str | None = None
-) -> DataFrame:
+def _run_to_end(writer: DataStreamWriter, folder: str) -> None:
+    writer.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+
+def drain(stream: DataFrame, mode: str, name: str, folder: str | None = None) -> DataFrame:
     """Run a stream over what is available and give its output table with ``batch_id``.
 
     Each micro-batch overwrites its own folder, so a batch replayed after a failure counts
@@ -175,21 +177,7 @@ def drain(
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch_id={batch_id}")
 
-    before = {k: spark.conf.get(k, None) for k in options or {}}
-    for k, v in (options or {}).items():
-        spark.conf.set(k, v)
-    try:
-        running = (
-            stream.writeStream.outputMode(mode)
-            .foreachBatch(keep)
-            .option("checkpointLocation", f"{folder}/checkpoint")
-            .trigger(availableNow=True)
-            .start()
-        )
-        running.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    _run_to_end(stream.writeStream.outputMode(mode).foreachBatch(keep), folder)
     return spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out")
 
 
@@ -209,32 +197,6 @@ def running_peaks(frames: DataFrame) -> DataFrame:
     ).select("row", "col", F.col("top.h").alias("max_depth"), (-F.col("top.nt")).alias("max_time"), "peak_speed")
 
 
-TRANSITION_OUTPUT = "run_id long, sequence long, state string, prev_state string, legal boolean"
-
-
-class TransitionCheck(StatefulProcessor):
-    """Per run the last state seen; rows pass through with the verdict on their step."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "sequence long, state string")
-        self.table = allowed_next()
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.last.get() if self.last.exists() else None
-        previous = None if held is None else held[1]
-        for batch in rows:
-            out = []
-            for sequence, state in batch.sort_values("sequence")[["sequence", "state"]].itertuples(index=False):
-                legal = state == "CREATED" if previous is None else state in self.table.get(previous, [])
-                out.append((key[0], sequence, state, previous, legal))
-                previous = state
-            yield pd.DataFrame(out, columns=["run_id", "sequence", "state", "prev_state", "legal"])
-            self.last.update((int(out[-1][1]), previous))
-
-    def close(self) -> None:
-        pass
-
-
 SILENCE_OUTPUT = "run_id long, silent_since long"
 
 
@@ -279,15 +241,34 @@ ROCKSDB = {
 }
 
 
-def check_transitions_stream(events: DataFrame) -> DataFrame:
-    """Streaming twin of ``transitions``; needs the RocksDB state store."""
-    return events.select("run_id", "sequence", "state").groupBy("run_id").transformWithStateInPandas(
-        statefulProcessor=TransitionCheck(), outputStructType=TRANSITION_OUTPUT, outputMode="Append", timeMode="None"
-    )
+def check_transitions_stream(events: DataFrame, chunk: int = CHUNK, folder: str | None = None) -> DataFrame:
+    """Streaming twin of ``transitions``.
+
+    A micro-batch is checked by the batch operator together with each run's last event so far,
+    so a run of any length is cut into chunks here too. The last events are a small table per
+    batch id; replaying a batch reads its predecessor's table again and rewrites the same rows.
+    """
+    spark = events.sparkSession
+    folder = folder or scratch_path(spark, "transitions")
+    names = ["run_id", "sequence", "state"]
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        fresh = batch.select(*names).withColumn("_old", F.lit(False))
+        rows = fresh
+        if batch_id > 0:
+            held = spark.read.parquet(f"{folder}/last/{batch_id - 1}")
+            rows = fresh.unionByName(held.select(*names).withColumn("_old", F.lit(True)))
+        checked = transitions(rows, chunk).filter(~F.col("_old")).drop("_old")
+        checked.write.mode("overwrite").parquet(f"{folder}/out/batch_id={batch_id}")
+        last = rows.groupBy("run_id").agg(F.max(F.struct("sequence", "state")).alias("l")).select("run_id", "l.*")
+        last.write.mode("overwrite").parquet(f"{folder}/last/{batch_id}")
+
+    _run_to_end(events.select(*names).writeStream.foreachBatch(step), folder)
+    return spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out")
 
 
 def silence_stream(events: DataFrame, limit_s: float = 10.0) -> DataFrame:
-    """Streaming twin of ``silences`` on processing time; the caller stops the query."""
+    """Streaming twin of ``silences`` on processing time (set ``ROCKSDB``); the caller stops the query."""
     return events.select("run_id", "sequence", "state").groupBy("run_id").transformWithStateInPandas(
         statefulProcessor=SilenceAlarm(int(limit_s * 1000)),
         outputStructType=SILENCE_OUTPUT,

@@ -78,6 +78,19 @@ def test_window_filters_reach_the_scan(spark, tmp_path):
     assert window.count() == 16
 
 
+def test_tile_layout_holds_the_same_cube(spark, tmp_path):
+    frames, cells = summary_cube(spark)
+    run = frames.withColumn("run_id", F.lit("a"))
+    tables = []
+    for layout in ("frame", "tile"):
+        path = str(tmp_path / layout)
+        cube.write_cube(run, path, tile=4, layout=layout)
+        best = summary.cell_summary(cube.read_cube(spark, path), cells)
+        tables.append(sorted(map(tuple, best.collect())))
+    assert tables[0] == tables[1]
+    assert (tmp_path / "tile" / "run_id=a" / "trow=1" / "tcol=0").is_dir()
+
+
 def test_peak_speed_ignores_dry_cells(spark):
     h = [[[0, 0.2], [0.1, 0]], [[0, 0.3], [0.2, 0]]]
     u = [[[1000, 0.2], [0.1, 1000]], [[1000, 0.4], [1, 1000]]]

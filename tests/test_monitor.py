@@ -94,7 +94,33 @@ def test_streamed_status_equals_batch_status(spark, tmp_path):
 def test_state_machine_keeps_state_across_batches(spark, tmp_path):
     steps = ["CREATED", "VALIDATING", "ACQUIRING_TERRAIN", "COMPLETE"]
     folder = feed_folder(spark, tmp_path, *[[(r, i, s, 0.0, float(i)) for r in (1, 2)] for i, s in enumerate(steps)])
-    checked = monitor.check_transitions_stream(monitor.read_event_stream(spark, folder, max_files=1))
-    table = monitor.drain(checked, "append", "check", monitor.ROCKSDB)
+    table = monitor.check_transitions_stream(monitor.read_event_stream(spark, folder, max_files=1))
     got = [r["legal"] for r in table.filter("run_id = 1").orderBy("sequence").collect()]
     assert got == [True, True, True, False]
+
+
+def test_silence_alarm_fires_once_per_open_run(spark, tmp_path):
+    import time
+
+    folder = feed_folder(spark, tmp_path, [(1, 0, "CREATED", 0.0, 0.0), (2, 0, "COMPLETE", 1.0, 0.0)])
+    for key, value in monitor.ROCKSDB.items():
+        spark.conf.set(key, value)
+    out = str(tmp_path / "out")
+    alarms = monitor.silence_stream(monitor.read_event_stream(spark, folder), limit_s=1.0)
+    running = (
+        alarms.writeStream.foreachBatch(lambda b, i: b.write.mode("append").parquet(out))
+        .option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="1 second").start()
+    )
+    try:
+        found, end = [], time.time() + 60
+        while not found and time.time() < end:
+            time.sleep(1)
+            try:
+                found = spark.read.parquet(out).collect()
+            except Exception:
+                continue
+    finally:
+        running.stop()
+        for key in monitor.ROCKSDB:
+            spark.conf.unset(key)
+    assert [r["run_id"] for r in found] == [1]
