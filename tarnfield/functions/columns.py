@@ -133,3 +133,36 @@ def nice_numbers(value: Column) -> Column:
     )
     ranked = F.transform(F.array_distinct(scaled), lambda n: F.struct(F.abs(n - value).alias("d"), F.abs(n).alias("m"), n.alias("n")))
     return F.transform(F.array_sort(ranked), lambda s: s["n"])
+
+
+def hex_colour(rgba: tuple[int, ...]) -> str:
+    return "#{:02X}{:02X}{:02X}".format(*rgba[:3])
+
+
+def depth_colour(depth: Column) -> Column:
+    """Fixed depth bands, each from its lower edge."""
+    colour = F.lit(hex_colour(config.DEPTH_BANDS[0][1]))
+    for low, rgba in config.DEPTH_BANDS[1:]:
+        colour = F.when(depth >= low, F.lit(hex_colour(rgba))).otherwise(colour)
+    return colour
+
+
+def block_colour(size: Column) -> Column:
+    """Colour of a block size."""
+    table = F.create_map(*[F.lit(v) for k, rgba in config.BLOCK_COLOURS.items() for v in (k, hex_colour(rgba))])
+    return F.try_element_at(table, size)
+
+
+def elevation_colour(index: Column) -> Column:
+    """Colour of an elevation class."""
+    ramp = F.array(*[F.lit(hex_colour(rgba)) for rgba in config.ELEVATION_COLOURS])
+    return F.get(ramp, F.least(index, F.lit(len(config.ELEVATION_COLOURS) - 1)))
+
+
+def flow_colour(value: Column, low: Column, high: Column) -> Column:
+    """Linear colour class of a speed within its display range."""
+    colours = F.array(*[F.lit(c) for c in config.FLOW_COLOURS])
+    n = len(config.FLOW_COLOURS)
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - low) / (high - low)))
+    index = F.when(high <= low, n - 1).otherwise(F.least(F.lit(n - 1), F.floor(share * n)))
+    return F.get(colours, index.cast("int"))

@@ -7,7 +7,6 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnfield import config
 from tarnfield.functions.columns import finite, speed, wet
 from tarnfield.functions.geo import to_lonlat
 from tarnfield.operators.grid import GridSpec, block
@@ -203,12 +202,3 @@ def sample_field(points: DataFrame, nodes: DataFrame, spacing: float) -> DataFra
         "point_id", (F.col("sx") / F.col("_s")).alias("dx"), (F.col("sy") / F.col("_s")).alias("dy"), "speed"
     )
 
-
-def flow_colour(value: Column, low: float, high: float) -> Column:
-    """Linear colour class of a speed within its display range."""
-    colours = F.array(*[F.lit(c) for c in config.FLOW_COLOURS])
-    n = len(config.FLOW_COLOURS)
-    if high <= low:
-        return F.lit(config.FLOW_COLOURS[-1])
-    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - low) / (high - low)))
-    return F.element_at(colours, F.least(F.lit(n - 1), F.floor(share * n)).cast("int") + 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnfield import config
-from tarnfield.functions.columns import class_index, speed
+from tarnfield.functions.columns import class_index, depth_colour, elevation_colour, flow_colour, speed
 from tarnfield.operators import blocks, classes, compare, faces, summary
 from tarnfield.operators.grid import GridSpec
 from tarnfield.plans import adapters as A
@@ -326,11 +326,32 @@ def a9(spark, folder):
 )
 def p15(spark, folder):
     visible = summary_of(spark, folder).filter(F.col("active") & (F.col("max_depth") >= config.DISPLAY_DRY_M))
-    colours = [f"#{r:02X}{g:02X}{b:02X}" for _, (r, g, b, _) in config.DEPTH_BANDS]
-    band = F.lit(colours[0])
-    for (low, _), colour in zip(config.DEPTH_BANDS[1:], colours[1:]):
-        band = F.when(F.col("max_depth") >= low, F.lit(colour)).otherwise(band)
-    return visible.select("row", "col", band.alias("colour"))
+    return visible.select("row", "col", depth_colour(F.col("max_depth")).alias("colour"))
+
+
+@query(
+    "p15_flow_colours",
+    "frames frame_cells",
+    SUMMARY_SQL
+    + """, r AS (SELECT min(peak_speed) AS lo, max(peak_speed) AS hi FROM cell_summary)
+       SELECT "row", col, (['#2DC4B2', '#3BB2D0', '#3F51B5', '#8E44AD', '#E74C3C', '#A52A2A', '#7F0000'])[1 + least(6, CAST(floor((peak_speed - lo) / (hi - lo) * 7) AS INT))] AS colour
+       FROM cell_summary, r WHERE peak_speed IS NOT NULL""",
+)
+def p15_flow(spark, folder):
+    peaks = cut_lineage(summary_of(spark, folder).filter("peak_speed IS NOT NULL"))
+    ends = summary.value_range(peaks, F.col("peak_speed"), F.lit(True)).first()
+    colour = flow_colour(F.col("peak_speed"), F.lit(ends["low"]), F.lit(ends["high"]))
+    return peaks.select("row", "col", colour.alias("colour"))
+
+
+@query("p15_elevation_colours", "", None)
+def p15_elevation(spark, folder):
+    """Elevation classes of the frame cells under their own breaks."""
+    cells = A.frame_cells(spark, folder)
+    histogram = summary.value_histogram(cells, F.col("elevation_m"), F.lit(1.0))
+    scale = classes.class_breaks(histogram, n=8, anchor_zero=False)
+    index = class_index(F.col("elevation_m"), F.array(*[F.lit(float(b)) for b in scale.breaks]))
+    return cells.select("row", "col", elevation_colour(index).alias("colour"))
 
 
 @query("p16_legend", "", None)

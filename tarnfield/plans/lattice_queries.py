@@ -516,15 +516,49 @@ def g15_check(spark, folder):
     "scene",
     FINAL
     + """, mask AS (SELECT "row", col, "row" * (SELECT max(col) + 1 FROM final) + col AS id, resolution_m AS size FROM final),
-      reach AS (SELECT id, "row", col, size, id AS root FROM mask UNION SELECT n.id, n."row", n.col, n.size, least(r.root, n.id) FROM reach r JOIN mask n
-          ON n.size = r.size AND abs(n."row" - r."row") <= 1 AND abs(n.col - r.col) <= 1 AND r.root < n.id),
+      reach AS (SELECT id, "row", col, size, id AS root FROM mask UNION SELECT n.id, n."row", n.col, n.size, r.root FROM reach r JOIN mask n
+          ON n.size = r.size AND abs(n."row" - r."row") <= 1 AND abs(n.col - r.col) <= 1),
       lab AS (SELECT id, "row", col, size, min(root) AS label FROM reach GROUP BY ALL)
-      SELECT size, count(*) AS cells FROM lab GROUP BY size""",
+      SELECT size, CAST(label AS BIGINT) AS label, count(*) AS cells, min("row") AS row0, max("row") AS row1, min(col) AS col0, max(col) AS col1,
+        count(*) * 1.0::DOUBLE AS area_m2 FROM lab GROUP BY 1, 2""",
 )
 def g16(spark, folder):
     cells = cut_lineage(final_map(spark, folder))
-    regions = blocks.level_regions(cells, GridSpec.measure(cells))
-    return regions.groupBy("size").agg(F.sum("cells").alias("cells"))
+    return blocks.level_regions(cells, GridSpec.measure(cells))
+
+
+@query(
+    "p15_block_colours",
+    "scene",
+    FINAL
+    + """SELECT "row", col, CASE resolution_m WHEN 1 THEN '#264653' WHEN 2 THEN '#2A6F97' WHEN 4 THEN '#3D9180' ELSE '#7AA874' END AS colour FROM final""",
+)
+def p15_blocks(spark, folder):
+    from tarnfield.functions.columns import block_colour
+
+    return final_map(spark, folder).select("row", "col", block_colour(F.col("resolution_m")).alias("colour"))
+
+
+@query(
+    "j4_aligned_rasters",
+    "cells",
+    """, terrain AS (SELECT "row", col, elevation_m FROM cells), mask AS (SELECT "row", col, CASE WHEN building OR water THEN 0 ELSE 1 END AS mask FROM cells),
+         rain AS (SELECT "row", col, CASE WHEN building THEN 0 ELSE 1 END AS w FROM cells WHERE NOT water)
+       SELECT count(*) AS cells, count(r.w) AS with_rain, CAST(sum(m.mask) AS BIGINT) AS active, CAST(sum(r.w) AS BIGINT) AS rain
+       FROM terrain t LEFT JOIN mask m ON m."row" = t."row" AND m.col = t.col LEFT JOIN rain r ON r."row" = t."row" AND r.col = t.col""",
+)
+def j4(spark, folder):
+    """Three rasters of one grid on their cell key."""
+    cells, key = A.cells(spark, folder), ["row", "col"]
+    terrain = cells.select(*key, "elevation_m")
+    mask = cells.select(*key, F.when(F.col("building") | F.col("water"), 0).otherwise(1).alias("mask"))
+    rain = cells.filter(~F.col("water")).select(*key, F.when(F.col("building"), 0).otherwise(1).alias("w"))
+    return terrain.join(mask, key, "left").join(rain, key, "left").agg(
+        F.count(F.lit(1)).alias("cells"),
+        F.count("w").alias("with_rain"),
+        F.sum("mask").alias("active"),
+        F.sum("w").alias("rain"),
+    )
 
 
 @query(
