@@ -9,7 +9,7 @@ from tarnfield.functions.columns import class_index, depth_colour, elevation_col
 from tarnfield.operators import blocks, classes, compare, faces, summary
 from tarnfield.operators.grid import GridSpec
 from tarnfield.plans import adapters as A
-from tarnfield.plans.cube_queries import EXTENT, SUMMARY_SQL, r6, summary_of
+from tarnfield.plans.cube_queries import SUMMARY_SQL, r6, summary_of
 from tarnfield.plans.lattice_queries import FINAL, final_map
 from tarnfield.plans.registry import query
 from tarnfield.runtime import cut_lineage

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnfield.functions.columns import class_index, duration_label, elapsed_label, finite, output_interval_s
-from tarnfield.functions.columns import resource_class, speed, uniform_intensity, wet, zoom_stride
+from tarnfield.functions.columns import resource_class, uniform_intensity, wet, zoom_stride
 from tarnfield.operators import policy, summary
 from tarnfield.operators.grid import GridSpec
 from tarnfield.plans import adapters as A

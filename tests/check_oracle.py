@@ -66,7 +66,14 @@ def main():
     import __spark_entry__ as entry
     from tarnfield.runtime import local_session
 
-    spark, con = local_session(8), connect(folder)
+    if os.environ.get("PLAIN"):  # a session as a stranger would make it
+        from pyspark.sql import SparkSession
+
+        spark = SparkSession.builder.master("local[8]").getOrCreate()
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        spark = local_session(8)
+    con = connect(folder)
     oracles = entry.oracle_sql()
     bad = 0
     for name, fn in entry.queries().items():
