@@ -19,6 +19,7 @@ STATION_HEADER = [
 ]
 # Header cells that must carry these words, by position.
 HEADER_CONTRACT = {1: "観測所番号", 2: "種類", 3: "観測所名", 7: "緯度", 9: "経度"}
+# Fixed formats of ranking cells: marks of an empty cell, value with flag, date.
 BLANK_CELLS = ["", "--", "///", "×", "-"]
 VALUE_PATTERN = r"^\s*(\d+(?:\.\d+)?)\s*([^\s(]*)"
 DATE_PATTERN = r"\((\d{4}/\d{1,2}/\d{1,2}(?:\s+\d{1,2}:\d{2})?)\)"

@@ -13,6 +13,7 @@ from tarnfield import config
 from tarnfield.operators.ordered import next_in_key, previous_in_key
 from tarnfield.runtime import scratch_path
 
+# Fixed formats of the engine's log lines.
 PROGRESS_PATTERN = r"(\d+(?:\.\d+)?)%\s+complete,\s+([-+]?\d+(?:\.\d+)?|Inf|inf|-)\s+s\s+remaining"
 TIMING_PATTERN = r"Time in ([^:]+):\s*([-+0-9.eE]+)\s*\(\s*([-+0-9.eE]+)%\)"
 AVERAGE_STEP_PATTERN = r"Average time step \(s\)\s*:\s*([-+0-9.eE]+)"
