@@ -62,16 +62,23 @@ def read_window(
     cols: tuple[int, int],
     tile: int | None = None,
 ) -> DataFrame:
-    """One frame, half-open row and column ranges clamped to the grid; all filters reach the scan."""
+    """One frame, half-open row and column ranges clamped to the grid; all filters reach the scan.
+
+    Along an axis where the window ends on tile borders the tile filter says it all, and the
+    cell index is not even read unless it is selected.
+    """
     r0, r1 = max(0, rows[0]), min(grid.height, rows[1])
     c0, c1 = max(0, cols[0]), min(grid.width, cols[1])
     if t < 0 or r0 >= r1 or c0 >= c1:
         raise EmptyWindow(f"t={t} rows={rows} cols={cols}")
-    window = (F.col("t") == t) & (F.col("row") >= r0) & (F.col("row") < r1)
-    window &= (F.col("col") >= c0) & (F.col("col") < c1)
-    if tile:
-        window &= F.col("trow").between(r0 // tile, (r1 - 1) // tile)
-        window &= F.col("tcol").between(c0 // tile, (c1 - 1) // tile)
+    window = F.col("t") == t
+    for axis, low, high, size in (("row", r0, r1, grid.height), ("col", c0, c1, grid.width)):
+        whole_tiles = False
+        if tile:
+            window &= F.col(f"t{axis}").between(low // tile, (high - 1) // tile)
+            whole_tiles = low % tile == 0 and (high % tile == 0 or high == size)
+        if not whole_tiles:
+            window &= (F.col(axis) >= low) & (F.col(axis) < high)
     return frames.filter(window)
 
 

@@ -70,12 +70,18 @@ def test_window_filters_reach_the_scan(spark, tmp_path):
     frames, _ = summary_cube(spark)
     cube.write_cube(frames.withColumn("run_id", F.lit("a")), str(tmp_path / "c"), tile=4)
     stored = cube.read_cube(spark, str(tmp_path / "c"))
-    window = cube.read_window(stored, GridSpec(8, 8), 1, (0, 4), (4, 8), tile=4).select("h")
+    window = cube.read_window(stored, GridSpec(8, 8), 1, (0, 3), (4, 8), tile=4).select("h")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     plan = window._jdf.queryExecution().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert "PartitionFilters: [isnotnull(t" in plan
-    assert "GreaterThanOrEqual(row,0)" in plan and "IsNotNull(tcol)" in plan
+    assert "LessThan(row,3)" in plan and "LessThanOrEqual(tcol,1)" in plan
     assert "u:float" not in plan.split("ReadSchema")[1]
-    assert window.count() == 16
+    assert "col:int,h" not in plan.split("ReadSchema")[1]
+    assert window.count() == 12
+    for rows, cols in (((0, 4), (0, 8)), ((4, 8), (3, 8)), ((2, 6), (4, 8)), ((0, 8), (0, 8))):
+        got = cube.read_window(stored, GridSpec(8, 8), 1, rows, cols, tile=4).count()
+        assert got == (rows[1] - rows[0]) * (cols[1] - cols[0])
 
 
 def test_tile_layout_holds_the_same_cube(spark, tmp_path):
