@@ -104,3 +104,30 @@ def connected(edges: DataFrame) -> DataFrame:
         seen = now
     leaves = links.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return leaves.unionByName(links.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()
+
+
+def appended(df: DataFrame, schema: str, start: Callable[[], Callable]) -> DataFrame:
+    """``df`` with further columns made from whole batches; earlier columns of those names are replaced.
+
+    ``start()`` runs once per task and gives a function from a batch to the new arrays, in schema order.
+    """
+    added = df.sparkSession.createDataFrame([], schema).schema
+    kept = df.select(*[f"`{c}`" for c in df.columns if c not in added.names])
+    whole = type(added)([*kept.schema.fields, *added.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = start()
+        for batch in batches:
+            new = step(batch)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=whole.names)
+
+    return kept.mapInArrow(run, whole)
+
+
+def bounded(df: DataFrame, key: str, most: int) -> DataFrame:
+    """All rows, or about ``most`` of them picked by a hash of ``key`` where there are more."""
+    rows = df.count()
+    if rows <= most:
+        return df
+    share = int(0.99 * most / rows * (1 << 30))
+    return df.filter(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) < share).limit(most)

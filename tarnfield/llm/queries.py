@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfield.llm import mixing, sharding, simhash
+from tarnfield.llm import mixing, sharding, simhash, toxicity
+from tarnfield.llm.common import remainder
 
 SHARDS = 40
 
@@ -31,10 +32,18 @@ def op4_interleaved_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_toxic_segments(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read(spark, folder, "labels"), remainder(F.col("doc_id"), 5) != 0)
+    return toxicity.scored(docs, model).select(
+        "doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", "passages"
+    )
+
+
 def op10_poisson_mix(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.poisson_mix(read(spark, folder, "documents"))
     return mixed.select("doc_id", "source", "copies", "copy", "position", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op4_interleaved_shards, op10_poisson_mix)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op4_interleaved_shards, op7_toxic_segments, op10_poisson_mix)}
 ORACLES: dict[str, str] = {}
