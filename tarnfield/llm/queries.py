@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfield.llm import mixing, sharding, simhash, toxicity
+from tarnfield.llm import langid, mixing, sharding, simhash, toxicity
 from tarnfield.llm.common import remainder
 
 SHARDS = 40
@@ -19,6 +19,15 @@ def op1_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, folder, "documents"))
 
 
+def op2_language_spans(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    rest = remainder(F.col("doc_id"), 3)
+    model = langid.fit(docs.filter(rest != 1).select("text", "lang"))
+    return langid.labelled(docs.select("doc_id", "text"), model).select(
+        "doc_id", (rest == 1).alias("held_out"), "lang_pred", "score", "spans"
+    )
+
+
 def op4_interleaved_shards(spark: SparkSession, folder: str) -> DataFrame:
     placed = sharding.interleaved(read(spark, folder, "documents"), SHARDS)
     return placed.select(
@@ -45,5 +54,5 @@ def op10_poisson_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "source", "copies", "copy", "position", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op4_interleaved_shards, op7_toxic_segments, op10_poisson_mix)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_language_spans, op4_interleaved_shards, op7_toxic_segments, op10_poisson_mix)}
 ORACLES: dict[str, str] = {}
