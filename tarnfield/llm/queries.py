@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfield.llm import langid, mixing, sharding, simhash, toxicity
+from tarnfield.llm import langid, linededup, mixing, pages, sharding, simhash, toxicity
 from tarnfield.llm.common import remainder
 
 SHARDS = 40
@@ -41,6 +41,11 @@ def op4_interleaved_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_line_windows(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = linededup.without_repeated_windows(read(spark, folder, "documents"))
+    return cleaned.select("doc_id", "text", "n_lines", "n_removed", "removed")
+
+
 def op7_toxic_segments(spark: SparkSession, folder: str) -> DataFrame:
     docs = read(spark, folder, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, read(spark, folder, "labels"), remainder(F.col("doc_id"), 5) != 0)
@@ -49,10 +54,42 @@ def op7_toxic_segments(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_url_differencing(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.main_text(read(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op10_poisson_mix(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mixing.poisson_mix(read(spark, folder, "documents"))
     return mixed.select("doc_id", "source", "copies", "copy", "position", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_language_spans, op4_interleaved_shards, op7_toxic_segments, op10_poisson_mix)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_language_spans, op4_interleaved_shards, op6_line_windows, op7_toxic_segments, op9_url_differencing, op10_poisson_mix)}
+
+ORACLES: dict[str, str] = {
+    "op6_line_windows": """
+        WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+        windows AS (
+            SELECT doc_id, line, [lines[line + 1], lines[line + 2], lines[line + 3]] AS three
+            FROM (SELECT doc_id, lines, unnest(range(len(lines) - 2)) AS line FROM split WHERE len(lines) >= 3)),
+        later AS (
+            SELECT doc_id, line FROM (
+                SELECT *, row_number() OVER (PARTITION BY three ORDER BY doc_id, line) AS nth FROM windows)
+            WHERE nth > 1),
+        gone AS (
+            SELECT DISTINCT doc_id, unnest([line, line + 1, line + 2]) AS line FROM later),
+        runs AS (
+            SELECT doc_id, min(line) AS first, max(line) AS last FROM (
+                SELECT *, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS run FROM gone)
+            GROUP BY doc_id, run),
+        spans AS (
+            SELECT doc_id, list(struct_pack("first" := first::INT, "last" := last::INT) ORDER BY first) AS removed,
+                   list(first ORDER BY first) AS firsts, sum(last - first + 1) AS n FROM runs GROUP BY doc_id),
+        kept AS (
+            SELECT doc_id, string_agg(content, chr(10) ORDER BY line) AS text FROM (
+                SELECT doc_id, unnest(lines) AS content, unnest(range(len(lines))) AS line FROM split)
+            ANTI JOIN gone USING (doc_id, line) GROUP BY doc_id)
+        SELECT s.doc_id, CASE WHEN s.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
+               coalesce(len(s.lines), 0)::INT AS n_lines, coalesce(p.n, 0)::INT AS n_removed,
+               coalesce(p.removed, []) AS removed
+        FROM split s LEFT JOIN kept k USING (doc_id) LEFT JOIN spans p USING (doc_id)""",
+}

@@ -27,7 +27,8 @@ from tarnfield.llm.common import connected, over_batches, raw, ship, table
 ship(__name__)
 
 SAMPLE = 65_536  # fingerprints that shape the top tree
-SHARD = 8_192  # home fingerprints aimed at in a shard
+SHARDS = 32  # at least; each further halving of a shard sends its border members once more
+SHARD = 262_144  # home fingerprints in a shard, at most, as far as the sample tells
 LEAF = 256
 BLOCK = 1 << 22  # cells of one distance block
 
@@ -176,7 +177,7 @@ def link_shard(fps: np.ndarray, home: np.ndarray, radius: int) -> np.ndarray:
 def near_links(marks: DataFrame, radius: int = 3) -> DataFrame:
     """Links (a, b) between ids of distinct fingerprints (fp, id) that connect all pairs within the radius."""
     distinct = marks.count()
-    shards = max(1, min(SAMPLE // 32, distinct // SHARD))
+    shards = max(1, min(SAMPLE // 32, distinct // LEAF, max(SHARDS, -(-distinct // SHARD))))
     share = min(1.0, 1.2 * SAMPLE / max(1, distinct))
     picked = marks.filter(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).select("fp").limit(SAMPLE)
     sample = np.array([r[0] for r in picked.collect()], dtype=np.int64).view(np.uint64)
