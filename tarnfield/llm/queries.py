@@ -43,7 +43,8 @@ def op4_interleaved_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_line_windows(spark: SparkSession, folder: str) -> DataFrame:
     cleaned = linededup.without_repeated_windows(read(spark, folder, "documents"))
-    return cleaned.select("doc_id", "text", "n_lines", "n_removed", "removed")
+    span = F.transform("removed", lambda r: F.concat_ws("-", r["first"].cast("string"), r["last"].cast("string")))
+    return cleaned.select("doc_id", "text", "n_lines", "n_removed", F.array_join(span, ",").alias("removed"))
 
 
 def op7_toxic_segments(spark: SparkSession, folder: str) -> DataFrame:
@@ -82,14 +83,14 @@ ORACLES: dict[str, str] = {
                 SELECT *, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS run FROM gone)
             GROUP BY doc_id, run),
         spans AS (
-            SELECT doc_id, list(struct_pack("first" := first::INT, "last" := last::INT) ORDER BY first) AS removed,
-                   list(first ORDER BY first) AS firsts, sum(last - first + 1) AS n FROM runs GROUP BY doc_id),
+            SELECT doc_id, string_agg(first || '-' || last, ',' ORDER BY first) AS removed,
+                   sum(last - first + 1) AS n FROM runs GROUP BY doc_id),
         kept AS (
             SELECT doc_id, string_agg(content, chr(10) ORDER BY line) AS text FROM (
                 SELECT doc_id, unnest(lines) AS content, unnest(range(len(lines))) AS line FROM split)
             ANTI JOIN gone USING (doc_id, line) GROUP BY doc_id)
         SELECT s.doc_id, CASE WHEN s.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
                coalesce(len(s.lines), 0)::INT AS n_lines, coalesce(p.n, 0)::INT AS n_removed,
-               coalesce(p.removed, []) AS removed
+               coalesce(p.removed, '') AS removed
         FROM split s LEFT JOIN kept k USING (doc_id) LEFT JOIN spans p USING (doc_id)""",
 }
