@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfield.llm import langid, linededup, mixing, pages, sharding, simhash, toxicity
+from tarnfield.llm import ann, langid, linededup, mixing, pages, sharding, simhash, toxicity
 from tarnfield.llm.common import remainder
 
 SHARDS = 40
@@ -55,6 +55,10 @@ def op7_toxic_segments(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_kmeans_tree_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.nearest(read(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op9_url_differencing(spark: SparkSession, folder: str) -> DataFrame:
     return pages.main_text(read(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -64,7 +68,7 @@ def op10_poisson_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "source", "copies", "copy", "position", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_language_spans, op4_interleaved_shards, op6_line_windows, op7_toxic_segments, op9_url_differencing, op10_poisson_mix)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_language_spans, op4_interleaved_shards, op6_line_windows, op7_toxic_segments, op8_kmeans_tree_neighbours, op9_url_differencing, op10_poisson_mix)}
 
 ORACLES: dict[str, str] = {
     "op6_line_windows": """
