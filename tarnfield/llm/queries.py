@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfield.llm import ann, langid, linededup, mixing, pages, sharding, simhash, toxicity
+from tarnfield.llm import ann, decontam, langid, linededup, mixing, pages, sharding, simhash, toxicity
 from tarnfield.llm.common import remainder
 
 SHARDS = 40
@@ -41,6 +41,13 @@ def op4_interleaved_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_qgram_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    found = decontam.with_leaks(docs, read(spark, folder, "benchmark"))
+    items = F.array_sort(F.array_distinct("leaks.item_id")).alias("item_ids")
+    return found.select("doc_id", (F.size("leaks") > 0).alias("contaminated"), items, "leaks")
+
+
 def op6_line_windows(spark: SparkSession, folder: str) -> DataFrame:
     cleaned = linededup.without_repeated_windows(read(spark, folder, "documents"))
     span = F.transform("removed", lambda r: F.concat_ws("-", r["first"].cast("string"), r["last"].cast("string")))
@@ -68,7 +75,7 @@ def op10_poisson_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "source", "copies", "copy", "position", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_language_spans, op4_interleaved_shards, op6_line_windows, op7_toxic_segments, op8_kmeans_tree_neighbours, op9_url_differencing, op10_poisson_mix)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_language_spans, op4_interleaved_shards, op5_qgram_decontamination, op6_line_windows, op7_toxic_segments, op8_kmeans_tree_neighbours, op9_url_differencing, op10_poisson_mix)}
 
 ORACLES: dict[str, str] = {
     "op6_line_windows": """
