@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfield.llm import ann, decontam, langid, linededup, mixing, pages, sharding, simhash, toxicity
+from tarnfield.llm import ann, brown, decontam, langid, linededup, mixing, pages, sharding, simhash, toxicity
 from tarnfield.llm.common import remainder
 
 SHARDS = 40
@@ -28,6 +28,15 @@ def op2_language_spans(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_brown_classes(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    docs = docs.withColumn("held_out", remainder(F.col("doc_id"), 10) == 0)
+    model, vocabulary = brown.fit(docs.filter(~F.col("held_out")))
+    return brown.scored(docs, model, vocabulary).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"
+    )
+
+
 def op4_interleaved_shards(spark: SparkSession, folder: str) -> DataFrame:
     placed = sharding.interleaved(read(spark, folder, "documents"), SHARDS)
     return placed.select(
@@ -75,7 +84,7 @@ def op10_poisson_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "source", "copies", "copy", "position", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_language_spans, op4_interleaved_shards, op5_qgram_decontamination, op6_line_windows, op7_toxic_segments, op8_kmeans_tree_neighbours, op9_url_differencing, op10_poisson_mix)}
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_language_spans, op3_brown_classes, op4_interleaved_shards, op5_qgram_decontamination, op6_line_windows, op7_toxic_segments, op8_kmeans_tree_neighbours, op9_url_differencing, op10_poisson_mix)}
 
 ORACLES: dict[str, str] = {
     "op6_line_windows": """
