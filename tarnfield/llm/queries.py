@@ -86,7 +86,35 @@ def op10_poisson_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_language_spans, op3_brown_classes, op4_interleaved_shards, op5_qgram_decontamination, op6_line_windows, op7_toxic_segments, op8_kmeans_tree_neighbours, op9_url_differencing, op10_poisson_mix)}
 
+#: 52 bits of a text's md5 as a number in [0, 1).
+UNIT = "('0x' || substr(md5({}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+
 ORACLES: dict[str, str] = {
+    "op4_interleaved_shards": f"""
+        WITH steps AS (
+            SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+                lambda a, k: xor(a >> 1, CASE WHEN a % 2 = 1 THEN 3988292384 ELSE 0 END))) AS step),
+        texts AS (
+            SELECT doc_id, source, coalesce(doc_id, -1) AS id, coalesce(hex(encode(text)), '') AS h,
+                   coalesce(octet_length(encode(text)), 0) + 16 AS size FROM documents),
+        sums AS (
+            SELECT doc_id, source, id, size, xor(4294967295, list_reduce(list_prepend(4294967295,
+                list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+                lambda a, x: xor(a >> 8, step[xor(a % 256, x) + 1]))) AS crc FROM texts, steps),
+        keyed AS (
+            SELECT *, row_number() OVER (PARTITION BY id ORDER BY crc, size, source) AS nth FROM sums),
+        drawn AS (
+            SELECT *, {UNIT.format("id || '/' || nth || '/shard17'")} AS draw FROM keyed),
+        ranked AS (
+            SELECT *, (row_number() OVER (PARTITION BY source ORDER BY draw, id, nth) - 0.5::DOUBLE)
+                / count(*) OVER (PARTITION BY source) AS fraction FROM drawn),
+        placed AS (
+            SELECT *, row_number() OVER (ORDER BY fraction, source NULLS FIRST, id, nth) - 1 AS place,
+                count(*) OVER () AS n FROM ranked),
+        cut AS (SELECT *, place * {SHARDS} // n AS shard FROM placed)
+        SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'rows' AS law, shard::INT AS shard,
+               (place - (shard * n + {SHARDS - 1}) // {SHARDS})::BIGINT AS slot, NULL::INT AS grown_shard
+        FROM cut""",
     "op6_line_windows": """
         WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
         windows AS (
@@ -113,4 +141,19 @@ ORACLES: dict[str, str] = {
                coalesce(len(s.lines), 0)::INT AS n_lines, coalesce(p.n, 0)::INT AS n_removed,
                coalesce(p.removed, '') AS removed
         FROM split s LEFT JOIN kept k USING (doc_id) LEFT JOIN spans p USING (doc_id)""",
+    "op10_poisson_mix": f"""
+        WITH sizes AS (SELECT source, count(*)::DOUBLE AS n FROM documents GROUP BY source),
+        rates AS (SELECT source, sqrt(n) / sum(sqrt(n)) OVER () * sum(n) OVER () / n AS rate FROM sizes),
+        parts AS (SELECT source, greatest(1, ceil(rate / 16))::INT AS parts, rate / greatest(1, ceil(rate / 16)) AS mean FROM rates),
+        laws AS (
+            SELECT source, parts, list_transform(range(81), lambda k: list_sum(list_transform(range(k + 1),
+                lambda j: exp(j * ln(mean) - mean - lgamma(j + 1))))) AS cumulative FROM parts),
+        counted AS (
+            SELECT doc_id, d.source, text, list_sum(list_transform(range(1, parts + 1), lambda p: len(list_filter(cumulative,
+                lambda c: c <= {UNIT.format("coalesce(doc_id::VARCHAR, '') || '/' || p || '/poisson17'")}))))::INT AS copies
+            FROM documents d JOIN laws l ON d.source IS NOT DISTINCT FROM l.source),
+        copied AS (SELECT *, unnest(range(1, copies + 1))::INT AS copy FROM counted WHERE copies > 0)
+        SELECT doc_id, source, copies, copy, row_number() OVER (ORDER BY
+            {UNIT.format("coalesce(doc_id::VARCHAR, '') || '/' || copy || '/order17'")}, doc_id, copy) - 1 AS position, text
+        FROM copied""",
 }
