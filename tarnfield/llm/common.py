@@ -131,3 +131,17 @@ def bounded(df: DataFrame, key: str, most: int) -> DataFrame:
         return df
     share = int(0.99 * most / rows * (1 << 30))
     return df.filter(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) < share).limit(most)
+
+
+def slices(texts: list[bytes | None], most: int = 1 << 20) -> Iterator[slice]:
+    """Consecutive slices of whole texts with about ``most`` bytes each; one empty slice for an empty list."""
+    at = 0
+    while at < len(texts) or at == 0:
+        end, size = at, 0
+        while end < len(texts) and (end == at or size < most):
+            size += len(texts[end] or b"")
+            end += 1
+        yield slice(at, end)
+        if end == at:
+            break
+        at = end

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnfield.llm.common import appended, over_batches, raw, ship
+from tarnfield.llm.common import appended, over_batches, raw, ship, slices
 
 ship(__name__)
 
@@ -151,12 +151,14 @@ def fit(docs: DataFrame) -> Model:
             texts, langs = raw(batch, "text"), batch.column(1).to_pylist()
             out = {"lang": [], "bucket": [], "n": []}
             for lang in dict.fromkeys(langs):
-                points, kind, starts, ends, _ = words_of([t for t, of in zip(texts, langs) if of == lang], script)
-                counts = np.zeros(BUCKETS, dtype=np.int64)
-                for bucket, _ in grams(points, starts, ends):
-                    counts += np.bincount(bucket, minlength=BUCKETS)
-                seen = np.flatnonzero(counts)
-                used = np.bincount(kind, minlength=N_SCRIPTS)[1:N_SCRIPTS]
+                own = [t for t, of in zip(texts, langs) if of == lang]
+                counts, used = np.zeros(BUCKETS, dtype=np.int64), np.zeros(N_SCRIPTS, dtype=np.int64)
+                for part in slices(own):
+                    points, kind, starts, ends, _ = words_of(own[part], script)
+                    for bucket, _ in grams(points, starts, ends):
+                        counts += np.bincount(bucket, minlength=BUCKETS)
+                    used += np.bincount(kind, minlength=N_SCRIPTS)
+                seen, used = np.flatnonzero(counts), used[1:]
                 out["bucket"] += [seen, -np.arange(1, N_SCRIPTS)]  # scripts are counted below zero
                 out["n"] += [counts[seen], used]
                 out["lang"] += [lang] * (len(seen) + len(used))
@@ -223,14 +225,7 @@ def labelled(docs: DataFrame, model: Model, penalty: float = PENALTY) -> DataFra
 
         def step(batch):
             texts = raw(batch, "text")
-            parts, at = [], 0
-            while at < len(texts) or not parts:  # groups of about 4 million bytes, whole texts
-                end, size = at, 0
-                while end < len(texts) and (end == at or size < 1 << 22):
-                    size += len(texts[end] or b"")
-                    end += 1
-                parts.append(some(texts[at:end]))
-                at = end
+            parts = [some(texts[part]) for part in slices(texts)]
             return [pa.chunked_array([p[k] for p in parts]).combine_chunks() for k in range(3)]
 
         return step
