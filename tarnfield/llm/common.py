@@ -30,6 +30,11 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def quoted(names: list[str]) -> list[Column]:
+    """Columns by name, also where a name holds a dot or a backtick."""
+    return [F.col("`" + n.replace("`", "``") + "`") for n in names]
+
+
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
@@ -77,7 +82,7 @@ def numbered(
     for i, k in enumerate(keys):
         on = on & local[k].eqNullSafe(renamed[f"_{i}_key"])
     joined = local.join(renamed, on & (local["_bucket"] == renamed["_b"]))
-    return joined.withColumn(out, (F.col(out) + F.col("_shift")).cast("long")).select(*df.columns, out)
+    return joined.withColumn(out, (F.col(out) + F.col("_shift")).cast("long")).select(*quoted(df.columns), out)
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -112,8 +117,9 @@ def appended(df: DataFrame, schema: str, start: Callable[[], Callable]) -> DataF
     ``start()`` runs once per task and gives a function from a batch to the new arrays, in schema order.
     """
     added = df.sparkSession.createDataFrame([], schema).schema
-    kept = df.select(*[f"`{c}`" for c in df.columns if c not in added.names])
+    kept = df.select(*quoted([c for c in df.columns if c not in added.names]))
     whole = type(added)([*kept.schema.fields, *added.fields])
+    plain = kept.toDF(*[f"_{i}" if "." in c or "`" in c else c for i, c in enumerate(kept.columns)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = start()
@@ -121,7 +127,7 @@ def appended(df: DataFrame, schema: str, start: Callable[[], Callable]) -> DataF
             new = step(batch)
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=whole.names)
 
-    return kept.mapInArrow(run, whole)
+    return plain.mapInArrow(run, whole)
 
 
 def bounded(df: DataFrame, key: str, most: int) -> DataFrame:

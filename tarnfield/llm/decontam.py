@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnfield.llm.common import appended, raw, ship, slices
+from tarnfield.llm.common import appended, quoted, raw, ship, slices
 
 ship(__name__)
 
@@ -217,4 +217,4 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a passage of the benchmark."""
-    return with_leaks(docs, benchmark).filter(F.size("leaks") == 0).select(*[f"`{c}`" for c in docs.columns])
+    return with_leaks(docs, benchmark).filter(F.size("leaks") == 0).select(*quoted(docs.columns))

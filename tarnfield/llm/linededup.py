@@ -46,9 +46,9 @@ def covered(docs: DataFrame, size: int) -> DataFrame:
 def without_repeated_windows(docs: DataFrame, size: int = 3) -> DataFrame:
     """``docs`` with the lines of later windows removed from ``text``, and what was removed."""
     gone = table(covered(docs.select("doc_id", "text"), size), "covered")
-    keyed = docs.withColumn("_mark", F.xxhash64("text"))
-    same = keyed["doc_id"].eqNullSafe(gone["doc_id"]) & (keyed["_mark"] == gone["_mark"])
-    met = keyed.join(gone, same, "left").select(*[keyed[f"`{c}`"] for c in docs.columns], gone["_starts"])
+    other = gone.toDF("_id", "_hash", "_starts")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    met = docs.drop("_id", "_hash", "_starts").join(other, same, "left").drop("_id", "_hash")
 
     def start():
         kinds = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnfield.llm.common import numbered, table
+from tarnfield.llm.common import numbered, quoted, table
 from tarnfield.llm.sharding import unit
 from tarnfield.runtime import broadcast_if_small
 
@@ -73,11 +73,11 @@ def poisson_mix(
     known = rates(docs, weights, size, power).withColumn("_mean", mean).withColumn("_mass", mass)
     known = broadcast_if_small(table(known.select("_of", "_rate", running.alias("_cumulative")), "rates"))
     kept = [c for c in docs.columns if c not in ADDED]
-    counted = docs.select(*kept).join(known, F.col("source").cast("string").eqNullSafe(F.col("_of")))
+    counted = docs.select(*quoted(kept)).join(known, F.col("source").cast("string").eqNullSafe(F.col("_of")))
     counted = counted.withColumn("copies", drawn(F.col("doc_id"), F.col("_rate"), F.col("_cumulative"), seed))
     copied = counted.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     stem = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     place = unit(F.concat_ws("/", stem, F.col("copy").cast("string"), F.lit(f"order{seed}")))
-    copied = copied.withColumn("_place", place).select(*kept, "copies", "copy", "_place")
+    copied = copied.withColumn("_place", place).select(*quoted(kept), "copies", "copy", "_place")
     rows = copied.count()
     return numbered(copied, F.col("_place"), [F.col("doc_id"), F.col("copy")], "position", rows).drop("_place")

@@ -252,15 +252,16 @@ def templates(pages: DataFrame) -> DataFrame:
 
 def main_text(pages: DataFrame) -> DataFrame:
     """``pages`` with ``text`` (main text, blocks joined by two line feeds) and ``n_chars``."""
-    keyed = pages.drop("text", "n_chars", "mark", "gone").withColumn("mark", F.xxhash64("html"))
-    gone = table(templates(pages.select("page_id", "url", "html")), "gone")
-    same = [keyed[c].eqNullSafe(gone[c]) for c in ("page_id", "url")] + [keyed["mark"] == gone["mark"]]
-    met = keyed.join(gone, same, "left").select(*[keyed[c] for c in keyed.columns if c != "mark"], gone["gone"])
+    added = ("text", "n_chars", "_page", "_url", "_mark", "_gone")
+    gone = table(templates(pages.select("page_id", "url", "html")), "gone").toDF("_page", "_url", "_mark", "_gone")
+    same = F.col("page_id").eqNullSafe(F.col("_page")) & F.col("url").eqNullSafe(F.col("_url"))
+    same = same & (F.xxhash64("html") == F.col("_mark"))
+    met = pages.drop(*added).join(gone, same, "left").drop("_page", "_url", "_mark")
 
     def start():
         def step(batch):
             texts = []
-            skip = batch.column(batch.schema.get_field_index("gone")).to_pylist()
+            skip = batch.column(batch.schema.get_field_index("_gone")).to_pylist()
             for html, without in zip(raw(batch, "html"), skip):
                 page = blocks((html or b"").decode("utf-8", "replace"))
                 if any(part == 2 for _, part in page):
@@ -273,4 +274,4 @@ def main_text(pages: DataFrame) -> DataFrame:
 
         return step
 
-    return appended(met, "text string, n_chars bigint", start).drop("gone")
+    return appended(met, "text string, n_chars bigint", start).drop("_gone")

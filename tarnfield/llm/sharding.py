@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnfield.llm.common import numbered, table
+from tarnfield.llm.common import numbered, quoted, table
 from tarnfield.runtime import broadcast_if_small
 
 KEYS = ("_id", "_crc", "_size", "_source")
@@ -73,4 +73,4 @@ def interleaved(docs: DataFrame, shards: int = 40, seed: int = 17) -> DataFrame:
     by_id = places.groupBy("_id").agg(F.sort_array(F.collect_list(F.struct("_nth", "shard", "slot"))).alias("_places"))
     met = wide.join(by_id, "_id").withColumn("_place", F.element_at("_places", F.col("_nth")))
     kept = [c for c in docs.columns if c not in ("shard", "slot")]
-    return met.select(*kept, F.col("_place.shard").alias("shard"), F.col("_place.slot").alias("slot"))
+    return met.select(*quoted(kept), F.col("_place.shard").alias("shard"), F.col("_place.slot").alias("slot"))
