@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnfield.llm.common import connected, over_batches, raw, ship, table
+from tarnfield.llm.common import connected, over_batches, quoted, raw, ship, table
 
 ship(__name__)
 
@@ -236,4 +236,4 @@ def without_near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3)
     single, repeated = kept.filter("rows = 1").select("doc_id"), kept.filter("rows > 1").select("doc_id")
     once = docs.join(single, "doc_id", "left_semi")
     more = docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(more).unionByName(docs.filter("doc_id IS NULL")).select(*docs.columns)
+    return once.unionByName(more).unionByName(docs.filter("doc_id IS NULL")).select(*quoted(docs.columns))
