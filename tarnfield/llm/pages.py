@@ -58,9 +58,9 @@ TAG = re.compile(
 VALUE = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 COPY = 0.5
-#: An opening tag of these closes an open element of its kind, but not one outside the innermost list or table.
-CLOSERS = frozenset("p li td th tr dt dd option".split())
-LISTS = frozenset("ul ol dl table select".split())
+#: An opening tag of these closes an open element of its kind, but not one outside the innermost of the bounds.
+CLOSERS = frozenset("li td th tr dt dd option".split())
+BOUNDS = MAIN | frozenset("ul ol dl table select section aside nav form header footer".split())
 
 
 def noisy(name: str, attributes: str) -> bool:
@@ -123,8 +123,14 @@ def blocks(html: str) -> list[tuple[str, int]]:
             end = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
             at = end.end() if end else len(html)
             continue
-        if name in CLOSERS and nearest is not None and not any(n in LISTS for n, _ in opened[nearest:]):
+        if name in CLOSERS and nearest is not None and not any(n in BOUNDS for n, _ in opened[nearest:]):
             close(nearest)
+        elif name in BREAKS:  # a new block ends an open paragraph
+            k = len(opened) - 1
+            while k >= 0 and opened[k][0] not in BREAKS:
+                k -= 1
+            if k >= 0 and opened[k][0] == "p":
+                close(k)
         skip = noisy(name, attributes)
         if skip or name in MAIN:
             flush()
