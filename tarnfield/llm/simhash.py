@@ -27,7 +27,7 @@ from tarnfield.llm.common import connected, over_batches, quoted, raw, ship, tab
 ship(__name__)
 
 SAMPLE = 65_536  # fingerprints that shape the top tree
-SHARDS = 32  # at least; each further halving of a shard sends its border members once more
+SHARDS = 32  # at least, so that small tables visit as many shards per fingerprint as large ones
 SHARD = 262_144  # home fingerprints in a shard, at most, as far as the sample tells
 LEAF = 256
 BLOCK = 1 << 22  # cells of one distance block
