@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tarnfield.runtime import scratch_path
 
-ROWS_PER_BUCKET = 20_000
+ROWS_PER_BUCKET = 2_000
 
 
 def ship(module: str) -> None:
@@ -64,7 +64,7 @@ def numbered(
 
     The unit interval is cut into buckets that grow in number with the rows. Each bucket is ranked by
     itself and shifted by the rows of the buckets before it, so no window holds a whole key or table;
-    ``within`` restarts the numbers per key. The table of bucket sizes has rows / 20000 entries per key.
+    ``within`` restarts the numbers per key. The table of bucket sizes has rows / 2000 entries per key.
     """
     keys = within or []
     buckets = max(1, rows // ROWS_PER_BUCKET)
