@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,12 +66,10 @@ def coalesce_providers(offers: DataFrame) -> DataFrame:
     ).select("row", "col", F.col("b.s").alias("source_id"), F.col("b.z").alias("z"))
 
 
-def fill_holes(primary: DataFrame, secondary: DataFrame) -> DataFrame:
-    """Overlay: the first source wins, the second only fills its holes."""
-    both = primary.select("row", "col", "z", F.lit(1).alias("source_id")).unionByName(
-        secondary.select("row", "col", "z", F.lit(2).alias("source_id"))
-    )
-    return coalesce_providers(both)
+def fill_holes(*sources: DataFrame) -> DataFrame:
+    """Overlay: the first source wins, each further one only fills the holes left so far."""
+    offers = [s.select("row", "col", "z", F.lit(i).alias("source_id")) for i, s in enumerate(sources, start=1)]
+    return coalesce_providers(reduce(DataFrame.unionByName, offers))
 
 
 def provider_counts(merged: DataFrame, names: list[str] | None = None) -> DataFrame:

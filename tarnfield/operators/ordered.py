@@ -17,7 +17,7 @@ def slice_by_value(df: DataFrame, order: str, rows: int | None = None) -> tuple[
     The bounds are quantiles held as literals, so a recomputed task slices the same way.
     """
     rows = df.count() if rows is None else rows
-    wanted = max(1, min(4096, rows // ROWS_PER_SLICE))
+    wanted = max(1, rows // ROWS_PER_SLICE)
     if wanted == 1:
         return df.withColumn("_slice", F.lit(0.0)), 1
     cuts = df.approxQuantile(order, [i / wanted for i in range(1, wanted)], 0.2 / wanted)
@@ -30,7 +30,7 @@ def running_total(df: DataFrame, order: str, amount: str, out: str, rows: int |
     """Inclusive running sum of ``amount`` over distinct ascending ``order`` values.
 
     Slices are summed first; each slice then adds the total of the slices before it. The table
-    of slice totals has at most 4096 rows, which is what bounds the broadcast.
+    of slice totals has one row of two numbers per 500 000 rows (1 MB at 3e10 rows), which bounds the broadcast.
     """
     keyed = df.withColumn("_order", F.col(order).cast("double"))
     sliced, n = slice_by_value(keyed, "_order", rows)
@@ -122,10 +122,14 @@ def global_row_number(df: DataFrame, order: list[Column], slice_on: str, out: st
 
 
 def top_per_key(
-    df: DataFrame, keys: list[str], order: list[Column], k: int, spread: Column | None = None, splits: int = 32
+    df: DataFrame, keys: list[str], order: list[Column], k: int, spread: Column | None = None, splits: int | None = None
 ) -> DataFrame:
-    """First ``k`` rows per key; a hot key is cut by ``spread`` hash first, k survivors per part."""
+    """First ``k`` rows per key; a hot key is cut by ``spread`` hash first, k survivors per part.
+
+    The number of parts grows with the rows, so that a key that holds them all still gives parts of bounded size.
+    """
     if spread is not None:
+        splits = splits or max(32, df.count() // ROWS_PER_SLICE)
         salted = df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(splits)))
         part = Window.partitionBy(*keys, "_salt").orderBy(*order)
         df = salted.withColumn("_rn", F.row_number().over(part)).filter(F.col("_rn") <= k).drop("_rn", "_salt")

@@ -128,10 +128,10 @@ def resolve_scenarios(scenarios: DataFrame, events: DataFrame) -> DataFrame:
 def distributed_forcing(series: DataFrame, cells: DataFrame) -> DataFrame:
     """rate[t] x weight[cell], joined on the area both belong to.
 
-    The result holds every (time, cell) of an area by nature; a hot area is split on both
-    sides by the adaptive skew join.
+    The result holds every (time, cell) of an area by nature; cells of an area without series stay, with
+    NULL time and rate. A hot area's cells are split by the adaptive skew join.
     """
     samples = series.select("area_id", "elapsed_s", "intensity")
-    return cells.join(samples, "area_id").select(
+    return cells.join(samples, "area_id", "left").select(
         "area_id", "row", "col", "elapsed_s", (F.col("intensity") * F.col("rain_weight")).alias("rate")
     )

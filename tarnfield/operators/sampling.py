@@ -17,9 +17,10 @@ HEAD_ANGLE = math.radians(30)
 
 
 def flowing(frames: DataFrame, min_speed: float = 0.0) -> DataFrame:
-    """Wet cells with a usable velocity, and their speed."""
+    """Wet active cells (``mask`` above 0) with a usable velocity, and their speed."""
     clean = frames.withColumns({"h": finite("h"), "u": finite("u"), "v": finite("v")}).withColumn("speed", speed())
-    return clean.filter(wet("h", inclusive=True) & (F.col("speed") >= min_speed) & F.col("speed").isNotNull())
+    usable = wet("h", inclusive=True) & (F.col("speed") >= min_speed) & F.col("speed").isNotNull()
+    return clean.filter((F.col("mask") > 0) & usable)
 
 
 def _best(df: DataFrame, keys: list[Column], rank: Column, rest: list[str]) -> DataFrame:
@@ -43,13 +44,15 @@ def fastest_per_block(frames: DataFrame, grid: GridSpec, max_arrows: int, min_sp
     return best.withColumn("span_m", F.least(rows, cols).cast("double"))
 
 
-def face_sampling(face_frames: DataFrame, grid: GridSpec, max_arrows: int, min_speed: float = 0.0) -> DataFrame:
-    """All flowing faces, or the fastest one per coverage bin once there are too many.
+def face_sampling(
+    face_frames: DataFrame, grid: GridSpec, max_arrows: int, min_speed: float = 0.0, binned: bool = True
+) -> DataFrame:
+    """The fastest flowing face per coverage bin, or with ``binned=False`` all flowing faces, at any row count.
 
     Bins use the face centre in cells (index times size plus half).
     """
     candidates = flowing(face_frames, min_speed)
-    if candidates.limit(max_arrows + 1).count() <= max_arrows:
+    if not binned:
         return candidates.select("face_id", "size", "frow", "fcol", "h", "u", "v", "speed")
     bins = max(1, int(math.sqrt(max_arrows)))
 

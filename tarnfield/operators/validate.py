@@ -68,8 +68,11 @@ def area_violations(areas: DataFrame) -> DataFrame:
     return violations(areas, "area_id", rules)
 
 
-def cube_violations(frames: DataFrame, cells: DataFrame) -> DataFrame:
-    """Per frame: cells missing, repeated or foreign, and unusable active values."""
+def cube_violations(frames: DataFrame, cells: DataFrame, times: DataFrame | None = None) -> DataFrame:
+    """Per frame: cells missing, repeated or foreign, and unusable active values.
+
+    With ``times`` (``t``), the expected time axis, a frame without any row shows as all cells missing.
+    """
     active = F.col("mask") > 0
     counted = frames.groupBy("t", "row", "col").agg(
         F.count(F.lit(1)).alias("n"),
@@ -79,13 +82,32 @@ def cube_violations(frames: DataFrame, cells: DataFrame) -> DataFrame:
     known = cells.select("row", "col", "mask").withColumn("known", F.lit(True))
     joined = counted.join(known, ["row", "col"], "left")
     total = cells.count()
-    return joined.groupBy("t").agg(
+    found = joined.groupBy("t").agg(
         (F.lit(total) - F.count_if("known")).alias("missing"),
         F.sum(F.col("n") - 1).alias("repeated"),
         F.count_if(F.col("known").isNull()).alias("foreign_cells"),
         F.coalesce(F.sum(F.when(active, F.col("bad_depth"))), F.lit(0)).alias("bad_depth"),
         F.sum("half_velocity").alias("half_velocity"),
     )
+    if times is None:
+        return found
+    axis = times.select("t").distinct().join(found, "t", "full_outer")
+    rest = ["repeated", "foreign_cells", "bad_depth", "half_velocity"]
+    return axis.select("t", F.coalesce("missing", F.lit(total)).alias("missing"), *[F.coalesce(c, F.lit(0)).alias(c) for c in rest])
+
+
+def policy_problem() -> Column:
+    """First broken rule of a block policy (``levels``, ``mid_ceiling``, ``core_m``, ``mid_m``, ``limits`` from level 2 on)."""
+    levels, limits = F.col("levels"), F.col("limits")
+    doubled = F.transform(levels, lambda size, i: F.when(i == 0, 1).otherwise(2 * F.get(levels, i - 1)) == size)
+    unlimited = lambda v: v.isNull() | F.isnan(v) | (v < 0) | (v == float("inf"))
+    radii = (F.col("core_m") >= 0) & (F.col("core_m") <= F.col("mid_m")) & (F.col("mid_m") < float("inf"))
+    return (
+        F.when((F.size(levels) < 1) | ~F.forall(doubled, lambda ok: ok) | (F.array_max(levels) > 32), "levels")
+        .when(~F.array_contains(levels, F.col("mid_ceiling")), "mid_ceiling")
+        .when(~F.coalesce(radii, F.lit(False)), "radii")
+        .when((F.size(limits) < F.size(levels) - 1) | F.exists(limits, unlimited), "limits")
+    )
 
 
 def describe_source(spark: SparkSession, path: str) -> DataFrame:

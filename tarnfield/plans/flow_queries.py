@@ -13,11 +13,13 @@ from tarnfield.plans.cube_queries import EXTENT, r6
 from tarnfield.plans.registry import query
 from tarnfield.runtime import scratch_path
 
-WET7 = """, wet AS (SELECT "row", col, h, u, v, sqrt(u*u+v*v) AS speed FROM frames WHERE t = 7 AND h >= 0.01 AND sqrt(u*u+v*v) >= 0.1) """
+WET7 = """, wet AS (SELECT "row", col, h, u, v, sqrt(u*u+v*v) AS speed FROM frames JOIN frame_cells USING ("row", col) WHERE mask > 0 AND t = 7 AND h >= 0.01 AND sqrt(u*u+v*v) >= 0.1) """
 
 
 def frame(spark, folder, t=7):
-    return A.frames(spark, folder).filter(F.col("t") == t)
+    """One frame with the mask of its cells."""
+    mask = A.frame_cells(spark, folder).select("row", "col", "mask")
+    return A.frames(spark, folder).filter(F.col("t") == t).join(mask, ["row", "col"])
 
 
 def grid_of(spark, folder):
@@ -104,7 +106,7 @@ def w5(spark, folder):
     return best.select("brow", "bcol", "row", "col", r6(F.col("speed"), "speed"))
 
 
-FACE_BINS = """, f AS (SELECT '1:' || "row" || ':' || col AS face_id, "row", col, sqrt(u*u+v*v) AS speed FROM frames WHERE t = 7 AND h >= 0.01),
+FACE_BINS = """, f AS (SELECT '1:' || "row" || ':' || col AS face_id, "row", col, sqrt(u*u+v*v) AS speed FROM frames JOIN frame_cells USING ("row", col) WHERE mask > 0 AND t = 7 AND h >= 0.01),
   bins AS (SELECT *, least(2, CAST(floor(("row" + 0.5) * 3 / hh) AS INT)) AS rb, least(2, CAST(floor((col + 0.5) * 3 / ww) AS INT)) AS cb
            FROM f, """ + EXTENT + """)
   SELECT arg_min(face_id, row(-speed, face_id)) AS face_id, round(max(speed), 6) AS speed FROM bins GROUP BY rb, cb"""
@@ -143,8 +145,8 @@ def g18(spark, folder):
 
 @query(
     "j13_frame_interpolation",
-    "frames",
-    """, a AS (SELECT *, sqrt(u*u+v*v) AS s FROM frames WHERE t = 7), b AS (SELECT *, sqrt(u*u+v*v) AS s FROM frames WHERE t = 8 AND u*u+v*v > 0)
+    "frames frame_cells",
+    """, a AS (SELECT *, sqrt(u*u+v*v) AS s FROM frames JOIN frame_cells USING ("row", col) WHERE mask > 0 AND t = 7), b AS (SELECT *, sqrt(u*u+v*v) AS s FROM frames WHERE t = 8 AND u*u+v*v > 0)
        SELECT a."row", a.col, round(a.u + (coalesce(b.u, a.u) - a.u) * 0.25, 6) + 0.0 AS u, round(a.v + (coalesce(b.v, a.v) - a.v) * 0.25, 6) + 0.0 AS v,
          round(a.s + (coalesce(b.s, a.s) - a.s) * 0.25, 6) AS speed FROM a LEFT JOIN b ON a."row" = b."row" AND a.col = b.col
        WHERE a.h >= 0.01 AND a.s > 0""",
@@ -270,14 +272,14 @@ def w9(spark, folder):
 
 # --- elevation --------------------------------------------------------------------------------
 
-MERGED = """, e2 AS (SELECT * FROM elevation WHERE z < 200000),
+MERGED = """, e2 AS (SELECT "row", col, CASE WHEN z < 200000 THEN source_id END AS source_id, CASE WHEN z < 200000 THEN z END AS z FROM elevation),
   best AS (SELECT "row", col, min(source_id) AS source_id, arg_min(z, source_id) AS z FROM e2 GROUP BY 1, 2) """
 
 
 def merged(spark, folder):
-    """Offers of 200 000 and more count as missing, so that lower priorities matter."""
+    """Offers of 200 000 and more count as missing, so that lower priorities matter and some cells stay uncovered."""
     offers = A.elevation(spark, folder).withColumn("z", F.when(F.col("z") < 200000, F.col("z")))
-    return elevation.coalesce_providers(offers).filter("z IS NOT NULL")
+    return elevation.coalesce_providers(offers)
 
 
 @query("j5_priority_coalesce", "elevation", MERGED + 'SELECT "row", col, source_id, z FROM best')
@@ -288,13 +290,14 @@ def j5(spark, folder):
 @query(
     "j6_first_source_wins",
     "elevation",
-    """, a AS (SELECT "row", col, z FROM elevation WHERE source_id = 2), b AS (SELECT "row", col, z FROM elevation WHERE source_id = 4)
-       SELECT coalesce(a."row", b."row") AS "row", coalesce(a.col, b.col) AS col, CASE WHEN a.z IS NULL THEN 2 ELSE 1 END AS source_id, coalesce(a.z, b.z) AS z
-       FROM a FULL JOIN b ON a."row" = b."row" AND a.col = b.col""",
+    """, e2 AS (SELECT "row", col, source_id, CASE WHEN z < 200000 THEN z END AS z FROM elevation)
+       SELECT "row", col, min(CASE WHEN z IS NOT NULL THEN (source_id * 2) % 5 + 1 END) AS source_id,
+         arg_min(z, CASE WHEN z IS NOT NULL THEN (source_id * 2) % 5 END) AS z FROM e2 GROUP BY 1, 2""",
 )
 def j6(spark, folder):
-    offers = A.elevation(spark, folder)
-    return elevation.fill_holes(offers.filter("source_id = 2"), offers.filter("source_id = 4"))
+    offers = A.elevation(spark, folder).withColumn("z", F.when(F.col("z") < 200000, F.col("z")))
+    order = [5, 3, 1, 4, 2]  # an order of its own, all sources
+    return elevation.fill_holes(*[offers.filter(F.col("source_id") == k) for k in order])
 
 
 @query(
@@ -303,7 +306,7 @@ def j6(spark, folder):
     MERGED
     + """, names AS (SELECT * FROM (VALUES (1, 'DEM1A'), (2, 'DEM5A'), (3, 'DEM5B'), (4, 'DEM5C'), (5, 'DEM10B')) n(source_id, provider))
        SELECT n.source_id, provider, count(b.z) AS cells FROM names n LEFT JOIN best b USING (source_id)
-       WHERE n.source_id <= (SELECT max(source_id) FROM best) GROUP BY 1, 2""",
+       WHERE n.source_id <= (SELECT max(source_id) FROM best) OR EXISTS (SELECT 1 FROM best WHERE z IS NULL) GROUP BY 1, 2""",
 )
 def a24(spark, folder):
     return elevation.provider_counts(merged(spark, folder))

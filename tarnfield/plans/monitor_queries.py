@@ -292,41 +292,45 @@ def v3(spark, folder):
     "raw_frames frame_cells",
     """, f AS (SELECT *, CASE WHEN "row" = 2 AND col < 3 THEN NULL ELSE u END AS u2 FROM raw_frames UNION ALL SELECT *, NULL FROM raw_frames WHERE col = 4 AND t % 9 = 0),
        k AS (SELECT t, "row", col, count(*) AS n, count_if(isnan(h)) AS bad, count_if(u2 IS NULL) AS half FROM f GROUP BY 1, 2, 3)
-       SELECT t, (SELECT count(*) FROM frame_cells) - count(c.mask) AS missing, CAST(sum(n - 1) AS BIGINT) AS repeated, count(*) - count(c.mask) AS foreign_cells,
-         CAST(coalesce(sum(CASE WHEN c.mask > 0 THEN bad END), 0) AS BIGINT) AS bad_depth, CAST(sum(half) AS BIGINT) AS half_velocity
-       FROM k LEFT JOIN frame_cells c ON c."row" = k."row" AND c.col = k.col GROUP BY 1""",
+       SELECT t, (SELECT count(*) FROM frame_cells) - count(c.mask) AS missing, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS repeated,
+         count(k.n) - count(c.mask) AS foreign_cells,
+         CAST(coalesce(sum(CASE WHEN c.mask > 0 THEN bad END), 0) AS BIGINT) AS bad_depth, CAST(coalesce(sum(half), 0) AS BIGINT) AS half_velocity
+       FROM (SELECT unnest(range(40))::INT AS t) FULL JOIN k USING (t) LEFT JOIN frame_cells c ON c."row" = k."row" AND c.col = k.col GROUP BY 1""",
 )
 def v4(spark, folder):
     frames = A.raw_frames(spark, folder)
     nothing = F.lit(None).cast("double")
     broken = frames.withColumn("u", F.when((F.col("row") == 2) & (F.col("col") < 3), nothing).otherwise(F.col("u")))
     again = frames.filter("col = 4 AND t % 9 = 0").withColumn("u", nothing)
-    return validate.cube_violations(broken.unionByName(again), A.frame_cells(spark, folder))
+    axis = spark.range(40).select(F.col("id").cast("int").alias("t"))  # longer than the run, so that frames lack all rows
+    return validate.cube_violations(broken.unionByName(again), A.frame_cells(spark, folder), axis)
 
 
 @query(
     "v6_policy_rules",
-    "scene",
-    """SELECT count(*) AS cells, true AS default_ok, false AS gap_ok, false AS radius_ok FROM scene""",
+    "",
+    """WITH p AS (SELECT p_partkey AS policy_id, list_transform(range(1 + p_size % 7), lambda i: CASE WHEN p_partkey % 5 = 0 AND i = 2 THEN 5 ELSE 1 << i END) AS levels,
+         p_size * 10.0::DOUBLE AS core_m, CASE WHEN p_partkey % 9 = 0 THEN 'Infinity'::DOUBLE ELSE p_partkey % 60 * 10.0::DOUBLE END AS mid_m, 1 << (p_partkey % 4) AS mid_ceiling,
+         list_transform(range(p_size % 7), lambda i: CASE WHEN p_partkey % 7 = 0 THEN -0.1::DOUBLE ELSE 0.1::DOUBLE * (i + 1) END) AS limits FROM part)
+       SELECT policy_id, CASE WHEN levels[1] <> 1 OR len(list_filter(range(1, len(levels)), lambda i: levels[i + 1] <> 2 * levels[i])) > 0 OR levels[len(levels)] > 32 THEN 'levels'
+         WHEN NOT list_contains(levels, mid_ceiling) THEN 'mid_ceiling' WHEN NOT (core_m >= 0 AND core_m <= mid_m AND mid_m < 'Infinity'::DOUBLE) THEN 'radii'
+         WHEN len(limits) < len(levels) - 1 OR len(list_filter(limits, lambda v: v < 0)) > 0 THEN 'limits' END AS problem FROM p""",
 )
 def v6(spark, folder):
-    """The policy check guards the block map of the scene."""
-    from tarnfield import config
-
-    def ok(*args):
-        try:
-            blocks.check_policy(*args)
-        except blocks.InvalidPolicy:
-            return False
-        return True
-
-    limits = config.BLOCK_LIMITS
-    return A.scene(spark, folder).agg(
-        F.count(F.lit(1)).alias("cells"),
-        F.lit(ok(config.LEVELS_M, limits, 100.0, 250.0, 2)).alias("default_ok"),
-        F.lit(ok([1, 2, 8], limits, 100.0, 250.0, 2)).alias("gap_ok"),
-        F.lit(ok(config.LEVELS_M, limits, 300.0, 250.0, 2)).alias("radius_ok"),
+    """A table of policies, one per part, each judged by its first broken rule."""
+    key, size = F.col("p_partkey"), F.col("p_size") % 7
+    level = lambda i: F.when((key % 5 == 0) & (i == 2), 5).otherwise(F.pow(F.lit(2), i).cast("int"))
+    limit = lambda i: F.when(key % 7 == 0, -0.1).otherwise(i * 0.1)
+    counted = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
+    policies = A.table(spark, folder, "part").select(
+        key.alias("policy_id"),
+        F.transform(F.sequence(F.lit(0), size), level).alias("levels"),
+        (F.col("p_size") * 10.0).alias("core_m"),
+        F.when(key % 9 == 0, float("inf")).otherwise(key % 60 * 10.0).alias("mid_m"),
+        F.pow(F.lit(2), key % 4).cast("int").alias("mid_ceiling"),
+        F.transform(counted, limit).alias("limits"),
     )
+    return policies.select("policy_id", validate.policy_problem().alias("problem"))
 
 
 @query(

@@ -70,12 +70,15 @@ def j2(spark, folder):
 @query(
     "j2_unknown_stations",
     "rain_events stations",
-    """, known AS (SELECT station_id FROM stations WHERE s_suppkey % 10 <> 3)
-       SELECT event_id, station_id FROM rain_events ANTI JOIN known USING (station_id)""",
+    """, told AS (SELECT o_orderkey AS event_id, CAST(o_custkey AS VARCHAR) AS station_id FROM orders)
+       SELECT event_id, station_id FROM told ANTI JOIN stations USING (station_id)""",
 )
 def j2_unknown(spark, folder):
-    known = A.stations(spark, folder).filter("s_suppkey % 10 <> 3").select("station_id")
-    return A.rain_events(spark, folder).join(known, "station_id", "left_anti").select("event_id", "station_id")
+    """Events told of a customer's own number, which need not be a station."""
+    told = A.table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("event_id"), F.col("o_custkey").cast("string").alias("station_id")
+    )
+    return told.join(A.stations(spark, folder).select("station_id"), "station_id", "left_anti").select("event_id", "station_id")
 
 
 @query(
@@ -106,16 +109,17 @@ def j3(spark, folder):
 @query(
     "a27_missing_durations",
     "rain_events",
-    """, seen AS (SELECT station_id, list(DISTINCT duration_minutes) AS have FROM rain_events WHERE event_id % 100 < 40 OR duration_minutes = 10 GROUP BY 1)
+    """, seen AS (SELECT CAST(o_custkey AS VARCHAR) AS station_id, list(DISTINCT duration_minutes) AS have
+         FROM rain_events JOIN orders ON o_orderkey = event_id GROUP BY 1)
        SELECT station_id, list_sort(list_filter([10, 60, 1440], lambda d: NOT list_contains(have, d))) AS missing FROM seen
-       WHERE len(list_filter([10, 60, 1440], lambda d: NOT list_contains(have, d))) > 0""".replace(
-        "event_id % 100 < 40 OR duration_minutes = 10", "total_mm > 460 OR duration_minutes = 10"
-    ),
+       WHERE len(list_filter([10, 60, 1440], lambda d: NOT list_contains(have, d))) > 0""",
 )
 def a27(spark, folder):
-    # only strong events count for the longer durations, so that some stations are incomplete
-    strong = A.rain_events(spark, folder).filter((F.col("total_mm") > 460) | (F.col("duration_minutes") == 10))
-    return rain.missing_durations(strong)
+    """Every event counts for the customer it was told by; a few customers lack a duration."""
+    teller = A.table(spark, folder, "orders").select(
+        F.col("o_orderkey").alias("event_id"), F.col("o_custkey").cast("string").alias("station_id")
+    )
+    return rain.missing_durations(A.rain_events(spark, folder).drop("station_id").join(teller, "event_id"))
 
 
 RANKED = """, ranked AS (SELECT *, row_number() OVER (PARTITION BY station_id, duration_minutes ORDER BY total_mm DESC, event_id) AS rn FROM rain_events) """
@@ -231,7 +235,7 @@ def p22(spark, folder):
     "cells",
     """, w AS (SELECT "row", col, "row" // 20 AS area_id, CASE WHEN building THEN 0.0 WHEN road THEN 1.5 ELSE 1.0 END AS rain_weight FROM cells),
        s AS (SELECT s_suppkey % 7 AS area_id, s_suppkey // 7 * 60.0::DOUBLE AS elapsed_s, s_suppkey % 90 * 1.0::DOUBLE AS intensity FROM supplier)
-       SELECT CAST(w.area_id AS BIGINT) AS area_id, "row", col, elapsed_s, round(intensity * rain_weight, 6) AS rate FROM w JOIN s ON s.area_id = w.area_id""",
+       SELECT CAST(w.area_id AS BIGINT) AS area_id, "row", col, elapsed_s, round(intensity * rain_weight, 6) AS rate FROM w LEFT JOIN s ON s.area_id = w.area_id""",
 )
 def p23(spark, folder):
     weight = F.when(F.col("building"), 0.0).when(F.col("road"), 1.5).otherwise(1.0)
@@ -358,11 +362,11 @@ def t5(spark, folder):
 @query(
     "t6_set_difference",
     "",
-    "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 250000",
+    "SELECT c_custkey AS k FROM customer EXCEPT SELECT s_suppkey FROM supplier",
 )
 def t6(spark, folder):
     required = A.table(spark, folder, "customer").select(F.col("c_custkey").alias("k"))
-    present = A.table(spark, folder, "orders").filter("o_totalprice > 250000").select(F.col("o_custkey").alias("k"))
+    present = A.table(spark, folder, "supplier").select(F.col("s_suppkey").alias("k"))
     return required.join(present, "k", "left_anti")
 
 

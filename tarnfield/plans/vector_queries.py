@@ -160,7 +160,7 @@ def g9_buffers(spark, folder):
 @query(
     "j17_provider_fallback",
     "",
-    """WITH s AS (SELECT s_suppkey AS feature_id, s_nationkey AS area_id FROM supplier), p AS (SELECT * FROM s WHERE feature_id % 4 = 1), b AS (SELECT * FROM s WHERE feature_id % 3 = 0),
+    """WITH s AS (SELECT s_suppkey AS feature_id, s_nationkey AS area_id FROM supplier), p AS (SELECT * FROM s WHERE feature_id % 11 = 1), b AS (SELECT * FROM s WHERE feature_id % 11 <> 1),
        f AS (SELECT *, 'primary' AS provider FROM p UNION ALL SELECT *, 'secondary' FROM b WHERE area_id NOT IN (SELECT area_id FROM p))
        SELECT area_id, feature_id, provider, NULL::VARCHAR AS problem FROM f
        UNION ALL SELECT n_nationkey, NULL, NULL, 'no_provider' FROM nation WHERE n_nationkey NOT IN (SELECT area_id FROM f)""",
@@ -169,8 +169,8 @@ def j17(spark, folder):
     parts = A.table(spark, folder, "supplier").select(
         F.col("s_suppkey").alias("feature_id"), F.col("s_nationkey").alias("area_id")
     )
-    primary = parts.filter("feature_id % 4 = 1").withColumn("provider", F.lit("primary"))
-    secondary = parts.filter("feature_id % 3 = 0").withColumn("provider", F.lit("secondary"))
+    primary = parts.filter("feature_id % 11 = 1").withColumn("provider", F.lit("primary"))
+    secondary = parts.filter("feature_id % 11 <> 1").withColumn("provider", F.lit("secondary"))
     areas = A.table(spark, folder, "nation").select(F.col("n_nationkey").alias("area_id"))
     return vectors.combine_providers(primary, secondary, areas).select("area_id", "feature_id", "provider", "problem")
 
@@ -180,7 +180,7 @@ def j17(spark, folder):
     "",
     """WITH s AS (SELECT s_suppkey AS feature_id, s_nationkey AS area_id FROM supplier)
        SELECT area_id, provider, count(*) AS features FROM (SELECT *, 'primary' AS provider FROM s WHERE feature_id % 4 = 1
-         UNION ALL SELECT *, 'secondary' FROM s WHERE feature_id % 3 = 0) GROUP BY 1, 2""",
+         UNION ALL SELECT *, 'secondary' FROM s WHERE feature_id % 4 <> 1) GROUP BY 1, 2""",
 )
 def t4(spark, folder):
     parts = A.table(spark, folder, "supplier").select(
@@ -188,7 +188,7 @@ def t4(spark, folder):
     )
     both = vectors.combine_providers(
         parts.filter("feature_id % 4 = 1").withColumn("provider", F.lit("primary")),
-        parts.filter("feature_id % 3 = 0").withColumn("provider", F.lit("secondary")),
+        parts.filter("feature_id % 4 <> 1").withColumn("provider", F.lit("secondary")),
         parts,
         merge=True,
     )

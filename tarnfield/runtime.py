@@ -61,8 +61,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Hint a broadcast only after counting; a larger side keeps the shuffled (AQE) join."""
-    if df.limit(max_rows + 1).count() <= max_rows:
+def broadcast_if_small(df: DataFrame, max_bytes: int = 8 << 20, max_rows: int = 100_000) -> DataFrame:
+    """Hint a broadcast only after measuring rows and bytes; a larger side keeps the shuffled (AQE) join."""
+    sizes = [F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) for c in df.columns]
+    found = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(sum(sizes, F.lit(8))).alias("bytes")).first()
+    if found["n"] <= max_rows and (found["bytes"] or 0) <= max_bytes:
         return F.broadcast(df)
     return df

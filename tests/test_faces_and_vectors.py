@@ -68,7 +68,7 @@ def test_arrow_density_does_not_follow_the_cell_size(spark):
         n = int(8 / step)
         grid = GridSpec(n, n, step, step)
         rows = [(r, c, 0.2, 0.5, 0.0) for r in range(n) for c in range(n)]
-        frames = spark.createDataFrame(rows, "row int, col int, h double, u double, v double")
+        frames = spark.createDataFrame(rows, "row int, col int, h double, u double, v double").withColumn("mask", F.lit(1))
         arrows = sampling.arrow_lines(sampling.nearest_to_bin_centre(frames, grid, 4.0, (0, n), (0, n)), grid)
         assert arrows.count() == 4 and {round(r["length_m"], 9) for r in arrows.collect()} == {3.2}
 
@@ -76,7 +76,7 @@ def test_arrow_density_does_not_follow_the_cell_size(spark):
 def test_windowed_arrows_equal_full_arrows(spark):
     rng = np.random.default_rng(4)
     rows = [(r, c, float(rng.random()), float(rng.normal()), float(rng.normal())) for r in range(24) for c in range(24)]
-    frames = spark.createDataFrame(rows, "row int, col int, h double, u double, v double")
+    frames = spark.createDataFrame(rows, "row int, col int, h double, u double, v double").withColumn("mask", F.lit(1))
     grid = GridSpec(24, 24)
     full = sampling.nearest_to_bin_centre(frames, grid, 4.0, (0, 24), (0, 24), 0.5)
     part = sampling.nearest_to_bin_centre(frames.filter("row >= 8 AND row < 16"), grid, 4.0, (8, 16), (0, 24), 0.5)
@@ -85,7 +85,9 @@ def test_windowed_arrows_equal_full_arrows(spark):
 
 
 def test_geojson_feature(spark):
-    frames = spark.createDataFrame([(1, 1, 0.5, 1.0, 0.0)], "row int, col int, h double, u double, v double")
+    frames = spark.createDataFrame(
+        [(1, 1, 0.5, 1.0, 0.0, 1), (2, 2, 0.5, 9.0, 0.0, 0)], "row int, col int, h double, u double, v double, mask int"
+    )  # the faster cell is not active
     grid = GridSpec(4, 4)
     lines = sampling.arrow_lines(sampling.fastest_per_block(frames, grid, 16), grid)
     feature = json.loads(sampling.geojson_features(lines, grid, 3).first()["value"])
