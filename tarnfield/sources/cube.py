@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnfield import config
@@ -13,6 +13,20 @@ FRAME_SCHEMA = "run_id STRING, t INT, row INT, col INT, h FLOAT, u FLOAT, v FLOA
 STORED_COLUMNS = ["run_id", "t", "trow", "tcol", "row", "col", "h", "u", "v"]
 
 
+# Bytes of a row group: a few tiles, so that windows skip most of a file.
+ROW_GROUP = 16 << 20
+
+
+def tile_curve(trow: Column, tcol: Column, bits: int = 16) -> Column:
+    """Position of a tile on the Z curve; tiles that are near each other in the grid are near on it."""
+    place = F.lit(0).cast("long")
+    for i in range(bits):
+        for k, axis in enumerate((tcol, trow)):
+            bit = F.shiftright(axis, i).bitwiseAND(F.lit(1)).cast("long")
+            place = place.bitwiseOR(F.shiftleft(bit, 2 * i + k))
+    return place
+
+
 class EmptyWindow(ValueError):
     """The requested window does not meet the grid."""
 
@@ -22,7 +36,8 @@ def write_cube(
 ) -> None:
     """Store a cube clustered by tile, for one of two ways of reading.
 
-    ``frame`` puts each (run, t) into its own folder: windows of one frame read little. ``tile``
+    ``frame`` puts each (run, t) into its own folder, in ranges along a curve through the tiles: windows of
+    one frame read few row groups of few files. ``tile``
     puts each tile's whole time line together, so per-cell reductions over time fold inside
     the scan tasks before anything is exchanged, and point series read one folder. Either
     way the exchange key holds the tile, so one hot run or frame spreads over many tasks.
@@ -32,11 +47,17 @@ def write_cube(
     stored = {name: F.col(name).cast("float") for name in ("h", "u", "v")}
     tiled = frames.withColumns({"trow": block("row", tile), "tcol": block("col", tile), **stored})
     folders = ["run_id", "t"] if layout == "frame" else ["run_id", "trow", "tcol"]
-    keys = ["run_id", "t", "trow", "tcol"] if layout == "frame" else [*folders, F.floor(F.col("row") * 8 / tile)]
-    placed = tiled.repartition(files, *keys) if files else tiled.repartition(*keys)
-    placed.sortWithinPartitions(*folders, "trow", "tcol", "row", "col", "t").select(*STORED_COLUMNS).write.mode(
-        "overwrite"
-    ).partitionBy(*folders).parquet(path)
+    if layout == "frame":
+        curved = tiled.withColumn("_curve", tile_curve(F.col("trow"), F.col("tcol")))
+        keys = ["run_id", "t", "_curve"]
+        placed = curved.repartitionByRange(files, *keys) if files else curved.repartitionByRange(*keys)
+        ordered = placed.sortWithinPartitions(*keys, "row", "col")
+    else:
+        keys = [*folders, F.floor(F.col("row") * 8 / tile)]
+        placed = tiled.repartition(files, *keys) if files else tiled.repartition(*keys)
+        ordered = placed.sortWithinPartitions(*folders, "row", "col", "t")
+    writer = ordered.select(*STORED_COLUMNS).write.mode("overwrite").option("parquet.block.size", ROW_GROUP)
+    writer.partitionBy(*folders).parquet(path)
 
 
 def read_cube(spark: SparkSession, path: str) -> DataFrame:
