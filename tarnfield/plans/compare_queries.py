@@ -289,17 +289,7 @@ def w2(spark, folder):
 )
 def a9_quantiles(spark, folder):
     shares = cut_lineage(classes.cumulative_share(depth_histogram(spark, folder)))
-    wanted = [0.25, 0.5, 0.75, 0.95]
-    rows = F.inline(
-        F.array(
-            *[
-                F.struct(F.lit(p).alias("p"), F.round(F.col(f"q{i}"), 6).alias("value"))
-                for i, p in enumerate(wanted)
-            ]
-        )
-    )
-    picks = [F.min(F.when(F.col("share") >= p, F.col("value"))).alias(f"q{i}") for i, p in enumerate(wanted)]
-    return shares.agg(*picks).select(rows)
+    return classes.weighted_quantiles(shares, [0.25, 0.5, 0.75, 0.95]).select("p", r6(F.col("value"), "value"))
 
 
 @query(
@@ -312,7 +302,7 @@ def a9_quantiles(spark, folder):
 def a9(spark, folder):
     histogram = depth_histogram(spark, folder)
     scale = classes.class_breaks(histogram, zero_epsilon=config.DISPLAY_DRY_M)
-    frame = classes.scale_frame(histogram, scale)
+    frame = classes.scale_frame(spark, scale)
     return frame.select("mode", "class_count", "active_area", F.round("maximum", 6).alias("maximum"))
 
 
@@ -358,12 +348,8 @@ def p15_elevation(spark, folder):
 def p16(spark, folder):
     histogram = depth_histogram(spark, folder)
     scale = classes.class_breaks(histogram, zero_epsilon=config.DISPLAY_DRY_M)
-    rows = classes.legend(scale, [c for _, c in config.DEPTH_BANDS])
+    rows = classes.legend(spark, scale, [c for _, c in config.DEPTH_BANDS])
     sized = summary_of(spark, folder).filter(F.col("max_depth") > config.DISPLAY_DRY_M)
     breaks = F.array(*[F.lit(float(b)) for b in scale.breaks])
     counts = sized.groupBy(class_index(F.col("max_depth"), breaks).alias("class")).agg(F.count(F.lit(1)).alias("cells"))
-    table = spark.createDataFrame(
-        [(r["class"], r["label"], r["low"], r["high"], r["colour"]) for r in rows],
-        "class int, label string, low double, high double, colour string",
-    )
-    return table.join(counts, "class", "left")
+    return rows.join(counts, "class", "left")
