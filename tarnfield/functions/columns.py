@@ -139,12 +139,10 @@ def hex_colour(rgba: tuple[int, ...]) -> str:
     return "#{:02X}{:02X}{:02X}".format(*rgba[:3])
 
 
-def depth_colour(depth: Column) -> Column:
-    """Fixed depth bands, each from its lower edge."""
-    colour = F.lit(hex_colour(config.DEPTH_BANDS[0][1]))
-    for low, rgba in config.DEPTH_BANDS[1:]:
-        colour = F.when(depth >= low, F.lit(hex_colour(rgba))).otherwise(colour)
-    return colour
+def depth_colour(index: Column) -> Column:
+    """Colour of a depth class."""
+    ramp = F.array(*[F.lit(hex_colour(rgba)) for _, rgba in config.DEPTH_BANDS])
+    return F.get(ramp, F.least(index, F.lit(len(config.DEPTH_BANDS) - 1)))
 
 
 def block_colour(size: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnfield import config
-from tarnfield.functions.columns import class_index, depth_colour, elevation_colour, flow_colour, speed
+from tarnfield.functions.columns import class_index, depth_colour, elevation_colour, flow_colour, hex_colour, speed
 from tarnfield.operators import blocks, classes, compare, faces, summary
 from tarnfield.operators.grid import GridSpec
 from tarnfield.plans import adapters as A
@@ -270,6 +270,27 @@ HIST = SUMMARY_SQL + """, hist AS (SELECT max_depth AS value, count(*) * 4.0::DO
   shares AS (SELECT value, area, sum(area) OVER (ORDER BY value) / sum(area) OVER () AS share FROM hist) """
 
 
+def edges_sql(source: str, n: int, origin: str, floor: str) -> str:
+    """Readable quantile edges ``e`` of a table of (value, share), as common table expressions ending in ``scale``.
+
+    Covers fields without repeated quantiles and without a stretched tail; ``mode`` tells if that holds.
+    """
+    ladder = "flatten(list_transform([-1, 0, 1], lambda d: list_transform([1, 1.25, 1.5, 2, 2.5, 3, 4, 5, 7.5, 10], lambda m: sign(v) * m * pow(10, floor(log10(abs(v))) + d))))"
+    near = "list_filter({l}, lambda c: c > low AND c < high AND abs(c - v) / greatest(abs(v - {o}), {f}, 2.3e-308) <= 0.15)".format(l=ladder, o="o", f=floor)
+    best = f"list_sort(list_transform({near}, lambda c: {{'d': abs(c - v), 'a': abs(c), 'c': c::DOUBLE}}))[1].c"
+    short = "format('{:.2g}', v)::DOUBLE"
+    return f"""ends AS (SELECT {origin} AS o, max(value) AS top, (SELECT min(value) FROM {source} WHERE share >= 0.95) AS core FROM {source}),
+      placed AS (SELECT 0 AS i, o AS v FROM ends UNION ALL SELECT {n}, top FROM ends
+        UNION ALL SELECT i, (SELECT min(value) FROM {source} WHERE share >= i / {n}.0::DOUBLE) FROM range(1, {n}) r(i)),
+      flat AS (SELECT list(v ORDER BY i) AS r FROM placed),
+      stepped AS (SELECT 1 AS i, [r[1]] AS e, r FROM flat UNION ALL
+        SELECT i + 1, list_append(e, CASE WHEN v = 0 THEN v ELSE coalesce({best}, CASE WHEN {short} > low AND {short} < high THEN {short} ELSE v END) END), r
+        FROM (SELECT i, e, r, r[i + 1] AS v, e[i] AS low, r[i + 2] AS high, (SELECT o FROM ends) AS o FROM stepped WHERE i < {n})),
+      scale AS (SELECT list_append(e, r[{n} + 1]) AS e,
+        CASE WHEN top - o > 2 * greatest(core - o, {floor}) THEN 'hybrid' WHEN len(list_distinct(r)) < {n} + 1 THEN 'repaired' ELSE 'quantile' END AS mode
+        FROM stepped, ends WHERE i = {n})"""
+
+
 def depth_histogram(spark, folder):
     return summary.value_histogram(summary_of(spark, folder), F.col("max_depth"), F.lit(4.0)).filter("value > 0.01")
 
@@ -296,27 +317,32 @@ def a9_quantiles(spark, folder):
     "a9_class_breaks",
     "frames frame_cells",
     HIST
-    + """, k AS (SELECT 'quantile' AS mode, i, (SELECT min(value) FROM shares WHERE share >= i / 7.0::DOUBLE) AS v FROM range(1, 7) r(i))
-       SELECT 'quantile' AS mode, 7 AS class_count, sum(area) AS active_area, round(max(value), 6) AS maximum FROM hist""",
+    + ", " + edges_sql("shares", 7, "0.0::DOUBLE", "0.01") + """
+       SELECT mode, len(e)::INT - 1 AS class_count, (SELECT sum(area) FROM hist) AS active_area, round(e[len(e)], 6) AS maximum,
+         CAST(k - 1 AS INT) AS edge, round(e[k], 9) + 0.0 AS low FROM scale, range(1, 9) x(k)""",
 )
 def a9(spark, folder):
     histogram = depth_histogram(spark, folder)
     scale = classes.class_breaks(histogram, zero_epsilon=config.DISPLAY_DRY_M)
     frame = classes.scale_frame(spark, scale)
-    return frame.select("mode", "class_count", "active_area", F.round("maximum", 6).alias("maximum"))
+    one = frame.select("mode", "class_count", "active_area", F.round("maximum", 6).alias("maximum"), F.posexplode("breaks").alias("edge", "low"))
+    return one.withColumn("low", F.round("low", 9) + F.lit(0.0))
 
 
 @query(
     "p15_colour_lookup",
     "frames frame_cells",
-    SUMMARY_SQL
-    + """SELECT "row", col, CASE WHEN max_depth < 0.05 THEN '#C6E8FF' WHEN max_depth < 0.1 THEN '#5BB1FF' WHEN max_depth < 0.2 THEN '#406EDE'
-         WHEN max_depth < 0.4 THEN '#7E52C4' WHEN max_depth < 0.8 THEN '#C4418B' WHEN max_depth < 1.6 THEN '#6D1B4A' ELSE '#491234' END AS colour
-         FROM cell_summary WHERE active AND max_depth >= 0.01""",
+    HIST
+    + ", " + edges_sql("shares", 7, "0.0::DOUBLE", "0.01") + """
+       SELECT "row", col, (['#C6E8FF', '#5BB1FF', '#406EDE', '#7E52C4', '#C4418B', '#6D1B4A', '#491234'])[1 + len(list_filter(e[2:len(e) - 1], lambda b: b < max_depth))] AS colour
+         FROM cell_summary, scale WHERE active AND max_depth > 0.01""",
 )
 def p15(spark, folder):
-    visible = summary_of(spark, folder).filter(F.col("active") & (F.col("max_depth") >= config.DISPLAY_DRY_M))
-    return visible.select("row", "col", depth_colour(F.col("max_depth")).alias("colour"))
+    """Wet cells in the colours of their class, on the edges of the frame's own scale."""
+    scale = classes.class_breaks(depth_histogram(spark, folder), zero_epsilon=config.DISPLAY_DRY_M)
+    visible = summary_of(spark, folder).filter(F.col("active") & (F.col("max_depth") > config.DISPLAY_DRY_M))
+    index = class_index(F.col("max_depth"), F.array(*[F.lit(float(b)) for b in scale.breaks]))
+    return visible.select("row", "col", depth_colour(index).alias("colour"))
 
 
 @query(
@@ -334,7 +360,16 @@ def p15_flow(spark, folder):
     return peaks.select("row", "col", colour.alias("colour"))
 
 
-@query("p15_elevation_colours", "", None)
+@query(
+    "p15_elevation_colours",
+    "frame_cells",
+    """, hist AS (SELECT elevation_m AS value, count(*) AS area FROM frame_cells GROUP BY 1),
+       shares AS (SELECT value, sum(area) OVER (ORDER BY value) / sum(area) OVER () AS share FROM hist), """
+    + edges_sql("shares", 8, "min(value)", "1e-9")
+    + """ SELECT "row", col, (["""
+    + ", ".join(f"'{hex_colour(c)}'" for c in config.ELEVATION_COLOURS)
+    + """])[1 + len(list_filter(e[2:len(e) - 1], lambda b: b < elevation_m))] AS colour FROM frame_cells, scale""",
+)
 def p15_elevation(spark, folder):
     """Elevation classes of the frame cells under their own breaks."""
     cells = A.frame_cells(spark, folder)
@@ -344,7 +379,22 @@ def p15_elevation(spark, folder):
     return cells.select("row", "col", elevation_colour(index).alias("colour"))
 
 
-@query("p16_legend", "", None)
+@query(
+    "p16_legend",
+    "frames frame_cells",
+    HIST
+    + ", " + edges_sql("shares", 7, "0.0::DOUBLE", "0.01") + """,
+       spread AS (SELECT e, greatest(3, least(15, 2 + ceil(log10(list_max(list_transform(e, lambda x: abs(x))) /
+           list_min(list_transform(range(1, len(e)), lambda i: e[i + 1] - e[i]))))))::INT AS d FROM scale),
+       shown AS (SELECT e, d, list_transform(e, lambda x: CASE d WHEN 3 THEN format('{:.3g}', x) WHEN 4 THEN format('{:.4g}', x) ELSE format('{:.5g}', x) END) AS t FROM spread),
+       raised AS (SELECT e, list_append(t[1:len(t) - 1], CASE WHEN t[len(t)]::DOUBLE < e[len(e)]
+           THEN rtrim(format('{:.15g}', ceil(e[len(e)] * pow(10, d - 1 - floor(log10(e[len(e)])))) / pow(10, d - 1 - floor(log10(e[len(e)]))))) ELSE t[len(t)] END) AS t FROM shown),
+       rows AS (SELECT CAST(k - 1 AS INT) AS class, t[k] || '–' || t[k + 1] || ' m' AS label, e[k] AS low, e[k + 1] AS high,
+           (['#C6E8FF', '#5BB1FF', '#406EDE', '#7E52C4', '#C4418B', '#6D1B4A', '#491234'])[k] AS colour FROM raised, range(1, 8) x(k)),
+       sized AS (SELECT CAST(len(list_filter(e[2:len(e) - 1], lambda b: b < max_depth)) AS INT) AS class, count(*) AS cells
+           FROM cell_summary, scale WHERE max_depth > 0.01 GROUP BY 1)
+       SELECT class, label, low, high, colour, cells FROM rows LEFT JOIN sized USING (class)""",
+)
 def p16(spark, folder):
     histogram = depth_histogram(spark, folder)
     scale = classes.class_breaks(histogram, zero_epsilon=config.DISPLAY_DRY_M)
