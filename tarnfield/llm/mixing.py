@@ -34,10 +34,11 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, size: float, power:
     else:
         given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "_name string, _w double")
         shares = counts.join(given, F.col("_of").eqNullSafe(F.col("_name")), "left").fillna(0.0, ["_w"])
-    whole = shares.agg(F.sum("_w").alias("_sum"), F.sum("_n").alias("_rows"))
-    joined = shares.join(F.broadcast(whole))  # one row
-    rate = F.when(F.col("_sum") > 0, F.col("_w") / F.col("_sum") * F.col("_rows") * size / F.col("_n")).otherwise(0.0)
-    return joined.select("_of", rate.alias("_rate"))
+    whole = shares.agg(F.sum("_w").alias("w"), F.sum("_n").alias("n")).first()
+    if not whole["w"]:
+        return shares.select("_of", F.lit(0.0).alias("_rate"))
+    rate = F.col("_w") / F.lit(whole["w"]) * F.lit(whole["n"]) * size / F.col("_n")
+    return shares.select("_of", rate.alias("_rate"))
 
 
 def drawn(doc_id: Column, rate: Column, cumulative: Column, seed: int) -> Column:
