@@ -46,7 +46,7 @@ def covered(docs: DataFrame, size: int) -> DataFrame:
 def without_repeated_windows(docs: DataFrame, size: int = 3) -> DataFrame:
     """``docs`` with the lines of later windows removed from ``text``, and what was removed."""
     gone = table(covered(docs.select("doc_id", "text"), size), "covered")
-    other = gone.toDF("_id", "_hash", "_starts")
+    other = gone.toDF("_id", "_hash", "_starts").hint("merge")  # one plan at every size
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
     met = docs.drop("_id", "_hash", "_starts").join(other, same, "left").drop("_id", "_hash")
 

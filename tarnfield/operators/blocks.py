@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tarnfield import config
 from tarnfield.operators.components import component_report, components
 from tarnfield.operators.grid import GridSpec, at, disc_offsets, ring_offsets, stencil
-from tarnfield.operators.tiles import Dense, shift, split_blocks, spread_blocks, tile_map
+from tarnfield.operators.tiles import Dense, shift, split_blocks, spread_blocks, tile_columns, tile_map
 
 
 class InvalidPolicy(ValueError):
@@ -214,6 +214,7 @@ def ceilings(
     mid_m: float = config.TARGET_MID_M,
     mid_ceiling: int = config.TARGET_MID_CEILING,
     tile: int = config.TILE,
+    by: tuple[str, ...] = (),
 ) -> DataFrame:
     """Coarsest permitted block size and the rule that set it.
 
@@ -260,11 +261,9 @@ def ceilings(
 
     halo = 1 + max(reach_of(m, dx, dy) for m in (structure_m, inner_m, outer_m))
     flags = (
-        "row int, col int, near_structure boolean, building_edge boolean, interior boolean, "
-        "structure boolean, inner boolean, outer boolean"
+        "near_structure boolean, building_edge boolean, interior boolean, structure boolean, inner boolean, outer boolean"
     )
-    source = cells.select("row", "col", "elevation_m", "building", "road", "native", "mask")
-    masks = tile_map(source, kernel, flags, halo, tile)
+    flagged = tile_columns(cells, kernel, flags, halo, tile, by)
     radius = F.hypot(F.col("col") + 0.5 - width / 2.0, F.col("row") + 0.5 - height / 2.0)
     core = (radius <= core_m) if core_m > 0 else F.lit(False)
     mid = ((radius <= mid_m) & ~core) if mid_m > 0 else F.lit(False)
@@ -283,14 +282,11 @@ def ceilings(
             (core, 1, "target_core"),
         ],
     )
-    return cells.drop("ceiling_m").join(masks, ["row", "col"]).withColumns({"ceiling_m": ceiling, "reason": reason})
-
-
-MAP_SCHEMA = "row int, col int, resolution_m int, merged boolean"
+    return flagged.withColumns({"ceiling_m": ceiling, "reason": reason})
 
 
 def coarsen(
-    cells: DataFrame, levels: list[int] | None = None, tile: int = config.TILE
+    cells: DataFrame, levels: list[int] | None = None, tile: int = config.TILE, by: tuple[str, ...] = ()
 ) -> DataFrame:
     """Merge 1 m cells level by level into the largest safe aligned blocks.
 
@@ -322,13 +318,14 @@ def coarsen(
             resolution = np.where(spread_blocks(merge, size), size, resolution)
         return d.rows(resolution_m=resolution, merged=resolution > 1)
 
-    source = cells.select("row", "col", "elevation_m", "ceiling_m", "zone", "interior")
-    mapped = tile_map(source, kernel, MAP_SCHEMA, tile=tile)
+    mapped = tile_columns(cells, kernel, "resolution_m int, merged boolean", tile=tile, by=by)
     reason = F.when(F.col("merged"), F.lit("terrain_coarsened")).otherwise(F.col("reason"))
-    return cells.join(mapped, ["row", "col"]).withColumn("reason", reason).drop("merged")
+    return mapped.withColumn("reason", reason).drop("merged")
 
 
-def balance(cells: DataFrame, levels: list[int] | None = None, tile: int = config.TILE) -> DataFrame:
+def balance(
+    cells: DataFrame, levels: list[int] | None = None, tile: int = config.TILE, by: tuple[str, ...] = ()
+) -> DataFrame:
     """Halve blocks until no edge neighbour is more than twice as fine.
 
     A halving is caused only through a chain of ever finer blocks, at most one per level and
@@ -356,18 +353,11 @@ def balance(cells: DataFrame, levels: list[int] | None = None, tile: int = confi
                 resolution = np.where(spread_blocks(hit & whole, size), size // 2, resolution)
         return d.rows(balanced=resolution, changed=resolution != start)
 
-    source = cells.select("row", "col", "resolution_m")
-    mapped = tile_map(source, kernel, "row int, col int, balanced int, changed boolean", halo, tile)
-    return (
-        cells.join(mapped, ["row", "col"])
-        .withColumns(
-            {
-                "resolution_m": F.col("balanced"),
-                "reason": F.when(F.col("changed"), F.lit("balanced_transition")).otherwise(F.col("reason")),
-            }
-        )
-        .drop("balanced", "changed")
-    )
+    mapped = tile_columns(cells, kernel, "balanced int, changed boolean", halo, tile, by)
+    changed = {"resolution_m": F.col("balanced")}
+    if "reason" in cells.columns:
+        changed["reason"] = F.when(F.col("changed"), F.lit("balanced_transition")).otherwise(F.col("reason"))
+    return mapped.withColumns(changed).drop("balanced", "changed")
 
 
 def with_level(cells: DataFrame) -> DataFrame:

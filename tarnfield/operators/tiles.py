@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tarnfield import config
 
@@ -76,6 +77,30 @@ def tile_map(
     return with_halo(cells, tile, halo).groupBy("tr", "tc").applyInPandas(run, schema)
 
 
+def tile_columns(
+    cells: DataFrame,
+    kernel: Callable[[Dense], pd.DataFrame],
+    added: str,
+    halo: int = 0,
+    tile: int = config.TILE,
+    by: tuple[str, ...] = (),
+) -> DataFrame:
+    """``cells`` with the kernel's columns; all others travel through it, so the table is exchanged once, never joined.
+
+    ``by`` names the columns that tell several grids in one table apart.
+    """
+    more = StructType.fromDDL(added)
+    kept = [f for f in cells.schema.fields if f.name not in more.names]
+    names = [f.name for f in kept]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf[(pdf["row"] // tile == pdf["tr"]) & (pdf["col"] // tile == pdf["tc"])]
+        return own[names].merge(kernel(Dense(pdf, tile, halo)), on=["row", "col"])
+
+    sent = with_halo(cells.select(*names), tile, halo)
+    return sent.groupBy(*by, "tr", "tc").applyInPandas(run, StructType([*kept, *more.fields]))
+
+
 def split_blocks(values: np.ndarray, size: int) -> np.ndarray:
     """(side, side) to (blocks, blocks, size, size)."""
     n = values.shape[0] // size

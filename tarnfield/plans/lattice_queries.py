@@ -489,6 +489,21 @@ def g14(spark, folder):
     return final_map(spark, folder).select("row", "col", "resolution_m", "reason")
 
 
+@query(
+    "g14_two_grids",
+    "scene",
+    FINAL + 'SELECT grid_id, "row", col, resolution_m, reason FROM final, (VALUES (0), (1)) g(grid_id)',
+)
+def g14_grids(spark, folder):
+    """Two grids over the same rows and columns in one table; each is mapped by itself."""
+    cells = A.scene(spark, folder)
+    grid, by = GridSpec.measure(cells), ("grid_id",)
+    both = cells.withColumn("grid_id", F.explode(F.array(F.lit(0), F.lit(1))))
+    limited = blocks.ceilings(both, grid, core_m=2.5, mid_m=5.5, tile=32, by=by)
+    final = blocks.balance(blocks.coarsen(limited, tile=32, by=by), tile=32, by=by)
+    return final.select("grid_id", "row", "col", "resolution_m", "reason")
+
+
 @query(
     "g15_face_table",
     "scene",
@@ -504,11 +519,22 @@ def g15(spark, folder):
 @query(
     "g15_map_violations",
     "scene",
-    """SELECT * FROM (VALUES ('level', 0::BIGINT), ('ceiling', 0::BIGINT), ('alignment', 0::BIGINT), ('zone', 0::BIGINT),
-       ('balance', 0::BIGINT)) v(rule, cells)""",
+    FINAL
+    + f""", broken AS (SELECT f."row", f.col, CASE WHEN (f."row" * 50 + f.col) % 97 = 0 THEN 3 WHEN (f."row" * 50 + f.col) % 41 = 0 THEN 8 ELSE f.resolution_m END AS r,
+         f.ceiling_m, f.zone FROM final f),
+       blocks AS (SELECT r, count(*) AS n, count_if(r NOT IN (1, 2, 4, 8)) AS level, count_if(r > ceiling_m) AS ceiling,
+         min(zone) AS z0, max(zone) AS z1 FROM broken GROUP BY r, "row" // r, col // r),
+       near AS (SELECT c."row", c.col, c.r, min(n.r) AS low FROM broken c JOIN broken n ON {NEAR4} GROUP BY ALL)
+       SELECT 'level' AS rule, sum(level)::BIGINT AS cells FROM blocks UNION ALL SELECT 'ceiling', sum(ceiling)::BIGINT FROM blocks
+       UNION ALL SELECT 'alignment', coalesce(sum(CASE WHEN n <> r * r THEN n END), 0)::BIGINT FROM blocks
+       UNION ALL SELECT 'zone', coalesce(sum(CASE WHEN z0 <> z1 THEN n END), 0)::BIGINT FROM blocks
+       UNION ALL SELECT 'balance', count_if(r > 2 * low)::BIGINT FROM near""",
 )
 def g15_check(spark, folder):
-    return blocks.map_violations(cut_lineage(final_map(spark, folder)))
+    """The map with some cells broken on purpose: a size that is no level, and blocks that stand alone."""
+    at = F.col("row") * 50 + F.col("col")
+    size = F.when(at % 97 == 0, 3).when(at % 41 == 0, 8).otherwise(F.col("resolution_m"))
+    return blocks.map_violations(cut_lineage(final_map(spark, folder).withColumn("resolution_m", size)))
 
 
 @query(
