@@ -333,17 +333,20 @@ def accumulate_flow(pointers: DataFrame, width: int) -> DataFrame:
     """Cells draining through each cell, itself included.
 
     Path doubling: after k rounds ``acc`` holds all upstream cells within 2^k - 1 steps and
-    ``jump`` points 2^k steps down, so the longest path needs a logarithmic number of rounds.
+    ``jump`` points 2^k steps down, so the longest path needs a logarithmic number of rounds. Cells that have
+    come to the end of their path join by a key of their own, so that they do not meet in one task.
     """
     key = F.col("row").cast("long") * width + F.col("col")
     jump = F.col("drow").cast("long") * width + F.col("dcol")
     state = cut_lineage(pointers.select(key.alias("id"), jump.alias("jump"), F.lit(1).cast("long").alias("acc")))
     while not state.filter(F.col("jump").isNotNull()).isEmpty():
         inflow = state.filter(F.col("jump").isNotNull()).groupBy(F.col("jump").alias("id")).agg(F.sum("acc").alias("more"))
-        ahead = state.select(F.col("id").alias("jump"), F.col("jump").alias("jump2"))
+        ahead = state.select(F.col("id").alias("target"), F.col("jump").alias("jump2"))
+        target = F.coalesce(F.col("jump"), -1 - F.col("id"))
         state = cut_lineage(
             state.join(inflow, "id", "left")
-            .join(ahead, "jump", "left")
+            .withColumn("target", target)
+            .join(ahead, "target", "left")
             .select("id", F.col("jump2").alias("jump"), (F.col("acc") + F.coalesce("more", F.lit(0))).alias("acc"))
         )
     return state.select(

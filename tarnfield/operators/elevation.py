@@ -124,13 +124,13 @@ def bilinear(targets: DataFrame, source: DataFrame) -> DataFrame:
     )
 
 
-def blend_seams(cells: DataFrame, width: int, sources: int, extrapolate: bool = False) -> DataFrame:
+def blend_seams(cells: DataFrame, width: int, sources: int, extrapolate: bool = True) -> DataFrame:
     """Lift lower-priority terrain towards its higher-priority neighbours near their seam.
 
     Sources are handled in priority order, since each blended source is the reference of the
     next. A seam cell's correction is the mean over its higher-priority 4-neighbours; cells
     within ``width`` take the nearest seam cell's correction (row, then col on ties) under a
-    cosine taper. ``extrapolate`` continues the neighbour's slope where it is two cells deep.
+    cosine taper. ``extrapolate`` continues the neighbour's slope where it is two cells deep, as is the rule.
     """
     state = cells.select("row", "col", F.col("z").cast("double").alias("z"), "source_id")
     if width <= 0:

@@ -23,25 +23,37 @@ def split_active(cells: DataFrame, rule: str = "strict") -> DataFrame:
     return cells.withColumns({"active": active, "boundary": F.col("mask").isin(2, 3, 6)})
 
 
-def normalise_depth(frames: DataFrame) -> DataFrame:
-    """Missing depth is dry and negative depth is clipped; both stay visible as flags."""
-    h = finite("h")
+def normalise_depth(frames: DataFrame, active: Column | None = None) -> DataFrame:
+    """Missing depth of active cells is dry and negative depth is clipped; both stay visible as flags.
+
+    Cells that are not active have no depth and no flags.
+    """
+    h, on = finite("h"), F.lit(True) if active is None else active
     return frames.withColumns(
-        {"h": F.greatest(F.coalesce(h, F.lit(0.0)), F.lit(0.0)), "filled": h.isNull(), "clipped": h < 0}
+        {
+            "h": F.when(on, F.greatest(F.coalesce(h, F.lit(0.0)), F.lit(0.0))),
+            "filled": F.when(on, h.isNull()),
+            "clipped": F.when(on, h < 0),
+        }
     )
 
 
-def depth_report(frames: DataFrame) -> DataFrame:
-    """Counts of filled and clipped depths and the raw minimum, in one pass."""
-    h = finite("h")
+def depth_report(frames: DataFrame, active: Column | None = None) -> DataFrame:
+    """Counts of filled and clipped depths of active cells and their raw minimum, in one pass."""
+    h, on = finite("h"), F.lit(True) if active is None else active
     return frames.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(h.isNull()).alias("dry_filled"),
-        F.count_if(h < 0).alias("negative_clipped"),
-        F.least(F.min(h), F.lit(0.0)).alias("raw_min"),
+        F.count_if(on).alias("n"),
+        F.count_if(on & h.isNull()).alias("dry_filled"),
+        F.count_if(on & (h < 0)).alias("negative_clipped"),
+        F.least(F.min(F.when(on, h)), F.lit(0.0)).alias("raw_min"),
     )
 
 
+def refused_depths(frames: DataFrame, active: Column) -> DataFrame:
+    """The refusing form: active cells whose depth is not a number, which the regular reader does not accept."""
+    return frames.filter(active & finite("h").isNull())
+
+
 def normalise_velocity(frames: DataFrame) -> DataFrame:
     """Velocity is zero where dry and missing where inactive."""
     rule = {

@@ -140,23 +140,38 @@ def p2(spark, folder):
 
 @query(
     "p3_depth_normalisation",
-    "raw_frames",
-    """SELECT t, "row", col, CASE WHEN isnan(h) OR h < 0 THEN 0.0::DOUBLE ELSE round(h, 6) END AS h,
-       isnan(h) AS filled, CASE WHEN isnan(h) THEN NULL ELSE h < 0 END AS clipped FROM raw_frames""",
+    "raw_frames frame_cells",
+    """SELECT t, "row", col, CASE WHEN mask = 1 THEN CASE WHEN isnan(h) OR h < 0 THEN 0.0::DOUBLE ELSE round(h, 6) END END AS h,
+       CASE WHEN mask = 1 THEN isnan(h) END AS filled, CASE WHEN mask = 1 AND NOT isnan(h) THEN h < 0 END AS clipped
+       FROM raw_frames JOIN frame_cells USING ("row", col)""",
 )
 def p3(spark, folder):
-    frames = policy.normalise_depth(A.raw_frames(spark, folder))
+    frames = policy.normalise_depth(masked_frames(spark, folder), F.col("active"))
     return frames.select("t", "row", "col", r6(F.col("h"), "h"), "filled", "clipped")
 
 
+def masked_frames(spark, folder):
+    cells = policy.split_active(A.frame_cells(spark, folder)).select("row", "col", "active")
+    return A.raw_frames(spark, folder).join(cells, ["row", "col"])
+
+
+@query(
+    "p3_refused_depths",
+    "raw_frames frame_cells",
+    """SELECT t, "row", col FROM raw_frames JOIN frame_cells USING ("row", col) WHERE mask = 1 AND isnan(h)""",
+)
+def p3_refused(spark, folder):
+    return policy.refused_depths(masked_frames(spark, folder), F.col("active")).select("t", "row", "col")
+
+
 @query(
     "p3_depth_report",
-    "raw_frames",
+    "raw_frames frame_cells",
     """SELECT count(*) AS n, count_if(isnan(h)) AS dry_filled, count_if(NOT isnan(h) AND h < 0) AS negative_clipped,
-       round(least(min(CASE WHEN NOT isnan(h) THEN h END), 0.0), 6) AS raw_min FROM raw_frames""",
+       round(least(min(CASE WHEN NOT isnan(h) THEN h END), 0.0), 6) AS raw_min FROM raw_frames JOIN frame_cells USING ("row", col) WHERE mask = 1""",
 )
 def p3_report(spark, folder):
-    return policy.depth_report(A.raw_frames(spark, folder)).withColumn("raw_min", F.round("raw_min", 6))
+    return policy.depth_report(masked_frames(spark, folder), F.col("active")).withColumn("raw_min", F.round("raw_min", 6))
 
 
 @query(
@@ -168,8 +183,7 @@ def p3_report(spark, folder):
        FROM raw_frames f JOIN frame_cells c ON f."row" = c."row" AND f.col = c.col""",
 )
 def p4(spark, folder):
-    cells = policy.split_active(A.frame_cells(spark, folder)).select("row", "col", "active")
-    frames = policy.normalise_depth(A.raw_frames(spark, folder)).join(cells, ["row", "col"])
+    frames = policy.normalise_depth(masked_frames(spark, folder), F.col("active"))
     return policy.normalise_velocity(frames).select("t", "row", "col", "u", "v")
 
 

@@ -381,8 +381,10 @@ def m4(spark, folder):
     + """, n4 AS (SELECT * FROM (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) o(dr, dc)),
        s0 AS (SELECT "row", col, source_id, z AS z FROM best) """
     + "".join(
-        f""", seam{k} AS (SELECT c."row", c.col, avg(n.z - c.z) AS fix FROM s{k - 2} c JOIN s{k - 2} n ON abs(n."row" - c."row") + abs(n.col - c.col) = 1
-             AND n.source_id < {k} WHERE c.source_id = {k} GROUP BY 1, 2),
+        f""", seam{k} AS (SELECT c."row", c.col, avg(CASE WHEN m.source_id = n.source_id THEN 2 * n.z - m.z ELSE n.z END - c.z) AS fix
+             FROM s{k - 2} c JOIN s{k - 2} n ON abs(n."row" - c."row") + abs(n.col - c.col) = 1 AND n.source_id < {k}
+             LEFT JOIN s{k - 2} m ON m."row" = 2 * n."row" - c."row" AND m.col = 2 * n.col - c.col
+             WHERE c.source_id = {k} GROUP BY 1, 2),
        near{k} AS (SELECT c."row", c.col, arg_min(fix, row(pow(c."row" - m."row", 2) + pow(c.col - m.col, 2), m."row", m.col)) AS fix,
              min(sqrt(pow(c."row" - m."row", 2) + pow(c.col - m.col, 2))) AS d FROM s{k - 2} c JOIN seam{k} m
              ON pow(c."row" - m."row", 2) + pow(c.col - m.col, 2) <= 9 WHERE c.source_id = {k} GROUP BY 1, 2),
