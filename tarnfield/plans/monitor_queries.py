@@ -37,11 +37,10 @@ def r1(spark, folder):
 @query(
     "r1_event_feed_stream",
     "run_events",
-    "SELECT run_id, sequence, state FROM run_events WHERE sequence > 100",
+    FEED,
 )
 def r1_stream(spark, folder):
-    events = monitor.events_after(stream_of_events(spark, folder), 100)
-    return monitor.drain(events.select("run_id", "sequence", "state"), "append", "feed").drop("batch_id")
+    return monitor.feed_stream(stream_of_events(spark, folder), 100).drop("batch_id")
 
 
 @query("t8_events_after_cursor", "run_events", "SELECT run_id, sequence FROM run_events WHERE sequence > 5000")

@@ -242,12 +242,43 @@ ROCKSDB = {
 }
 
 
+def _earlier(spark: SparkSession, folder: str, schema: str, batch: DataFrame, batch_id: int) -> DataFrame:
+    """What earlier micro-batches kept of the runs in this one; a replayed batch does not see itself or later ones."""
+    if batch_id == 0:
+        return spark.createDataFrame([], schema)
+    kept = spark.read.schema(f"{schema}, batch_id LONG").option("basePath", folder).parquet(folder)
+    kept = kept.filter(F.col("batch_id") < batch_id).drop("batch_id")
+    return kept.join(batch.select("run_id").distinct(), "run_id", "left_semi")
+
+
+def feed_stream(events: DataFrame, cursor: int = 0, folder: str | None = None) -> DataFrame:
+    """Streaming twin of ``feed``: a run stops at its first terminal state, also over micro-batches.
+
+    A micro-batch keeps the ends that it saw, and only those; later ones read the ends of the runs they touch.
+    """
+    spark = events.sparkSession
+    folder = folder or scratch_path(spark, "feed")
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        ended = batch.filter(terminal(F.col("state"))).groupBy("run_id").agg(F.min("sequence").alias("end"))
+        ended.write.mode("overwrite").parquet(f"{folder}/ends/batch_id={batch_id}")
+        known = _earlier(spark, f"{folder}/ends", "run_id LONG, end LONG", batch, batch_id).unionByName(ended)
+        ends = known.groupBy("run_id").agg(F.min("end").alias("end"))
+        open_ = events_after(batch, cursor).join(ends, "run_id", "left")
+        open_.filter("end IS NULL OR sequence <= end").drop("end").write.mode("overwrite").parquet(
+            f"{folder}/out/batch_id={batch_id}"
+        )
+
+    _run_to_end(events.select("run_id", "sequence", "state").writeStream.foreachBatch(step), folder)
+    return spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out")
+
+
 def check_transitions_stream(events: DataFrame, chunk: int = CHUNK, folder: str | None = None) -> DataFrame:
     """Streaming twin of ``transitions``.
 
-    A micro-batch is checked by the batch operator together with each run's last event so far,
-    so a run of any length is cut into chunks here too. The last events are a small table per
-    batch id; replaying a batch reads its predecessor's table again and rewrites the same rows.
+    A micro-batch is checked by the batch operator together with the last event so far of the runs it touches,
+    so a run of any length is cut into chunks here too. It keeps the last events of those runs only; replaying a
+    batch reads what the batches before it kept and rewrites the same rows.
     """
     spark = events.sparkSession
     folder = folder or scratch_path(spark, "transitions")
@@ -255,14 +286,13 @@ def check_transitions_stream(events: DataFrame, chunk: int = CHUNK, folder: str
 
     def step(batch: DataFrame, batch_id: int) -> None:
         fresh = batch.select(*names).withColumn("_old", F.lit(False))
-        rows = fresh
-        if batch_id > 0:
-            held = spark.read.parquet(f"{folder}/last/{batch_id - 1}")
-            rows = fresh.unionByName(held.select(*names).withColumn("_old", F.lit(True)))
+        kept = _earlier(spark, f"{folder}/last", "run_id LONG, sequence LONG, state STRING", batch, batch_id)
+        held = kept.groupBy("run_id").agg(F.max(F.struct("sequence", "state")).alias("l")).select("run_id", "l.*")
+        rows = fresh.unionByName(held.withColumn("_old", F.lit(True)))
         checked = transitions(rows, chunk).filter(~F.col("_old")).drop("_old")
         checked.write.mode("overwrite").parquet(f"{folder}/out/batch_id={batch_id}")
         last = rows.groupBy("run_id").agg(F.max(F.struct("sequence", "state")).alias("l")).select("run_id", "l.*")
-        last.write.mode("overwrite").parquet(f"{folder}/last/{batch_id}")
+        last.write.mode("overwrite").parquet(f"{folder}/last/batch_id={batch_id}")
 
     _run_to_end(events.select(*names).writeStream.foreachBatch(step), folder)
     return spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out")

@@ -99,6 +99,19 @@ def test_state_machine_keeps_state_across_batches(spark, tmp_path):
     assert got == [True, True, True, False]
 
 
+def test_feed_stops_at_the_first_end_across_batches(spark, tmp_path):
+    folder = feed_folder(
+        spark,
+        tmp_path,
+        [(1, 0, "CREATED", 0.0, 0.0), (2, 0, "CREATED", 0.0, 0.0)],
+        [(1, 1, "FAILED", 0.0, 1.0), (2, 1, "VALIDATING", 0.1, 1.0)],
+        [(1, 2, "CREATED", 0.0, 2.0), (2, 2, "COMPLETE", 1.0, 2.0), (2, 3, "CREATED", 0.0, 3.0)],
+    )
+    rows = monitor.feed_stream(monitor.read_event_stream(spark, folder, max_files=1), cursor=-1).collect()
+    assert sorted((r["run_id"], r["sequence"]) for r in rows) == [(1, 0), (1, 1), (2, 0), (2, 1), (2, 2)]
+    assert len({r["batch_id"] for r in rows}) == 3
+
+
 def test_silence_alarm_fires_once_per_open_run(spark, tmp_path):
     import time
 
