@@ -234,6 +234,6 @@ def without_near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3)
         found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "kept"
     )
     single, repeated = kept.filter("rows = 1").select("doc_id"), kept.filter("rows > 1").select("doc_id")
-    once = docs.join(single, "doc_id", "left_semi")
+    once = docs.join(single.hint("merge"), "doc_id", "left_semi")  # one plan at every size
     more = docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return once.unionByName(more).unionByName(docs.filter("doc_id IS NULL")).select(*quoted(docs.columns))
