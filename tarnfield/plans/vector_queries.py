@@ -288,11 +288,24 @@ def s10(spark, folder):
     return found.groupBy("layer", F.size("ring").alias("points")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: First point and sums over the closed ring of a quadrilateral, in degrees.
+LATLON_SQL = ", ".join(
+    f"round({term}, 6) + 0.0 AS {name}"
+    for name, term in (
+        ("lat0", f"35 + (cy + {CORNERS[0][1]}) / 1000"),
+        ("lon0", f"139 + (cx + {CORNERS[0][0]}) / 1000"),
+        ("lat_sum", " + ".join(f"(35 + (cy + {y}) / 1000)" for _, y in [*CORNERS, CORNERS[0]])),
+        ("lon_sum", " + ".join(f"(139 + (cx + {x}) / 1000)" for x, _ in [*CORNERS, CORNERS[0]])),
+    )
+)
+
+
 @query(
     "s12_basic_items",
     "",
     """WITH q AS (SELECT s_suppkey AS k, (s_suppkey * 7919 % 500) / 10.0::DOUBLE - 25 AS cx, (s_suppkey * 104729 % 400) / 10.0::DOUBLE - 20 AS cy FROM supplier)
-       SELECT CASE WHEN k % 3 = 0 THEN 'building' ELSE 'road_edge' END AS layer, 'FG-' || k AS name, 5 AS points FROM q
+       SELECT CASE WHEN k % 3 = 0 THEN 'building' ELSE 'road_edge' END AS layer, 'FG-' || k AS name, 5 AS points,
+         """ + LATLON_SQL + """ FROM q
        WHERE k % 3 < 2 AND 35 + (cy + 3.33) / 1000 >= 34.99 AND 35 + (cy - 2.07) / 1000 <= 35.01 AND 139 + (cx + 4.21) / 1000 >= 138.99 AND 139 + (cx - 3.13) / 1000 <= 139.01""",
 )
 def s12(spark, folder):
@@ -304,7 +317,13 @@ def s12(spark, folder):
     )
     found = vector_files.parse_basic_items(files, (138.99, 34.99, 139.01, 35.01))
     return found.select(
-        "layer", F.regexp_replace("name", r"-(BldA|RdEdg)-", "-").alias("name"), F.size("ll").alias("points")
+        "layer",
+        F.regexp_replace("name", r"-(BldA|RdEdg)-", "-").alias("name"),
+        F.size("ll").alias("points"),
+        r6(F.element_at("ll", 1)["lat"], "lat0"),
+        r6(F.element_at("ll", 1)["lon"], "lon0"),
+        r6(F.aggregate("ll", F.lit(0.0), lambda t, p: t + p["lat"]), "lat_sum"),
+        r6(F.aggregate("ll", F.lit(0.0), lambda t, p: t + p["lon"]), "lon_sum"),
     )
 
 
