@@ -77,9 +77,10 @@ def parse_positions(text: Column, dimension: Column) -> Column:
     return F.when(ok, points)
 
 
-def _inner(name: str) -> str:
-    """Pattern of an element by local name, whatever its prefix; group 1 is its content."""
-    return rf"(?s)<(?:[\w.-]+:)?{name}(?=[\s>])[^>]*>(.*?)</(?:[\w.-]+:)?{name}>"
+def _inner(name: str, whole: bool = False) -> str:
+    """Pattern of an element by local name, whatever its prefix; group 1 is its content (``whole``: its name)."""
+    end, content = (r"\1", ".*?") if whole else (name, "(.*?)")
+    return rf"(?s)<(?:[\w.-]+:)?{name}(?=[\s>])[^>]*>{content}</(?:[\w.-]+:)?{end}>"
 
 
 def read_elements(spark: SparkSession, path: str, tag: str) -> DataFrame:
@@ -90,16 +91,28 @@ def read_elements(spark: SparkSession, path: str, tag: str) -> DataFrame:
     """
     raw = spark.read.text(path, lineSep=f"</{tag}>")
     opened = rf"(?s)<{tag}(?=[\s>])[^>]*>(.*)$"
+    own = F.regexp_extract("value", rf'(?s)<{tag}(?=[\s>])[^>]*\bid="([^"]+)"', 1)
     return raw.filter(F.col("value").rlike(opened)).select(
-        F.regexp_extract("value", opened, 1).alias("xml"), F.monotonically_increasing_id().alias("element_id")
+        F.regexp_extract("value", opened, 1).alias("xml"),
+        F.when(own != "", own).otherwise(F.hex(F.xxhash64("value"))).alias("element_id"),
     )
 
 
-def _dimension(xml: Column) -> Column:
-    return F.when(F.contains(xml, F.lit('srsDimension="2"')), 2).otherwise(3)
+def parse_shape(xml: Column) -> Column:
+    """Points of a ring or line: its posList, or its single pos elements in order.
+
+    The dimension is the shape's own ``srsDimension``; without one, single positions tell theirs by their length
+    and lists have three numbers a point.
+    """
+    listed = F.regexp_extract(xml, _inner("posList"), 1)
+    single = F.regexp_extract_all(xml, F.lit(_inner("pos")), F.lit(1))
+    told = F.regexp_extract(xml, r'srsDimension="(\d)"', 1).try_cast("int")
+    in_list = parse_positions(listed, F.coalesce(told, F.lit(3)))
+    in_singles = parse_positions(F.concat_ws(" ", single), F.coalesce(told, F.size(numbers(F.get(single, F.lit(0))))))
+    return F.when(F.trim(listed) != "", in_list).when(F.size(single) > 0, in_singles)
 
 
-def polygon_rings(xml: Column, dimension: Column) -> Column:
+def polygon_rings(xml: Column) -> Column:
     """Exterior rings (four points at least) of all polygons in an element's text."""
     outers = F.flatten(
         F.transform(
@@ -107,18 +120,17 @@ def polygon_rings(xml: Column, dimension: Column) -> Column:
             lambda p: F.slice(F.regexp_extract_all(p, F.lit(_inner("exterior")), F.lit(1)), 1, 1),
         )
     )
-    rings = F.transform(outers, lambda o: parse_positions(F.regexp_extract(o, _inner("posList"), 1), dimension))
+    rings = F.transform(outers, parse_shape)
     return F.filter(rings, lambda r: r.isNotNull() & (F.size(r) >= 4))
 
 
 def citygml_buildings(elements: DataFrame, lon0: float, lat0: float) -> DataFrame:
     """Footprints per building from the best LOD that has a polygon, else from any polygon."""
-    dimension = _dimension(F.col("xml"))
     options = []
     for name in LOD_ELEMENTS:
         inside = F.concat_ws("\n", F.regexp_extract_all("xml", F.lit(_inner(name)), F.lit(1)))
-        options.append(polygon_rings(inside, dimension))
-    options.append(polygon_rings(F.col("xml"), dimension))
+        options.append(polygon_rings(inside))
+    options.append(polygon_rings(F.col("xml")))
     chosen = F.coalesce(*[F.when(F.size(o) > 0, o) for o in options])
     return elements.select("element_id", F.posexplode(chosen).alias("part", "ll")).select(
         F.concat_ws("/", F.lit("building"), "element_id", "part").alias("feature_id"),
@@ -129,14 +141,9 @@ def citygml_buildings(elements: DataFrame, lon0: float, lat0: float) -> DataFram
 
 def citygml_roads(elements: DataFrame, lon0: float, lat0: float) -> DataFrame:
     """Road polygons where an element has any, else its lines."""
-    dimension = _dimension(F.col("xml"))
-    areas = polygon_rings(F.col("xml"), dimension)
-    lines = F.filter(
-        F.transform(
-            F.regexp_extract_all("xml", F.lit(_inner("posList")), F.lit(1)), lambda t: parse_positions(t, dimension)
-        ),
-        lambda r: r.isNotNull(),
-    )
+    areas = polygon_rings(F.col("xml"))
+    shapes = F.regexp_extract_all("xml", F.lit(_inner("(LineString|Curve|posList)", whole=True)), F.lit(0))
+    lines = F.filter(F.transform(shapes, parse_shape), lambda r: r.isNotNull())
     chosen = elements.select(
         "element_id",
         F.when(F.size(areas) > 0, F.lit("road_polygon")).otherwise(F.lit("road_line")).alias("layer"),

@@ -219,3 +219,28 @@ def test_geocoder_answers(spark):
     counts = {r["query_id"]: r["count"] for r in vector_files.parse_geocoder(df).groupBy("query_id").count().collect()}
     assert counts == {1: 1, 2: 10}
     assert [r["query_id"] for r in vector_files.unsupported_geocoders(df).collect()] == [3]
+
+
+def test_rings_of_single_positions_and_own_dimensions(spark):
+    from tarnfield.sources import vector_files
+
+    ring = [(35.0, 139.0), (35.0, 139.001), (35.001, 139.001), (35.0, 139.0)]
+    single = "".join(f"<gml:pos>{a} {b} 2.5</gml:pos>" for a, b in ring)
+    flat = f'<gml:posList srsDimension="2">{" ".join(f"{a} {b}" for a, b in ring)}</gml:posList>'
+    solid = f'<gml:posList>{" ".join(f"{a} {b} 7" for a, b in ring)}</gml:posList>'
+    polygon = "<gml:Polygon><gml:exterior><gml:LinearRing>{}</gml:LinearRing></gml:exterior></gml:Polygon>"
+    rows = [("a", "".join(polygon.format(x) for x in (single, flat, solid))), ("b", f"<gml:LineString>{single}</gml:LineString>"), ("c", flat)]
+    elements = spark.createDataFrame(rows, "element_id string, xml string")
+    buildings = vector_files.citygml_buildings(elements.filter("element_id = 'a'"), 139.0, 35.0).collect()
+    assert [r["feature_id"] for r in buildings] == ["building/a/0", "building/a/1", "building/a/2"]
+    assert {len(r["ring"]) for r in buildings} == {4} and len({tuple(map(tuple, r["ring"])) for r in buildings}) == 1
+    roads = vector_files.citygml_roads(elements, 139.0, 35.0).collect()
+    assert sorted((r["layer"], len(r["ring"])) for r in roads) == [("road_line", 4)] * 2 + [("road_polygon", 4)] * 3
+
+
+def test_element_ids_do_not_change_between_runs(spark, tmp_path):
+    from tarnfield.sources import vector_files
+
+    (tmp_path / "x.gml").write_text('<b:Building gml:id="k1"><p>1</p></b:Building>\n<b:Building><p>2</p></b:Building>')
+    ids = [[r["element_id"] for r in vector_files.read_elements(spark, str(tmp_path), "b:Building").collect()] for _ in range(2)]
+    assert ids[0] == ids[1] and ids[0][0] == "k1" and len(set(ids[0])) == 2
