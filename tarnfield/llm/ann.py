@@ -26,7 +26,7 @@ from tarnfield.llm.common import bounded, over_batches, ship, table
 
 ship(__name__)
 
-SAMPLE = 65_536  # entries that shape the tree
+SAMPLE = 32_768  # entries that shape the tree
 LEAF = 400  # entries aimed at in a leaf
 BRANCH = 12
 CHUNK = 8_192  # entries of one leaf searched at once
