@@ -51,38 +51,26 @@ def normal_label(text: Column) -> Column:
     return F.regexp_replace(nfkc(text), r"(?U)\s", "")
 
 
-def file_encodings(spark: SparkSession, path: str) -> dict[str, list[str]]:
-    """Group the files of a folder by charset: UTF-8 unless a line fails to decode."""
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), (~F.is_valid_utf8("value")).alias("bad")
-    )
-    flagged = lines.groupBy("file").agg(F.max("bad").alias("bad"))
-    groups: dict[str, list[str]] = {}
-    for row in flagged.toLocalIterator():
-        groups.setdefault("cp932" if row["bad"] else "UTF-8", []).append(row["file"])
-    return groups
+@F.pandas_udf(T.StringType())
+def cp932(raw: pd.Series) -> pd.Series:
+    """Text of the older charset; Spark's own decoder needs a session-wide switch for it."""
+    return raw.map(lambda b: None if b is None else bytes(b).decode("cp932", "replace"))
 
 
 def read_station_rows(spark: SparkSession, path: str) -> DataFrame:
-    """All rows as text columns c0..c11 with their place in the input, headers checked and dropped."""
-    schema = ", ".join(f"c{i} STRING" for i in range(12))
-    parts = None
-    for charset, files in file_encodings(spark, path).items():
-        if charset != "UTF-8":
-            spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-        part = spark.read.schema(schema).option("encoding", charset).csv(files)
-        part = part.select(
-            "*",
-            F.struct(
-                F.col("_metadata.file_path"),
-                F.col("_metadata.file_block_start"),
-                F.monotonically_increasing_id(),
-            ).alias("place"),
-        )
-        parts = part if parts is None else parts.unionByName(part)
-    if parts is None:
-        raise CatalogueError("no station file")
-    return parts
+    """All rows as text columns c0..c11 with their place in the input.
+
+    A file is UTF-8 unless one of its lines is not, then cp932; that is decided inside the job, file by file, on
+    the lines as read.
+    """
+    file = F.col("_metadata.file_path")
+    place = F.struct(file.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select("value", place.alias("place"), file.alias("_file"))
+    foreign = lines.groupBy("_file").agg(F.max(~F.is_valid_utf8("value")).alias("_foreign"))
+    text = F.when(F.col("_foreign"), cp932(F.col("value").cast("binary"))).otherwise(F.col("value"))
+    row = F.from_csv(text, ", ".join(f"c{i} STRING" for i in range(12)))
+    told = lines.filter(F.octet_length("value") > 0).join(foreign, "_file")
+    return told.select(row.alias("row"), "place").select("row.*", "place")
 
 
 def is_header() -> Column:
