@@ -291,6 +291,50 @@ def s6(spark, folder):
     )
 
 
+@query(
+    "s6_ranking_events",
+    "",
+    """WITH p AS (SELECT s_suppkey AS k, unnest([10, 60, 1440]) AS minutes, unnest([3, 5, 7]) AS factor FROM supplier),
+       c AS (SELECT *, unnest(range(1, 13)) AS r FROM p),
+       v AS (SELECT *, (k * factor + r * 17) % 400 AS amount, (k + r) % 6 AS kind FROM c)
+       SELECT CAST(k AS VARCHAR) AS station_id, minutes::INT AS duration_minutes, r::INT AS rank, amount / 2.0::DOUBLE AS total_mm,
+         CASE WHEN kind <> 3 THEN '20' || lpad((k % 24)::VARCHAR, 2, '0') || '/' || r || '/1' END AS event_date,
+         CASE kind WHEN 1 THEN '*' WHEN 2 THEN ']' ELSE '' END AS flags
+       FROM v WHERE r <= 10 AND kind <> 0 AND amount > 0""",
+)
+def s6_events(spark, folder):
+    """A ranking page per supplier: three known rows of twelve cells (the last two beyond the ranks) and one unknown row."""
+    key = F.col("s_suppkey")
+
+    def cell(factor):
+        def one(r):
+            amount, kind = (key * factor + r * 17) % 400 / F.lit(2.0), (key + r) % 6
+            flag = F.when(kind == 1, "*").when(kind == 2, " ]").otherwise("")
+            date = F.concat(F.lit("<br>(20"), F.lpad((key % 24).cast("string"), 2, "0"), F.lit("/"), r.cast("string"), F.lit("/1)"))
+            told = F.concat(amount.cast("string"), flag, F.when(kind != 3, date).otherwise(""))
+            return F.concat(F.lit("<td>"), F.when(kind == 0, "--").otherwise(told), F.lit("</td>"))
+
+        return one
+
+    labels = [("日最大10分間降水量(mm)", 3), ("日最大1時間降水量(mm)", 5), ("日降水量", 7), ("月最大3時間降水量の多い方から", 9)]
+    rows = [
+        F.concat(F.lit(f"<tr><td>{label}</td>"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(12)), cell(factor)), ""), F.lit("</tr>"))
+        for label, factor in labels
+    ]
+    pages = A.stations(spark, folder).select(
+        "station_id",
+        F.col("name").alias("station_name"),
+        F.col("lon").alias("station_lon"),
+        F.col("lat").alias("station_lat"),
+        F.lit("https://example.org/rank").alias("source_url"),
+        F.concat(F.lit("<table>"), *rows, F.lit("</table>")).alias("html"),
+        "s_suppkey",
+    )
+    return catalogue.parse_ranking_pages(pages).select(
+        "station_id", "duration_minutes", "rank", "total_mm", "event_date", F.array_join("data_quality_flags", ",").alias("flags")
+    )
+
+
 @query(
     "w1_rank_by_position",
     "",
