@@ -71,6 +71,8 @@ def poisson_mix(
         F.array().cast("array<double>"),
         lambda sums, m: F.concat(sums, F.array(F.coalesce(F.try_element_at(sums, F.lit(-1)), F.lit(0.0)) + m)),
     )
+    # A hash is at most 1 - 2^-52, so values above that never count.
+    running = F.filter(running, lambda c: c <= 1 - 2.0**-52)
     known = rates(docs, weights, size, power).withColumn("_mean", mean).withColumn("_mass", mass)
     known = broadcast_if_small(table(known.select("_of", "_rate", running.alias("_cumulative")), "rates"))
     kept = [c for c in docs.columns if c not in ADDED]
