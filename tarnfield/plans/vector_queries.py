@@ -353,6 +353,38 @@ def s14(spark, folder):
     return vector_files.parse_geocoder(responses).withColumn("lon", F.col("lon").cast("long"))
 
 
+@query(
+    "s14_geocoder_refusals",
+    "",
+    """SELECT c_custkey AS query_id, CASE WHEN c_custkey % 5 = 0 THEN 'coordinate_system' WHEN c_custkey % 7 = 1 THEN 'address'
+         WHEN c_custkey % 11 = 2 THEN 'longitude' ELSE 'latitude' END AS problem
+       FROM customer WHERE c_custkey % 5 = 0 OR c_custkey % 7 = 1 OR c_custkey % 11 = 2 OR c_custkey % 13 = 3""",
+)
+def s14_refused(spark, folder):
+    """Two candidates an answer, of which the second may lack its address or lie outside the world."""
+    key = F.col("c_custkey")
+
+    def candidate(address, lon, lat):
+        return F.concat(
+            F.lit("<candidate><address>"), address, F.lit("</address><longitude>"), lon.cast("string"),
+            F.lit("</longitude><latitude>"), lat.cast("string"), F.lit("</latitude><iLvl>1</iLvl></candidate>"),
+        )
+
+    second = candidate(
+        F.when(key % 7 == 1, "").otherwise(F.col("c_name")),
+        F.when(key % 11 == 2, 181.5).otherwise(139.5),
+        F.when(key % 13 == 3, -91.0).otherwise(35.5),
+    )
+    responses = A.table(spark, folder, "customer").select(
+        key.alias("query_id"),
+        F.concat(
+            F.lit("<results><geodetic>"), F.when(key % 5 == 0, "tokyo").otherwise("wgs1984"), F.lit("</geodetic><iConf>5</iConf>"),
+            candidate(F.col("c_name"), F.lit(139.0), F.lit(35.0)), second, F.lit("</results>"),
+        ).alias("xml"),
+    )
+    return vector_files.refused_geocoders(responses)
+
+
 @query(
     "m10_position_lists",
     "",

@@ -176,13 +176,24 @@ def parse_basic_items(files: DataFrame, box: tuple[float, float, float, float])
     return points.filter(meets)
 
 
-def parse_geocoder(responses: DataFrame, limit: int = 10) -> DataFrame:
-    """Geocoder answers (query_id, xml) to their first candidates in order."""
+def _judged(responses: DataFrame, limit: int) -> DataFrame:
+    """Parsed answers, their first candidates, and why an answer is refused (NULL where it is not)."""
     parsed = responses.select("query_id", F.from_xml("xml", GEOCODER_SCHEMA).alias("r"))
-    usable = parsed.filter(F.lower("r.geodetic").isin(*WGS84_NAMES))
-    return usable.select(
-        "query_id", "r.iConf", "r.converted", F.posexplode("r.candidate").alias("pos", "c")
-    ).filter(F.col("pos") < limit).select(
+    first = F.slice(F.coalesce("r.candidate", F.array().cast(parsed.schema["r"].dataType["candidate"].dataType)), 1, limit)
+    within = lambda x, most: F.coalesce(F.abs(x) <= most, F.lit(False)) & ~F.isnan(x)
+    problem = (
+        F.when(~F.coalesce(F.lower("r.geodetic").isin(*WGS84_NAMES), F.lit(False)), "coordinate_system")
+        .when(F.exists("first", lambda c: F.coalesce(F.trim(c["address"]) == "", F.lit(True))), "address")
+        .when(F.exists("first", lambda c: ~F.coalesce(within(c["longitude"], 180.0), F.lit(False))), "longitude")
+        .when(F.exists("first", lambda c: ~F.coalesce(within(c["latitude"], 90.0), F.lit(False))), "latitude")
+    )
+    return parsed.withColumn("first", first).withColumn("problem", problem)
+
+
+def parse_geocoder(responses: DataFrame, limit: int = 10) -> DataFrame:
+    """Geocoder answers (query_id, xml) to their first candidates in order; refused answers give none."""
+    usable = _judged(responses, limit).filter("problem IS NULL")
+    return usable.select("query_id", "r.iConf", "r.converted", F.posexplode("first").alias("pos", "c")).select(
         "query_id",
         "pos",
         F.col("c.address").alias("title"),
@@ -194,6 +205,11 @@ def parse_geocoder(responses: DataFrame, limit: int = 10) -> DataFrame:
     )
 
 
+def refused_geocoders(responses: DataFrame, limit: int = 10) -> DataFrame:
+    """Answers that are refused whole: another coordinate system, or a candidate without address or place."""
+    return _judged(responses, limit).filter("problem IS NOT NULL").select("query_id", "problem")
+
+
 def unsupported_geocoders(responses: DataFrame) -> DataFrame:
     """Answers in another coordinate system."""
     parsed = responses.select("query_id", F.from_xml("xml", GEOCODER_SCHEMA).alias("r"))
