@@ -1,11 +1,13 @@
 """Benchmark decontamination by the q-gram lemma: shared q-grams per diagonal band, then banded alignment.
 
 Items and documents are compared in lower case with white space runs as one blank. An item is cut into windows
-of ``WINDOW`` characters that overlap by half (the last one ends with the item), so that longer parts of an item
-are found as well. A window within ``BUDGET`` x WINDOW = k edits of a document region shares at least
+of ``WINDOW`` characters at every ``STEP``-th one (the last one ends with the item). A passage of WINDOW characters
+starts at most STEP / 2 characters beside a window, so exact passages of that length (about 13 words) are found
+wherever they start, and those with up to STEP / 2 edits as well. A window within ``BUDGET`` x WINDOW = k edits of a document region shares at least
 ``WINDOW - q + 1 - k q`` q-grams with it, all on diagonals (document minus window position) that differ by at
 most k. Shared q-grams are counted in diagonal bands of width 2k + 1 that overlap by half, so that such a region
-lies in one of them whole; bands that reach the bound are aligned within their diagonals, and those at most k
+lies in one of them whole. Hits are kept per item and diagonal band, in the order of their places in the item, and a
+window is met where so many of them in a row lie within it. Bands that reach the bound are aligned within their diagonals, and those at most k
 edits apart are leaks. Shorter items are one window with a budget of their own length.
 
 The benchmark is taken in blocks of at most about ``BLOCK`` characters, each of which meets all documents. Items
@@ -26,9 +28,11 @@ ship(__name__)
 
 Q = 8
 WINDOW = 80
+STEP = 8  # at most BUDGET x WINDOW
 BUDGET = 0.1
 BLOCK = 1 << 20
 PIECE = 1 << 16  # positions of a document whose hits are held at once
+LAP = 128  # of two pieces; the hits of one band and window lie within WINDOW + 2k + 2 positions
 FILTER_BITS = 22
 SHIFT = 1 << 20  # keeps the band numbers of a window positive
 
@@ -49,35 +53,54 @@ def grams(points: np.ndarray) -> np.ndarray:
     return h
 
 
+class Windows:
+    """Windows as parts of one joined text."""
+
+    def __init__(self, text: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
+        self.text, self.starts, self.sizes = text, starts, sizes
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def __getitem__(self, w: int) -> np.ndarray:
+        if w >= len(self.starts):
+            raise IndexError(w)
+        return self.text[self.starts[w] : self.starts[w] + self.sizes[w]]
+
+
 class Index:
-    """Windows of one block of items, with the places of every q-gram."""
+    """Windows of one block of items, and the places of every q-gram in the items."""
 
     def __init__(self, items: list[tuple[int | None, bytes]]):
-        self.item, self.points, self.edits, self.bound = [], [], [], []
-        hashes, owners, offsets = [], [], []
+        none = np.zeros(0, dtype=np.int64)
+        texts, hashes, owners, offsets = [np.zeros(0, dtype="<u4")], [np.zeros(0, dtype=np.uint64)], [none], [none]
+        self.item, starts, own, total = [], [none], [], 0
         for name, text in items:
             points = folded(text)
             if len(points) < Q:
                 continue
-            last = max(0, len(points) - WINDOW)
-            for at in [*range(0, last, WINDOW // 2), last]:
-                own = points[at : at + WINDOW]
-                k = min(int(BUDGET * len(own)), (len(own) - Q) // Q)
-                marks = grams(own)
-                hashes.append(marks)
-                owners.append(np.full(len(marks), len(self.item), dtype=np.int64))
-                offsets.append(np.arange(len(marks)))
-                self.item.append(name)
-                self.points.append(own)
-                self.edits.append(k)
-                self.bound.append(len(own) - Q + 1 - k * Q)
-        joined = np.concatenate([*hashes, np.zeros(0, dtype=np.uint64)]).astype(np.uint64)
+            size, last = min(WINDOW, len(points)), max(0, len(points) - WINDOW)
+            k = min(int(BUDGET * size), (size - Q) // Q)
+            at = np.array([*range(0, last, STEP), last])
+            marks = grams(points)
+            hashes.append(marks)
+            owners.append(np.full(len(marks), len(own), dtype=np.int64))
+            offsets.append(np.arange(len(marks)))
+            own.append((len(self.item), len(at), last, size, k, size - Q + 1 - k * Q))
+            self.item += [name] * len(at)
+            starts.append(total + at)
+            texts.append(points)
+            total += len(points)
+        table = np.array(own, dtype=np.int64).reshape(-1, 6)
+        self.window, self.windows, self.last, self.size, self.k, self.bound = table.T  # of each item
+        self.edits = np.repeat(self.k, self.windows)  # of each window
+        self.at = np.concatenate(starts) - np.repeat(np.cumsum([0, *map(len, texts[1:])])[:-1], self.windows)
+        self.points = Windows(np.concatenate(texts), np.concatenate(starts), np.repeat(self.size, self.windows))
+        joined = np.concatenate(hashes)
         order = np.argsort(joined, kind="stable")
         self.grams, self.first = np.unique(joined[order], return_index=True)
         self.first = np.r_[self.first, len(joined)]
-        self.owner = np.concatenate([*owners, np.zeros(0, dtype=np.int64)]).astype(np.int64)[order]
-        self.offset = np.concatenate([*offsets, np.zeros(0, dtype=np.int64)]).astype(np.int64)[order]
-        self.edits, self.bound = np.array(self.edits, dtype=np.int64), np.array(self.bound, dtype=np.int64)
+        self.owner, self.offset = np.concatenate(owners)[order], np.concatenate(offsets)[order]
         self.seen = np.zeros(1 << FILTER_BITS, dtype=bool)
         self.seen[self.slot(self.grams)] = True
 
@@ -88,9 +111,9 @@ class Index:
     def bands(self, points: np.ndarray) -> np.ndarray:
         """Rows (window, first diagonal) of the bands that reach their window's bound."""
         marks = grams(points)
-        kept, counts = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        found = [np.zeros((0, 2), dtype=np.int64)]
         for at in range(0, len(marks), PIECE):
-            part = marks[at : at + PIECE]
+            part = marks[at : at + PIECE + LAP]
             near = np.flatnonzero(self.seen[self.slot(part)])
             if not len(near):
                 continue
@@ -100,22 +123,27 @@ class Index:
             near, place = near[hit], place[hit]
             size = self.first[place + 1] - self.first[place]
             posting = np.arange(size.sum()) + np.repeat(self.first[place] - np.cumsum(size) + size, size)
-            window = self.owner[posting]
-            band = (np.repeat(near, size) + at - self.offset[posting]) // (self.edits[window] + 1)
-            own, n = np.unique((window << 32) + band + SHIFT, return_counts=True)  # each hit in its own band ...
-            keys = np.concatenate([own, own - 1])  # ... and in the one before, which overlaps it
-            order = np.argsort(keys, kind="stable")
-            keys, n = keys[order], np.concatenate([n, n])[order]
-            new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else order
-            kept.append(keys[new])
-            counts.append(np.add.reduceat(n, new) if len(new) else n)
-        keys, n = np.concatenate(kept), np.concatenate(counts)
-        if len(kept) > 2:
-            keys, at = np.unique(keys, return_inverse=True)
-            n = np.bincount(at, n, minlength=len(keys))
-        keys = keys[n >= self.bound[keys >> 32]]
-        window = keys >> 32
-        return np.stack([window, ((keys & 0xFFFFFFFF) - SHIFT) * (self.edits[window] + 1)], axis=1)
+            item, offset = self.owner[posting], self.offset[posting]
+            key = (item << 32) + (np.repeat(near, size) + at - offset) // (self.k[item] + 1) + SHIFT
+            keys, offset = np.concatenate([key, key - 1]), np.concatenate([offset, offset])  # two bands that overlap
+            order = np.lexsort((offset, keys))
+            keys, offset = keys[order], offset[order]
+            item = keys >> 32
+            span = np.arange(len(keys)) + self.bound[item] - 1  # from each hit to the one that reaches the bound
+            ok = np.flatnonzero(span < len(keys))
+            ok = ok[(keys[span[ok]] == keys[ok]) & (offset[span[ok]] - offset[ok] <= self.size[item[ok]] - Q)]
+            key, item, low, high = keys[ok], item[ok], offset[ok], offset[span[ok]]
+            begin = np.maximum(0, -((self.size[item] - Q - high) // STEP))
+            end = np.minimum(low // STEP, self.windows[item] - 2)
+            end = np.where(low >= self.last[item], self.windows[item] - 1, end)  # the last window may start off the steps
+            begin = np.minimum(begin, np.where(low >= self.last[item], self.windows[item] - 1, begin))
+            n = np.maximum(0, end - begin + 1)
+            window = np.arange(n.sum()) + np.repeat(self.window[item] + begin - np.cumsum(n) + n, n)
+            band = (np.repeat(key, n) & 0xFFFFFFFF) - SHIFT
+            rows = np.stack([window, band * (self.edits[window] + 1) + self.at[window]], axis=1)
+            found.append(np.unique(rows, axis=0))
+        rows = np.concatenate(found)
+        return np.unique(rows, axis=0) if len(found) > 2 else rows
 
     def align(self, regions: list[tuple[np.ndarray, int, int]]) -> list[tuple[int, int, int] | None]:
         """(start, end, edits) of the best alignment within each band (text, window, first diagonal), if within the budget.

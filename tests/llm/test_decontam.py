@@ -81,3 +81,27 @@ def test_odd_rows(spark, odd, none):
     assert decontam.without_leaks(odd, benchmark).columns == odd.columns
     assert decontam.without_leaks(odd, benchmark.limit(0)).count() == 12
     assert decontam.with_leaks(none, benchmark).count() == 0
+
+
+def test_passages_are_found_wherever_they_start():
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(rng.randrange(2, 9)))
+    for size in (254, 161, 97):
+        item = " ".join(word() for _ in range(80))[:size].rstrip().ljust(size, "x")
+        index = decontam.Index([(3, b"another item that is short"), (7, item.encode())])
+        around = " ".join(word() for _ in range(30))
+        parts = [item[at : at + 80] for at in range(size - 79)]
+        docs = [f"{around} {p} {around}" for p in parts + [edited(p, 3, rng) for p in parts]]
+        found = index.leaks([d.encode() for d in docs])
+        assert all([x["item_id"] for x in leaks] == [7] for leaks in found)
+        assert index.leaks([around.encode()]) == [[]]
+
+
+def test_passages_across_pieces(monkeypatch):
+    rng = random.Random(5)
+    item = " ".join("".join(rng.choice("abcdefghijkl") for _ in range(6)) for _ in range(30))
+    index = decontam.Index([(1, item.encode())])
+    doc = "y" * 300 + item + "y" * 300
+    whole = index.leaks([doc.encode()])
+    monkeypatch.setattr(decontam, "PIECE", 64)
+    assert index.leaks([doc.encode()]) == whole and whole[0]
