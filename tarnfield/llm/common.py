@@ -35,6 +35,19 @@ def quoted(names: list[str]) -> list[Column]:
     return [F.col("`" + n.replace("`", "``") + "`") for n in names]
 
 
+def apart(docs: DataFrame, used: tuple[str, ...], step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``step`` on documents whose columns besides ``used`` have names that no operator uses.
+
+    The given names and order come back, followed by the columns that the step adds; a given column of the
+    name of an added one is replaced by it.
+    """
+    names = [c if c in used else f"given {i}" for i, c in enumerate(docs.columns)]
+    out = step(docs.toDF(*names))
+    added = [c for c in out.columns if c not in names]
+    kept = [F.col(f"`{n}`").alias(c) for n, c in zip(names, docs.columns) if c not in added]
+    return out.select(*kept, *quoted(added))
+
+
 def remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnfield.llm import ann, brown, decontam, langid, linededup, mixing, pages, sharding, simhash, toxicity
+from tarnfield.llm import ann, brown, decontam, fertility, langid, linededup, mixing, pages, sharding, simhash, toxicity
 from tarnfield.llm.common import remainder
 
 SHARDS = 40
@@ -84,7 +84,12 @@ def op10_poisson_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "source", "copies", "copy", "position", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_language_spans, op3_brown_classes, op4_interleaved_shards, op5_qgram_decontamination, op6_line_windows, op7_toxic_segments, op8_kmeans_tree_neighbours, op9_url_differencing, op10_poisson_mix)}
+def op12_tokeniser_fertility(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents").select("doc_id", "text", "lang")
+    return fertility.judged(docs).drop("text", "lang")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_language_spans, op3_brown_classes, op4_interleaved_shards, op5_qgram_decontamination, op6_line_windows, op7_toxic_segments, op8_kmeans_tree_neighbours, op9_url_differencing, op10_poisson_mix, op12_tokeniser_fertility)}
 
 #: 52 bits of a text's md5 as a number in [0, 1).
 UNIT = "('0x' || substr(md5({}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
