@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnfield import config
+from tarnfield.operators.envelope import fill_nearest
 from tarnfield.operators.grid import GridSpec, block, ring_offsets, scatter, square_offsets
 from tarnfield.runtime import cut_lineage
 
@@ -147,84 +148,13 @@ def gap_report(cells: DataFrame, gaps: DataFrame) -> DataFrame:
     )
 
 
-def _nearest_in_row(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Second pass of the exact distance transform: one grid row against its column minima.
-
-    Every row of the grid is one group of exactly ``width`` cells. Search around a gap widens
-    only while a closer column could still exist.
-    """
-    pdf = pdf.sort_values("col")
-    col, row = pdf["col"].to_numpy(), int(pdf["row"].iloc[0])
-    src, val = pdf["src_row"].to_numpy(dtype=float), pdf["src_z"].to_numpy(dtype=float)
-    z = pdf["z"].to_numpy(dtype=float).copy()
-    usable = np.flatnonzero(~np.isnan(src))
-    gaps = np.flatnonzero(np.isnan(z))
-    filled = np.zeros(len(z), dtype=bool)
-    if len(usable) == 0:
-        return pdf.assign(filled=False)[["row", "col", "z", "filled"]]
-    ucol, urow, uval = col[usable], src[usable], val[usable]
-    vertical = (urow - row) ** 2
-    place = np.searchsorted(ucol, col[gaps])
-    for gap, at in zip(gaps, place):
-        here, best, pick = col[gap], None, -1
-        left, right = at - 1, at
-        while left >= 0 or right < len(ucol):
-            dl = here - ucol[left] if left >= 0 else np.inf
-            dr = ucol[right] - here if right < len(ucol) else np.inf
-            if best is not None and min(dl, dr) ** 2 > best[0]:
-                break
-            if dl <= dr:
-                index, left = left, left - 1
-            else:
-                index, right = right, right + 1
-            rank = ((ucol[index] - here) ** 2 + vertical[index], urow[index], ucol[index])
-            if best is None or rank < best:
-                best, pick = rank, index
-        z[gap], filled[gap] = uval[pick], True
-    return pdf.assign(z=z, filled=filled)[["row", "col", "z", "filled"]]
-
-
-def fill_nearest(cells: DataFrame) -> DataFrame:
-    """Exact Euclidean nearest-valid fill; ties go to the smaller row, then column.
-
-    Separable: column windows give each cell its nearest valid cell above and below, then
-    rows combine those. Rows without a gap never leave the JVM.
-    """
-    column = Window.partitionBy("col").orderBy("row")
-    known = F.when(F.col("z").isNotNull(), F.col("row"))
-    below_row, below_z = (F.last(x, ignorenulls=True).over(column) for x in (known, F.col("z")))
-    after = column.rowsBetween(0, Window.unboundedFollowing)
-    above_row, above_z = (F.first(x, ignorenulls=True).over(after) for x in (known, F.col("z")))
-    take_below = F.col("br").isNotNull() & (
-        F.col("ar").isNull() | (F.col("row") - F.col("br") <= F.col("ar") - F.col("row"))
-    )
-    vertical = cells.select(
-        "row", "col", "z", below_row.alias("br"), below_z.alias("bz"), above_row.alias("ar"), above_z.alias("az")
-    ).select(
-        "row",
-        "col",
-        "z",
-        F.when(take_below, F.col("br")).otherwise(F.col("ar")).cast("double").alias("src_row"),
-        F.when(take_below, F.col("bz")).otherwise(F.col("az")).cast("double").alias("src_z"),
-        F.max(F.col("z").isNull()).over(Window.partitionBy("row")).alias("has_gap"),
-    )
-    whole = vertical.filter(~F.col("has_gap")).select("row", "col", "z", F.lit(False).alias("filled"))
-    patched = (
-        vertical.filter("has_gap")
-        .drop("has_gap")
-        .groupBy("row")
-        .applyInPandas(lambda pdf: _nearest_in_row(pdf), "row int, col int, z double, filled boolean")
-    )
-    return whole.unionByName(patched)
-
-
 def fill_elevation(cells: DataFrame, grid: GridSpec, tile: int = config.TILE) -> DataFrame:
     """Nearest fill behind the coverage rule: too much interior loss is an error."""
     gaps = coastal_gaps(cells, grid, tile)
     report = gap_report(cells, gaps).first()
     if not report["covered"]:
         raise InteriorGap(f"interior missing share {report['interior_fraction']:.4f}")
-    return fill_nearest(cells)
+    return fill_nearest(cells, tile)
 
 
 def roof_recipients(labelled: DataFrame, ground: DataFrame, reach: int = 5, strict: bool = True) -> DataFrame:

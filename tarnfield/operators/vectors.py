@@ -171,41 +171,66 @@ def _cols(frame: DataFrame, low: Column, high: Column, width: int, keep: list[st
     )
 
 
-def _spans(features: DataFrame, grid: GridSpec, near: float | None = None) -> DataFrame:
-    """Scan lines: per feature and row the x intervals inside the ring (even-odd rule).
+def ring_id() -> Column:
+    """Tells the rings of one feature apart."""
+    return F.xxhash64("feature_id", "ring").alias("ring_id")
 
-    Rings are dropped as soon as the crossings are known, and the spans are spread before they
-    unfold, so that one huge polygon does not unfold inside one task.
+
+def _spans(features: DataFrame, grid: GridSpec) -> DataFrame:
+    """Cells (feature_id, ring_id, row, col) whose centre lies inside the ring (even-odd rule).
+
+    Edges unfold first and each meets only the rows whose centre line it crosses, so a ring costs its crossings,
+    not its edges times its rows. The crossings of a ring and row are sorted and paired. A ring that comes
+    twice under one feature counts once.
     """
     y0, x0 = -grid.height_m / 2, -grid.width_m / 2
-    ys = F.transform("ring", lambda p: p["y"])
-    # the lowest and highest row whose centre may lie in the ring, widened by the rule's margin
-    low = F.ceil((F.array_min(ys) - y0) / grid.dy - 0.5)
-    high = F.floor((F.array_max(ys) - y0) / grid.dy - 0.5)
-    rows = features.select("feature_id", edges(F.col("ring")).alias("e"), _rows(low, high, grid.height).alias("row"))
+    parts = features.select("feature_id", ring_id(), F.posexplode(edges(F.col("ring"))).alias("i", "e"))
+    parts = parts.select("feature_id", "ring_id", "i", "e.*").filter("y1 <> y2")
+    # rows whose centre may lie between the ends, widened by one against rounding
+    low = F.floor((F.least("y1", "y2") - y0) / grid.dy - 0.5)
+    high = F.ceil((F.greatest("y1", "y2") - y0) / grid.dy - 0.5)
+    met = parts.select("*", _rows(low, high, grid.height).alias("row"))
     y = F.lit(y0) + (F.col("row") + 0.5) * grid.dy
-    crossing = F.filter("e", lambda e: (e["y1"] <= y) != (e["y2"] <= y))
-    xs = F.array_sort(
-        F.transform(crossing, lambda e: e["x1"] + (y - e["y1"]) * (e["x2"] - e["x1"]) / (e["y2"] - e["y1"]))
-    )
-    keep = ["feature_id", "row"]
-    cols = [xs.alias("xs")]
-    if near is not None:
-        cols.append(
-            F.filter(
-                "e", lambda e: (F.least(e["y1"], e["y2"]) < y + near) & (F.greatest(e["y1"], e["y2"]) > y - near)
-            ).alias("near")
-        )
-        keep.append("near")
-    lines = rows.select("feature_id", "row", *cols).filter(F.size("xs") >= 2)
+    met = met.filter((F.col("y1") <= y) != (F.col("y2") <= y))
+    x = F.col("x1") + (y - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
+    sorted_ = met.groupBy("feature_id", "ring_id", "row").agg(F.array_sort(F.collect_set(F.struct(x.alias("x"), "i"))).alias("xs"))
     pairs = F.transform(
         F.sequence(F.lit(0), F.floor(F.size("xs") / 2).cast("int") - 1),
-        lambda i: F.struct(F.get("xs", 2 * i).alias("a"), F.get("xs", 2 * i + 1).alias("b")),
+        lambda i: F.struct(F.get("xs", 2 * i)["x"].alias("a"), F.get("xs", 2 * i + 1)["x"].alias("b")),
     )
-    spans = lines.select(*keep, F.explode(pairs).alias("s")).repartition("feature_id", "row")
+    spans = sorted_.filter(F.size("xs") >= 2).select("feature_id", "ring_id", "row", F.explode(pairs).alias("s"))
     first = F.ceil((F.col("s.a") - x0) / grid.dx - 0.5)
     last = F.ceil((F.col("s.b") - x0) / grid.dx - 0.5) - 1
-    return _cols(spans, first, last, grid.width, ["feature_id"] + (["near"] if near is not None else []))
+    return _cols(spans, first, last, grid.width, ["feature_id", "ring_id"])
+
+
+def _near_edges(features: DataFrame, grid: GridSpec, distance_m: float) -> DataFrame:
+    """Cells whose centre is nearer than ``distance_m`` to an edge: each edge meets only the cells around it."""
+    y0, x0 = -grid.height_m / 2, -grid.width_m / 2
+    parts = features.select("feature_id", ring_id(), F.explode(edges(F.col("ring"))).alias("e"))
+    parts = parts.select("feature_id", "ring_id", "e.*").distinct()
+    low, high = F.least("y1", "y2") - distance_m, F.greatest("y1", "y2") + distance_m
+    rows = parts.select(
+        "*", _rows(F.floor((low - y0) / grid.dy - 0.5), F.ceil((high - y0) / grid.dy - 0.5), grid.height).alias("row")
+    ).repartition("feature_id", "row")
+    y = F.lit(y0) + (F.col("row") + 0.5) * grid.dy
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+
+    def x_at(level: Column) -> Column:
+        share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (level - F.col("y1")) / dy))
+        return F.when(dy == 0, F.col("x1")).otherwise(F.col("x1") + share * dx)
+
+    flat = dy == 0
+    xa = F.when(flat, F.least("x1", "x2")).otherwise(F.least(x_at(y - distance_m), x_at(y + distance_m))) - distance_m
+    xb = F.when(flat, F.greatest("x1", "x2")).otherwise(F.greatest(x_at(y - distance_m), x_at(y + distance_m))) + distance_m
+    keep = ["feature_id", "ring_id", "x1", "y1", "x2", "y2"]
+    cells = _cols(rows, F.floor((xa - x0) / grid.dx - 0.5), F.ceil((xb - x0) / grid.dx - 0.5), grid.width, keep)
+    cx, cy = grid.x_of(F.col("col")), grid.y_of(F.col("row"))
+    length2 = dx * dx + dy * dy
+    share = F.when(length2 > 0, ((cx - F.col("x1")) * dx + (cy - F.col("y1")) * dy) / length2).otherwise(0.0)
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))
+    gx, gy = cx - F.col("x1") - share * dx, cy - F.col("y1") - share * dy
+    return cells.filter(gx * gx + gy * gy < distance_m * distance_m).select("feature_id", "ring_id", "row", "col").distinct()
 
 
 def rasterise_polygons(features: DataFrame, grid: GridSpec, all_touched: bool = False) -> DataFrame:
@@ -243,18 +268,9 @@ def rasterise_inset(features: DataFrame, grid: GridSpec, inset_m: float = 0.5) -
 
     That is the erosion of the polygon by a disc; small buildings vanish by themselves.
     """
-    cells = _spans(features, grid, near=inset_m)
-    x, y = grid.x_of(F.col("col")), grid.y_of(F.col("row"))
-
-    def far(e: Column) -> Column:
-        dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
-        length2 = dx * dx + dy * dy
-        share = F.when(length2 > 0, ((x - e["x1"]) * dx + (y - e["y1"]) * dy) / length2).otherwise(0.0)
-        share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), share))
-        gx, gy = x - e["x1"] - share * dx, y - e["y1"] - share * dy
-        return gx * gx + gy * gy >= inset_m * inset_m
-
-    return cells.filter(F.forall("near", far)).select("feature_id", "row", "col")
+    near = _near_edges(features, grid, inset_m)
+    inside = _spans(features, grid).join(near, ["feature_id", "ring_id", "row", "col"], "left_anti")
+    return inside.select("feature_id", "row", "col")
 
 
 def buffer_lines(features: DataFrame, half_width: float, mitre_limit: float = 5.0) -> DataFrame:

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnfield.operators.grid import GridSpec
+from tarnfield.runtime import scratch_path
+from tarnfield.sources import dense
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -176,3 +180,17 @@ def scene(spark: SparkSession, folder: str) -> DataFrame:
         F.when(building, 0).otherwise(1).alias("mask"),
         int_div(F.col("col"), 24).cast("int").alias("zone"),
     )
+
+
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_cube(spark: SparkSession, folder: str) -> dense.DenseCube:
+    """The frames of a folder as a dense cube on disk; written once per application, opened again by each query."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _STORED:
+        path = scratch_path(spark, "dense-cube")
+        grid = GridSpec.measure(frame_cells(spark, folder))
+        dense.write_dense(frames(spark, folder).withColumn("run_id", F.lit("r1")), path, grid, tile=16, dtype="float64")
+        _STORED[key] = path
+    return dense.DenseCube(spark, _STORED[key])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from tarnfield.functions.columns import class_index, duration_label, elapsed_label, finite, output_interval_s
@@ -11,7 +13,7 @@ from tarnfield.operators.grid import GridSpec
 from tarnfield.plans import adapters as A
 from tarnfield.plans.registry import query
 from tarnfield.runtime import scratch_path
-from tarnfield.sources import cube
+from tarnfield.sources import cube, dense, documents
 
 EXTENT = "(SELECT max(\"row\") + 1 AS hh, max(col) + 1 AS ww FROM frame_cells)"
 
@@ -42,9 +44,10 @@ SUMMARY_SQL = """, peaks AS (
        round(sum(u), 6) + 0.0 AS u_sum FROM frames GROUP BY t""",
 )
 def s1(spark, folder):
-    frames = cube.check_cube(A.frames(spark, folder))
-    return frames.groupBy("t").agg(
-        F.count(F.lit(1)).alias("n"), r6(F.sum("h"), "depth_sum"), r6(F.max("h"), "depth_max"), r6(F.sum("u"), "u_sum")
+    """The stored cube, folded tile by tile inside the scan tasks."""
+    totals = A.stored_cube(spark, folder).totals()
+    return totals.select(
+        "t", F.col("cells").alias("n"), r6(F.col("h_sum"), "depth_sum"), r6(F.col("h_max"), "depth_max"), r6(F.col("u_sum"), "u_sum")
     )
 
 
@@ -55,10 +58,11 @@ def s1(spark, folder):
         WHERE t = 7 AND "row" >= e.hh // 4 AND "row" < greatest(e.hh // 4 + 1, (3 * e.hh) // 4) AND col >= 3 AND col < 12""",
 )
 def s2(spark, folder):
-    grid = GridSpec.measure(A.frame_cells(spark, folder))
-    low = grid.height // 4
-    rows = (low, max(low + 1, 3 * grid.height // 4))
-    window = cube.read_window(A.frames(spark, folder), grid, 7, rows, (3, 12))
+    """A window cut out of the stored arrays."""
+    stored = A.stored_cube(spark, folder)
+    low = stored.grid.height // 4
+    rows = (low, max(low + 1, 3 * stored.grid.height // 4))
+    window = stored.window(7, rows, (3, 12), ("h",))
     return window.select("t", "row", "col", r6(F.col("h"), "h"))
 
 
@@ -68,9 +72,9 @@ def s2(spark, folder):
     f"""SELECT t, round(h, 6) AS h FROM frames, {EXTENT} e WHERE "row" = e.hh // 2 AND col = e.ww // 2""",
 )
 def s3(spark, folder):
-    grid = GridSpec.measure(A.frame_cells(spark, folder))
-    series = cube.point_series(A.frames(spark, folder), grid.height // 2, grid.width // 2)
-    return series.select("t", r6(F.col("h"), "h"))
+    """All times of one cell out of the stored arrays."""
+    stored = A.stored_cube(spark, folder)
+    return stored.point_series(stored.grid.height // 2, stored.grid.width // 2).select("t", r6(F.col("h"), "h"))
 
 
 @query(
@@ -85,6 +89,73 @@ def s17(spark, folder):
     return stored.groupBy("t", "trow").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("h"), "depth_sum"))
 
 
+@query(
+    "s17_face_cube",
+    "frames",
+    """SELECT t, ("row" * 15 + col) // 64 AS block, count(*) AS n, round(sum(h), 6) AS depth_sum, round(sum(v), 6) + 0.0 AS v_sum
+       FROM frames WHERE "row" * 15 + col >= 20 GROUP BY 1, 2""",
+)
+def s17_faces(spark, folder):
+    """The face form: blocks of 64 faces, never expanded to cells; read back from the 20th face on."""
+    face = (F.col("row") * 15 + F.col("col")).alias("face")
+    series = A.frames(spark, folder).select(F.lit("r1").alias("run_id"), "t", face, "h", "u", "v")
+    faces = A.frame_cells(spark, folder).select(face, "mask", "elevation_m")
+    stored = dense.write_faces(series, scratch_path(spark, "faces"), faces, block=64, dtype="float64")
+    found = dense.face_cells(stored, faces=(20, stored.document["faces"]))
+    return found.groupBy("t", F.floor(F.col("face") / 64).alias("block")).agg(
+        F.count(F.lit(1)).alias("n"), r6(F.sum("h"), "depth_sum"), r6(F.sum("v"), "v_sum")
+    )
+
+
+@query(
+    "s17_result_document",
+    "raw_frames frame_cells",
+    """, m AS (SELECT f.*, mask, CASE WHEN isnan(h) THEN NULL ELSE h END AS depth FROM raw_frames f
+            JOIN frame_cells c ON c."row" = f."row" AND c.col = f.col),
+       of AS (SELECT count(*) FILTER (mask = 1) AS active, count(*) FILTER (mask > 1) AS boundary,
+                round(min(CASE WHEN mask = 1 THEN elevation_m END), 6) AS z_low, round(max(CASE WHEN mask = 1 THEN elevation_m END), 6) AS z_high,
+                max("row") + 1 AS hh, max(col) + 1 AS ww FROM frame_cells),
+       per AS (SELECT "row", col, max(greatest(depth, 0)) FILTER (depth IS NOT NULL) AS top FROM m WHERE mask = 1 GROUP BY 1, 2)
+       SELECT '1' AS schema_version, 'regular' AS storage_kind, -ww / 2.0::DOUBLE AS west_m, hh / 2.0::DOUBLE AS north_m, 'm' AS depth_unit,
+         list_sort(list(DISTINCT t)) AS times, true AS flows, round(max(CASE WHEN mask = 1 THEN greatest(depth, 0) END), 6) AS deepest,
+         (SELECT count(*) FILTER (top IS NOT NULL) FROM per) AS reconstructed,
+         count(*) FILTER (mask = 1 AND depth < 0) AS negative, round(min(CASE WHEN mask = 1 THEN depth END), 6) AS lowest, boundary, active, z_low, z_high
+       FROM m, of GROUP BY hh, ww, boundary, active, z_low, z_high""",
+)
+def s17_document(spark, folder):
+    """The document of a raw cube, published with its dense form and read back from disk."""
+    cells, raw = A.frame_cells(spark, folder), A.raw_frames(spark, folder)
+    grid, path = GridSpec.measure(cells), scratch_path(spark, "told-cube")
+    told = json.loads(documents.result_document(raw, cells, grid).first()["document"])
+    dense.write_dense(raw.withColumn("run_id", F.lit("r1")), path, grid, tile=16, dtype="float64", document=told)
+    stored = spark.read.parquet(f"{path}/published")
+    kind = (
+        "schema_version string, storage_kind string, bounds struct<west_m:double,north_m:double>, units map<string,string>, "
+        "available_time_indices array<int>, flow_vectors_available boolean, max_depth_summary struct<global_max_depth_m:double,"
+        "hmax_reconstructed_cells:long,negative_depth_clipped_values:long,min_raw_active_depth_m:double,excluded_boundary_cells:long>, "
+        "elevation_legend struct<low_m:double,high_m:double>, grid_level_summary map<string,long>"
+    )
+    d = stored.select(F.from_json("document", kind).alias("d")).select("d.*")
+    most = F.col("max_depth_summary")
+    return d.select(
+        "schema_version",
+        "storage_kind",
+        "bounds.west_m",
+        "bounds.north_m",
+        F.col("units")["water_depth"].alias("depth_unit"),
+        F.col("available_time_indices").alias("times"),
+        F.col("flow_vectors_available").alias("flows"),
+        r6(most["global_max_depth_m"], "deepest"),
+        most["hmax_reconstructed_cells"].alias("reconstructed"),
+        most["negative_depth_clipped_values"].alias("negative"),
+        r6(most["min_raw_active_depth_m"], "lowest"),
+        most["excluded_boundary_cells"].alias("boundary"),
+        F.col("grid_level_summary")["1m"].alias("active"),
+        r6(F.col("elevation_legend.low_m"), "z_low"),
+        r6(F.col("elevation_legend.high_m"), "z_high"),
+    )
+
+
 @query(
     "s19_exchange_cell_table",
     "cells",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarnfield import config
-from tarnfield.operators import blocks, components, policy
+from tarnfield.operators import blocks, components, envelope, policy
 from tarnfield.operators.grid import GridSpec, disc_offsets
 from tarnfield.plans import adapters as A
 from tarnfield.plans.cube_queries import r6
@@ -214,7 +214,7 @@ def a24_gaps(spark, folder):
        UNION ALL SELECT "row", col, round(elevation_m, 6) + 0.0, false FROM cells WHERE NOT water""",
 )
 def g5(spark, folder):
-    return components.fill_nearest(gappy(spark, folder)).select("row", "col", r6(F.col("z"), "z"), "filled")
+    return envelope.fill_nearest(gappy(spark, folder), tile=16, strip=16).select("row", "col", r6(F.col("z"), "z"), "filled")
 
 
 RINGS = reach_sql("cells", "building") + """, roofs AS (SELECT label, count(*) AS roof FROM labelled GROUP BY 1),
