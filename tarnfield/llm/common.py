@@ -39,12 +39,12 @@ def apart(docs: DataFrame, used: tuple[str, ...], step: Callable[[DataFrame], Da
     """``step`` on documents whose columns besides ``used`` have names that no operator uses.
 
     The given names and order come back, followed by the columns that the step adds; a given column of the
-    name of an added one is replaced by it.
+    name of an added one is replaced by it, and columns that the step drops are gone.
     """
     names = [c if c in used else f"given {i}" for i, c in enumerate(docs.columns)]
     out = step(docs.toDF(*names))
     added = [c for c in out.columns if c not in names]
-    kept = [F.col(f"`{n}`").alias(c) for n, c in zip(names, docs.columns) if c not in added]
+    kept = [F.col(f"`{n}`").alias(c) for n, c in zip(names, docs.columns) if n in out.columns and c not in added]
     return out.select(*kept, *quoted(added))
 
 

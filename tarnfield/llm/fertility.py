@@ -1,9 +1,10 @@
 """Quality rules by tokeniser fertility: how well public vocabularies fit a text, with bands per language.
 
-Four measures of a text: code points per token of a byte-level vocabulary (``chars_per_byte_token``) and of a
-vocabulary of pieces (``chars_per_piece``), the share of pieces that are single bytes (``byte_share``), and the
-mean entropy in bits of the byte-level tokens in windows of 64 consecutive tokens (``token_entropy``; the last
-window ends with the text, a shorter text is one window), which does not grow with the length of the text.
+The words of a text are encoded one by one. Four measures follow: code points per token of a byte-level
+vocabulary (``chars_per_byte_token``; it sees a blank before the word) and of a vocabulary of pieces
+(``chars_per_piece``), the share of pieces that are single bytes (``byte_share``), and the mean entropy in bits
+of the byte-level tokens in windows of 64 consecutive tokens (``token_entropy``; the last window ends with the
+text, a shorter text is one window), which does not grow with the length of the text.
 
 A measure's band in a group is its median plus and minus ``WIDTH`` times its median absolute deviation (at
 least ``LEAST`` of the measure). Medians are exact to a bin of a fixed histogram over all texts that pass the
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import base64
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,8 @@ ship(__name__)
 
 TOKENIZERS = "/opt/tokenizers"  # folder of the public vocabularies, present on every executor
 WINDOW = 64
+KEPT = 1 << 18  # words remembered in a task
+SLICE = 1 << 22  # bytes of text whose words are looked up together
 WIDTH = 8.0
 ENOUGH = 100
 MEASURES = ("chars_per_byte_token", "chars_per_piece", "byte_share", "token_entropy")
@@ -55,33 +59,101 @@ PLAIN = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repe
 MEASURED = f"{PLAIN}, script string, {', '.join(m + ' double' for m in MEASURES)}"
 
 
-def repeated_words(words: list[bytes]) -> int:
-    """Words inside windows of three that occur at least twice."""
-    if len(words) < 4:
+def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers in a row, and where each list begins and the last one ends."""
+    ends = np.r_[0, np.cumsum(np.fromiter(map(len, lists), dtype=np.int64, count=len(lists)))]
+    return np.fromiter(chain.from_iterable(lists), dtype=np.int32, count=int(ends[-1])), ends
+
+
+class Words:
+    """What the vocabularies make of each distinct word; at most about ``KEPT`` words are remembered."""
+
+    def __init__(self, folder: str):
+        with open(f"{folder}/byte_bpe_multi_50k.tiktoken", "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.by_bytes = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.by_pieces = sentencepiece.SentencePieceProcessor(model_file=f"{folder}/piece_bpe_32k.model")
+        self.is_byte = np.array([self.by_pieces.is_byte(i) for i in range(self.by_pieces.get_piece_size())])
+        self.scripts: dict[str, int] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.figures = np.zeros((5, 0), dtype=np.int64)  # code points, pieces, byte pieces, letters, script
+        self.starts, self.tokens = np.zeros(1, dtype=np.int64), np.zeros(0, dtype=np.int32)
+
+    def learn(self, lists: list[list[bytes]]) -> None:
+        """Know every word of the lists."""
+        if len(self.number) > KEPT:
+            self.forget()
+        fresh = sorted(set().union(*lists).difference(self.number))
+        if not fresh:
+            return
+        texts = [w.decode() for w in fresh]
+        tokens, token_ends = flat([self.by_bytes.encode_ordinary(" " + t) for t in texts])
+        pieces, piece_ends = flat(self.by_pieces.encode(texts, num_threads=1))
+        in_bytes = np.r_[0, np.cumsum(self.is_byte[pieces])]
+        letters, scripts = zip(*map(self.letters, texts))
+        new = [list(map(len, texts)), np.diff(piece_ends), np.diff(in_bytes[piece_ends]), letters, scripts]
+        self.number.update(zip(fresh, range(len(self.number), len(self.number) + len(fresh))))
+        self.figures = np.concatenate([self.figures, np.array(new, dtype=np.int64)], axis=1)
+        self.starts = np.concatenate([self.starts, self.starts[-1] + token_ends[1:]])
+        self.tokens = np.concatenate([self.tokens, tokens])
+
+    def letters(self, word: str) -> tuple[int, int]:
+        """Number of letters of the word's most frequent script (ties: first of ``SCRIPTS``), and that script."""
+        if word.isascii():
+            return sum(map(str.isalpha, word)), 0
+        found: Counter = Counter()
+        for letter in filter(str.isalpha, word):
+            if letter not in self.scripts:
+                named = (k for k, s in enumerate(SCRIPTS) if regex.match(rf"\p{{Script={s}}}", letter))
+                self.scripts[letter] = next(named, len(SCRIPTS))
+            found[self.scripts[letter]] += 1
+        most = min(found, key=lambda k: (-found[k], k), default=0)
+        return found[most], most
+
+    def measures(self, at: np.ndarray) -> tuple:
+        """Script and the four measures of a text, given as its words' numbers."""
+        points, pieces, in_bytes, letters, script = self.figures[:, at]
+        per = np.bincount(script, weights=letters, minlength=len(SCRIPTS) + 1)
+        named = (*SCRIPTS, "other")[int(per.argmax())] if per.any() else ""
+        length = self.starts[at + 1] - self.starts[at]
+        begins = np.cumsum(length) - length
+        tokens = self.tokens[np.arange(length.sum()) + np.repeat(self.starts[at] - begins, length)]
+        if not len(tokens) or not pieces.sum():
+            return named, None, None, None, None
+        total = int(points.sum())
+        share = float(in_bytes.sum() / pieces.sum())
+        return named, total / len(tokens), total / int(pieces.sum()), share, window_entropy(tokens)
+
+
+def repeated_words(at: np.ndarray) -> int:
+    """Words, given as numbers, inside windows of three that occur at least twice."""
+    if len(at) < 4:
         return 0
-    ids: dict[bytes, int] = {}
-    at = np.array([ids.setdefault(w, len(ids)) for w in words], dtype=np.int64)
-    pairs = np.unique(at[:-1] * len(ids) + at[1:], return_inverse=True)[1].ravel()
-    _, which, n = np.unique(pairs[:-1] * len(ids) + at[2:], return_inverse=True, return_counts=True)
+    many = int(at.max()) + 1
+    pairs = at[:-1] * many + at[1:]
+    if many > 1 << 20:
+        pairs = np.unique(pairs, return_inverse=True)[1].ravel()
+    _, which, n = np.unique(pairs[:-1] * many + at[2:], return_inverse=True, return_counts=True)
     again = n[which.ravel()] > 1
-    inside = np.zeros(len(words), dtype=bool)
+    inside = np.zeros(len(at), dtype=bool)
     for k in range(3):
         inside[k : k + len(again)] |= again
     return int(inside.sum())
 
 
-def plain_rules(text: bytes) -> tuple:
-    words = text.split()  # bytes: the six ASCII spaces only
-    n = len(words)
+def plain_rules(text: bytes, at: np.ndarray) -> tuple:
     lines = [line for line in text.split(b"\n") if line.strip()]
-    again = repeated_words(words)
+    again = repeated_words(at)
     return (
-        n,
+        len(at),
         len(text.translate(None, SPACES + CONTINUATION)),
         len(text) - len(text.translate(None, SYMBOLS)),
         len(lines) - len(set(lines)),
         again,
-        n < 50 or 100 * again > 50 * n,
+        len(at) < 50 or 100 * again > 50 * len(at),
     )
 
 
@@ -100,45 +172,22 @@ def window_entropy(tokens: np.ndarray) -> float:
     return float(np.log2(size) - (n * np.log2(n)).sum() / size / len(rows))
 
 
-def script_of(text: str, known: dict[str, str | None]) -> str:
-    """Script of most letters (ties: first by name), empty without letters; ``known`` keeps what was looked up."""
-    if text.isascii():
-        return "Latin" if any(map(str.isalpha, text)) else ""
-    found: Counter = Counter()
-    for letter, n in Counter(text).items():
-        if letter not in known:
-            named = next((s for s in SCRIPTS if regex.match(rf"\p{{Script={s}}}", letter)), "other")
-            known[letter] = named if letter.isalpha() else None
-        if known[letter]:
-            found[known[letter]] += n
-    return min(found, key=lambda s: (-found[s], s)) if found else ""
-
-
 def measured(docs: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
     """``docs`` with the plain rules' figures, the script and the four measures."""
 
     def start():
-        with open(f"{folder}/byte_bpe_multi_50k.tiktoken", "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        by_bytes = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        by_pieces = sentencepiece.SentencePieceProcessor(model_file=f"{folder}/piece_bpe_32k.model")
-        is_byte = np.array([by_pieces.is_byte(i) for i in range(by_pieces.get_piece_size())])
-        known: dict[str, str | None] = {}
-
-        def measures(text: str) -> tuple:
-            tokens = np.array(by_bytes.encode_ordinary(text), dtype=np.int32)
-            pieces = np.array(by_pieces.encode(text, num_threads=1), dtype=np.int32)
-            if not len(tokens) or not len(pieces):
-                return (script_of(text, known), None, None, None, None)
-            share = float(is_byte[pieces].mean())
-            return (script_of(text, known), len(text) / len(tokens), len(text) / len(pieces), share, window_entropy(tokens))
+        words = Words(folder)
 
         def step(batch):
             rows = []
             texts = raw(batch, "text")
-            for part in slices(texts):
-                for text in texts[part]:
-                    rows.append(plain_rules(text or b"") + measures((text or b"").decode()))
+            for part in slices(texts, SLICE):
+                some = [t or b"" for t in texts[part]]
+                lists = [t.split() for t in some]  # bytes: the six ASCII spaces only
+                words.learn(lists)
+                for text, own in zip(some, lists):
+                    at = np.array([words.number[w] for w in own], dtype=np.int64)
+                    rows.append(plain_rules(text, at) + words.measures(at))
             types = [pa.int64()] * 5 + [pa.bool_(), pa.string()] + [pa.float64()] * 4
             return [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
 
@@ -178,13 +227,17 @@ def bands(counted: DataFrame, width: float = WIDTH) -> DataFrame:
     return met.select("group", "measure", (centre - reach).alias("low"), (centre + reach).alias("high"))
 
 
-def judged(docs: DataFrame, folder: str = TOKENIZERS, width: float = WIDTH) -> DataFrame:
-    """``docs`` with the figures, ``group``, ``outside`` (measures outside their band) and ``kept``."""
+def judged(docs: DataFrame, folder: str = TOKENIZERS, width: float = WIDTH, texts: bool = True) -> DataFrame:
+    """``docs`` with the figures, ``group``, ``outside`` (measures outside their band) and ``kept``.
+
+    With ``texts`` false the texts do not come back and are not written on the way.
+    """
 
     def step(given: DataFrame) -> DataFrame:
         if "lang" not in given.columns:
             given = given.withColumn("lang", F.lit(None).cast("string"))
-        found = table(measured(given, folder), "measured")
+        found = measured(given, folder)
+        found = table(found if texts else found.drop("text"), "measured")
         good = found.filter("NOT base_failed")
         by_lang = F.concat(F.lit("lang "), "lang")
         by_script = F.concat(F.lit("script "), "script")

@@ -45,8 +45,10 @@ def test_measures_of_every_text(spark, docs):
     by_bytes = tiktoken.Encoding("t", pat_str=fertility.PATTERN, mergeable_ranks=ranks, special_tokens={})
     pieces = sentencepiece.SentencePieceProcessor(model_file=f"{fertility.TOKENIZERS}/piece_bpe_32k.model")
     for r in fertility.measured(docs).collect():
-        a, b = by_bytes.encode_ordinary(r["text"] or ""), pieces.encode(r["text"] or "", out_type=str)
-        if not a:
+        words = re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")
+        a = [t for w in words for t in by_bytes.encode_ordinary(" " + w)]
+        b = [p for w in words for p in pieces.encode(w, out_type=str)]
+        if not words:
             assert r["token_entropy"] is None
             continue
         size = min(64, len(a))
@@ -55,8 +57,8 @@ def test_measures_of_every_text(spark, docs):
             starts.append(len(a) - size)
         bits = [-sum(n / size * math.log2(n / size) for n in Counter(a[s : s + size]).values()) for s in starts]
         assert r["token_entropy"] == pytest.approx(sum(bits) / len(bits))
-        assert r["chars_per_byte_token"] == pytest.approx(len(r["text"]) / len(a))
-        assert r["chars_per_piece"] == pytest.approx(len(r["text"]) / len(b))
+        assert r["chars_per_byte_token"] == pytest.approx(sum(map(len, words)) / len(a))
+        assert r["chars_per_piece"] == pytest.approx(sum(map(len, words)) / len(b))
         assert r["byte_share"] == pytest.approx(sum(bool(re.fullmatch("<0x..>", p)) for p in b) / len(b))
 
 
@@ -109,9 +111,18 @@ def test_odd_rows_and_columns(spark, odd, none):
     assert got == [("own", "own")]
 
 
-def test_scripts():
-    known = {}
-    assert fertility.script_of("Привет, мир abc", known) == "Cyrillic"
-    assert fertility.script_of("漢字かな漢", known) == "Han"
-    assert fertility.script_of("123 !!!", known) == ""
-    assert fertility.script_of("hello", known) == "Latin"
+def test_scripts(spark, monkeypatch):
+    texts = ["Привет, мир abc", "漢字かな漢", "123 !!!", "hello", "αβγ Ω x", "a б"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    assert [r["script"] for r in fertility.measured(docs).collect()] == ["Cyrillic", "Han", "", "Latin", "Greek", "Latin"]
+
+
+def test_forgetting_words_changes_nothing(docs):
+    words = fertility.Words(fertility.TOKENIZERS)
+    texts = [(r["text"] or "").encode().split() for r in docs.limit(40).collect()]
+    words.learn(texts)
+    want = [words.measures(fertility.np.array([words.number[w] for w in t], dtype=int)) for t in texts]
+    for t, known in zip(texts, want):
+        words.forget()
+        words.learn([t])
+        assert words.measures(fertility.np.array([words.number[w] for w in t], dtype=int)) == known
