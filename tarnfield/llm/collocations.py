@@ -29,11 +29,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnfield.llm.common import over_batches, raw, ship, slices, table
+from tarnfield.llm.common import over_parts, raw, ship, slices, table
 
 ship(__name__)
 
@@ -87,19 +88,17 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def start():
         def step(batch):
-            out: dict[str, list] = {"lang": [], "word": [], "n": []}
             for lang, texts in by_language(batch):
                 found = words_of(texts)[0].value_counts()
-                out["lang"].append(pa.repeat(pa.scalar(lang), len(found)))
-                out["word"].append(found.field("values").cast(pa.large_string()))
-                out["n"].append(found.field("counts"))
-            types = {"lang": pa.string(), "word": pa.large_string(), "n": pa.int64()}
-            whole = {k: pa.chunked_array(v, type=types[k]).combine_chunks() for k, v in out.items()}
-            return whole | {"word": whole["word"].cast(pa.string())}
+                yield {
+                    "lang": pa.repeat(pa.scalar(lang, pa.string()), len(found)),
+                    "word": found.field("values").cast(pa.binary()).cast(pa.string()),
+                    "n": found.field("counts"),
+                }
 
         return step
 
-    counted = over_batches(docs.select("lang", "text"), "lang string, word string, n long", start)
+    counted = over_parts(docs.select("lang", "text"), "lang string, word string, n long", start)
     return counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
@@ -166,11 +165,15 @@ class Vocabulary:
 
 
 def encoded(docs: DataFrame, vocabularies: list[Broadcast]) -> DataFrame:
-    """``codes``: slices of text as 32-bit ids of frequent words, with -1 for barriers."""
+    """``codes``: slices of text as 32-bit ids of frequent words, with -1 for barriers, compressed one by one.
+
+    A task holds the compressed slices of a whole batch but only one slice of open codes.
+    """
 
     def start():
+        pack = zstandard.ZstdCompressor(level=1).compress
+
         def step(batch):
-            out = []
             for lang, texts in by_language(batch):
                 words, places = words_of(texts)
                 if not len(words):
@@ -185,12 +188,11 @@ def encoded(docs: DataFrame, vocabularies: list[Broadcast]) -> DataFrame:
                 codes[places] = ids[kinds.indices.to_numpy()]
                 keep = codes >= 0  # one barrier in a row is enough
                 keep[1:] |= codes[:-1] >= 0
-                out.append(codes[keep].tobytes())
-            return {"codes": pa.array(out, pa.binary())}
+                yield {"codes": pa.array([pack(codes[keep].tobytes())], pa.binary())}
 
         return step
 
-    return over_batches(docs.select("lang", "text"), "codes binary", start)
+    return over_parts(docs.select("lang", "text"), "codes binary", start)
 
 
 class DoubleArray:
@@ -303,15 +305,19 @@ def scanned(codes: DataFrame, tries: list[Broadcast], length: int, last: bool) -
     """
 
     def start():
+        unpack = zstandard.ZstdDecompressor().decompress
+
+        def rows(pair: bool, keys: np.ndarray, n: np.ndarray) -> dict:
+            return {"pair": pa.array(np.full(len(keys), pair)), "key": pa.array(keys.astype(np.int64)), "n": pa.array(n.astype(np.int64))}
+
         def step(batch):
-            keys, counts, kinds = [], [], []
             total: dict[int, np.ndarray] = {}
-            for packed in batch.column(0).to_pylist():
-                codes = np.frombuffer(packed, dtype=np.int32)
+            for packed in batch.column(0):
+                codes = np.frombuffer(unpack(packed.as_buffer()), dtype=np.int32)
                 ids = codes
                 if length > 1:
                     ids = np.full(len(codes), -1, dtype=np.int32)
-                    for k, shared in enumerate(tries):
+                    for shared in tries:
                         trie = held(shared)
                         at, found = trie.accepted(codes)
                         n = np.bincount(found, minlength=trie.count)
@@ -320,24 +326,14 @@ def scanned(codes: DataFrame, tries: list[Broadcast], length: int, last: bool) -
                 if not last:
                     at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
                     pairs, n = np.unique((ids[at].astype(np.int64) << 32) | ids[at + 1], return_counts=True)
-                    keys.append(pairs)
-                    counts.append(np.minimum(n, FREQUENT))
-                    kinds.append(np.ones(len(pairs), dtype=bool))
+                    yield rows(True, pairs, np.minimum(n, FREQUENT))
             for first, n in total.items():
                 at = np.flatnonzero(n)
-                keys.append(first + at)
-                counts.append(n[at])
-                kinds.append(np.zeros(len(at), dtype=bool))
-            empty = np.zeros(0, dtype=np.int64)
-            return {
-                "pair": pa.array(np.concatenate([*kinds, np.zeros(0, dtype=bool)])),
-                "key": pa.array(np.concatenate([*keys, empty])),
-                "n": pa.array(np.concatenate([*counts, empty]).astype(np.int64)),
-            }
+                yield rows(False, first + at, n[at])
 
         return step
 
-    found = over_batches(codes, "pair boolean, key long, n long", start)
+    found = over_parts(codes, "pair boolean, key long, n long", start)
     summed = found.groupBy("pair", "key").agg(F.sum("n").alias("n"))
     return summed.filter(~F.col("pair") | (F.col("n") >= FREQUENT))
 

@@ -64,6 +64,18 @@ def over_batches(df: DataFrame, schema: str, start: Callable[[], Callable]) -> D
     return df.mapInArrow(run, schema)
 
 
+def over_parts(df: DataFrame, schema: str, start: Callable[[], Callable]) -> DataFrame:
+    """Like ``over_batches``, for functions that give several dicts of arrays for a batch, one after the other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = start()
+        for batch in batches:
+            for part in step(batch):
+                yield pa.RecordBatch.from_pydict(part)
+
+    return df.mapInArrow(run, schema)
+
+
 def raw(batch: pa.RecordBatch, name: str) -> list:
     """A text column as UTF-8 bytes (or None), without decoding."""
     column = batch.column(batch.schema.get_field_index(name))
