@@ -24,54 +24,54 @@ def flooded(value: Column, threshold: float = config.FLOODED_M) -> Column:
 
 
 def accuracy_gate(
-    full: DataFrame,
-    candidate: DataFrame,
-    full_volume: float | None = None,
-    candidate_volume: float | None = None,
-    connectivity: bool | None = None,
+    full: DataFrame, candidate: DataFrame, volumes: DataFrame | None = None, connectivity: bool | None = None
 ) -> DataFrame:
     """One row of metrics and three-valued criteria; an unproven criterion (NULL) does not pass.
 
-    ``full`` and ``candidate`` carry max_depth per cell.
+    ``full`` and ``candidate`` carry max_depth per cell; ``volumes`` is one row of ``full_volume`` and
+    ``candidate_volume``. The aligned cells are held once; all else is one plan of aggregates.
     """
     pairs = cut_lineage(align(full, candidate, CELL, ["max_depth"]))
     a, b = flooded(F.col("full_max_depth")), flooded(F.col("cand_max_depth"))
-    counts = pairs.agg(
-        F.count_if(a | b).alias("union_cells"),
-        F.count_if(a & b).alias("common_cells"),
-    )
     both = pairs.filter(a & b).select(F.abs(F.col("full_max_depth") - F.col("cand_max_depth")).alias("d"))
-    q = exact_quantiles(both, "d", {"median_diff": 0.5, "p95_diff": 0.95}).first()
-    row = counts.first()
-    union, common = row["union_cells"], row["common_cells"]
-    iou = 1.0 if union == 0 else common / union
-    median, p95 = q["median_diff"], q["p95_diff"]
-    if common == 0 and union == 0:
-        median = p95 = 0.0
-    relative = relative_difference(full_volume, candidate_volume)
+    q = exact_quantiles(both, "d", {"median": 0.5, "p95": 0.95})
+    one = pairs.agg(F.count_if(a | b).alias("union_cells"), F.count_if(a & b).alias("common_cells"))
+    parts = [one, q, relative_difference(volumes) if volumes is not None else None]
+    key = F.lit(1).alias("one")
+    met = one.select(key, "*")
+    for part in parts[1:]:
+        if part is None:
+            met = met.withColumn("volume_rel_diff", F.lit(None).cast("double"))
+        else:
+            met = met.join(part.select(key, "*"), "one")  # single rows
+    nothing = (F.col("union_cells") == 0) & (F.col("common_cells") == 0)
+    met = met.select(
+        "union_cells",
+        "common_cells",
+        F.when(F.col("union_cells") == 0, 1.0).otherwise(F.col("common_cells") / F.col("union_cells")).alias("iou"),
+        F.when(nothing, 0.0).otherwise(F.col("median")).alias("median_diff"),
+        F.when(nothing, 0.0).otherwise(F.col("p95")).alias("p95_diff"),
+        "volume_rel_diff",
+    )
     criteria = {
-        "flooded_area_iou": iou >= config.MIN_IOU,
-        "median_abs_max_depth_difference": None if median is None else median <= config.MAX_MEDIAN_DIFF_M,
-        "p95_abs_max_depth_difference": None if p95 is None else p95 <= config.MAX_P95_DIFF_M,
-        "accounted_final_surface_water_volume": None if relative is None else relative <= config.MAX_VOLUME_REL_DIFF,
-        "important_flow_path_connectivity": connectivity,
+        "flooded_area_iou": F.col("iou") >= config.MIN_IOU,
+        "median_abs_max_depth_difference": F.col("median_diff") <= config.MAX_MEDIAN_DIFF_M,
+        "p95_abs_max_depth_difference": F.col("p95_diff") <= config.MAX_P95_DIFF_M,
+        "accounted_final_surface_water_volume": F.col("volume_rel_diff") <= config.MAX_VOLUME_REL_DIFF,
+        "important_flow_path_connectivity": F.lit(connectivity).cast("boolean"),
     }
-    passed = all(v is True for v in criteria.values())
-    return full.sparkSession.createDataFrame(
-        [(union, common, iou, median, p95, relative, criteria, passed)],
-        "union_cells long, common_cells long, iou double, median_diff double, p95_diff double, "
-        "volume_rel_diff double, criteria map<string,boolean>, passed boolean",
-    )
-
-
-def relative_difference(reference: float | None, candidate: float | None) -> float | None:
-    if reference is None or candidate is None:
-        return None
-    if reference < 0 or candidate < 0:
-        raise ValueError("volumes must not be negative")
-    if reference == 0:
-        return 0.0 if candidate == 0 else float("inf")
-    return abs(candidate - reference) / reference
+    told = F.create_map(*[x for name, ok in criteria.items() for x in (F.lit(name), ok)])
+    passed = F.forall(F.array(*criteria.values()), lambda ok: F.coalesce(ok, F.lit(False)))
+    return met.withColumns({"criteria": told, "passed": passed})
+
+
+def relative_difference(volumes: DataFrame) -> DataFrame:
+    """``volume_rel_diff`` of one row (full_volume, candidate_volume); NULL if one is missing, an error if one is negative."""
+    full, candidate = F.col("full_volume").cast("double"), F.col("candidate_volume").cast("double")
+    share = F.when(full == 0, F.when(candidate == 0, 0.0).otherwise(F.lit(float("inf")))).otherwise(F.abs(candidate - full) / full)
+    checked = F.when((full < 0) | (candidate < 0), F.raise_error(F.lit("volumes must not be negative")).cast("double"))
+    known = full.isNotNull() & candidate.isNotNull()
+    return volumes.select(F.when(known, F.coalesce(checked, share)).alias("volume_rel_diff"))
 
 
 def suite_verdict(reports: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tarnfield import config
 from tarnfield.operators.envelope import fill_nearest
 from tarnfield.operators.grid import GridSpec, block, ring_offsets, scatter, square_offsets
+from tarnfield.operators.tiles import Dense, tile_map
 from tarnfield.runtime import cut_lineage
 
 HALF_STEPS = [(0, 1), (1, -1), (1, 0), (1, 1)]
@@ -157,29 +158,60 @@ def fill_elevation(cells: DataFrame, grid: GridSpec, tile: int = config.TILE) ->
     return fill_nearest(cells, tile)
 
 
-def roof_recipients(labelled: DataFrame, ground: DataFrame, reach: int = 5, strict: bool = True) -> DataFrame:
+def _first_rings(reach: int):
+    """Kernel: ground cells of a tile with each label within ``reach`` whose nearest such cells, in this tile, they are."""
+
+    def kernel(d: Dense) -> pd.DataFrame:
+        label = d.get("label", np.int64(-1)).astype(np.int64)
+        ground = d.get("ground", False)
+        inner = slice(d.halo, d.side - d.halo)
+        r, c = np.nonzero(ground[inner, inner])
+        r, c = r + d.halo, c + d.halo
+        cells, labels, far = [], [], []
+        for distance in range(1, reach + 1):
+            for dr, dc in square_offsets(distance):
+                if max(abs(dr), abs(dc)) != distance:
+                    continue
+                seen = label[r + dr, c + dc]
+                hit = np.flatnonzero(seen >= 0)
+                cells.append(hit)
+                labels.append(seen[hit])
+                far.append(np.full(len(hit), distance))
+        cells, labels, far = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (cells, labels, far))
+        names, which = np.unique(labels, return_inverse=True)
+        least = np.full(len(names), reach + 1)
+        np.minimum.at(least, which, far)
+        kept = np.flatnonzero(far == least[which])  # a farther cell of this tile cannot be in the first ring
+        _, once = np.unique(np.stack([cells[kept], labels[kept]]), axis=1, return_index=True)
+        kept = kept[once]
+        return pd.DataFrame({
+            "label": labels[kept], "row": r[cells[kept]] + d.row0, "col": c[cells[kept]] + d.col0, "ring": far[kept],
+        })
+
+    return kernel
+
+
+def roof_recipients(
+    labelled: DataFrame, ground: DataFrame, reach: int = 5, strict: bool = True, tile: int = config.TILE
+) -> DataFrame:
     """(label, row, col) of the first Chebyshev ring of each component that holds ground.
 
-    Rings are tried outward; components already served leave, so the common case is one ring.
+    One pass over tiles with a halo of ``reach``: each ground cell tells the ring in which it lies around each
+    label. The smallest ring per label is one aggregate.
     """
-    open_cells, found = labelled, None
-    for distance in range(1, reach + 1):
-        steps = [s for s in square_offsets(distance) if max(abs(s[0]), abs(s[1])) == distance]
-        reached = (
-            scatter(open_cells, steps, ["label"])
-            .join(ground.select("row", "col"), ["row", "col"])
-            .select("label", "row", "col")
-            .distinct()
-        )
-        reached = cut_lineage(reached)
-        found = reached if found is None else found.unionByName(reached)
-        open_cells = cut_lineage(open_cells.join(reached.select("label").distinct(), "label", "left_anti"))
-        if open_cells.isEmpty():
-            return found
+    none = F.lit(None).cast("long")
+    cells = labelled.select("row", "col", F.col("label").cast("long").alias("label"), F.lit(False).alias("ground")).unionByName(
+        ground.select("row", "col", none.alias("label"), F.lit(True).alias("ground"))
+    )
+    cells = cells.withColumn("label", F.coalesce("label", F.lit(-1)))
+    rings = tile_map(cells, _first_rings(reach), "label long, row int, col int, ring int", halo=reach, tile=max(tile, reach))
+    rings = cut_lineage(rings)
+    first = rings.groupBy("label").agg(F.min("ring").alias("first"))
     if strict:
-        lost = open_cells.agg(F.min("label")).first()[0]
-        raise NoGroundRecipient(f"component {lost} has no ground within {reach} cells")
-    return found
+        lost = labelled.select("label").distinct().join(first, "label", "left_anti").agg(F.min("label")).first()[0]
+        if lost is not None:
+            raise NoGroundRecipient(f"component {lost} has no ground within {reach} cells")
+    return rings.join(first, "label").filter("ring = first").select("label", "row", "col")
 
 
 def _weights(cells: DataFrame, extra: DataFrame) -> DataFrame:
@@ -196,7 +228,7 @@ def allocate_roof_rain(
     roofs = cells.filter("building")
     labelled = cut_lineage(components(roofs, grid, tile))
     ground = cells.filter(F.col("active") & ~F.col("building"))
-    recipients = roof_recipients(labelled, ground, reach, strict)
+    recipients = roof_recipients(labelled, ground, reach, strict, tile)
     supply = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("roof"))
     demand = recipients.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     share = supply.join(demand, "label").select("label", (F.col("roof") / F.col("n")).alias("share"))
@@ -259,16 +291,76 @@ def downstream(cells: DataFrame, size: int | None = None) -> DataFrame:
     )
 
 
-def accumulate_flow(pointers: DataFrame, width: int) -> DataFrame:
-    """Cells draining through each cell, itself included.
-
-    Path doubling: after k rounds ``acc`` holds all upstream cells within 2^k - 1 steps and
-    ``jump`` points 2^k steps down, so the longest path needs a logarithmic number of rounds. Cells that have
-    come to the end of their path join by a key of their own, so that they do not meet in one task.
+class _TileFlow:
+    """Pointers of one tile: the next cell inside it, or that the path ends or leaves here."""
+
+    def __init__(self, pdf: pd.DataFrame, width: int):
+        own = pdf[pdf["inflow"].isna()]
+        self.id = own["id"].to_numpy(dtype=np.int64)
+        order = np.argsort(self.id)
+        self.id, jump = self.id[order], own["jump"].to_numpy(dtype=float)[order]
+        self.moves = ~np.isnan(jump)
+        self.target = np.where(self.moves, jump, -1).astype(np.int64)
+        at = np.minimum(np.searchsorted(self.id, self.target), len(self.id) - 1)
+        self.inside = self.moves & (self.id[at] == self.target)
+        self.next = np.where(self.inside, at, np.arange(len(self.id)))
+        self.leaves = self.moves & ~self.inside
+
+    def sums(self, weight: np.ndarray) -> np.ndarray:
+        """Weight of all cells upstream inside the tile, own included; heads first, level by level."""
+        total = weight.copy()
+        waiting = np.bincount(self.next[self.inside], minlength=len(total))
+        ready = np.flatnonzero(waiting == 0)
+        while len(ready):
+            ready = ready[self.inside[ready]]
+            to = self.next[ready]
+            np.add.at(total, to, total[ready])
+            np.subtract.at(waiting, to, 1)
+            to = np.unique(to)
+            ready = to[waiting[to] == 0]
+        return total
+
+    def ends(self) -> np.ndarray:
+        """Last cell inside the tile of each cell's path."""
+        ahead = self.next
+        while True:
+            further = ahead[ahead]
+            if (further == ahead).all():
+                return ahead
+            ahead = further
+
+
+def _tile_exits(pdf: pd.DataFrame, width: int, tile: int) -> pd.DataFrame:
+    """Exits of a tile (id, the cell they lead to, cells drained) and, for its border cells, the exit of their path."""
+    flow = _TileFlow(pdf, width)
+    total, ends = flow.sums(np.ones(len(flow.id), dtype=np.int64)), flow.ends()
+    out = np.flatnonzero(flow.leaves)
+    row, col = flow.id // width % tile, flow.id % width % tile
+    border = np.flatnonzero((row == 0) | (row == tile - 1) | (col == 0) | (col == tile - 1))
+    border = border[flow.leaves[ends[border]]]
+    return pd.DataFrame({
+        "is_exit": np.r_[np.ones(len(out), bool), np.zeros(len(border), bool)],
+        "id": np.r_[flow.id[out], flow.id[border]],
+        "other": np.r_[flow.target[out], flow.id[ends[border]]],
+        "acc": np.r_[total[out], np.zeros(len(border), np.int64)],
+    })
+
+
+def _tile_totals(pdf: pd.DataFrame, width: int) -> pd.DataFrame:
+    flow = _TileFlow(pdf, width)
+    weight = np.ones(len(flow.id), dtype=np.int64)
+    given = pdf[pdf["inflow"].notna()]
+    at = np.searchsorted(flow.id, given["id"].to_numpy(dtype=np.int64))
+    np.add.at(weight, at, given["inflow"].to_numpy(dtype=np.int64))
+    return pd.DataFrame({"row": flow.id // width, "col": flow.id % width, "acc": flow.sums(weight)})
+
+
+def _path_sums(state: DataFrame) -> DataFrame:
+    """Weights of all nodes upstream, own included, for (id, jump, acc): path doubling.
+
+    After k rounds ``acc`` holds what lies within 2^k - 1 steps and ``jump`` points 2^k steps on. Nodes at the
+    end of their path join by a key of their own, so that they do not meet in one task.
     """
-    key = F.col("row").cast("long") * width + F.col("col")
-    jump = F.col("drow").cast("long") * width + F.col("dcol")
-    state = cut_lineage(pointers.select(key.alias("id"), jump.alias("jump"), F.lit(1).cast("long").alias("acc")))
     while not state.filter(F.col("jump").isNotNull()).isEmpty():
         inflow = state.filter(F.col("jump").isNotNull()).groupBy(F.col("jump").alias("id")).agg(F.sum("acc").alias("more"))
         ahead = state.select(F.col("id").alias("target"), F.col("jump").alias("jump2"))
@@ -279,6 +371,32 @@ def accumulate_flow(pointers: DataFrame, width: int) -> DataFrame:
             .join(ahead, "target", "left")
             .select("id", F.col("jump2").alias("jump"), (F.col("acc") + F.coalesce("more", F.lit(0))).alias("acc"))
         )
-    return state.select(
-        F.floor(F.col("id") / width).cast("int").alias("row"), (F.col("id") % width).cast("int").alias("col"), "acc"
+    return state
+
+
+def accumulate_flow(pointers: DataFrame, width: int, tile: int = config.TILE) -> DataFrame:
+    """Cells draining through each cell, itself included, for pointers to one of the eight neighbours.
+
+    Tiles sum their own paths. What leaves them forms a graph of exit cells only: an exit leads to a border cell
+    of the next tile, whose path has an exit again. Sums over that graph give what flows into each border cell,
+    and a second pass over the tiles adds it. So rounds of joins meet rows in proportion to the tiles' borders.
+    """
+    key = F.col("row").cast("long") * width + F.col("col")
+    jump = F.col("drow").cast("long") * width + F.col("dcol")
+    cells = pointers.select(
+        block("row", tile).alias("tr"), block("col", tile).alias("tc"), key.alias("id"), jump.alias("jump"), F.lit(None).cast("long").alias("inflow")
+    )
+    cells = cut_lineage(cells)
+    met = cells.groupBy("tr", "tc").applyInPandas(
+        lambda pdf: _tile_exits(pdf, width, tile), "is_exit boolean, id long, other long, acc long"
+    )
+    met = cut_lineage(met)
+    exits = met.filter("is_exit").select("id", F.col("other").alias("entry"), "acc")
+    onward = met.filter("NOT is_exit").select(F.col("id").alias("entry"), F.col("other").alias("jump"))
+    sums = _path_sums(cut_lineage(exits.join(onward, "entry", "left").select("id", "jump", "acc")))
+    into = sums.join(exits.select("id", "entry"), "id").groupBy("entry").agg(F.sum("acc").alias("inflow"))
+    place = {"tr": F.floor(F.floor(F.col("entry") / width) / tile).cast("int"), "tc": F.floor(F.col("entry") % width / tile).cast("int")}
+    into = into.withColumns(place).select("tr", "tc", F.col("entry").alias("id"), F.lit(None).cast("long").alias("jump"), "inflow")
+    return cells.unionByName(into).groupBy("tr", "tc").applyInPandas(
+        lambda pdf: _tile_totals(pdf, width), "row int, col int, acc long"
     )

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnfield import config
 from tarnfield.functions.columns import finite
-from tarnfield.operators.grid import ring_offsets, scatter
-from tarnfield.runtime import cut_lineage
+from tarnfield.operators.grid import ring_offsets
+from tarnfield.operators.tiles import Dense, shift, tile_map
 
 NO_DATA_CODE = 2**23
 MISSING_GML = 9000.0
@@ -124,66 +125,58 @@ def bilinear(targets: DataFrame, source: DataFrame) -> DataFrame:
     )
 
 
-def blend_seams(cells: DataFrame, width: int, sources: int, extrapolate: bool = True) -> DataFrame:
+def _blended(z: np.ndarray, source: np.ndarray, width: int, sources: int, extrapolate: bool) -> np.ndarray:
+    """Heights after each source, in order, was lifted towards the higher-priority ones at its seam."""
+    reach = [(dr, dc) for dr in range(-width, width + 1) for dc in range(-width, width + 1) if dr * dr + dc * dc <= width * width]
+    reach.sort(key=lambda s: (s[0] * s[0] + s[1] * s[1], s))  # nearest first, ties by row and column
+    for sid in range(2, sources + 1):
+        mine = source == sid
+        total, count = np.zeros(z.shape), np.zeros(z.shape)
+        for dr, dc in ring_offsets(False, centre=False):
+            z1, s1 = shift(z, dr, dc, np.nan), shift(source, dr, dc, 0)
+            if extrapolate:
+                z2, s2 = shift(z, 2 * dr, 2 * dc, np.nan), shift(source, 2 * dr, 2 * dc, 0)
+                z1 = np.where(s2 == s1, 2 * z1 - z2, z1)
+            gap = np.where((s1 > 0) & (s1 < sid), z1 - z, np.nan)
+            there = ~np.isnan(gap)
+            total[there] += gap[there]
+            count += there
+        seam = mine & (count > 0)
+        fix = np.where(seam, total / np.maximum(count, 1), np.nan)
+        lift, open_ = np.zeros(z.shape), mine.copy()
+        for dr, dc in reach:
+            near = shift(fix, dr, dc, np.nan)
+            hit = open_ & ~np.isnan(near)
+            lift[hit] = 0.5 * (1 + np.cos(np.pi * np.sqrt(float(dr * dr + dc * dc)) / width)) * near[hit]
+            open_ &= ~hit
+        z = z + lift
+    return z
+
+
+def blend_seams(
+    cells: DataFrame, width: int, sources: int, extrapolate: bool = True, tile: int = config.TILE
+) -> DataFrame:
     """Lift lower-priority terrain towards its higher-priority neighbours near their seam.
 
     Sources are handled in priority order, since each blended source is the reference of the
     next. A seam cell's correction is the mean over its higher-priority 4-neighbours; cells
     within ``width`` take the nearest seam cell's correction (row, then col on ties) under a
     cosine taper. ``extrapolate`` continues the neighbour's slope where it is two cells deep, as is the rule.
+
+    One pass over tiles: a source looks ``width`` and two cells further, so a halo of that times the sources to
+    come holds all that can reach a tile.
     """
     state = cells.select("row", "col", F.col("z").cast("double").alias("z"), "source_id")
-    if width <= 0:
+    if width <= 0 or sources < 2:
         return state
-    reach = [
-        (dr, dc)
-        for dr in range(-width, width + 1)
-        for dc in range(-width, width + 1)
-        if dr * dr + dc * dc <= width * width
-    ]
-    near = ring_offsets(False, centre=True)
-    deep = [(2 * r, 2 * c) for r, c in ring_offsets(False, centre=False)]
-    for sid in range(2, sources + 1):
-        sent = scatter(state, near + deep, ["z", "source_id"])
-        seen = sent.groupBy("row", "col").agg(
-            F.max(F.when(F.col("own"), F.col("source_id"))).alias("mine"),
-            F.max(F.when(F.col("own"), F.col("z"))).alias("here"),
-            *[
-                F.max(F.when((F.col("dr") == k * r) & (F.col("dc") == k * c), F.struct("source_id", "z"))).alias(
-                    f"n{i}_{k}"
-                )
-                for i, (r, c) in enumerate(ring_offsets(False, centre=False))
-                for k in (1, 2)
-            ],
-        )
-        corrections = []
-        for i in range(4):
-            first, second = F.col(f"n{i}_1"), F.col(f"n{i}_2")
-            target = first["z"]
-            if extrapolate:
-                target = F.when(second["source_id"] == first["source_id"], 2 * first["z"] - second["z"]).otherwise(target)
-            higher = (first["source_id"] > 0) & (first["source_id"] < sid)
-            corrections.append(F.when(higher, target - F.col("here")))
-        listed = F.array_compact(F.array(*corrections))
-        seam = (
-            seen.filter(F.col("mine") == sid)
-            .withColumn("l", listed)
-            .filter(F.size("l") > 0)
-            .select("row", "col", (F.aggregate("l", F.lit(0.0), lambda a, x: a + x) / F.size("l")).alias("fix"))
-        )
-        offered = scatter(cut_lineage(seam), reach, ["fix"])
-        rank = F.struct(
-            (F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc")).alias("d2"),
-            (F.col("row") + F.col("dr")).alias("r"),
-            (F.col("col") + F.col("dc")).alias("c"),
-            "fix",
-        )
-        nearest = offered.groupBy("row", "col").agg(F.min(rank).alias("b"))
-        taper = 0.5 * (1 + F.cos(math.pi * F.sqrt(F.col("b.d2").cast("double")) / width))
-        lifted = F.when(
-            (F.col("source_id") == sid) & F.col("b").isNotNull(), F.col("z") + taper * F.col("b.fix")
-        ).otherwise(F.col("z"))
-        state = cut_lineage(
-            state.join(nearest, ["row", "col"], "left").select("row", "col", lifted.alias("z"), "source_id")
-        )
-    return state
+    halo = (sources - 1) * (width + 2)
+
+    def kernel(d: Dense) -> pd.DataFrame:
+        raw = d.get("source_id", np.nan)
+        source = np.where(np.isnan(raw), 0, raw).astype(np.int64)
+        z = _blended(d.get("z", np.nan), source, width, sources, extrapolate)
+        out = d.rows(z=z, source_id=raw)
+        return out.astype({"source_id": "Int32"})
+
+    given = state.withColumn("source_id", F.col("source_id").cast("double"))
+    return tile_map(given, kernel, "row int, col int, z double, source_id int", halo=halo, tile=max(tile, halo))

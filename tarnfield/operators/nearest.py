@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnfield.functions.geo import haversine_km
 from tarnfield.operators.ordered import top_per_key
-from tarnfield.runtime import broadcast_if_small, cut_lineage
+from tarnfield.runtime import cut_lineage
 
 AXES = ("x", "y", "z")
 # Levels gained per descent: up to 16 children in the plane, 64 boxes (few of them occupied) in space.
@@ -16,6 +16,8 @@ STRIDE = 2
 CROWD = 32
 MAX_LEVEL = 40
 SLACK = 1e-9
+ROOTS = 64  # cells that a descent may start from
+SHARED = 100_000  # cells of seven numbers that are sent to every task
 
 
 def _place(df: DataFrame, sphere: bool) -> DataFrame:
@@ -71,8 +73,8 @@ def nearest_k(
     occupied children, the k-th smallest farthest-possible distance bounds the answer, and
     cells that begin beyond the bound go. Only then do the few cells left meet their sites, so
     a point far from a dense cluster never meets all of it. Sites beyond the first k of one
-    exact coordinate cannot rank and are dropped first. The number of descents depends on the
-    sites alone.
+    exact coordinate cannot rank and are dropped first. The cells of all levels are counted in
+    one aggregate; the descent, whose length depends on the sites alone, is then one plan.
     """
     keep = k + 1 if skip_self else k
     first = top_per_key(sites.select("site_id", "x", "y"), ["x", "y"], [F.col("site_id")], keep, F.col("site_id"))
@@ -86,28 +88,41 @@ def nearest_k(
         return nothing.filter(F.lit(False))
     origin = {a: box[f"lo{a}"] for a in AXES}
     span = max(box[f"hi{a}"] - origin[a] for a in AXES) * (1 + 1e-9) + 1e-12
-    level, crowd, held = 0, None, None
-    while level < MAX_LEVEL and (crowd is None or crowd > max(CROWD, 2 * keep)):
-        level += STRIDE
-        children = cut_lineage(placed.groupBy(*_cell(level, origin, span)).agg(F.count(F.lit(1)).alias("n")))
-        opened = _open_root(asked, children) if held is None else _open(held, children)
+    counts = cut_lineage(_counts(placed, origin, span))
+    told = counts.groupBy("level").agg(F.count(F.lit(1)).alias("cells"), F.max("n").alias("crowd"))
+    sizes = {r["level"]: (r["cells"], r["crowd"]) for r in told.collect()}  # one row per level
+    last = next((lv for lv in sorted(sizes) if sizes[lv][1] <= max(CROWD, 2 * keep)), MAX_LEVEL)
+    first_level = max([lv for lv in sizes if lv <= last and sizes[lv][0] <= ROOTS], default=min(sizes))
+    keys = [f"c{a}" for a in AXES]
+    held = None
+    for level in range(first_level, last + 1, STRIDE):
+        children = counts.filter(F.col("level") == level).select(*keys, "n")
+        opened = _open_root(asked, children) if held is None else _open(held, children, sizes[level][0])
         held = _prune(opened, level, origin, span, keep, None if sphere else within)
-        crowd = children.agg(F.max("n")).first()[0]
-    return _rank(held, placed, level, origin, span, k, sphere, skip_self, within)
+    return _rank(held, placed, last, origin, span, k, sphere, skip_self, within)
+
+
+def _counts(placed: DataFrame, origin: dict[str, float], span: float) -> DataFrame:
+    """Sites per occupied cell of every level, in one aggregate."""
+    levels = F.explode(F.array(*[F.lit(lv) for lv in range(STRIDE, MAX_LEVEL + 1, STRIDE)])).alias("level")
+    size = F.lit(float(span)) / F.pow(F.lit(2.0), F.col("level"))
+    at = [F.floor((F.col(a) - origin[a]) / size).cast("long").alias(f"c{a}") for a in AXES]
+    return placed.select(*AXES, levels).groupBy("level", *at).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _open_root(asked: DataFrame, children: DataFrame) -> DataFrame:
-    """The first cells, 64 at most, next to every point."""
+    """The first cells, few enough to stand in the plan, next to every point."""
     cells = [F.struct(*[F.lit(r[c]).cast("long").alias(c) for c in children.columns]) for r in children.collect()]
     return asked.withColumn("_c", F.explode(F.array(*cells))).select(*asked.columns, "_c.*")
 
 
-def _open(held: DataFrame, children: DataFrame) -> DataFrame:
-    """The occupied children of the kept cells."""
+def _open(held: DataFrame, children: DataFrame, cells: int) -> DataFrame:
+    """The occupied children of the kept cells; ``cells`` is their counted number."""
     ratio, keys = 2**STRIDE, [f"c{a}" for a in AXES]
     parents = children.select(*[F.floor(F.col(c) / ratio).cast("long").alias(f"up_{c}") for c in keys], *keys, "n")
     above = held.select(*[c for c in held.columns if c not in keys], *[F.col(c).alias(f"up_{c}") for c in keys])
-    return above.join(broadcast_if_small(parents), [f"up_{c}" for c in keys]).drop(*[f"up_{c}" for c in keys])
+    met = F.broadcast(parents) if cells <= SHARED else parents
+    return above.join(met, [f"up_{c}" for c in keys]).drop(*[f"up_{c}" for c in keys])
 
 
 def _prune(opened, level, origin, span, keep, within) -> DataFrame:

@@ -45,31 +45,56 @@ def running_total(df: DataFrame, order: str, amount: str, out: str, rows: int |
     return joined.withColumn(out, F.col("_local") + F.col("_before")).drop("_local", "_before", "_slice", "_order")
 
 
+BUCKETS = 1 << 16
+ROUNDS = 2  # the second looks at the chosen parts by their own range
+
+
 def exact_quantiles(df: DataFrame, value: str, probabilities: dict[str, float]) -> DataFrame:
-    """Linear-interpolated quantiles as one row, without collecting the values anywhere.
+    """Linear-interpolated quantiles as one row; a lazy plan without a job of its own. NULL where df is empty.
 
-    Equal values are counted first, ranks come from the sliced running total, and one
-    aggregate picks the two order statistics around every position. NULL where df is empty.
+    Selection by digits: values are counted in ``BUCKETS`` equal parts of their range, the parts that hold the order
+    statistics around every position are looked at again in parts of their own range, and so on for ``ROUNDS``
+    rounds. A round is one aggregate of bounded size over rows of the chosen parts only, all positions together.
+    What is left of a part after the last round are values that agree in 2^-16 of their part's own range, ranked among
+    themselves. Give a table that is cheap to read; it is read once per round.
     """
-    counts = cut_lineage(
-        df.filter(F.col(value).isNotNull())
-        .groupBy(F.col(value).cast("double").alias("v"))
-        .agg(F.count(F.lit(1)).alias("n"))
+    one = F.lit(1).alias("one")
+    rows = df.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), F.lit(0).cast("long").alias("part"))
+    total = rows.agg(F.count(F.lit(1)).alias("total")).select(one, "total")
+    names = list(probabilities)
+    asked = F.array(*[F.struct(F.lit(i).alias("p"), F.lit(float(p)).alias("at")) for i, p in enumerate(probabilities.values())])
+    place = total.filter("total > 0").select("total", F.explode(asked).alias("a")).select("a.p", (F.col("a.at") * (F.col("total") - 1)).alias("place"), "total")
+    low = F.floor("place").cast("long")
+    sides = F.array(
+        F.struct(F.lit(0).alias("side"), low.alias("rank")), F.struct(F.lit(1).alias("side"), F.least(low + 1, F.col("total") - 1).alias("rank"))
     )
-    size = counts.agg(F.count(F.lit(1)).alias("values"), F.sum("n").alias("total")).first()
-    total = size["total"]
-    if not total:
-        return df.sparkSession.range(1).select(*[F.lit(None).cast("double").alias(k) for k in probabilities])
-    ranked = running_total(counts, "v", "n", "upto", size["values"])
+    # ``rank`` counts from 0 inside the part that a position has come down to
+    wanted = place.select("p", (F.col("place") - low).alias("weight"), F.explode(sides).alias("s"), F.lit(0).cast("long").alias("in_part"))
+    wanted = wanted.select("p", "weight", "s.side", "s.rank", "in_part")
+    hit = (F.col("in_part") == F.col("part")) & (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("upto"))
+
+    def summed(counted: DataFrame, order: str) -> DataFrame:
+        upto = F.sum("n").over(Window.partitionBy("part").orderBy(order))
+        return counted.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("n"))
+
+    for _ in range(ROUNDS):
+        ends = rows.groupBy("part").agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
+        share = (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))
+        slot = F.when(F.col("hi") > F.col("lo"), F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1))).otherwise(0).cast("int")
+        rows = rows.join(F.broadcast(ends), "part").withColumn("slot", slot).select("part", "slot", "v")
+        counted = summed(rows.groupBy("part", "slot").agg(F.count(F.lit(1)).alias("n")), "slot")
+        inner = (F.col("part") * BUCKETS + F.col("slot")).alias("in_part")
+        wanted = counted.join(F.broadcast(wanted), hit).select("p", "weight", "side", (F.col("rank") - F.col("before")).alias("rank"), inner)
+        chosen = wanted.select(F.col("in_part").alias("part")).distinct()
+        rows = rows.select((F.col("part") * BUCKETS + F.col("slot")).alias("part"), "v").join(F.broadcast(chosen), "part", "left_semi")
+    ties = summed(rows.groupBy("part", "v").agg(F.count(F.lit(1)).alias("n")), "v")
+    found = ties.join(F.broadcast(wanted), hit).select("p", "weight", "side", "v")
     picks = []
-    for name, p in probabilities.items():
-        place = p * (total - 1)
-        low = int(place)
-        high, weight = min(low + 1, total - 1), place - low
-        a = F.min(F.when(F.col("upto") > low, F.col("v")))
-        b = F.min(F.when(F.col("upto") > high, F.col("v")))
+    for i, name in enumerate(names):
+        a, b = (F.max(F.when((F.col("p") == i) & (F.col("side") == k), F.col("v"))) for k in (0, 1))
+        weight = F.max(F.when(F.col("p") == i, F.col("weight")))
         picks.append((a + (b - a) * weight).alias(name))
-    return ranked.agg(*picks)
+    return found.agg(*picks)
 
 
 def previous_in_key(

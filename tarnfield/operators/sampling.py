@@ -12,6 +12,7 @@ from tarnfield.functions.geo import to_lonlat
 from tarnfield.operators.grid import GridSpec, block
 from tarnfield.operators.nearest import nearest_k
 from tarnfield.operators.ordered import exact_quantiles
+from tarnfield.runtime import cut_lineage
 
 HEAD_ANGLE = math.radians(30)
 
@@ -175,24 +176,26 @@ def interpolate_arrows(a: DataFrame, b: DataFrame, fraction: float) -> DataFrame
     return joined.withColumns({**mixed, "lines": lines}).drop("_u", "_v", "_speed", "_lines")
 
 
-def vector_spacing(nodes: DataFrame) -> float:
-    """Median nearest-neighbour distance of the nodes, at least 8; 24 when there are too few."""
+def vector_spacing(nodes: DataFrame) -> DataFrame:
+    """One row ``spacing``: median nearest-neighbour distance of the nodes, at least 8; 24 when there are too few."""
     points = nodes.select(F.col("node_id").alias("point_id"), "x", "y")
     sites = nodes.select(F.col("node_id").alias("site_id"), "x", "y")
-    near = nearest_k(points, sites, 1, skip_self=True)
-    median = exact_quantiles(near, "distance", {"m": 0.5}).first()["m"]
-    return 24.0 if median is None else max(8.0, median)
+    near = cut_lineage(nearest_k(points, sites, 1, skip_self=True).select("distance"))
+    median = exact_quantiles(near, "distance", {"m": 0.5})
+    return median.select(F.when(F.col("m").isNull(), 24.0).otherwise(F.greatest(F.lit(8.0), F.col("m"))).alias("spacing"))
 
 
-def sample_field(points: DataFrame, nodes: DataFrame, spacing: float) -> DataFrame:
+def sample_field(points: DataFrame, nodes: DataFrame, spacing: DataFrame) -> DataFrame:
     """Inverse-distance blend of the 8 nearest nodes within 3 spacings; direction normalised.
 
+    ``spacing`` is one row, as ``vector_spacing`` gives it.
+
     Points without a node in reach, or whose directions cancel, give no row.
     """
-    near = nearest_k(
-        points, nodes.select(F.col("node_id").alias("site_id"), "x", "y"), 8, within=3 * spacing
-    )
-    scaled = F.col("distance") / spacing
+    near = nearest_k(points, nodes.select(F.col("node_id").alias("site_id"), "x", "y"), 8)
+    one = F.lit(1).alias("_one")
+    near = near.select(one, "*").join(F.broadcast(spacing.select(one, "spacing")), "_one").filter("distance <= 3 * spacing")
+    scaled = F.col("distance") / F.col("spacing")
     weight = 1 / (0.15 + scaled * scaled)
     joined = near.join(nodes.select(F.col("node_id").alias("site_id"), "dx", "dy", "speed"), "site_id")
     blend = joined.withColumn("w", weight).groupBy("point_id").agg(

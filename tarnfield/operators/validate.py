@@ -133,3 +133,36 @@ def source_changes(current: DataFrame, recorded: DataFrame) -> DataFrame:
         .when((F.col("file_size") != F.col("_size")) | (F.col("modified") != F.col("_modified")), "changed")
     )
     return both.withColumn("change", change).filter("change IS NOT NULL").select("file_name", "change")
+
+
+def archive_problems(archives: DataFrame, members: DataFrame, expected: dict[str, list[str]], max_bytes: int, same: list[str]) -> DataFrame:
+    """(archive_id, problem, detail) of result archives that break their contract; sound ones give no row.
+
+    ``archives`` (archive_id, schema_version, config, manifest: JSON texts), ``members`` (archive_id, name, size).
+    The members must be those that the schema version expects, each once, with sizes that add up to no more than
+    ``max_bytes``; config and manifest must be JSON objects that agree in the fields ``same``.
+    """
+    wanted = F.create_map(*[x for v, names in expected.items() for x in (F.lit(v), F.array(*map(F.lit, names)))])
+    known = F.col("schema_version").isin(*expected)
+    listed = members.groupBy("archive_id", "name").agg(F.count(F.lit(1)).alias("times"), F.min("size").alias("least"), F.sum("size").alias("bytes"))
+    versions = archives.select("archive_id", "schema_version").filter(known)
+    due = versions.select("archive_id", F.explode(wanted[F.col("schema_version")]).alias("name"), F.lit(True).alias("due"))
+    met = due.join(listed, ["archive_id", "name"], "full").join(versions.select("archive_id"), "archive_id", "left_semi")
+    problem = (
+        F.when(F.col("times").isNull(), "member missing").when(F.col("due").isNull(), "member unexpected").when(F.col("times") > 1, "member twice")
+    )
+    by_member = met.withColumn("problem", problem).filter("problem IS NOT NULL").select("archive_id", "problem", F.col("name").alias("detail"))
+    broken = listed.filter("least < 0").select("archive_id", F.lit("member size").alias("problem"), F.col("name").alias("detail"))
+    heavy = listed.groupBy("archive_id").agg(F.sum("bytes").alias("bytes")).filter(F.col("bytes") > max_bytes)
+    heavy = heavy.select("archive_id", F.lit("archive size").alias("problem"), F.col("bytes").cast("long").cast("string").alias("detail"))
+    kind = "map<string,string>"
+    parsed = archives.select("archive_id", "schema_version", F.from_json("config", kind).alias("c"), F.from_json("manifest", kind).alias("m"))
+    checks = [F.when(~F.coalesce(known, F.lit(False)), F.struct(F.lit("schema version").alias("problem"), F.col("schema_version").alias("detail")))]
+    for name, doc in (("config", "c"), ("manifest", "m")):
+        checks.append(F.when(F.col(doc).isNull() | (F.size(doc) == 0), F.struct(F.lit("unreadable").alias("problem"), F.lit(name).alias("detail"))))
+    both = F.col("c").isNotNull() & F.col("m").isNotNull()
+    for name in same:
+        differ = ~F.col("c")[name].eqNullSafe(F.col("m")[name])
+        checks.append(F.when(both & differ, F.struct(F.lit("disagree").alias("problem"), F.lit(name).alias("detail"))))
+    told = parsed.select("archive_id", F.explode(F.array_compact(F.array(*checks))).alias("p")).select("archive_id", "p.*")
+    return told.unionByName(by_member).unionByName(broken).unionByName(heavy)

@@ -80,47 +80,12 @@ def assemble_relations(relations: DataFrame) -> DataFrame:
 
 # --- clipping ---------------------------------------------------------------------------------
 
-def _cut_by(ring: Column, plane: Column) -> Column:
-    """One side of the rectangle (nx * x + ny * y >= c): crossing edges gain the crossing point."""
-    n = F.greatest(F.size(ring) - 1, F.lit(0))
-
-    def above(p: Column) -> Column:
-        return plane["nx"] * p["x"] + plane["ny"] * p["y"] - plane["c"]
-
-    def walk(p: Column, q: Column) -> Column:
-        share = above(p) / (above(p) - above(q))
-        cut = point(p["x"] + share * (q["x"] - p["x"]), p["y"] + share * (q["y"] - p["y"]))
-        return (
-            F.when((above(p) >= 0) & (above(q) >= 0), F.array(q))
-            .when(above(p) >= 0, F.array(cut))
-            .when(above(q) >= 0, F.array(cut, q))
-            .otherwise(F.array().cast(RING))
-        )
-
-    parts = F.flatten(F.zip_with(F.slice(ring, 1, n), F.slice(ring, 2, n), walk))
-    return F.concat(parts, F.slice(parts, 1, 1))
-
-
 def ring_area(ring: Column) -> Column:
     """Shoelace area of a closed ring."""
     terms = F.transform(edges(ring), lambda e: e["x1"] * e["y2"] - e["x2"] * e["y1"])
     return F.abs(F.aggregate(terms, F.lit(0.0), lambda a, t: a + t)) / 2
 
 
-def clip_rings(features: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
-    """Closed rings cut to a rectangle; rings left without area give no row.
-
-    The four sides fold over the ring as one expression, so it is written once in the plan.
-    """
-    xmin, ymin, xmax, ymax = (float(b) for b in box)
-    sides = [(1.0, 0.0, xmin), (-1.0, 0.0, -xmax), (0.0, 1.0, ymin), (0.0, -1.0, -ymax)]
-    planes = F.array(
-        *[F.struct(F.lit(nx).alias("nx"), F.lit(ny).alias("ny"), F.lit(c).alias("c")) for nx, ny, c in sides]
-    )
-    clipped = features.withColumn("ring", F.aggregate(planes, F.col("ring").cast(RING), _cut_by))
-    return clipped.filter(ring_area(F.col("ring")) > 1e-9)
-
-
 def clip_lines(features: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
     """Polylines cut to a rectangle; pieces that stay connected stay one line."""
     xmin, ymin, xmax, ymax = box
@@ -136,7 +101,8 @@ def clip_lines(features: DataFrame, box: tuple[float, float, float, float]) -> D
             outside = outside | ((step == 0) & (gap < 0))
         t0, t1 = F.greatest(*starts), F.least(*ends)
         a = point(e["x1"] + t0 * dx, e["y1"] + t0 * dy)
-        b = point(e["x1"] + t1 * dx, e["y1"] + t1 * dy)
+        # an end that is not cut stays as it is, so that neighbours still meet in it
+        b = F.when(t1 == 1, point(e["x2"], e["y2"])).otherwise(point(e["x1"] + t1 * dx, e["y1"] + t1 * dy))
         return F.struct(a.alias("a"), b.alias("b"), (~outside & (t0 < t1)).alias("ok"))
 
     pieces = F.filter(F.transform(edges(F.col("ring")), cut), lambda s: s["ok"])

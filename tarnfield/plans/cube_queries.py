@@ -13,7 +13,7 @@ from tarnfield.operators.grid import GridSpec
 from tarnfield.plans import adapters as A
 from tarnfield.plans.registry import query
 from tarnfield.runtime import scratch_path
-from tarnfield.sources import cube, dense, documents
+from tarnfield.sources import cube, dense, documents, raw_cube
 
 EXTENT = "(SELECT max(\"row\") + 1 AS hh, max(col) + 1 AS ww FROM frame_cells)"
 
@@ -51,6 +51,22 @@ def s1(spark, folder):
     )
 
 
+@query(
+    "s1_raw_cube",
+    "frames",
+    """SELECT t, "row", col, round(CAST(CAST(h AS FLOAT) AS DOUBLE), 6) AS h, round(CAST(CAST(v AS FLOAT) AS DOUBLE), 6) + 0.0 AS v
+       FROM frames WHERE "row" >= 1 AND col BETWEEN 2 AND 11 AND t < (SELECT max(t) FROM frames)""",
+)
+def s1_raw(spark, folder):
+    """Written through the raw connector and read back; the axis filters become chunk and byte ranges."""
+    frames, path = A.frames(spark, folder), scratch_path(spark, "raw-cube")
+    last = frames.agg(F.max("t")).first()[0]
+    raw_cube.write_raw(frames, path, GridSpec.measure(A.frame_cells(spark, folder)), last + 1, tile=8)
+    found = spark.read.format("raw_cube").options(path=path, variables="h,u,v").load()
+    cut = found.filter((F.col("row") >= 1) & (F.col("col") >= 2) & (F.col("col") <= 11) & (F.col("t") < last))
+    return cut.select("t", "row", "col", r6(F.col("h").cast("double"), "h"), r6(F.col("v").cast("double"), "v"))
+
+
 @query(
     "s2_window_read",
     "frames frame_cells",
@@ -92,7 +108,7 @@ def s17(spark, folder):
 @query(
     "s17_face_cube",
     "frames",
-    """SELECT t, ("row" * 15 + col) // 64 AS block, count(*) AS n, round(sum(h), 6) AS depth_sum, round(sum(v), 6) + 0.0 AS v_sum
+    """SELECT t, ("row" * 15 + col) // 64 AS block, count(*) AS n, round(sum(h), 9) AS depth_sum, round(sum(v), 9) + 0.0 AS v_sum
        FROM frames WHERE "row" * 15 + col >= 20 GROUP BY 1, 2""",
 )
 def s17_faces(spark, folder):
@@ -103,7 +119,7 @@ def s17_faces(spark, folder):
     stored = dense.write_faces(series, scratch_path(spark, "faces"), faces, block=64, dtype="float64")
     found = dense.face_cells(stored, faces=(20, stored.document["faces"]))
     return found.groupBy("t", F.floor(F.col("face") / 64).alias("block")).agg(
-        F.count(F.lit(1)).alias("n"), r6(F.sum("h"), "depth_sum"), r6(F.sum("v"), "v_sum")
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("h"), 9).alias("depth_sum"), (F.round(F.sum("v"), 9) + F.lit(0.0)).alias("v_sum")
     )
 
 

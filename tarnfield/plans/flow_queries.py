@@ -65,10 +65,15 @@ def m5(spark, folder):
 @query(
     "s18_geojson_sink",
     "frames frame_cells",
-    BLOCK_BEST
-    + """SELECT 'Feature' AS kind, 'MultiLineString' AS shape, "row", col AS "column", round(speed, 6) AS speed, 3 AS lines FROM arrows""",
+    SEGMENTS
+    + """, ends AS (SELECT p."row", p.col, unnest([0, 0, 1, 1, 2, 2]) AS line, unnest([0, 1, 0, 1, 0, 1]) AS nth,
+         unnest([tx, px, px, px + (-dx * ca + dy * sa) * hd, px, px + (-dx * ca - dy * sa) * hd]) AS x,
+         unnest([ty, py, py, py + (-dx * sa - dy * ca) * hd, py, py + (dx * sa - dy * ca) * hd]) AS y FROM p)
+       SELECT 'Feature' AS kind, 'MultiLineString' AS shape, e."row", e.col AS "column", round(a.speed, 6) AS speed, line, nth,
+         round(x, 3) + 0.0 AS x, round(y, 3) + 0.0 AS y FROM ends e JOIN arrows a ON a."row" = e."row" AND a.col = e.col""",
 )
 def s18(spark, folder):
+    """Written as GeoJSON and read back; every coordinate is projected to local metres again."""
     grid, path = grid_of(spark, folder), scratch_path(spark, "features")
     lines = sampling.arrow_lines(sampling.fastest_per_block(frame(spark, folder), grid, 12, 0.1), grid)
     sampling.write_features(sampling.geojson_features(lines, grid, 7), path)
@@ -76,13 +81,19 @@ def s18(spark, folder):
         "type STRING, geometry STRUCT<type: STRING, coordinates: ARRAY<ARRAY<ARRAY<DOUBLE>>>>, "
         "properties STRUCT<speed_mps: DOUBLE, row: INT, column: INT>"
     )
-    return spark.read.schema(schema).json(path).select(
+    read = spark.read.schema(schema).json(path).select("*", F.posexplode("geometry.coordinates").alias("line", "ends"))
+    read = read.select("*", F.posexplode("ends").alias("nth", "p"))
+    x, y = geo.to_local(F.get("p", F.lit(0)), F.get("p", F.lit(1)), grid.lon0, grid.lat0)
+    return read.select(
         F.col("type").alias("kind"),
         F.col("geometry.type").alias("shape"),
         F.col("properties.row").alias("row"),
         F.col("properties.column").alias("column"),
         r6(F.col("properties.speed_mps"), "speed"),
-        F.size("geometry.coordinates").alias("lines"),
+        "line",
+        "nth",
+        (F.round(x, 3) + F.lit(0.0)).alias("x"),
+        (F.round(y, 3) + F.lit(0.0)).alias("y"),
     )
 
 
@@ -182,9 +193,7 @@ def flow_nodes(spark, folder):
 
 @query("j15_vector_spacing", "frames", NODES + "SELECT round(s, 6) AS spacing FROM sp")
 def j15(spark, folder):
-    nodes = flow_nodes(spark, folder)
-    spacing = sampling.vector_spacing(nodes)
-    return nodes.agg(F.lit(round(spacing, 6)).alias("spacing"))
+    return sampling.vector_spacing(flow_nodes(spark, folder)).select(F.round("spacing", 6).alias("spacing"))
 
 
 @query(
@@ -395,7 +404,7 @@ def m4(spark, folder):
     + 'SELECT "row", col, source_id, round(z, 7) AS z FROM s4',
 )
 def g6(spark, folder):
-    blended = elevation.blend_seams(merged(spark, folder), 3, 5)
+    blended = elevation.blend_seams(merged(spark, folder), 3, 5, tile=24)
     return blended.select("row", "col", "source_id", F.round("z", 7).alias("z"))
 
 

@@ -187,7 +187,7 @@ GAPS = reach_sql("cells", "water") + """, e AS (SELECT max("row") AS hh, max(col
 @query("g4_coastal_gaps", "cells", GAPS + 'SELECT "row", col, coastal FROM labelled JOIN coast USING (label)')
 def g4(spark, folder):
     cells = gappy(spark, folder)
-    return components.coastal_gaps(cells, GridSpec.measure(cells))
+    return components.coastal_gaps(cells, GridSpec.measure(cells), tile=16)
 
 
 @query(
@@ -236,14 +236,14 @@ G3_WEIGHTS = RINGS + """, share AS (SELECT r.label, r.roof * 1.0::DOUBLE / count
 )
 def j12(spark, folder):
     cells = A.cells(spark, folder)
-    labelled = cut_lineage(components.components(cells.filter("building"), GridSpec.measure(cells)))
-    return components.roof_recipients(labelled, cells.filter("NOT building"))
+    labelled = cut_lineage(components.components(cells.filter("building"), GridSpec.measure(cells), tile=8))
+    return components.roof_recipients(labelled, cells.filter("NOT building"), tile=8)
 
 
 @query("g3_roof_rain", "cells", G3_WEIGHTS + 'SELECT "row", col, round(w, 6) AS rain_weight FROM weights')
 def g3(spark, folder):
     cells = A.cells(spark, folder).withColumn("active", F.lit(True))
-    weights = components.allocate_roof_rain(cells, GridSpec.measure(cells))
+    weights = components.allocate_roof_rain(cells, GridSpec.measure(cells), tile=16)
     return weights.select("row", "col", r6(F.col("rain_weight"), "rain_weight"))
 
 
@@ -272,7 +272,7 @@ def a21(spark, folder):
 )
 def a22(spark, folder):
     cells = A.cells(spark, folder)
-    weights = components.perimeter_roof_rain(cells, GridSpec.measure(cells))
+    weights = components.perimeter_roof_rain(cells, GridSpec.measure(cells), tile=16)
     return weights.select("row", "col", r6(F.col("rain_weight"), "rain_weight"))
 
 
@@ -285,7 +285,7 @@ def a22(spark, folder):
        SELECT CAST(here // 50 AS INT) AS "row", CAST(here % 50 AS INT) AS col, count(*) AS acc FROM path GROUP BY here""",
 )
 def g17(spark, folder):
-    return components.accumulate_flow(components.downstream(A.cells(spark, folder)), 50)
+    return components.accumulate_flow(components.downstream(A.cells(spark, folder)), 50, tile=8)
 
 
 @query(

@@ -347,6 +347,52 @@ def v7(spark, folder):
     )
 
 
+@query(
+    "v7_archive_consistency",
+    "",
+    """WITH a AS (SELECT o_orderkey AS archive_id, CASE WHEN o_orderkey % 13 = 0 THEN '9' ELSE CAST(o_orderkey % 2 + 1 AS VARCHAR) END AS version,
+         o_orderkey % 7 = 0 AS moved, o_orderkey % 11 = 0 AS other_mode, o_orderkey % 17 = 0 AS broken FROM orders),
+       m AS (SELECT l_orderkey AS archive_id, 'part' || CASE WHEN l_linenumber = 6 THEN 1 ELSE l_linenumber END AS name,
+         CAST(l_quantity * 1000 AS BIGINT) - CASE WHEN l_quantity = 1 THEN 2000 ELSE 0 END AS size FROM lineitem),
+       l AS (SELECT archive_id, name, count(*) AS times, min(size) AS least, sum(size) AS bytes FROM m GROUP BY 1, 2),
+       due AS (SELECT archive_id, 'part' || k AS name FROM a, range(1, 5) r(k) WHERE (version = '1' AND k <= 3) OR (version = '2' AND k <= 4))
+       SELECT archive_id, 'schema version' AS problem, version AS detail FROM a WHERE version = '9'
+       UNION ALL SELECT archive_id, 'unreadable', 'manifest' FROM a WHERE broken
+       UNION ALL SELECT archive_id, 'disagree', 'analysis_area' FROM a WHERE moved AND NOT broken
+       UNION ALL SELECT archive_id, 'disagree', 'accuracy_mode' FROM a WHERE other_mode AND NOT broken
+       UNION ALL SELECT archive_id, 'member missing', name FROM due ANTI JOIN l USING (archive_id, name)
+       UNION ALL SELECT archive_id, 'member unexpected', name FROM l ANTI JOIN due USING (archive_id, name) WHERE archive_id IN (SELECT archive_id FROM due)
+       UNION ALL SELECT archive_id, 'member twice', name FROM l SEMI JOIN due USING (archive_id, name) WHERE times > 1
+       UNION ALL SELECT archive_id, 'member size', name FROM l WHERE least < 0
+       UNION ALL SELECT archive_id, 'archive size', CAST(sum(bytes)::BIGINT AS VARCHAR) FROM l GROUP BY 1 HAVING sum(bytes) > 200000""",
+)
+def v7_archives(spark, folder):
+    """Orders as archives: config and manifest of the same order, its lines as members."""
+    key = F.col("o_orderkey")
+
+    def document(west, mode):
+        area = F.struct(west.alias("west"), F.lit(35).alias("south"))
+        return F.to_json(F.struct(area.alias("analysis_area"), mode.alias("accuracy_mode"), key.alias("run")))
+
+    mode = F.col("o_orderpriority")
+    archives = A.table(spark, folder, "orders").select(
+        key.alias("archive_id"),
+        F.when(key % 13 == 0, "9").otherwise((key % 2 + 1).cast("string")).alias("schema_version"),
+        document(F.col("o_custkey"), mode).alias("config"),
+        F.when(key % 17 == 0, F.lit("{broken")).otherwise(
+            document(F.col("o_custkey") + F.when(key % 7 == 0, 1).otherwise(0), F.when(key % 11 == 0, F.lit("none")).otherwise(mode))
+        ).alias("manifest"),
+    )
+    line = F.when(F.col("l_linenumber") == 6, 1).otherwise(F.col("l_linenumber"))
+    members = A.table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("archive_id"),
+        F.concat(F.lit("part"), line.cast("string")).alias("name"),
+        ((F.col("l_quantity") * 1000).cast("long") - F.when(F.col("l_quantity") == 1, 2000).otherwise(0)).alias("size"),
+    )
+    expected = {"1": ["part1", "part2", "part3"], "2": ["part1", "part2", "part3", "part4"]}
+    return validate.archive_problems(archives, members, expected, 200_000, ["analysis_area", "accuracy_mode"])
+
+
 @query(
     "v8_official_sources",
     "",

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tarnfield.operators import vectors
+from tarnfield.operators import clipping, elevation, envelope, vectors
 from tarnfield.operators.grid import GridSpec
 from tarnfield.plans import adapters as A
 from tarnfield.plans.cube_queries import r6
+from tarnfield.plans.flow_queries import LOCAL_SQL
 from tarnfield.plans.registry import query
 from tarnfield.runtime import scratch_path
-from tarnfield.sources import vector_files
+from tarnfield.sources import documents, vector_files
 
 GRID = GridSpec(50, 40)
 
@@ -96,6 +97,11 @@ def g8_lines(spark, folder):
     return steps.groupBy("feature_id").agg(r6(F.sum(length), "length"))
 
 
+def box_ring():
+    corners = [(-3.3, -2.9), (4.7, -2.9), (4.7, 1.1), (-3.3, 1.1), (-3.3, -2.9)]
+    return F.array(*[vectors.point(F.col("cx") + x, F.col("cy") + y) for x, y in corners])
+
+
 @query(
     "g8_clip_rings",
     "",
@@ -104,11 +110,38 @@ def g8_lines(spark, folder):
        SELECT feature_id, round((x1 - x0) * (y1 - y0), 6) AS area FROM b WHERE x1 > x0 AND y1 > y0""",
 )
 def g8_rings(spark, folder):
-    ring = F.array(
-        *[vectors.point(F.col("cx") + x, F.col("cy") + y) for x, y in [(-3.3, -2.9), (4.7, -2.9), (4.7, 1.1), (-3.3, 1.1), (-3.3, -2.9)]]
+    boxes = centres(spark, folder).select("feature_id", box_ring().alias("ring"))
+    return clipping.clip_polygons(boxes, (-10.0, -8.0, 10.0, 8.0)).select("feature_id", r6(vectors.ring_area(F.col("ring")), "area"))
+
+
+@query(
+    "g8_clip_concave",
+    "",
+    WITH_QUADS
+    + """, arm AS (SELECT feature_id, k, cx, unnest([cy - 3, cy + 1]) AS y0 FROM q),
+       b AS (SELECT feature_id, greatest(cx - 6, -10) AS x0, least(cx + 6, 10) AS x1, greatest(cx - 6, -10) AS back0, least(cx - 4, 10) AS back1,
+               greatest(y0, -8) AS y0, least(y0 + 2, 8) AS y1 FROM arm),
+       spine AS (SELECT feature_id, greatest(cx - 6, -10) AS x0, least(cx - 4, 10) AS x1, greatest(cy - 1, -8) AS y0, least(cy + 1, 8) AS y1 FROM q),
+       cut AS (SELECT feature_id, x0, x1, y0, y1, true AS is_arm FROM b WHERE x1 > x0 AND y1 > y0
+               UNION ALL SELECT feature_id, x0, x1, y0, y1, false FROM spine WHERE x1 > x0 AND y1 > y0)
+       SELECT feature_id, CASE WHEN bool_or(NOT is_arm) THEN 1 ELSE count(*) END AS pieces, round(sum((x1 - x0) * (y1 - y0)), 6) AS area,
+         round(min(x0), 6) + 0.0 AS x_low, round(max(x1), 6) + 0.0 AS x_high, round(min(y0), 6) + 0.0 AS y_low, round(max(y1), 6) + 0.0 AS y_high
+       FROM cut GROUP BY feature_id""",
+)
+def g8_concave(spark, folder):
+    """Shapes like a C, open to the right: where the area's left side cuts the spine off, two rings are left."""
+    corners = [(-6, -3), (6, -3), (6, -1), (-4, -1), (-4, 1), (6, 1), (6, 3), (-6, 3), (-6, -3)]
+    ring = F.array(*[vectors.point(F.col("cx") + x, F.col("cy") + y) for x, y in corners])
+    cut = clipping.clip_polygons(centres(spark, folder).select("feature_id", ring.alias("ring")), (-10.0, -8.0, 10.0, 8.0))
+    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
+    return cut.groupBy("feature_id").agg(
+        F.count(F.lit(1)).alias("pieces"),
+        r6(F.sum(vectors.ring_area(F.col("ring"))), "area"),
+        r6(F.min(F.array_min(xs)), "x_low"),
+        r6(F.max(F.array_max(xs)), "x_high"),
+        r6(F.min(F.array_min(ys)), "y_low"),
+        r6(F.max(F.array_max(ys)), "y_high"),
     )
-    boxes = centres(spark, folder).select("feature_id", ring.alias("ring"))
-    return vectors.clip_rings(boxes, (-10.0, -8.0, 10.0, 8.0)).select("feature_id", r6(vectors.ring_area(F.col("ring")), "area"))
 
 
 @query(
@@ -205,15 +238,22 @@ def lonlat_ring(spark, folder):
     )
 
 
-@query(
-    "s9_overpass_features",
-    "",
-    """WITH s AS (SELECT s_suppkey AS k, CAST(s_suppkey AS VARCHAR) AS area_id FROM supplier)
-       SELECT area_id, 'way/' || k AS feature_id, 'building' AS layer, 5 AS points FROM s
-       UNION ALL SELECT area_id, 'way/' || (k + 1000000), 'road_line', 3 FROM s
-       UNION ALL SELECT area_id, 'relation/' || k, 'building', 5 FROM s""",
+#: Corners of the quadrilaterals in local metres around (139, 35): ``local`` (k, i, x, y).
+CORNERS_LOCAL = (
+    """, corner AS (SELECT k, i, 35 + y / 1000 AS lat, 139 + x / 1000 AS lon FROM v),""" + LOCAL_SQL
+    + """, pts AS (SELECT k, i, round(x, 3) + 0.0 AS x, round(y, 3) + 0.0 AS y FROM local) """
 )
-def s9(spark, folder):
+#: Everything that the quadrilaterals reach, and an area that cuts some of them.
+WHOLE_AREA, CUT_AREA = (8000.0, 8000.0), (3000.0, 2400.0)
+
+
+def point_rows(found, *keys):
+    """One row per point of each ring, in millimetres."""
+    rows = found.select(*keys, F.posexplode("ring").alias("i", "p"))
+    return rows.select(*keys, "i", (F.round("p.x", 3) + F.lit(0.0)).alias("x"), (F.round("p.y", 3) + F.lit(0.0)).alias("y"))
+
+
+def overpass(spark, folder):
     base, ll = lonlat_ring(spark, folder), F.col("ll")
     none = F.lit(None).cast("array<struct<role:string,geometry:array<struct<lat:double,lon:double>>>>")
 
@@ -239,8 +279,48 @@ def s9(spark, folder):
     payloads = base.select(
         F.col("feature_id").alias("area_id"), F.to_json(F.struct(elements.alias("elements"))).alias("json")
     )
-    found = vector_files.parse_overpass(payloads, 139.0, 35.0)
-    return found.select("area_id", "feature_id", "layer", F.size("ring").alias("points"))
+    return vector_files.parse_overpass(payloads, 139.0, 35.0)
+
+
+@query(
+    "s9_features_in_area",
+    "",
+    WITH_QUADS + CORNERS_LOCAL.replace(", pts AS", ", exact AS (SELECT k, i, x, y FROM local), pts AS")
+    + f""", box AS (SELECT -{CUT_AREA[0] / 2 + 20}::DOUBLE AS bx0, {CUT_AREA[0] / 2 + 20}::DOUBLE AS bx1, -{CUT_AREA[1] / 2 + 20}::DOUBLE AS by0, {CUT_AREA[1] / 2 + 20}::DOUBLE AS by1),
+       ed AS (SELECT a.k, a.x AS xa, a.y AS ya, b.x - a.x AS dx, b.y - a.y AS dy FROM exact a JOIN exact b ON b.k = a.k AND b.i = a.i + 1),
+       seg AS (SELECT *, greatest(0, CASE WHEN dx > 0 THEN (bx0 - xa) / dx WHEN dx < 0 THEN (bx1 - xa) / dx ELSE 0 END,
+                 CASE WHEN dy > 0 THEN (by0 - ya) / dy WHEN dy < 0 THEN (by1 - ya) / dy ELSE 0 END) AS t0,
+               least(1, CASE WHEN dx > 0 THEN (bx1 - xa) / dx WHEN dx < 0 THEN (bx0 - xa) / dx ELSE 1 END,
+                 CASE WHEN dy > 0 THEN (by1 - ya) / dy WHEN dy < 0 THEN (by0 - ya) / dy ELSE 1 END) AS t1 FROM ed, box),
+       hull AS (SELECT k, xa + t * dx AS x, ya + t * dy AS y FROM (SELECT *, unnest([t0, t1]) AS t FROM seg WHERE t0 <= t1)
+         UNION ALL SELECT k, cx, cy FROM (SELECT k, cx, cy, bool_and(dx * (cy - ya) - dy * (cx - xa) >= 0) AS within
+           FROM ed, (SELECT unnest([bx0, bx1, bx1, bx0]) AS cx, unnest([by0, by0, by1, by1]) AS cy FROM box) GROUP BY 1, 2, 3) WHERE within),
+       mid AS (SELECT k, avg(x) AS mx, avg(y) AS my FROM hull GROUP BY 1),
+       turned AS (SELECT h.k, x - mx AS x, y - my AS y, row_number() OVER w AS n, count(*) OVER (PARTITION BY h.k) AS m FROM hull h JOIN mid USING (k)
+         WINDOW w AS (PARTITION BY h.k ORDER BY atan2(y - my, x - mx))),
+       area AS (SELECT a.k, abs(sum(a.x * b.y - b.x * a.y)) / 2 AS area FROM turned a JOIN turned b ON b.k = a.k AND b.n = a.n % a.m + 1 GROUP BY 1)
+       SELECT feature_id, round(area, 2) AS area, 1 AS pieces FROM (
+         SELECT 'way/' || k AS feature_id, area FROM area UNION ALL SELECT 'relation/' || k, area FROM area) WHERE area > 0.01""",
+)
+def s9_area(spark, folder):
+    """Buildings cut to an area with its margin of 20 m; what lies outside is gone."""
+    buildings = overpass(spark, folder).filter("layer = 'building'")
+    cut = clipping.clip_features(buildings, clipping.area_box(*CUT_AREA))
+    area = cut.withColumn("a", vectors.ring_area(F.col("ring"))).groupBy("feature_id")
+    return area.agg(F.round(F.sum("a"), 2).alias("area"), F.count(F.lit(1)).cast("int").alias("pieces")).filter("area > 0.01")
+
+
+@query(
+    "s9_overpass_features",
+    "",
+    WITH_QUADS + CORNERS_LOCAL
+    + """SELECT CAST(k AS VARCHAR) AS area_id, 'way/' || k AS feature_id, 'building' AS layer, i, x, y FROM pts
+       UNION ALL SELECT CAST(k AS VARCHAR), 'way/' || (k + 1000000), 'road_line', i, x, y FROM pts WHERE i < 3
+       UNION ALL SELECT CAST(k AS VARCHAR), 'relation/' || k, 'building', j, x, y FROM pts, (VALUES (0, 2), (1, 3), (2, 4), (3, 1), (4, 2)) o(j, src) WHERE i = src""",
+)
+def s9(spark, folder):
+    found = clipping.clip_features(overpass(spark, folder), clipping.area_box(*WHOLE_AREA))
+    return point_rows(found, "area_id", "feature_id", "layer")
 
 
 def pos_list(ll, height=False):
@@ -259,9 +339,10 @@ def gml_polygon(ll, height=True):
 @query(
     "s10_citygml_features",
     "",
-    """SELECT 'building' AS layer, CASE WHEN s_suppkey % 3 = 2 THEN 4 ELSE 5 END AS points, count(*) AS n FROM supplier GROUP BY 1, 2
-       UNION ALL SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'road_polygon' ELSE 'road_line' END, CASE WHEN s_suppkey % 2 = 0 THEN 5 ELSE 2 END, count(*)
-         FROM supplier GROUP BY 1, 2""",
+    WITH_QUADS + CORNERS_LOCAL
+    + """SELECT 'building' AS layer, i, x, y FROM pts WHERE k % 3 < 2
+       UNION ALL SELECT 'building', j, x, y FROM pts, (VALUES (0, 0), (1, 1), (2, 2), (3, 0)) o(j, src) WHERE i = src AND k % 3 = 2
+       UNION ALL SELECT CASE WHEN k % 2 = 0 THEN 'road_polygon' ELSE 'road_line' END, i, x, y FROM pts WHERE k % 2 = 0 OR i < 2""",
 )
 def s10(spark, folder):
     base, ll, key = lonlat_ring(spark, folder), F.col("ll"), F.col("s_suppkey")
@@ -285,7 +366,7 @@ def s10(spark, folder):
     found = vector_files.citygml_buildings(
         vector_files.read_elements(spark, path, "bldg:Building"), 139.0, 35.0
     ).unionByName(vector_files.citygml_roads(vector_files.read_elements(spark, path, "tran:Road"), 139.0, 35.0))
-    return found.groupBy("layer", F.size("ring").alias("points")).agg(F.count(F.lit(1)).alias("n"))
+    return point_rows(clipping.clip_features(found, clipping.area_box(*WHOLE_AREA)), "layer")
 
 
 #: First point and sums over the closed ring of a quadrilateral, in degrees.
@@ -402,6 +483,65 @@ def m10(spark, folder):
     )
 
 
+@query(
+    "m11_elevation_provenance",
+    "elevation frame_cells",
+    """, best AS (SELECT c."row", c.col, min(source_id) AS source_id FROM frame_cells c LEFT JOIN elevation e ON e."row" = c."row" AND e.col = c.col GROUP BY 1, 2)
+       SELECT 'provider/' || source_id AS field, count(*)::DOUBLE AS value FROM best WHERE source_id IS NOT NULL GROUP BY source_id
+       UNION ALL SELECT 'nearest_filled_cells', count(*) FILTER (source_id IS NULL) FROM best
+       UNION ALL SELECT 'missing_fraction', round(count(*) FILTER (source_id IS NULL)::DOUBLE / count(*), 9) FROM best
+       UNION ALL SELECT 'warnings', CASE WHEN count(*) FILTER (source_id IS NULL) > 0 THEN 1 ELSE 0 END FROM best
+       UNION ALL SELECT 'north', 36""",
+)
+def m11_elevation(spark, folder):
+    """The document of a priority fill with its nearest fill, written as text and read back."""
+    domain = A.frame_cells(spark, folder).select("row", "col")
+    merged = domain.join(elevation.coalesce_providers(A.elevation(spark, folder)), ["row", "col"], "left")
+    filled = envelope.fill_nearest(merged, tile=16).select("row", "col", "filled").join(merged, ["row", "col"])
+    counts = documents.elevation_counts(filled)
+    bounds = {"west_deg": 139, "south_deg": 35, "east_deg": 140, "north_deg": 36}
+    warning = F.array(F.when(F.col("nearest_filled_cells") > 0, F.lit("cells were filled from their nearest neighbour")))
+    told = documents.provenance(counts, "elevation", bounds, "made for tests", "https://example.org/terms", "2024-01-01T00:00:00Z", warning)
+    path = scratch_path(spark, "provenance")
+    told.select("document").write.text(path)
+    kind = (
+        "warnings array<string>, requested_bounds struct<north_deg:double>, source_details struct<provider_counts:map<string,double>,"
+        "nearest_filled_cells:double,missing_fraction_before_nearest_fill:double>"
+    )
+    d = spark.read.text(path).select(F.from_json("value", kind).alias("d")).select("d.*")
+    details = F.col("source_details")
+    per = F.transform(F.map_entries(details["provider_counts"]), lambda e: F.struct(F.concat(F.lit("provider/"), e["key"]).alias("field"), e["value"].alias("value")))
+    more = F.array(
+        F.struct(F.lit("nearest_filled_cells").alias("field"), details["nearest_filled_cells"].alias("value")),
+        F.struct(F.lit("missing_fraction").alias("field"), F.round(details["missing_fraction_before_nearest_fill"], 9).alias("value")),
+        F.struct(F.lit("warnings").alias("field"), F.size("warnings").cast("double").alias("value")),
+        F.struct(F.lit("north").alias("field"), F.col("requested_bounds.north_deg").alias("value")),
+    )
+    return d.select(F.explode(F.concat(per, more)).alias("e")).select("e.*")
+
+
+@query(
+    "m11_feature_counts",
+    "",
+    WITH_QUADS
+    + """, b AS (SELECT CASE WHEN k % 3 = 0 THEN 'road' ELSE 'building' END AS kind, greatest(0, least(cx + 4.7, 10) - greatest(cx - 3.3, -10)) AS w,
+           greatest(0, least(cy + 1.1, 8) - greatest(cy - 2.9, -8)) AS h FROM q)
+       SELECT kind, count(*) AS features, count(*) FILTER (w * h > 1e-9)::BIGINT AS parts, (SELECT count(*) FILTER (w * h <= 1e-9) FROM b)::BIGINT AS without_parts
+       FROM b GROUP BY kind""",
+)
+def m11_features(spark, folder):
+    """Counts of boxes clipped to an area, as one document and its entries again."""
+    boxes = centres(spark, folder).withColumn("ring", box_ring())
+    pieces = clipping.clip_polygons(boxes.select("feature_id", "ring"), (-10.0, -8.0, 10.0, 8.0))
+    parts = pieces.groupBy("feature_id").agg(F.collect_list("ring").alias("parts"))
+    features = boxes.select("feature_id", F.when(F.col("s_suppkey") % 3 == 0, "road").otherwise("building").alias("kind")).join(parts, "feature_id", "left")
+    features = features.withColumn("parts", F.coalesce("parts", F.array().cast(f"array<{vectors.RING}>")))
+    told = documents.feature_counts(features, "kind", "parts").select(F.to_json(F.struct("*")).alias("document"))
+    kind = "per_kind map<string,struct<features:long,parts:long>>, without_parts long"
+    d = told.select(F.from_json("document", kind).alias("d")).select("d.*")
+    return d.select(F.explode("per_kind").alias("kind", "n"), "without_parts").select("kind", "n.features", "n.parts", "without_parts")
+
+
 @query(
     "m11_metadata_maps",
     "",

@@ -31,6 +31,7 @@ from tarnfield.sources.cube import EmptyWindow
 VARIABLES = ("h", "u", "v")
 GROUP = 8  # tiles along each side of the square of tiles that one task packs into one file
 TIMES = 64  # times of a tile that one task packs, where a tile's whole time line lies together
+SPANS = {"frame": (GROUP, 1), "series": (1, TIMES)}
 ROW_GROUP = 16 << 20
 MANIFEST = "path string, run_id string, t_min int, t_max int, trow_min int, trow_max int, tcol_min int, tcol_max int, tiles long, cells long"
 HEAD = "run_id string, t int, trow int, tcol int, cells int, present binary"
@@ -131,6 +132,14 @@ def _tiles(fragments: DataFrame, variables: tuple[str, ...], tile: tuple[int, in
     return fragments.groupBy("run_id", "times", "grow", "gcol").applyInArrow(pack, schema)
 
 
+def packed_tiles(
+    frames: DataFrame, variables: tuple[str, ...], tile: int | tuple[int, int], grid: GridSpec, dtype: str, layout: str = "frame"
+) -> DataFrame:
+    """Tile rows of a cell table (``run_id, t, row, col`` and variables), not yet stored."""
+    sides, span = _sides(tile), SPANS[layout]
+    return _tiles(_fragments(frames, variables, sides, span, dtype), variables, sides, span, grid, dtype)
+
+
 class DenseCube:
     """A published cube: its document, its manifest, and reads of windows, points and whole tiles."""
 
@@ -321,17 +330,16 @@ def write_dense(
     ``frame`` keeps a frame's neighbouring tiles in one file, for windows; ``series`` keeps a tile's times
     together, for points. Either way one task packs a bounded square of tiles.
     """
-    if layout not in ("frame", "series"):
+    if layout not in SPANS:
         raise ValueError("layout is frame or series")
     spark, path = frames.sparkSession, path.rstrip("/")
-    span = (GROUP, 1) if layout == "frame" else (1, TIMES)
-    sides = _sides(tile)
+    span, sides = SPANS[layout], _sides(tile)
     try:
         number = 1 + spark.read.schema("number long").parquet(f"{path}/published").agg(F.max("number")).first()[0]
     except AnalysisException:
         number = 0
     generation = f"{number:06d}-{uuid.uuid4().hex[:8]}"
-    packed = _tiles(_fragments(frames, variables, sides, span, dtype), variables, sides, span, grid, dtype)
+    packed = packed_tiles(frames, variables, tile, grid, dtype, layout)
     folder = f"{path}/data/gen={generation}"
     places = dict(zip(FOLDERS, (
         F.hex(F.xxhash64("run_id")),

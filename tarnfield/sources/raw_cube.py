@@ -1,15 +1,30 @@
-"""A Python data source for raw float cubes: one input partition per (time, row, column) chunk."""
+"""``raw_cube``: a data source over raw float32 cubes, for reading and writing.
+
+Two forms are read. *Flat*: one file per variable, an array (time, row, col), with the option ``shape``.
+*Chunked*, which is also what is written: each task appends its chunks to one file and reports where each chunk
+lies and which values it holds; the commit moves the files into place and publishes the list last. A job that
+fails leaves nothing that is read.
+
+Comparisons on the axes become chunk and byte ranges; those on a value skip chunks whose range cannot meet
+them. Bytes are read by offset from any file system that Arrow opens by its address (local, HDFS, S3); nothing
+is mapped into memory.
+"""
 
 from __future__ import annotations
 
-import os
+import json
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource,
+    DataSourceArrowWriter,
     DataSourceReader,
     EqualTo,
     Filter,
@@ -18,100 +33,251 @@ from pyspark.sql.datasource import (
     InputPartition,
     LessThan,
     LessThanOrEqual,
+    WriterCommitMessage,
 )
 
+from tarnfield import config
+from tarnfield.operators.grid import GridSpec
+from tarnfield.sources import dense
+
 AXES = ("t", "row", "col")
+INDEX = "chunks.json"
+PENDING = "_pending-"
+
+
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of an address; ``file:/x`` and plain paths are local."""
+    if "://" in path:
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), path.removeprefix("file:")
+
+
+def listed_names(options) -> list[str]:
+    names = [n.strip() for n in options.get("variables", "h").split(",")]
+    if ("u" in names) != ("v" in names):
+        raise ValueError("velocity needs both u and v")
+    return names
 
 
 @dataclass
 class Chunk(InputPartition):
-    """Half-open index ranges along time, rows and columns."""
+    """Half-open index ranges along time, rows and columns, cut to the window, and where the bytes are.
 
-    t0: int
-    t1: int
-    r0: int
-    r1: int
-    c0: int
-    c1: int
+    ``whole`` are the ranges of the stored chunk; ``places`` maps a variable to (file, offset).
+    """
+
+    t: tuple[int, int]
+    r: tuple[int, int]
+    c: tuple[int, int]
+    whole: tuple[tuple[int, int], tuple[int, int], tuple[int, int]]
+    places: dict[str, tuple[str, int]] = field(default_factory=dict)
 
 
 class RawCubeReader(DataSourceReader):
-    """Reads float32 arrays (time, row, col), one file per variable, through memory maps."""
+    """One input partition per chunk that meets the filters."""
 
     def __init__(self, options: dict[str, str]):
-        self.folder = options["path"]
-        self.names = [n.strip() for n in options.get("variables", "h").split(",")]
-        self.shape = tuple(int(v) for v in options["shape"].split(","))
-        self.chunk = tuple(int(v) for v in options.get("chunk", "1,256,256").split(","))
+        self.path = options["path"].rstrip("/")
+        self.names = listed_names(options)
+        files, root = opened(self.path)
+        self.index = None
+        if "shape" not in options:
+            with files.open_input_stream(f"{root}/{INDEX}") as f:
+                self.index = json.loads(f.read())
+            lacking = set(self.names) - set(self.index["variables"])
+            if lacking:
+                raise ValueError(f"the cube holds no {sorted(lacking)}")
+            self.shape = tuple(self.index["shape"])
+        else:
+            self.shape = tuple(int(v) for v in options["shape"].split(","))
+            self.chunk = tuple(int(v) for v in options.get("chunk", "1,256,256").split(","))
+            expected = int(np.prod(self.shape)) * 4
+            for name in self.names:
+                size = files.get_file_info(f"{root}/{name}.f32").size
+                if size != expected:
+                    raise ValueError(f"{name}: {size} bytes, expected {expected} for shape {self.shape}")
         self.window = [[0, n] for n in self.shape]
-        expected = int(np.prod(self.shape)) * 4
-        for name in self.names:
-            size = os.path.getsize(self._file(name))
-            if size != expected:
-                raise ValueError(f"{name}: {size} bytes, expected {expected} for shape {self.shape}")
-
-    def _file(self, name: str) -> str:
-        return os.path.join(self.folder, f"{name}.f32")
+        self.values: dict[str, list[float]] = {}  # variable to (at least, at most)
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        """Comparisons on the axes shrink the window; everything else goes back to Spark."""
+        """Comparisons on the axes shrink the window; those on values choose chunks and go back to Spark too."""
         for f in filters:
-            axis = AXES.index(f.attribute[0]) if getattr(f, "attribute", None) and f.attribute[0] in AXES else None
-            if axis is None:
-                yield f
+            name = f.attribute[0] if getattr(f, "attribute", None) and len(f.attribute) == 1 else None
+            known = isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)) and f.value is not None
+            if name in AXES and known:
+                low, high = self.window[AXES.index(name)]
+                least = {EqualTo: f.value, GreaterThanOrEqual: f.value, GreaterThan: f.value + 1}.get(type(f), low)
+                most = {EqualTo: f.value + 1, LessThan: f.value, LessThanOrEqual: f.value + 1}.get(type(f), high)
+                self.window[AXES.index(name)] = [max(low, least), min(high, most)]
                 continue
-            low, high = self.window[axis]
-            if isinstance(f, EqualTo):
-                self.window[axis] = [max(low, f.value), min(high, f.value + 1)]
-            elif isinstance(f, GreaterThanOrEqual):
-                self.window[axis][0] = max(low, f.value)
-            elif isinstance(f, GreaterThan):
-                self.window[axis][0] = max(low, f.value + 1)
-            elif isinstance(f, LessThan):
-                self.window[axis][1] = min(high, f.value)
-            elif isinstance(f, LessThanOrEqual):
-                self.window[axis][1] = min(high, f.value + 1)
-            else:
-                yield f
+            if name in self.names and known:
+                bounds = self.values.setdefault(name, [-np.inf, np.inf])
+                if not isinstance(f, (LessThan, LessThanOrEqual)):
+                    bounds[0] = max(bounds[0], f.value)
+                if not isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                    bounds[1] = min(bounds[1], f.value)
+            yield f
 
     def partitions(self) -> list[Chunk]:
-        """Chunks of the file grid that meet the window, cut to it."""
-        spans = []
-        for (low, high), step in zip(self.window, self.chunk):
-            first = low // step * step
-            spans.append([(max(low, a), min(high, a + step)) for a in range(first, high, step)])
-        return [Chunk(*t, *r, *c) for t in spans[0] for r in spans[1] for c in spans[2]]
+        found = self._stored() if self.index else self._flat()
+        return [c for c in found if all(a < b for a, b in (c.t, c.r, c.c))]
+
+    def _cut(self, ranges) -> list[tuple[int, int]]:
+        return [(max(low, a), min(high, b)) for (a, b), (low, high) in zip(ranges, self.window)]
+
+    def _flat(self) -> list[Chunk]:
+        spans = [
+            [(a, min(n, a + step)) for a in range(low // step * step, high, step)]
+            for (low, high), step, n in zip(self.window, self.chunk, self.shape)
+        ]
+        whole = tuple((0, n) for n in self.shape)
+        places = {n: (f"{n}.f32", 0) for n in self.names}
+        return [Chunk(*self._cut((t, r, c)), whole, places) for t in spans[0] for r in spans[1] for c in spans[2]]
+
+    def _stored(self) -> list[Chunk]:
+        found = []
+        for chunk in self.index["chunks"]:
+            ranges = tuple(tuple(chunk[k]) for k in AXES)
+            if all(self._may_hold(name, chunk["variables"][name]) for name in self.names):
+                places = {n: (chunk["file"], chunk["variables"][n]["offset"]) for n in self.names}
+                found.append(Chunk(*self._cut(ranges), ranges, places))
+        return found
+
+    def _may_hold(self, name: str, told: dict) -> bool:
+        if name not in self.values:
+            return True
+        low, high = self.values[name]
+        return told["min"] is not None and told["max"] >= low and told["min"] <= high
 
     def read(self, part: Chunk) -> Iterator[pa.RecordBatch]:
-        cut = (slice(part.t0, part.t1), slice(part.r0, part.r1), slice(part.c0, part.c1))
-        t, r, c = np.meshgrid(
-            *[np.arange(s.start, s.stop, dtype=np.int32) for s in cut], indexing="ij"
-        )
-        columns = {"t": t.ravel(), "row": r.ravel(), "col": c.ravel()}
-        for name in self.names:
-            cube = np.memmap(self._file(name), dtype="<f4", mode="r", shape=self.shape)
-            columns[name] = np.ascontiguousarray(cube[cut]).ravel()
-        yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()})
+        files, root = opened(self.path)
+        (_, _), (r0, _), (c0, c1) = part.whole
+        height, width = part.whole[1][1] - r0, c1 - c0
+        for t in range(*part.t):
+            columns, kept = {}, np.zeros((part.r[1] - part.r[0], part.c[1] - part.c[0]), dtype=bool)
+            for name in self.names:
+                file, offset = part.places[name]
+                # whole rows of the stored array are one byte range
+                start = ((t - part.whole[0][0]) * height + part.r[0] - r0) * width
+                count = (part.r[1] - part.r[0]) * width
+                with files.open_input_file(f"{root}/{file}") as f:
+                    data = f.read_at(count * 4, offset + start * 4)
+                array = np.frombuffer(data, "<f4").reshape(-1, width)[:, part.c[0] - c0 : part.c[1] - c0]
+                columns[name] = array
+                kept |= ~np.isnan(array)
+            if not self.index:
+                kept[:] = True
+            r, c = np.nonzero(kept)
+            out = {
+                "t": pa.array(np.full(len(r), t, np.int32)),
+                "row": pa.array((r + part.r[0]).astype(np.int32)),
+                "col": pa.array((c + part.c[0]).astype(np.int32)),
+            }
+            for name, array in columns.items():
+                values = np.ascontiguousarray(array[r, c])
+                out[name] = pa.array(values, mask=np.isnan(values)) if self.index else pa.array(values)
+            yield pa.RecordBatch.from_pydict(out)
+
+
+@dataclass
+class Written(WriterCommitMessage):
+    """File of one task and its chunks."""
+
+    file: str | None
+    chunks: list[dict]
+
+
+class RawCubeWriter(DataSourceArrowWriter):
+    """Rows are packed chunks (``t, trow, tcol`` and one binary per variable), as ``write_raw`` makes them."""
+
+    def __init__(self, options: dict[str, str], overwrite: bool):
+        self.path, self.names = options["path"].rstrip("/"), listed_names(options)
+        self.shape = [int(v) for v in options["shape"].split(",")]
+        self.tile = [int(v) for v in options["tile"].split(",")]
+        self.job, self.overwrite = uuid.uuid4().hex[:12], overwrite
+        files, root = opened(self.path)
+        if not overwrite and files.get_file_info(f"{root}/{INDEX}").type != fs.FileType.NotFound:
+            raise ValueError(f"{self.path} holds a cube already")
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        files, root = opened(self.path)
+        folder = f"{root}/{PENDING}{self.job}"
+        files.create_dir(folder, recursive=True)
+        name, chunks, at = f"{uuid.uuid4().hex}.f32", [], 0
+        with files.open_output_stream(f"{folder}/{name}") as out:
+            for batch in iterator:
+                for k in range(batch.num_rows):
+                    t, trow, tcol = (batch.column(batch.schema.get_field_index(n))[k].as_py() for n in ("t", "trow", "tcol"))
+                    ends = [(i * s, min(n, (i + 1) * s)) for i, s, n in zip((trow, tcol), self.tile, self.shape[1:])]
+                    told = {"t": (t, t + 1), "row": ends[0], "col": ends[1], "variables": {}}
+                    for variable in self.names:
+                        data = batch.column(batch.schema.get_field_index(variable))[k].as_py()
+                        values = np.frombuffer(data, "<f4")
+                        real = values[~np.isnan(values)]
+                        span = (float(real.min()), float(real.max())) if len(real) else (None, None)
+                        told["variables"][variable] = {"offset": at, "min": span[0], "max": span[1], "count": len(real)}
+                        out.write(data)
+                        at += len(data)
+                    chunks.append(told)
+        return Written(name, chunks)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        """Move the files of the tasks that count into place, then publish the list of chunks by one rename."""
+        files, root = opened(self.path)
+        data = f"data-{self.job}"
+        files.create_dir(f"{root}/{data}", recursive=True)
+        chunks = []
+        for message in messages:
+            if message is None or not message.chunks:
+                continue
+            files.move(f"{root}/{PENDING}{self.job}/{message.file}", f"{root}/{data}/{message.file}")
+            chunks += [{**c, "file": f"{data}/{message.file}"} for c in message.chunks]
+        told = {"shape": self.shape, "variables": self.names, "chunks": sorted(chunks, key=lambda c: (c["t"], c["row"], c["col"]))}
+        with files.open_output_stream(f"{root}/{INDEX}.{self.job}") as out:
+            out.write(json.dumps(told).encode())
+        files.move(f"{root}/{INDEX}.{self.job}", f"{root}/{INDEX}")
+        self._leave(files, root)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        self._leave(*opened(self.path))
+
+    def _leave(self, files: fs.FileSystem, root: str) -> None:
+        """Drop what tasks of this job left behind, those that failed or ran twice included."""
+        folder = f"{root}/{PENDING}{self.job}"
+        if files.get_file_info(folder).type != fs.FileType.NotFound:
+            files.delete_dir(folder)
 
 
 class RawCube(DataSource):
-    """``spark.read.format("raw_cube")`` with options path, shape, variables and chunk."""
+    """``spark.read.format("raw_cube")`` with options path and variables (and shape, chunk for the flat form)."""
 
     @classmethod
     def name(cls) -> str:
         return "raw_cube"
 
     def schema(self) -> str:
-        names = [n.strip() for n in self.options.get("variables", "h").split(",")]
-        if ("u" in names) != ("v" in names):
-            raise ValueError("velocity needs both u and v")
-        return "t int, row int, col int, " + ", ".join(f"{n} float" for n in names)
+        return "t int, row int, col int, " + ", ".join(f"{n} float" for n in listed_names(self.options))
 
     def reader(self, schema) -> RawCubeReader:
         return RawCubeReader(dict(self.options))
 
+    def writer(self, schema, overwrite: bool) -> RawCubeWriter:
+        return RawCubeWriter(dict(self.options), overwrite)
+
 
 def register(spark) -> None:
     """Make the format known; filters on the axes then prune chunks."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RawCube)
+
+
+def write_raw(
+    frames: DataFrame, path: str, grid: GridSpec, times: int, tile: int = config.TILE, variables: tuple[str, ...] = ("h", "u", "v"), mode: str = "error"
+) -> None:
+    """Store ``t, row, col`` and variables as a raw cube; cells that are absent, and null values, become NaN."""
+    register(frames.sparkSession)
+    one = frames.withColumns({"run_id": F.lit("")})
+    packed = dense.packed_tiles(one, variables, tile, grid, "float32").select("t", "trow", "tcol", *variables)
+    options = {"path": path, "variables": ",".join(variables), "shape": f"{times},{grid.height},{grid.width}", "tile": f"{tile},{tile}"}
+    writer = packed.write.format("raw_cube").options(**options)
+    writer.mode("overwrite" if mode == "overwrite" else "append").save()

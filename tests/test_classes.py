@@ -96,3 +96,30 @@ def test_row_numbers_and_lag_over_hot_keys(spark, monkeypatch):
     assert sorted(numbered["n"]) == list(range(1, 421))
     ranked = numbered.sort_values("n")
     assert ranked[["seq", "k"]].values.tolist() == sorted(pdf[["seq", "k"]].values.tolist())
+
+
+@pytest.mark.parametrize("values", [
+    np.random.default_rng(2).exponential(1, 5000),
+    np.r_[np.random.default_rng(3).random(3000) * 1e-9, 1e12, -1e12],  # all but two in one part of the range
+    np.r_[np.zeros(4000), 1.0, 2.0],
+    np.array([5.0]),
+    np.array([1.0, 2.0]),
+])
+def test_quantiles_by_digits(spark, values):
+    df = spark.createDataFrame(pd.DataFrame({"value": values}))
+    ps = {"a": 0.5, "b": 0.95, "c": 0.0, "d": 1.0, "e": 0.3333}
+    got = ordered.exact_quantiles(df, "value", ps).first()
+    assert np.allclose(list(got), np.quantile(values, list(ps.values())), rtol=1e-12, atol=0)
+
+
+def test_quantiles_of_nothing(spark):
+    none = spark.createDataFrame([(None,)], "value double")
+    assert ordered.exact_quantiles(none, "value", {"a": 0.5}).first()["a"] is None
+
+
+def test_wanted_values_take_one_edge_each():
+    edges, rule = np.array([0.0, 1.0, 2.0, 4.0]), classes.Rule()
+    assert classes.assigned(edges, (1.05, 1.1), rule) == {1: 1.05}
+    assert classes.assigned(edges, (1.95, 1.05, 9.0, float("nan")), rule) == {1: 1.05, 2: 1.95}
+    assert classes.assigned(edges, (1.5,), rule) == {}
+    assert classes.readable(np.array([0.0, 0.2871, 0.6, 1.0]), {1: 0.2871}, rule)[1] == 0.2871

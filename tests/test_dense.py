@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnfield.operators.grid import GridSpec
-from tarnfield.sources import dense
+from tarnfield.sources import dense, raw_cube
 from tarnfield.sources.cube import EmptyWindow
 
 
@@ -112,3 +112,41 @@ def test_faces(spark, frames, tmp_path):
     assert key(dense.face_cells(cube)) == key(series)
     assert key(dense.face_cells(cube, 5, (100, 131))) == key(series.filter("t = 5 AND face >= 100 AND face < 131"))
     assert spark.read.parquet(f"{tmp_path}/f/faces/{cube.document['face_table']}").count() == 500
+
+
+def test_raw_cube_is_written_and_read_back(spark, frames, tmp_path):
+    path = str(tmp_path / "r")
+    one = frames.filter("run_id = 'a'").drop("run_id").withColumns({c: F.col(c).cast("float").cast("double") for c in ("h", "u", "v")})
+    raw_cube.write_raw(one, path, GRID, 6, tile=8)
+    found = spark.read.format("raw_cube").options(path=path, variables="h,u,v").load()
+    key = lambda df: sorted(df.select("t", "row", "col", "h", "u", "v").collect(), key=repr)
+    assert key(found) == key(one)
+    window = "t = 5 AND row >= 3 AND row < 9 AND col <= 20"
+    assert key(found.filter(window)) == key(one.filter(window))
+    high = found.filter("h > 5010")  # only chunks of time 5 can hold it
+    assert key(high) == key(one.filter("h > 5010"))
+    reader = raw_cube.RawCubeReader({"path": path, "variables": "h"})
+    from pyspark.sql.datasource import EqualTo, GreaterThan
+
+    everything = len(reader.partitions())
+    rest = list(reader.pushFilters([GreaterThan(("h",), 5010.0), EqualTo(("row",), 4)]))
+    assert len(rest) == 1 and 0 < len(reader.partitions()) < everything / 3
+    with pytest.raises(Exception, match="already"):
+        raw_cube.write_raw(one, path, GRID, 6, tile=8)
+    raw_cube.write_raw(one.filter("t = 0"), path, GRID, 6, tile=8, mode="overwrite")
+    assert key(spark.read.format("raw_cube").options(path=path, variables="h,u,v").load()) == key(one.filter("t = 0"))
+    with pytest.raises(Exception, match="both u and v"):
+        spark.read.format("raw_cube").options(path=path, variables="h,u").load()
+
+
+def test_a_failed_raw_write_leaves_nothing(spark, frames, tmp_path):
+    path = tmp_path / "r"
+    raw_cube.register(spark)
+    bad = frames.filter("run_id = 'a'").withColumn("h", F.when(F.col("t") == 5, F.raise_error(F.lit("stopped"))).otherwise(F.col("h")))
+    with pytest.raises(Exception, match="stopped"):
+        raw_cube.write_raw(bad.drop("run_id"), str(path), GRID, 6, tile=8)
+    assert not (path / raw_cube.INDEX).exists()
+    writer = raw_cube.RawCubeWriter({"path": str(path), "variables": "h", "shape": "6,19,23", "tile": "8,8"}, False)
+    message = writer.write(iter([]))
+    writer.abort([message])
+    assert not list(path.glob("_pending-*")) if path.exists() else True

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnfield.functions import geo
-from tarnfield.operators import compare, elevation, faces, sampling, vectors
+from tarnfield.operators import clipping, compare, elevation, faces, sampling, vectors
 from tarnfield.operators.grid import GridSpec
 from tarnfield.sources import vector_files
 from tests_support import to_grid
@@ -19,20 +19,21 @@ def four_faces(spark, masks=(1, 1, 1, 1)):
     return spark.createDataFrame(rows, LAYOUT)
 
 
-def gate(spark, depths, **kwargs):
+def gate(spark, depths, volumes=None, **kwargs):
     layout, grid = four_faces(spark), GridSpec(4, 4)
     full = faces.to_source_grid(spark.createDataFrame([(f"f{i}", d) for i, d in enumerate((0.1, 0.2, 0.0, 0.3))], "face_id string, max_depth double"), layout, grid)
     cand = faces.to_source_grid(spark.createDataFrame([(f"f{i}", d) for i, d in enumerate(depths)], "face_id string, max_depth double"), layout, grid)
-    return compare.accuracy_gate(full, cand, **kwargs).first()
+    told = spark.createDataFrame([volumes], "full_volume double, candidate_volume double") if volumes else None
+    return compare.accuracy_gate(full, cand, told, **kwargs).first()
 
 
 def test_equal_cubes_pass_only_when_everything_is_proven(spark):
     same = (0.1, 0.2, 0.0, 0.3)
-    proven = gate(spark, same, full_volume=2.4, candidate_volume=2.4, connectivity=True)
+    proven = gate(spark, same, volumes=(2.4, 2.4), connectivity=True)
     assert proven["iou"] == 1 and proven["median_diff"] == 0 and proven["passed"]
     open_case = gate(spark, same)
     assert not open_case["passed"] and open_case["criteria"]["important_flow_path_connectivity"] is None
-    shifted = gate(spark, (0.0, 0.2, 0.1, 0.3), full_volume=2.4, candidate_volume=2.4, connectivity=True)
+    shifted = gate(spark, (0.0, 0.2, 0.1, 0.3), volumes=(2.4, 2.4), connectivity=True)
     assert shifted["iou"] < 0.9 and not shifted["passed"]
 
 
@@ -168,7 +169,7 @@ def test_rasterise_inset_and_buffer(spark):
 def test_clipping(spark):
     box = (0.0, 0.0, 4.0, 4.0)
     diamond = features(spark, ring((0, 2), (2, 0), (6, 4), (4, 6), (0, 2)))
-    clipped = vectors.clip_rings(diamond, box)
+    clipped = clipping.clip_polygons(diamond, box)
     assert clipped.select(vectors.ring_area(F.col("ring"))).first()[0] == pytest.approx(10.0)
     path = features(spark, ring((-1, 1), (2, 1), (2, 9), (3, 9), (3, 2)))
     parts = [[(p["x"], p["y"]) for p in r["ring"]] for r in vectors.clip_lines(path, box).orderBy("part").collect()]
