@@ -609,6 +609,24 @@ def a28(spark, folder):
     return summary.overview(cells, GridSpec.measure(cells), "building", 256)
 
 
+@query(
+    "a28_overview_reduced",
+    "cells",
+    """, wide AS (SELECT CAST(p_partkey // 1000 AS INT) AS "row", CAST(p_partkey % 1000 AS INT) AS col, building FROM cells),
+       e AS (SELECT max("row") + 1 AS hh, max(col) + 1 AS ww FROM wide),
+       o AS (SELECT hh, ww, CASE WHEN ww <= 256 AND hh <= 256 THEN hh ELSE greatest(1, CAST(round_even(hh * 256.0 / greatest(hh, ww), 0) AS INT)) END AS oh,
+                    CASE WHEN ww <= 256 AND hh <= 256 THEN ww ELSE greatest(1, CAST(round_even(ww * 256.0 / greatest(hh, ww), 0) AS INT)) END AS ow FROM e)
+       SELECT CAST(i.i AS INT) AS "row", CAST(j.j AS INT) AS col, building FROM o, LATERAL (SELECT unnest(range(o.oh)) AS i) i,
+         LATERAL (SELECT unnest(range(o.ow)) AS j) j, wide c
+       WHERE c."row" = CAST(floor((i.i + 0.5) * hh / oh) AS INT) AND c.col = CAST(floor((j.j + 0.5) * ww / ow) AS INT)""",
+)
+def a28_reduced(spark, folder):
+    """The same cells laid out in rows of 1000, so that the limit of 256 takes effect at every size."""
+    key = F.col("p_partkey")
+    wide = A.cells(spark, folder).select(A.int_div(key, 1000).cast("int").alias("row"), (key % 1000).cast("int").alias("col"), "building")
+    return summary.overview(wide, GridSpec.measure(wide), "building", 256)
+
+
 @query(
     "p13_point_lookup",
     "frames frame_cells points",

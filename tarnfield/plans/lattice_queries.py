@@ -550,7 +550,7 @@ def g15_check(spark, folder):
 )
 def g16(spark, folder):
     cells = cut_lineage(final_map(spark, folder))
-    return blocks.level_regions(cells, GridSpec.measure(cells))
+    return blocks.level_regions(cells, GridSpec.measure(cells), tile=16)
 
 
 @query(

@@ -80,8 +80,8 @@ def r3(spark, folder):
 
 @query("r3_latest_status_stream", "run_events", LATEST + "SELECT run_id, sequence, state, round(progress, 6) + 0.0 AS progress FROM latest")
 def r3_stream(spark, folder):
-    table = monitor.drain(monitor.latest_status(stream_of_events(spark, folder)), "update", "status")
-    return monitor.latest_update(table, ["run_id"]).select("run_id", "sequence", "state", r6(F.col("progress"), "progress"))
+    table = monitor.upsert(monitor.latest_status(stream_of_events(spark, folder)), ["run_id"], "status")
+    return table.select("run_id", "sequence", "state", r6(F.col("progress"), "progress"))
 
 
 @query(
@@ -96,6 +96,19 @@ def r4(spark, folder):
     return status.select("run_id", F.round("elapsed_s", 3).alias("elapsed_s"), F.round("eta_s", 3).alias("eta_s"))
 
 
+@query(
+    "r5_silences_stream",
+    "run_events",
+    f""", seen AS (SELECT * FROM run_events WHERE epoch_us(ts) <= ((SELECT max(epoch_us(ts)) FROM run_events) // 1000 - 172800000) * 1000),
+       steps AS (SELECT *, lead(ts) OVER (PARTITION BY run_id ORDER BY sequence) AS next_ts FROM seen)
+       SELECT run_id, sequence, (epoch_us(next_ts) - epoch_us(ts)) / 1e6 AS silent_s FROM steps
+       WHERE {OPEN} AND epoch_us(next_ts) - epoch_us(ts) >= 86400000000""",
+)
+def r5_stream(spark, folder):
+    """Event-time timers; what the watermark, two days behind the latest event, has passed."""
+    return monitor.silences_by_event_time(stream_of_events(spark, folder), 86400, 172_800)
+
+
 @query(
     "r5_silences",
     "run_events",
@@ -164,8 +177,7 @@ def arriving_frames(events):
 @query("r8_running_peaks_stream", "", PEAKS.replace(", f AS", "WITH f AS", 1))
 def r8(spark, folder):
     events = monitor.read_event_stream(spark, f"{folder}/[e]vents.parquet")
-    table = monitor.drain(monitor.running_peaks(arriving_frames(events)), "update", "peaks")
-    peaks = monitor.latest_update(table, ["row", "col"])
+    peaks = monitor.upsert(monitor.running_peaks(arriving_frames(events)), ["row", "col"], "peaks")
     return peaks.withColumns({"max_depth": F.round("max_depth", 6), "peak_speed": F.round("peak_speed", 6)})
 
 

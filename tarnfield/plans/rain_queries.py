@@ -341,12 +341,12 @@ def s6_events(spark, folder):
     """WITH li AS (SELECT page_id, regexp_extract_all(html, '<li>(.*?)</li>', 1) AS items FROM pages),
        c AS (SELECT page_id, unnest(items) AS item, unnest(range(1, len(items) + 1)) AS rank FROM li),
        t AS (SELECT page_id, CAST(rank AS INT) AS rank, trim(regexp_replace(item, '<[^>]*>', '', 'g')) AS label FROM c)
-       SELECT page_id, rank, label FROM t WHERE rank <= 10 AND length(label) > 3""",
+       SELECT page_id, rank, label FROM t WHERE rank <= 10""",
 )
 def w1(spark, folder):
     pages = A.table(spark, folder, "pages").select("page_id", F.col("html").alias("row_html"))
     ranked = catalogue.ranked_cells(pages, r"(?s)<li>(.*?)</li>", first_rank=1)
-    return ranked.filter(F.length("text") > 3).select("page_id", "rank", F.col("text").alias("label"))
+    return ranked.select("page_id", "rank", F.col("text").alias("label"))
 
 
 @query(

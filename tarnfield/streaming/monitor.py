@@ -8,10 +8,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.utils import AnalysisException
 
 from tarnfield import config
 from tarnfield.operators.ordered import next_in_key, previous_in_key
-from tarnfield.runtime import scratch_path
+from tarnfield.runtime import cut_lineage, scratch_path
 
 # Fixed formats of the engine's log lines.
 PROGRESS_PATTERN = r"(\d+(?:\.\d+)?)%\s+complete,\s+([-+]?\d+(?:\.\d+)?|Inf|inf|-)\s+s\s+remaining"
@@ -182,11 +183,59 @@ def drain(stream: DataFrame, mode: str, name: str, folder: str | None = None) ->
     return spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out")
 
 
-def latest_update(table: DataFrame, keys: list[str]) -> DataFrame:
-    """Final value per key of an update-mode output."""
-    rest = [c for c in table.columns if c not in keys and c != "batch_id"]
-    newest = table.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("_n"))
-    return newest.select(*keys, "_n.*")
+BUCKETS = 16
+
+
+def _places(spark: SparkSession, folder: str, before: int | None = None) -> dict[int, int]:
+    """Bucket to the slot that holds it, by the newest manifest (of a batch before ``before``)."""
+    rows = []
+    for turn in (0, 1):  # one row per bucket each
+        try:
+            rows += spark.read.schema("batch_id LONG, bucket INT, slot INT").parquet(f"{folder}/manifest/turn={turn}").collect()
+        except AnalysisException:
+            continue
+    rows = [r for r in rows if before is None or r["batch_id"] < before]
+    newest = max((r["batch_id"] for r in rows), default=None)
+    return {r["bucket"]: r["slot"] for r in rows if r["batch_id"] == newest}
+
+
+def _slots(spark: SparkSession, folder: str, places: dict[int, int], schema) -> DataFrame:
+    if not places:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{folder}/rows/slot={s}/bucket={b}" for b, s in sorted(places.items())])
+
+
+def upsert(stream: DataFrame, keys: list[str], name: str, folder: str | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """Run an update-mode stream over what is available and give the latest row per key.
+
+    The table is kept in buckets of keys with two slots each. A micro-batch merges its rows into the buckets it
+    touches, writes them to the slot that is not in use, and then swaps slots by a small manifest, itself in
+    two turns. So the table never holds more than two copies of a row however many batches there were, and a
+    batch that is replayed starts from the manifest of the one before it.
+    """
+    spark = stream.sparkSession
+    folder = folder or scratch_path(spark, name)
+    schema = stream.schema
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        places = _places(spark, folder, batch_id)
+        key = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+        fresh = cut_lineage(batch.withColumn("bucket", key))
+        touched = [r[0] for r in fresh.select("bucket").distinct().collect()]  # at most ``buckets``
+        if touched:
+            held = _slots(spark, folder, {b: s for b, s in places.items() if b in touched}, schema)
+            old = held.withColumn("bucket", key).join(fresh.select(*keys), keys, "left_anti")
+            turned = {b: 1 - places.get(b, 1) for b in touched}
+            slot = F.element_at(F.create_map(*[F.lit(x) for pair in turned.items() for x in pair]), F.col("bucket"))
+            writer = old.unionByName(fresh).withColumn("slot", slot).repartition("bucket").write.mode("overwrite")
+            writer.option("partitionOverwriteMode", "dynamic").partitionBy("slot", "bucket").parquet(f"{folder}/rows")
+            places |= turned
+        rows = [(batch_id, b, s) for b, s in sorted(places.items())]
+        told = spark.createDataFrame(rows, "batch_id LONG, bucket INT, slot INT").coalesce(1)
+        told.write.mode("overwrite").parquet(f"{folder}/manifest/turn={batch_id % 2}")
+
+    _run_to_end(stream.writeStream.outputMode("update").foreachBatch(merge), folder)
+    return _slots(spark, folder, _places(spark, folder), schema)
 
 
 def running_peaks(frames: DataFrame) -> DataFrame:
@@ -237,6 +286,56 @@ class SilenceAlarm(StatefulProcessor):
         pass
 
 
+class SilenceByEventTime(StatefulProcessor):
+    """Waits of at least the limit before a run's next event, decided once the watermark has passed that event.
+
+    Events wait in state until then, so late ones within the watermark's delay find their place. A timer stands
+    at the earliest waiting event.
+    """
+
+    def __init__(self, limit_us: int):
+        self.limit_us = limit_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "sequence long, state string, at long")
+        self.last = handle.getValueState("last", "sequence long, at long, open boolean")
+
+    def _wake(self, rows: list[tuple]) -> None:
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        if rows:
+            self.handle.registerTimer(min(r[2] for r in rows) // 1000 + 1)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            for row in zip(batch["sequence"].tolist(), batch["state"].tolist(), batch["at"].tolist()):
+                self.waiting.appendValue(row)
+        self._wake(list(self.waiting.get()))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = list(self.waiting.get())
+        last, found = self.last.get() if self.last.exists() else None, []
+        for sequence, state, at in sorted(r for r in rows if r[2] <= passed):
+            if last is not None and last[2] and at - last[1] >= self.limit_us:
+                found.append((key[0], last[0], (at - last[1]) / 1e6))
+            last = (sequence, at, state not in config.TERMINAL_STATES)
+        rest = [r for r in rows if r[2] > passed]
+        if last is not None:
+            self.last.update(tuple(last))
+        self.waiting.clear()
+        if rest:
+            self.waiting.put(rest)
+        self._wake(rest)
+        if found:
+            yield pd.DataFrame(found, columns=["run_id", "sequence", "silent_s"])
+
+    def close(self) -> None:
+        pass
+
+
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 }
@@ -308,6 +407,32 @@ def silence_stream(events: DataFrame, limit_s: float = 10.0) -> DataFrame:
     )
 
 
+def silences_by_event_time(events: DataFrame, limit_s: float, delay_s: int, folder: str | None = None) -> DataFrame:
+    """Streaming twin of ``silences`` on event time, run over what is available: ``run_id``, ``sequence``, ``silent_s``.
+
+    An event counts once the watermark, the latest time seen less ``delay_s``, has passed it; events that come
+    later than that are dropped. Needs a state store with column families, which is set for the run.
+    """
+    spark = events.sparkSession
+    folder = folder or scratch_path(spark, "silences")
+    at = F.col("ts").cast("timestamp")
+    timed = events.select("run_id", "sequence", "state", at.alias("ts"), F.unix_micros(at).alias("at"))
+    found = timed.withWatermark("ts", f"{delay_s} seconds").groupBy("run_id").transformWithStateInPandas(
+        statefulProcessor=SilenceByEventTime(int(limit_s * 1_000_000)),
+        outputStructType="run_id long, sequence long, silent_s double",
+        outputMode="Append",
+        timeMode="EventTime",
+    )
+    before = {k: spark.conf.get(k, None) for k in ROCKSDB}
+    for key, value in ROCKSDB.items():
+        spark.conf.set(key, value)
+    try:
+        return drain(found, "append", "silences", folder).drop("batch_id")
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def read_event_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
     """A folder or glob of event Parquet as a stream with the schema it has on disk."""
     reader = spark.readStream.schema(spark.read.parquet(path).schema)

@@ -83,14 +83,49 @@ def test_stream_resumes_after_its_cursor_and_counts_once(spark, tmp_path):
 def test_streamed_status_equals_batch_status(spark, tmp_path):
     batches = [[(r, s, "RUNNING_ENGINE", 0.1 * s, float(s)) for r in range(4) for s in range(lo, lo + 3)] for lo in (0, 3, 6)]
     folder = feed_folder(spark, tmp_path, *batches)
-    table = monitor.drain(monitor.latest_status(monitor.read_event_stream(spark, folder, max_files=1)), "update", "status")
-    assert table.select("batch_id").distinct().count() == 3
-    streamed = monitor.latest_update(table, ["run_id"])
+    state = str(tmp_path / "status")
+    stream = monitor.latest_status(monitor.read_event_stream(spark, folder, max_files=1))
+    streamed = monitor.upsert(stream, ["run_id"], "status", folder=state, buckets=3)
     batch = monitor.latest_status(spark.read.parquet(folder))
     keys = ["run_id", "sequence", "state", "progress"]
     assert sorted(map(tuple, streamed.select(keys).collect())) == sorted(map(tuple, batch.select(keys).collect()))
 
 
+def test_upsert_table_stays_compact(spark, tmp_path):
+    """However many batches there were, a bucket has two slots and the manifest two turns."""
+    batches = [[(r, s, "RUNNING_ENGINE", 0.0, float(s)) for r in range(9) if (r + s) % 3] for s in range(7)]
+    folder, state = feed_folder(spark, tmp_path, *batches), tmp_path / "status"
+    stream = monitor.latest_status(monitor.read_event_stream(spark, folder, max_files=1))
+    table = monitor.upsert(stream, ["run_id"], "status", folder=str(state), buckets=2)
+    want = {r["run_id"]: r["sequence"] for r in monitor.latest_status(spark.read.parquet(folder)).collect()}
+    assert {r["run_id"]: r["sequence"] for r in table.collect()} == want and table.count() == 9
+    assert len(list(state.glob("rows/slot=*/bucket=*"))) <= 4 and len(list(state.glob("manifest/turn=*"))) == 2
+    # more events go on from the checkpoint
+    feed_folder(spark, tmp_path, [(3, 50, "COMPLETE", 1.0, 50.0)])
+    stream = monitor.latest_status(monitor.read_event_stream(spark, folder))
+    table = monitor.upsert(stream, ["run_id"], "status", folder=str(state), buckets=2)
+    assert {r["run_id"]: r["sequence"] for r in table.collect()} == want | {3: 50}
+    # a batch that is replayed starts from the manifest of the one before it
+    assert monitor._places(spark, str(state), before=7) != {} and monitor._places(spark, str(state), before=0) == {}
+
+
+def test_event_time_silences_with_late_rows(spark, tmp_path):
+    """Three batches; rows of the second come late but within the delay, one of the third comes too late."""
+    day = 86_400.0
+    batches = [
+        [(1, 0, "CREATED", 0.0, 0.0), (1, 2, "VALIDATING", 0.0, 3 * day), (2, 0, "CREATED", 0.0, 0.0)],
+        [(1, 1, "CREATED", 0.0, 1.5 * day), (2, 1, "COMPLETE", 1.0, 2 * day), (1, 3, "VALIDATING", 0.0, 3.2 * day)],
+        [(2, 2, "CREATED", 0.0, 9 * day), (1, 4, "FAILED", 0.0, 8 * day), (3, 0, "CREATED", 0.0, 20 * day)],
+    ]
+    batches = [[(r, s, state, p, at + 10 * day) for r, s, state, p, at in b] for b in batches]  # the watermark starts at 0
+    folder = feed_folder(spark, tmp_path, *batches)
+    stream = monitor.read_event_stream(spark, folder, max_files=1)
+    got = monitor.silences_by_event_time(stream, day, int(2 * day), folder=str(tmp_path / "s"))
+    batch = monitor.silences(spark.read.parquet(folder).filter("run_id < 3"), day)
+    key = lambda df: sorted((r["run_id"], r["sequence"], r["silent_s"]) for r in df.collect())
+    assert key(got) == key(batch) and len(key(got)) == 4
+
+
 def test_state_machine_keeps_state_across_batches(spark, tmp_path):
     steps = ["CREATED", "VALIDATING", "ACQUIRING_TERRAIN", "COMPLETE"]
     folder = feed_folder(spark, tmp_path, *[[(r, i, s, 0.0, float(i)) for r in (1, 2)] for i, s in enumerate(steps)])
