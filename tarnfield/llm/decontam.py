@@ -101,6 +101,10 @@ class Index:
         self.grams, self.first = np.unique(joined[order], return_index=True)
         self.first = np.r_[self.first, len(joined)]
         self.owner, self.offset = np.concatenate(owners)[order], np.concatenate(offsets)[order]
+        # Of the items that hold a q-gram: the fewest shared ones that a window needs. All of them lie within ``span``.
+        least = self.bound[self.owner]
+        self.needed = np.minimum.reduceat(least, self.first[:-1]) if len(least) else least
+        self.span = int((self.size - Q + 2 * self.k + 2).max(initial=0))
         self.seen = np.zeros(1 << FILTER_BITS, dtype=bool)
         self.seen[self.slot(self.grams)] = True
 
@@ -111,7 +115,7 @@ class Index:
     def bands(self, points: np.ndarray) -> np.ndarray:
         """Rows (window, first diagonal) of the bands that reach their window's bound."""
         marks = grams(points)
-        found = [np.zeros((0, 2), dtype=np.int64)]
+        found = [np.zeros(0, dtype=np.int64)]
         for at in range(0, len(marks), PIECE):
             part = marks[at : at + PIECE + LAP]
             near = np.flatnonzero(self.seen[self.slot(part)])
@@ -121,6 +125,11 @@ class Index:
             place[place == len(self.grams)] = 0
             hit = self.grams[place] == part[near]
             near, place = near[hit], place[hit]
+            around = np.searchsorted(near, near + self.span, "right") - np.searchsorted(near, near - self.span)
+            enough = around >= self.needed[place]  # a lonely shared q-gram is part of no region
+            near, place = near[enough], place[enough]
+            if not len(near):
+                continue
             size = self.first[place + 1] - self.first[place]
             posting = np.arange(size.sum()) + np.repeat(self.first[place] - np.cumsum(size) + size, size)
             item, offset = self.owner[posting], self.offset[posting]
@@ -140,10 +149,10 @@ class Index:
             n = np.maximum(0, end - begin + 1)
             window = np.arange(n.sum()) + np.repeat(self.window[item] + begin - np.cumsum(n) + n, n)
             band = (np.repeat(key, n) & 0xFFFFFFFF) - SHIFT
-            rows = np.stack([window, band * (self.edits[window] + 1) + self.at[window]], axis=1)
-            found.append(np.unique(rows, axis=0))
-        rows = np.concatenate(found)
-        return np.unique(rows, axis=0) if len(found) > 2 else rows
+            diagonal = band * (self.edits[window] + 1) + self.at[window]
+            found.append((window << 32) + diagonal + SHIFT)  # one number is sorted faster than two
+        packed = np.unique(np.concatenate(found))
+        return np.stack([packed >> 32, (packed & 0xFFFFFFFF) - SHIFT], axis=1)
 
     def align(self, regions: list[tuple[np.ndarray, int, int]]) -> list[tuple[int, int, int] | None]:
         """(start, end, edits) of the best alignment within each band (text, window, first diagonal), if within the budget.
