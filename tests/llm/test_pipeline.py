@@ -5,7 +5,9 @@ import zlib
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tarnfield.llm import simhash, toxicity
+from test_similar import plain_classes
+
+from tarnfield.llm import toxicity
 from tarnfield.llm.common import remainder
 
 FOLDER = "/root/testdata/sf0.001"
@@ -28,7 +30,7 @@ def test_stages_in_order(spark, docs):
     model = toxicity.fit(docs, labels, remainder(F.col("doc_id"), 5) != 0)
     toxic = {r["doc_id"] for r in toxicity.scored(docs, model).filter("predicted = 1").collect()}
     assert ids["toxicity"] == set(rows) - toxic
-    classes = {r[0]: r[2] for r in simhash.near_duplicates(seen["toxicity"]).collect()}
+    classes, _ = plain_classes([(r["doc_id"], r["text"]) for r in seen["toxicity"].collect()])
     assert ids["near_dedup"] == set(classes.values())
     plain = lambda t: " ".join(t.lower().split())
     items = [plain(r["text"]) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect()]
