@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnfield import config
-from tarnfield.operators.ordered import exact_quantiles
+from tarnfield.operators.ordered import exact_quantiles, side_by_side
 from tarnfield.runtime import cut_lineage
 
 CELL = ["row", "col"]
@@ -36,14 +36,10 @@ def accuracy_gate(
     both = pairs.filter(a & b).select(F.abs(F.col("full_max_depth") - F.col("cand_max_depth")).alias("d"))
     q = exact_quantiles(both, "d", {"median": 0.5, "p95": 0.95})
     one = pairs.agg(F.count_if(a | b).alias("union_cells"), F.count_if(a & b).alias("common_cells"))
-    parts = [one, q, relative_difference(volumes) if volumes is not None else None]
-    key = F.lit(1).alias("one")
-    met = one.select(key, "*")
-    for part in parts[1:]:
-        if part is None:
-            met = met.withColumn("volume_rel_diff", F.lit(None).cast("double"))
-        else:
-            met = met.join(part.select(key, "*"), "one")  # single rows
+    if volumes is None:
+        met = side_by_side(one, q).withColumn("volume_rel_diff", F.lit(None).cast("double"))
+    else:
+        met = side_by_side(one, q, relative_difference(volumes))
     nothing = (F.col("union_cells") == 0) & (F.col("common_cells") == 0)
     met = met.select(
         "union_cells",

@@ -45,6 +45,14 @@ def running_total(df: DataFrame, order: str, amount: str, out: str, rows: int |
     return joined.withColumn(out, F.col("_local") + F.col("_before")).drop("_local", "_before", "_slice", "_order")
 
 
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """Frames of one row each as one row with the columns of all; no join."""
+    stacked = rows[0]
+    for row in rows[1:]:
+        stacked = stacked.unionByName(row, allowMissingColumns=True)
+    return stacked.agg(*[F.first(c, ignorenulls=True).alias(c) for c in stacked.columns])
+
+
 BUCKETS = 1 << 16
 ROUNDS = 2  # the second looks at the chosen parts by their own range
 
@@ -58,9 +66,9 @@ def exact_quantiles(df: DataFrame, value: str, probabilities: dict[str, float])
     What is left of a part after the last round are values that agree in 2^-16 of their part's own range, ranked among
     themselves. Give a table that is cheap to read; it is read once per round.
     """
-    one = F.lit(1).alias("one")
-    rows = df.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), F.lit(0).cast("long").alias("part"))
-    total = rows.agg(F.count(F.lit(1)).alias("total")).select(one, "total")
+    rows = df.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
+    rows = rows.withColumn("part", F.when(F.col("v").isNull(), 1).otherwise(0).cast("long"))  # 0, but a key that joins by hash
+    total = rows.agg(F.count(F.lit(1)).alias("total"))
     names = list(probabilities)
     asked = F.array(*[F.struct(F.lit(i).alias("p"), F.lit(float(p)).alias("at")) for i, p in enumerate(probabilities.values())])
     place = total.filter("total > 0").select("total", F.explode(asked).alias("a")).select("a.p", (F.col("a.at") * (F.col("total") - 1)).alias("place"), "total")
@@ -69,7 +77,7 @@ def exact_quantiles(df: DataFrame, value: str, probabilities: dict[str, float])
         F.struct(F.lit(0).alias("side"), low.alias("rank")), F.struct(F.lit(1).alias("side"), F.least(low + 1, F.col("total") - 1).alias("rank"))
     )
     # ``rank`` counts from 0 inside the part that a position has come down to
-    wanted = place.select("p", (F.col("place") - low).alias("weight"), F.explode(sides).alias("s"), F.lit(0).cast("long").alias("in_part"))
+    wanted = place.select("p", (F.col("place") - low).alias("weight"), F.explode(sides).alias("s"), F.when(F.col("total") < 0, 1).otherwise(0).cast("long").alias("in_part"))
     wanted = wanted.select("p", "weight", "s.side", "s.rank", "in_part")
     hit = (F.col("in_part") == F.col("part")) & (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("upto"))
 

@@ -193,8 +193,7 @@ def sample_field(points: DataFrame, nodes: DataFrame, spacing: DataFrame) -> Dat
     Points without a node in reach, or whose directions cancel, give no row.
     """
     near = nearest_k(points, nodes.select(F.col("node_id").alias("site_id"), "x", "y"), 8)
-    one = F.lit(1).alias("_one")
-    near = near.select(one, "*").join(F.broadcast(spacing.select(one, "spacing")), "_one").filter("distance <= 3 * spacing")
+    near = near.withColumn("spacing", spacing.select("spacing").scalar()).filter("distance <= 3 * spacing")
     scaled = F.col("distance") / F.col("spacing")
     weight = 1 / (0.15 + scaled * scaled)
     joined = near.join(nodes.select(F.col("node_id").alias("site_id"), "dx", "dy", "speed"), "site_id")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tarnfield import config
 from tarnfield.functions.columns import class_index, depth_colour, elevation_colour, flow_colour, hex_colour, speed
-from tarnfield.operators import blocks, classes, compare, faces, summary
+from tarnfield.operators import blocks, classes, compare, faces, ordered, summary
 from tarnfield.operators.grid import GridSpec
 from tarnfield.plans import adapters as A
 from tarnfield.plans.cube_queries import SUMMARY_SQL, r6, summary_of
@@ -207,9 +207,9 @@ def j10(spark, folder):
 )
 def a15(spark, folder):
     full, cand = max_pairs(spark, folder)
-    one = F.lit(1).alias("one")
-    volumes = summary.final_storage(A.frames(spark, folder)).select(one, F.col("volume").alias("full_volume")).join(
-        summary.final_storage(candidate_frames(spark, folder)).select(one, F.col("volume").alias("candidate_volume")), "one"
+    volumes = ordered.side_by_side(
+        summary.final_storage(A.frames(spark, folder)).select(F.col("volume").alias("full_volume")),
+        summary.final_storage(candidate_frames(spark, folder)).select(F.col("volume").alias("candidate_volume")),
     )
     gate = compare.accuracy_gate(full, cand, volumes)  # nothing proves the flow paths, so it cannot pass
     rounded = {n: F.round(n, 6) for n in ("iou", "median_diff", "p95_diff", "volume_rel_diff")}

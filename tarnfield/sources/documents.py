@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tarnfield.functions.columns import finite
 from tarnfield.operators.grid import GridSpec
+from tarnfield.operators.ordered import side_by_side
 
 UNITS = {"water_depth": "m", "terrain_elevation": "m", "grid_resolution": "m"}
 POLICY = (
@@ -66,8 +67,7 @@ def result_document(frames: DataFrame, cells: DataFrame, grid: GridSpec, stored:
     )
     half_w, half_h = grid.width_m / 2, grid.height_m / 2
     bounds = {"west_m": -half_w, "south_m": -half_h, "east_m": half_w, "north_m": half_h}
-    one = F.lit(1).alias("one")  # both sides are a single row
-    told = times.select(one, "*").join(whole.select(one, "*"), "one").drop("one").select(
+    told = side_by_side(times, whole).select(
         F.lit("1").alias("schema_version"),
         F.lit(kind).alias("storage_kind"),
         F.struct(*[F.lit(v).alias(k) for k, v in bounds.items()]).alias("bounds"),
