@@ -129,7 +129,7 @@ def test_raw_cube_is_written_and_read_back(spark, frames, tmp_path):
     from pyspark.sql.datasource import EqualTo, GreaterThan
 
     everything = len(reader.partitions())
-    rest = list(reader.pushFilters([GreaterThan(("h",), 5010.0), EqualTo(("row",), 4)]))
+    rest = list(reader.pushFilters([GreaterThan(("h",), 5010.0), EqualTo(("row",), 12)]))
     assert len(rest) == 1 and 0 < len(reader.partitions()) < everything / 3
     with pytest.raises(Exception, match="already"):
         raw_cube.write_raw(one, path, GRID, 6, tile=8)
