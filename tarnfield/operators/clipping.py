@@ -35,7 +35,10 @@ def signed_area(ring: np.ndarray) -> float:
 
 
 def cut_side(ring: np.ndarray, normal: np.ndarray, least: float) -> list[np.ndarray]:
-    """Open rings of the part of an open ring where ``normal . p >= least``."""
+    """Open rings of the part of an open ring where ``normal . p >= least``; what only touches the line is no part.
+
+    ``normal`` lies along an axis, and crossings get the line's own coordinate: a strip as thin as one bit stays one.
+    """
     depth = ring @ normal - least
     inside = depth >= 0
     if inside.all():
@@ -51,7 +54,9 @@ def cut_side(ring: np.ndarray, normal: np.ndarray, least: float) -> list[np.ndar
 
     def crossing(out: np.ndarray, into: np.ndarray) -> np.ndarray:
         share = depth[out] / (depth[out] - depth[into])
-        return ring[out] + share[:, None] * (ring[into] - ring[out])
+        found = ring[out] + share[:, None] * (ring[into] - ring[out])
+        found[:, normal != 0] = least * normal[normal != 0]
+        return found
 
     entries, exits = crossing(begins - 1, begins), crossing((ends + 1) % n, ends)
     along = np.array([-normal[1], normal[0]])
@@ -83,17 +88,20 @@ def cut_side(ring: np.ndarray, normal: np.ndarray, least: float) -> list[np.ndar
     return rings
 
 
-def cut_ring(ring: np.ndarray, box: Box) -> list[np.ndarray]:
-    """Closed rings of a closed ring inside a rectangle, without slivers."""
+def cut_ring(ring: np.ndarray, box: Box, least_area: float = LEAST_AREA) -> list[np.ndarray]:
+    """Closed rings of a closed ring inside a rectangle, without those of ``least_area`` or less."""
     rings = [ring[:-1] if (ring[0] == ring[-1]).all() else ring]
     xmin, ymin, xmax, ymax = box
     for normal, least in (((1.0, 0.0), xmin), ((-1.0, 0.0), -xmax), ((0.0, 1.0), ymin), ((0.0, -1.0), -ymax)):
         rings = [part for r in rings for part in cut_side(r, np.array(normal), least)]
-    return [np.concatenate([r, r[:1]]) for r in rings if len(r) > 2 and abs(signed_area(r)) > LEAST_AREA]
+    return [np.concatenate([r, r[:1]]) for r in rings if len(r) > 2 and abs(signed_area(r)) > least_area]
+
 
+def clip_polygons(features: DataFrame, box: Box, least_area: float = LEAST_AREA) -> DataFrame:
+    """Rows with a closed ``ring`` cut to a rectangle: one row per ring that is left, numbered by ``piece``.
 
-def clip_polygons(features: DataFrame, box: Box) -> DataFrame:
-    """Rows with a closed ``ring`` cut to a rectangle: one row per ring that is left, numbered by ``piece``."""
+    Rings of ``least_area`` or less are slivers and go; with 0 every ring that has an area stays.
+    """
     box = tuple(float(b) for b in box)
     names = [c for c in features.columns if c != "piece"]
     given = features.select(*[F.col(c).cast(RING).alias(c) if c == "ring" else F.col(c) for c in names])
@@ -113,7 +121,7 @@ def clip_polygons(features: DataFrame, box: Box) -> DataFrame:
                 if x1 < box[0] or y1 < box[1] or x0 > box[2] or y0 > box[3]:
                     continue
                 whole = x0 >= box[0] and y0 >= box[1] and x1 <= box[2] and y1 <= box[3]
-                found = [ring] if whole and abs(signed_area(ring)) > LEAST_AREA else cut_ring(ring, box)
+                found = [ring] if whole and abs(signed_area(ring)) > least_area else cut_ring(ring, box, least_area)
                 rows += [row] * len(found)
                 pieces += range(len(found))
                 parts += found

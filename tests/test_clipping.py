@@ -86,6 +86,15 @@ def test_rows_of_features(spark):
     assert clipping.clip_polygons(many, BOX).count() == 1000
 
 
+def test_the_thinnest_strips_stay_when_asked_for(spark):
+    width = np.nextafter(10.0, 0)
+    strip = [(float(x), float(y)) for x, y in closed([(width, 2), (18, 2), (18, 6), (width, 6)])]
+    df = spark.createDataFrame([("s", strip)], "feature_id string, ring array<struct<x:double,y:double>>")
+    assert clipping.clip_polygons(df, BOX).count() == 0  # a sliver
+    got = clipping.clip_polygons(df, BOX, least_area=0.0).first()["ring"]
+    assert {p["x"] for p in got} == {width, 10.0} and {p["y"] for p in got} == {2.0, 6.0}
+
+
 def test_long_rings_take_linear_steps():
     rng = random.Random(1)
     n = 100_000
