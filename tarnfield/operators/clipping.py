@@ -40,8 +40,8 @@ def cut_side(ring: np.ndarray, normal: np.ndarray, least: float) -> list[np.ndar
     ``normal`` lies along an axis, and crossings get the line's own coordinate: a strip as thin as one bit stays one.
     """
     depth = ring @ normal - least
-    inside = depth >= 0
-    if inside.all():
+    inside = depth > 0
+    if (depth >= 0).all():
         return [ring]
     if not inside.any():
         return []

@@ -86,6 +86,12 @@ def test_rows_of_features(spark):
     assert clipping.clip_polygons(many, BOX).count() == 1000
 
 
+def test_a_ring_that_only_touches_the_line_falls_apart_there():
+    arms = [(-2, 1), (8, 1), (8, 3), (0, 3), (0, 5), (8, 5), (8, 7), (-2, 7)]  # the back between the arms ends on the line
+    for ring in (closed(arms), closed(arms[::-1]), closed(arms[3:] + arms[:3])):
+        assert sorted(area([r]) for r in clipping.cut_ring(ring, BOX)) == pytest.approx([16.0, 16.0])
+
+
 def test_the_thinnest_strips_stay_when_asked_for(spark):
     width = np.nextafter(10.0, 0)
     strip = [(float(x), float(y)) for x, y in closed([(width, 2), (18, 2), (18, 6), (width, 6)])]
