@@ -1,5 +1,7 @@
 """Dense tile cubes: round trips, windows, points, publication, faces, and what reads touch."""
 
+import pickle
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -139,6 +141,23 @@ def test_raw_cube_is_written_and_read_back(spark, frames, tmp_path):
         spark.read.format("raw_cube").options(path=path, variables="h,u").load()
 
 
+def test_many_raw_chunks_take_few_tasks(spark, tmp_path):
+    path, grid = str(tmp_path / "m"), GridSpec(16, 400)
+    cells = spark.range(16 * 400).select((F.col("id") % 400).cast("int").alias("row"), F.floor(F.col("id") / 400).cast("int").alias("col"))
+    one = cells.crossJoin(spark.range(4).select(F.col("id").cast("int").alias("t")))
+    one = one.withColumns({"h": (F.col("row") * 16 + F.col("col")).cast("double"), "u": F.lit(0.5), "v": F.lit(None).cast("double")})
+    raw_cube.write_raw(one, path, grid, 4, tile=4)
+    reader = raw_cube.RawCubeReader({"path": path, "variables": "h,u,v"})
+    parts = reader.partitions()
+    assert sum(len(p.whole) for p in parts) == 4 * 4 * 100 and len(parts) <= raw_cube.LEAST_PARTS
+    assert pickle.loads(pickle.dumps(reader)).listed is None
+    found = spark.read.format("raw_cube").options(path=path, variables="h,u,v").load()
+    got = found.filter("row >= 7").agg(F.count("*"), F.sum("h"), F.sum("u"), F.count("v")).first()
+    want = one.filter("row >= 7").agg(F.count("*"), F.sum("h"), F.sum("u"), F.count("v")).first()
+    assert tuple(got) == tuple(want)
+    assert found.filter("row > 5000").count() == 0  # a window without chunks
+
+
 def test_a_failed_raw_write_leaves_nothing(spark, frames, tmp_path):
     path = tmp_path / "r"
     raw_cube.register(spark)
