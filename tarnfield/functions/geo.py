@@ -60,66 +60,112 @@ def _radius(sin_phi):
     return config.WGS84_A / F.sqrt(1 - _E2 * sin_phi * sin_phi)
 
 
+def _steps(given: dict[str, Column], steps: list) -> dict[str, Column]:
+    """The outcome of each step handed to the next as plain columns."""
+    for step in steps:
+        given = step(**given)
+    return given
+
+
+def _each(points: Column, steps: list) -> Column:
+    """Steps on every struct of an array; an array between two steps, as nothing in a lambda is worked out only once."""
+
+    def bound(step):
+        names = step.__code__.co_varnames[: step.__code__.co_argcount]
+        return lambda p: F.struct(*[v.alias(k) for k, v in step(**{n: p[n] for n in names}).items()])
+
+    for step in steps:
+        points = F.transform(points, bound(step))
+    return points
+
+
+def _local_steps(lon0: float | Column, lat0: float | Column) -> list:
+    lon0, lat0 = (v if isinstance(v, Column) else F.lit(float(v)) for v in (lon0, lat0))
+    phi1 = F.radians(lat0)
+    sin1, cos1 = F.sin(phi1), F.cos(phi1)
+    n1, ep = _radius(sin1), math.sqrt(_E2 / (1 - _E2))
+
+    def seen(lon, lat):
+        """Latitude seen from the centre's normal."""
+        phi = F.radians(lat)
+        n = _radius(F.sin(phi))
+        psi = F.atan((1 - _E2) * F.tan(phi) + _E2 * n1 * sin1 / (n * F.cos(phi)))
+        return {"dlam": F.radians(lon - lon0), "psi": psi}
+
+    def arc(dlam, psi):
+        """Haversine form of the arc keeps full precision close to the centre."""
+        az = F.atan2(F.sin(dlam), cos1 * F.tan(psi) - sin1 * F.cos(dlam))
+        half = F.sin((psi - phi1) / 2) * F.sin((psi - phi1) / 2) + cos1 * F.cos(psi) * F.sin(dlam / 2) * F.sin(dlam / 2)
+        return {"az": az, "s": 2 * F.asin(F.sqrt(F.least(F.lit(1.0), half)))}
+
+    def bent(az, s):
+        return {"az": az, "s": s, "h": ep * cos1 * F.cos(az)}
+
+    def reach(az, s, h):
+        g, h2 = ep * sin1, h * h
+        series = 1 - s * s * h2 * (1 - h2) / 6 + F.pow(s, F.lit(3)) / 8 * g * h * (1 - 2 * h2)
+        series = series + F.pow(s, F.lit(4)) / 120 * (h2 * (4 - 7 * h2) - 3 * g * g * (1 - 7 * h2))
+        series = series - F.pow(s, F.lit(5)) / 48 * g * h
+        return {"az": az, "c": n1 * s * series}
+
+    def placed(az, c):
+        return {"x": c * F.sin(az), "y": c * F.cos(az)}
+
+    return [seen, arc, bent, reach, placed]
+
+
 def to_local(lon: Column, lat: Column, lon0: float | Column, lat0: float | Column) -> tuple[Column, Column]:
     """Longitude / latitude to metres east and north of the centre."""
+    found = _steps({"lon": lon, "lat": lat}, _local_steps(lon0, lat0))
+    return found["x"], found["y"]
+
+
+def _lonlat_steps(lon0: float | Column, lat0: float | Column) -> list:
     lon0, lat0 = (v if isinstance(v, Column) else F.lit(float(v)) for v in (lon0, lat0))
-    phi, phi1, dlam = F.radians(lat), F.radians(lat0), F.radians(lon - lon0)
+    phi1 = F.radians(lat0)
     sin1, cos1 = F.sin(phi1), F.cos(phi1)
-    n1, n = _radius(sin1), _radius(F.sin(phi))
-    # Latitude seen from the centre's normal.
-    psi = F.atan((1 - _E2) * F.tan(phi) + _E2 * n1 * sin1 / (n * F.cos(phi)))
-    az = F.atan2(F.sin(dlam), cos1 * F.tan(psi) - sin1 * F.cos(dlam))
-    # Haversine form of the arc keeps full precision close to the centre.
-    half = F.sin((psi - phi1) / 2) * F.sin((psi - phi1) / 2) + cos1 * F.cos(psi) * F.sin(dlam / 2) * F.sin(dlam / 2)
-    s = 2 * F.asin(F.sqrt(F.least(F.lit(1.0), half)))
-    ep = math.sqrt(_E2 / (1 - _E2))
-    g, h = ep * sin1, ep * cos1 * F.cos(az)
-    h2 = h * h
-    series = 1 - s * s * h2 * (1 - h2) / 6 + F.pow(s, F.lit(3)) / 8 * g * h * (1 - 2 * h2)
-    series = series + F.pow(s, F.lit(4)) / 120 * (h2 * (4 - 7 * h2) - 3 * g * g * (1 - 7 * h2))
-    series = series - F.pow(s, F.lit(5)) / 48 * g * h
-    c = n1 * s * series
-    return c * F.sin(az), c * F.cos(az)
+    n1 = _radius(sin1)
+
+    def polar(x, y):
+        az = F.atan2(x, y)
+        return {"az": az, "cos_az": F.cos(az), "d": F.sqrt(x * x + y * y) / n1}
+
+    def bent(az, cos_az, d):
+        a = -_E2 * cos1 * cos1 * cos_az * cos_az / (1 - _E2)
+        return {"az": az, "cos_az": cos_az, "d": d, "a": a, "b": 3 * _E2 * (1 - a) * sin1 * cos1 * cos_az / (1 - _E2)}
+
+    def arc(az, cos_az, d, a, b):
+        e = d - a * (1 + a) * F.pow(d, F.lit(3)) / 6 - b * (1 + 3 * a) * F.pow(d, F.lit(4)) / 24
+        return {"az": az, "cos_az": cos_az, "e": e, "a": a, "b": b}
+
+    def seen(az, cos_az, e, a, b):
+        psi = F.asin(sin1 * F.cos(e) + cos1 * F.sin(e) * cos_az)
+        return {"az": az, "e": e, "f": 1 - a * e * e / 2 - b * F.pow(e, F.lit(3)) / 6, "psi": psi}
+
+    def placed(az, e, f, psi):
+        lam = lon0 + F.degrees(F.asin(F.sin(az) * F.sin(e) / F.cos(psi)))
+        # The ratio keeps its meaning near the equator, where both sines vanish.
+        lat = F.degrees(F.atan(F.tan(psi) * (1 - _E2 * f * sin1 / F.sin(psi)) / (1 - _E2)))
+        near_equator = F.abs(F.sin(psi)) < 1e-12
+        return {"lon": lam, "lat": F.when(near_equator, F.degrees(psi)).otherwise(lat)}
+
+    return [polar, bent, arc, seen, placed]
 
 
 def to_lonlat(x: Column, y: Column, lon0: float | Column, lat0: float | Column) -> tuple[Column, Column]:
     """Metres east and north of the centre to longitude / latitude."""
-    lon0, lat0 = (v if isinstance(v, Column) else F.lit(float(v)) for v in (lon0, lat0))
-    phi1 = F.radians(lat0)
-    sin1, cos1 = F.sin(phi1), F.cos(phi1)
-    c, az = F.sqrt(x * x + y * y), F.atan2(x, y)
-    n1, cos_az = _radius(sin1), F.cos(az)
-    a = -_E2 * cos1 * cos1 * cos_az * cos_az / (1 - _E2)
-    b = 3 * _E2 * (1 - a) * sin1 * cos1 * cos_az / (1 - _E2)
-    d = c / n1
-    e = d - a * (1 + a) * F.pow(d, F.lit(3)) / 6 - b * (1 + 3 * a) * F.pow(d, F.lit(4)) / 24
-    f = 1 - a * e * e / 2 - b * F.pow(e, F.lit(3)) / 6
-    psi = F.asin(sin1 * F.cos(e) + cos1 * F.sin(e) * cos_az)
-    lam = lon0 + F.degrees(F.asin(F.sin(az) * F.sin(e) / F.cos(psi)))
-    # The ratio keeps its meaning near the equator, where both sines vanish.
-    lat = F.degrees(F.atan(F.tan(psi) * (1 - _E2 * f * sin1 / F.sin(psi)) / (1 - _E2)))
-    near_equator = F.abs(F.sin(psi)) < 1e-12
-    return lam, F.when(near_equator, F.degrees(psi)).otherwise(lat)
+    found = _steps({"x": x, "y": y}, _lonlat_steps(lon0, lat0))
+    return found["lon"], found["lat"]
 
 
 def project_points(points: Column, lon0: float | Column, lat0: float | Column) -> Column:
     """Array of (lon, lat) structs to local (x, y) structs; one expression however long the array."""
-
-    def one(p: Column) -> Column:
-        x, y = to_local(p["lon"], p["lat"], lon0, lat0)
-        return F.struct(x.alias("x"), y.alias("y"))
-
-    return F.transform(points, one)
+    return _each(points, _local_steps(lon0, lat0))
 
 
 def unproject_points(points: Column, lon0: float | Column, lat0: float | Column) -> Column:
     """Array of local (x, y) structs to (lon, lat) structs."""
-
-    def one(p: Column) -> Column:
-        lon, lat = to_lonlat(p["x"], p["y"], lon0, lat0)
-        return F.struct(lon.alias("lon"), lat.alias("lat"))
-
-    return F.transform(points, one)
+    return _each(points, _lonlat_steps(lon0, lat0))
 
 
 def _ends(points: Column, field: str) -> tuple[Column, Column]:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnfield.functions.columns import finite, speed, wet
-from tarnfield.functions.geo import to_lonlat
+from tarnfield.functions.geo import unproject_points
 from tarnfield.operators.grid import GridSpec, block
 from tarnfield.operators.nearest import nearest_k
 from tarnfield.operators.ordered import exact_quantiles
@@ -131,11 +131,10 @@ def arrow_segments(with_lines: DataFrame) -> DataFrame:
 def geojson_features(with_lines: DataFrame, grid: GridSpec, t: int) -> DataFrame:
     """One GeoJSON feature text per arrow."""
 
-    def lonlat(p: Column) -> Column:
-        lon, lat = to_lonlat(p["x"], p["y"], grid.lon0, grid.lat0)
-        return F.array(lon, lat)
+    def lonlat(line: Column) -> Column:
+        return F.transform(unproject_points(line, grid.lon0, grid.lat0), lambda p: F.array(p["lon"], p["lat"]))
 
-    coordinates = F.transform("lines", lambda line: F.transform(line, lonlat))
+    coordinates = F.transform("lines", lonlat)
     feature = F.struct(
         F.lit("Feature").alias("type"),
         F.struct(F.lit("MultiLineString").alias("type"), coordinates.alias("coordinates")).alias("geometry"),

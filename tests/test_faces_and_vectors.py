@@ -245,3 +245,15 @@ def test_element_ids_do_not_change_between_runs(spark, tmp_path):
     (tmp_path / "x.gml").write_text('<b:Building gml:id="k1"><p>1</p></b:Building>\n<b:Building><p>2</p></b:Building>')
     ids = [[r["element_id"] for r in vector_files.read_elements(spark, str(tmp_path), "b:Building").collect()] for _ in range(2)]
     assert ids[0] == ids[1] and ids[0][0] == "k1" and len(set(ids[0])) == 2
+
+
+def test_projected_points_work_each_step_out_once(spark):
+    """The plan of an array's projection names a sine or two per step, not one per use of an intermediate value."""
+    points = spark.createDataFrame([([(139.01, 35.02), (138.99, 34.97)],)], "p array<struct<lon:double,lat:double>>")
+    there = points.select(geo.project_points(F.col("p"), 139.0, 35.0).alias("xy"))
+    plan = there._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.upper().count("ASIN(") == 1 and plan.upper().count("ATAN(") == 1
+    one = points.select(F.explode("p").alias("p")).select(*geo.to_local(F.col("p.lon"), F.col("p.lat"), 139.0, 35.0))
+    assert [(q["x"], q["y"]) for q in there.first()["xy"]] == [tuple(r) for r in one.collect()]
+    back = there.select(F.explode(geo.unproject_points(F.col("xy"), 139.0, 35.0)).alias("p")).select("p.*").collect()
+    assert [abs(r["lon"] - lon) + abs(r["lat"] - lat) < 1e-6 for r, (lon, lat) in zip(back, points.first()["p"])] == [True, True]
