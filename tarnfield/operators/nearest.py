@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnfield.functions.geo import haversine_km
 from tarnfield.operators.ordered import top_per_key
-from tarnfield.runtime import cut_lineage
+from tarnfield.runtime import broadcast_if_small, cut_lineage
 
 AXES = ("x", "y", "z")
 # Levels gained per descent: up to 16 children in the plane, 64 boxes (few of them occupied) in space.
@@ -58,6 +58,18 @@ def _bounds(level: int, origin: dict[str, float], span: float) -> tuple[Column,
     return F.sqrt(near), F.sqrt(far)
 
 
+def spots_of(points: DataFrame) -> DataFrame:
+    """The distinct places (x, y) of points, each once, with a ``point_id`` of its own."""
+    places = points.select("x", "y").filter("x IS NOT NULL AND y IS NOT NULL").distinct()
+    return cut_lineage(places.withColumn("point_id", F.monotonically_increasing_id()))
+
+
+def at_points(points: DataFrame, spots: DataFrame, answers: DataFrame) -> DataFrame:
+    """``answers``, one row per spot at most (``point_id`` and more), for every point at the place."""
+    told = cut_lineage(answers.join(spots, "point_id").drop("point_id"))
+    return points.join(broadcast_if_small(told), ["x", "y"]).drop("x", "y")
+
+
 def nearest_k(
     points: DataFrame,
     sites: DataFrame,
@@ -68,38 +80,55 @@ def nearest_k(
 ) -> DataFrame:
     """(point_id, site_id, distance, rank) of the k nearest sites, ties by site id.
 
-    ``points`` has point_id, x, y and ``sites`` site_id, x, y (degrees when ``sphere``). All
-    points descend together from one cell: each kept (point, cell) pair opens the cell's
+    ``points`` has point_id, x, y and ``sites`` site_id, x, y (degrees when ``sphere``). Points of one place have one
+    answer: the search runs once per place, however many points share it. With ``skip_self`` one more is searched for,
+    and each point drops its own site.
+    """
+    spots = spots_of(points)
+    found = _nearest(spots, sites, k + 1 if skip_self else k, sphere, within)
+    ranked = F.array_sort(F.collect_list(F.struct("rank", "site_id", "distance"))).alias("_near")
+    each = at_points(points.select("point_id", "x", "y"), spots, found.groupBy("point_id").agg(ranked))
+    near = F.col("_near")
+    if skip_self:
+        near = F.slice(F.filter(near, lambda s: s["site_id"] != F.col("point_id")), 1, k)
+    rows = each.select("point_id", F.posexplode(near).alias("_at", "_s"))
+    return rows.select("point_id", "_s.site_id", "_s.distance", (F.col("_at") + 1).alias("rank"))
+
+
+def _nearest(points: DataFrame, sites: DataFrame, k: int, sphere: bool, within: float | None) -> DataFrame:
+    """The search of ``nearest_k`` for points that do not share places.
+
+    All points descend together from one cell: each kept (point, cell) pair opens the cell's
     occupied children, the k-th smallest farthest-possible distance bounds the answer, and
     cells that begin beyond the bound go. Only then do the few cells left meet their sites, so
     a point far from a dense cluster never meets all of it. Sites beyond the first k of one
     exact coordinate cannot rank and are dropped first. The cells of all levels are counted in
     one aggregate; the descent, whose length depends on the sites alone, is then one plan.
     """
-    keep = k + 1 if skip_self else k
-    first = top_per_key(sites.select("site_id", "x", "y"), ["x", "y"], [F.col("site_id")], keep, F.col("site_id"))
+    first = top_per_key(sites.select("site_id", "x", "y"), ["x", "y"], [F.col("site_id")], k, F.col("site_id"))
     placed = cut_lineage(_place(first.drop("rank"), sphere))
     box = placed.agg(*[f(a).alias(f"{n}{a}") for a in AXES for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    asked = _place(points.select("point_id", "x", "y"), sphere).select(
+    # dealt by point before cells multiply the rows: what follows per point needs no further exchange of them
+    asked = _place(points.select("point_id", "x", "y").repartition("point_id"), sphere).select(
         "point_id", *[F.col(a).alias(f"p{a}") for a in AXES], F.col("lon").alias("plon"), F.col("lat").alias("plat")
     )
     if box["lox"] is None:
-        nothing = asked.select("point_id", F.lit(None).alias("site_id"), F.lit(0.0).alias("distance"), F.lit(0).alias("rank"))
+        nothing = asked.select("point_id", F.lit(None).cast(sites.schema["site_id"].dataType).alias("site_id"), F.lit(0.0).alias("distance"), F.lit(0).alias("rank"))
         return nothing.filter(F.lit(False))
     origin = {a: box[f"lo{a}"] for a in AXES}
     span = max(box[f"hi{a}"] - origin[a] for a in AXES) * (1 + 1e-9) + 1e-12
     counts = cut_lineage(_counts(placed, origin, span))
     told = counts.groupBy("level").agg(F.count(F.lit(1)).alias("cells"), F.max("n").alias("crowd"))
     sizes = {r["level"]: (r["cells"], r["crowd"]) for r in told.collect()}  # one row per level
-    last = next((lv for lv in sorted(sizes) if sizes[lv][1] <= max(CROWD, 2 * keep)), MAX_LEVEL)
+    last = next((lv for lv in sorted(sizes) if sizes[lv][1] <= max(CROWD, 2 * k)), MAX_LEVEL)
     first_level = max([lv for lv in sizes if lv <= last and sizes[lv][0] <= ROOTS], default=min(sizes))
     keys = [f"c{a}" for a in AXES]
     held = None
     for level in range(first_level, last + 1, STRIDE):
         children = counts.filter(F.col("level") == level).select(*keys, "n")
         opened = _open_root(asked, children) if held is None else _open(held, children, sizes[level][0])
-        held = _prune(opened, level, origin, span, keep, None if sphere else within)
-    return _rank(held, placed, last, origin, span, k, sphere, skip_self, within)
+        held = _prune(opened, level, origin, span, k, None if sphere else within)
+    return _rank(held, placed, last, origin, span, k, sphere, within)
 
 
 def _counts(placed: DataFrame, origin: dict[str, float], span: float) -> DataFrame:
@@ -140,7 +169,7 @@ def _prune(opened, level, origin, span, keep, within) -> DataFrame:
     return kept.drop("n", "near", "far", "upto", "limit")
 
 
-def _rank(held, placed, level, origin, span, k, sphere, skip_self, within) -> DataFrame:
+def _rank(held, placed, level, origin, span, k, sphere, within) -> DataFrame:
     """Exact distances to the sites of the cells that are left."""
     keys = [f"c{a}" for a in AXES]
     offered = placed.select(*_cell(level, origin, span), "site_id", F.col("lon").alias("slon"), F.col("lat").alias("slat"))
@@ -151,8 +180,6 @@ def _rank(held, placed, level, origin, span, k, sphere, skip_self, within) -> Da
         dx, dy = F.col("plon") - F.col("slon"), F.col("plat") - F.col("slat")
         distance = F.sqrt(dx * dx + dy * dy)
     pairs = pairs.select("point_id", "site_id", distance.alias("distance"))
-    if skip_self:
-        pairs = pairs.filter(F.col("site_id") != F.col("point_id"))
     if within is not None:
         pairs = pairs.filter(F.col("distance") <= within)
     order = Window.partitionBy("point_id").orderBy("distance", "site_id")

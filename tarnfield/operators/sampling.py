@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tarnfield.functions.columns import finite, speed, wet
 from tarnfield.functions.geo import unproject_points
 from tarnfield.operators.grid import GridSpec, block
-from tarnfield.operators.nearest import nearest_k
+from tarnfield.operators.nearest import at_points, nearest_k, spots_of
 from tarnfield.operators.ordered import exact_quantiles
 from tarnfield.runtime import cut_lineage
 
@@ -189,9 +189,10 @@ def sample_field(points: DataFrame, nodes: DataFrame, spacing: DataFrame) -> Dat
 
     ``spacing`` is one row, as ``vector_spacing`` gives it.
 
-    Points without a node in reach, or whose directions cancel, give no row.
+    Points without a node in reach, or whose directions cancel, give no row. Points of one place share one blend.
     """
-    near = nearest_k(points, nodes.select(F.col("node_id").alias("site_id"), "x", "y"), 8)
+    spots = spots_of(points)
+    near = nearest_k(spots, nodes.select(F.col("node_id").alias("site_id"), "x", "y"), 8)
     near = near.withColumn("spacing", spacing.select("spacing").scalar()).filter("distance <= 3 * spacing")
     scaled = F.col("distance") / F.col("spacing")
     weight = 1 / (0.15 + scaled * scaled)
@@ -202,7 +203,8 @@ def sample_field(points: DataFrame, nodes: DataFrame, spacing: DataFrame) -> Dat
         (F.sum(F.col("speed") * F.col("w")) / F.sum("w")).alias("speed"),
     )
     size = F.sqrt(F.col("sx") * F.col("sx") + F.col("sy") * F.col("sy"))
-    return blend.withColumn("_s", size).filter("_s > 1e-6").select(
+    usable = blend.withColumn("_s", size).filter("_s > 1e-6").select(
         "point_id", (F.col("sx") / F.col("_s")).alias("dx"), (F.col("sy") / F.col("_s")).alias("dy"), "speed"
     )
+    return at_points(points.select("point_id", "x", "y"), spots, usable)
 

@@ -142,6 +142,18 @@ def test_nearest_in_the_plane_without_self(spark):
         assert found[p[0]] == brute([p], others, 2, lambda a, b: math.hypot(a[1] - b[1], a[2] - b[2]))[p[0]]
 
 
+def test_points_of_one_place_are_searched_for_once(spark, monkeypatch):
+    searched = []
+    search = nearest._nearest
+    monkeypatch.setattr(nearest, "_nearest", lambda points, *rest: searched.append(points.count()) or search(points, *rest))
+    points = spark.range(3000).select(F.col("id").alias("point_id"), (F.col("id") % 6).cast("double").alias("x"), F.lit(1.0).alias("y"))
+    sites = spark.range(10).select(F.col("id").alias("site_id"), F.col("id").cast("double").alias("x"), F.lit(0.0).alias("y"))
+    got = nearest.nearest_k(points, sites, 2)
+    assert searched == [6] and got.count() == 6000
+    assert got.filter("rank = 1 AND site_id <> point_id % 6").count() == 0
+    assert nearest.nearest_k(points, sites.limit(0), 2).count() == 0
+
+
 def test_frames_every_quarter_hour(spark):
     times = spark.createDataFrame([("r", i, 60.0 * i) for i in range(61)], "run string, t int, elapsed_s double")
     assert sorted(r["t"] for r in timeline.selected_frames(times, 900, ["run"]).collect()) == [0, 15, 30, 45, 60]
