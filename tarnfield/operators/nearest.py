@@ -17,6 +17,7 @@ CROWD = 32
 MAX_LEVEL = 40
 SLACK = 1e-9
 ROOTS = 64  # cells that a descent may start from
+POINTS_PER_TASK = 4096
 SHARED = 100_000  # cells of seven numbers that are sent to every task
 
 
@@ -108,8 +109,10 @@ def _nearest(points: DataFrame, sites: DataFrame, k: int, sphere: bool, within:
     first = top_per_key(sites.select("site_id", "x", "y"), ["x", "y"], [F.col("site_id")], k, F.col("site_id"))
     placed = cut_lineage(_place(first.drop("rank"), sphere))
     box = placed.agg(*[f(a).alias(f"{n}{a}") for a in AXES for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    # dealt by point before cells multiply the rows: what follows per point needs no further exchange of them
-    asked = _place(points.select("point_id", "x", "y").repartition("point_id"), sphere).select(
+    # dealt by point before cells multiply the rows: what follows per point needs no further exchange of them, and by
+    # number, as the few bytes of a point would otherwise be merged into one task
+    dealt = points.select("point_id", "x", "y").repartition(points.count() // POINTS_PER_TASK + 1, "point_id")
+    asked = _place(dealt, sphere).select(
         "point_id", *[F.col(a).alias(f"p{a}") for a in AXES], F.col("lon").alias("plon"), F.col("lat").alias("plat")
     )
     if box["lox"] is None:

@@ -154,6 +154,14 @@ def test_points_of_one_place_are_searched_for_once(spark, monkeypatch):
     assert nearest.nearest_k(points, sites.limit(0), 2).count() == 0
 
 
+def test_points_are_not_merged_into_one_task(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "POINTS_PER_TASK", 100)
+    points = spark.range(1000).select(F.col("id").alias("point_id"), F.col("id").cast("double").alias("x"), F.lit(1.0).alias("y"))
+    sites = spark.range(50).select(F.col("id").alias("site_id"), (F.col("id") * 20).cast("double").alias("x"), F.lit(0.0).alias("y"))
+    got = nearest._nearest(points, sites, 1, False, None)
+    assert got.count() == 1000 and got.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
 def test_frames_every_quarter_hour(spark):
     times = spark.createDataFrame([("r", i, 60.0 * i) for i in range(61)], "run string, t int, elapsed_s double")
     assert sorted(r["t"] for r in timeline.selected_frames(times, 900, ["run"]).collect()) == [0, 15, 30, 45, 60]
