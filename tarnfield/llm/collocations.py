@@ -34,7 +34,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarnfield.llm.common import over_parts, raw, ship, slices, table
+from tarnfield.llm.common import BATCH, over_parts, raw, ship, slices, table
 
 ship(__name__)
 
@@ -304,14 +304,15 @@ def scanned(codes: DataFrame, tries: list[Broadcast], length: int, last: bool) -
     ``pair`` false: ``key`` is an id. ``pair`` true: ``key`` holds the ids at a position and at the next one.
     """
 
-    def start():
-        unpack = zstandard.ZstdDecompressor().decompress
+    def rows(pair: bool, keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(keys), pair)), pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], names=["pair", "key", "n"]
+        )
 
-        def rows(pair: bool, keys: np.ndarray, n: np.ndarray) -> dict:
-            return {"pair": pa.array(np.full(len(keys), pair)), "key": pa.array(keys.astype(np.int64)), "n": pa.array(n.astype(np.int64))}
-
-        def step(batch):
-            total: dict[int, np.ndarray] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        total: dict[int, np.ndarray] = {}  # of the whole task, however many batches it gets
+        for batch in batches:
             for packed in batch.column(0):
                 codes = np.frombuffer(unpack(packed.as_buffer()), dtype=np.int32)
                 ids = codes
@@ -327,13 +328,11 @@ def scanned(codes: DataFrame, tries: list[Broadcast], length: int, last: bool) -
                     at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
                     pairs, n = np.unique((ids[at].astype(np.int64) << 32) | ids[at + 1], return_counts=True)
                     yield rows(True, pairs, np.minimum(n, FREQUENT))
-            for first, n in total.items():
-                at = np.flatnonzero(n)
-                yield rows(False, first + at, n[at])
-
-        return step
+        for first, n in total.items():
+            at = np.flatnonzero(n)
+            yield rows(False, first + at, n[at])
 
-    found = over_parts(codes, "pair boolean, key long, n long", start)
+    found = codes.mapInArrow(run, "pair boolean, key long, n long")
     summed = found.groupBy("pair", "key").agg(F.sum("n").alias("n"))
     return summed.filter(~F.col("pair") | (F.col("n") >= FREQUENT))
 
@@ -352,19 +351,19 @@ def longer(shorter: DataFrame, pairs: DataFrame) -> DataFrame:
 def phrases(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Frequent phrases of 1 to 4 words (``lang``, ``symbols``, ``text``, ``size``, ``f``) and all words (``lang``, ``word``, ``n``)."""
     spark = docs.sparkSession
-    words = table(word_counts(docs), "word_counts")
+    words = table(word_counts(docs), "word_counts", BATCH)
     frequent = table(identified(words.filter(F.col("n") >= FREQUENT), "lang", "word"), "vocabulary")
     shared = [
         spark.sparkContext.broadcast(Vocabulary(rows)) for _, rows in by_shard(frequent.select("shard", "lang", "word", "id"), "id")
     ]
-    codes = table(encoded(docs, shared), "codes")
+    codes = table(encoded(docs, shared), "codes", BATCH)
     for one in shared:
         one.unpersist()
     level = frequent.select("id", "lang", F.array("id").alias("symbols"), F.col("word").alias("text"))
     found = [level.join(frequent.select("id", F.col("n").alias("f")), "id")]
     tries: list[Broadcast] = []
     for size in range(1, LONGEST + 1):
-        counted = table(scanned(codes, tries, size, last=size == LONGEST), "counts")
+        counted = table(scanned(codes, tries, size, last=size == LONGEST), "counts", BATCH)
         for one in tries:
             one.unpersist()
         if size > 1:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from tarnfield.runtime import scratch_path
 
 ROWS_PER_BUCKET = 2_000
+BATCH = 4 << 20  # bytes of rows that a Python worker is sent at once where texts are long
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(module: str) -> None:
@@ -23,10 +25,18 @@ def ship(module: str) -> None:
 ship(__name__)
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back; lost executors cost no recomputation of it."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+def table(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back; lost executors cost no recomputation of it.
+
+    With ``batch``, Python workers of this write get batches of about so many bytes instead of a whole file split.
+    """
+    path, conf = scratch_path(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(BATCH_BYTES)
+    conf.set(BATCH_BYTES, str(batch or before))
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(BATCH_BYTES, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tarnfield.llm import collocations
+from tarnfield.llm import collocations, common
 
 
 def folded(text):
@@ -76,6 +76,22 @@ def test_shards_change_nothing(spark, written, monkeypatch):
     assert rows_of(collocations.collocations(docs)) == plain([(r[2], r[1]) for r in written], collocations.FREQUENT)
 
 
+def test_tasks_get_rows_in_batches_of_bytes(spark, written, monkeypatch):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "bytes": [batch.nbytes]})
+
+    texts = spark.range(0, 400, 1, 1).selectExpr("repeat('word ', 2000) AS text")
+    before = spark.conf.get(common.BATCH_BYTES)
+    found = common.table(texts.mapInArrow(sizes, "rows long, bytes long"), "sizes", 100_000).collect()
+    assert sum(r["rows"] for r in found) == 400 and max(r["bytes"] for r in found) < 150_000
+    assert spark.conf.get(common.BATCH_BYTES) == before
+    monkeypatch.setattr(collocations, "BATCH", 500)
+    monkeypatch.setattr(collocations, "TRIE", 7)
+    docs = spark.createDataFrame(written, "doc_id long, text string, lang string").coalesce(1)
+    assert rows_of(collocations.collocations(docs)) == plain([(r[2], r[1]) for r in written], collocations.FREQUENT)
+
+
 def test_double_array_holds_its_paths_only():
     rng = np.random.default_rng(2)
     for rows, width, depth in ((1, 4, 2), (3000, 64, 4), (5000, 2048, 2), (2048, 2048, 1)):
