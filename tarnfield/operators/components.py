@@ -268,11 +268,18 @@ def mass_balance(weights: DataFrame, cell_area: float = 1.0, tolerance: float =
     )
 
 
+PART = 100_000  # cells whose messages one task sorts
+SIDE = 64  # of the squares that stay together, so that most messages fold inside a task
+
+
 def downstream(cells: DataFrame, size: int | None = None) -> DataFrame:
     """D8 pointer: the lowest strictly lower neighbour, smallest row-major index on ties.
 
-    With ``size`` the flow stays inside aligned blocks.
+    With ``size`` the flow stays inside aligned blocks. Cells are dealt in squares to parts of about ``PART``, as the
+    lowest neighbour is told by sorting all messages of a task, however few files the cells come from.
     """
+    parts = max(1, -(-cells.count() // PART))
+    cells = cells.select("row", "col", "elevation_m").repartition(parts, block("row", SIDE), block("col", SIDE))
     sent = scatter(cells, ring_offsets(True), ["elevation_m"])
     if size:
         same = (block("row", size) == F.floor((F.col("row") + F.col("dr")) / size)) & (

@@ -222,3 +222,16 @@ def test_policy_contradictions_are_refused():
     for bad in (([1, 2, 8], *good[1:]), (good[0], {}, *good[2:]), (*good[:2], 300.0, 250.0, 2), (*good[:4], 16)):
         with pytest.raises(blocks.InvalidPolicy):
             blocks.check_policy(*bad)
+
+
+def test_pointers_are_found_in_parts_that_do_not_grow(spark, monkeypatch):
+    """Cells out of one file are dealt to several tasks before their messages are sorted; the pointers stay."""
+    cells = spark.range(0, 100 * 30, 1, 1).selectExpr(
+        "CAST(id DIV 30 AS INT) AS row", "CAST(id % 30 AS INT) AS col", "CAST(pmod(xxhash64(id), 50) AS DOUBLE) AS elevation_m"
+    )
+    whole = sorted(map(tuple, components.downstream(cells).collect()), key=str)
+    monkeypatch.setattr(components, "SIDE", 8)
+    monkeypatch.setattr(components, "PART", 300)
+    found = components.downstream(cells)
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().toString()
+    assert sorted(map(tuple, found.collect()), key=str) == whole and len(whole) == 3000
