@@ -70,3 +70,49 @@ def test_odd_rows(odd, none):
     check(odd, odd)
     check(none, odd)
     check(odd, none)
+
+
+def test_gains_of_a_word_are_those_of_the_information():
+    rng = np.random.default_rng(2)
+    matrix = rng.poisson(rng.choice([0, 1, 9, 40], (30, 30)))
+    np.fill_diagonal(matrix, rng.integers(0, 4, 30))
+    matrix[-1] = matrix[:-1].sum(axis=0) + matrix[-1]  # every unit is left as often as it is entered
+    for unit in range(30):
+        more = matrix[:, unit].sum() - matrix[unit].sum()
+        matrix[unit, 0] += max(more, 0)
+        matrix[0, unit] += max(-more, 0)
+    own = np.r_[0, rng.integers(1, 5, 29)]
+    member = np.eye(5, dtype=np.int64)[own]
+    bare = matrix - np.diag(np.diagonal(matrix))
+    at, before, after = own[1:], (bare.T @ member)[1:], (bare @ member)[1:]
+    gain = brown.gains(member.T @ matrix @ member, at, before, after, np.diagonal(matrix)[1:])
+    for unit in range(1, 30):
+        for to in range(5):
+            other = own.copy()
+            other[unit] = to
+            want = information_of(matrix, other) - information_of(matrix, own)
+            assert np.isclose(gain[unit - 1, to] - gain[unit - 1, own[unit]], want)
+
+
+def information_of(matrix, own):
+    member = np.eye(5)[own]
+    pairs = member.T @ matrix @ member
+    return brown.entropy(pairs).sum() - brown.entropy(pairs.sum(0)).sum() - brown.entropy(pairs.sum(1)).sum()
+
+
+def test_words_beyond_the_core_have_classes_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(brown, "CORE", 40)
+    monkeypatch.setattr(brown, "CLASSES", 6)
+    monkeypatch.setattr(brown, "HEAD", 45)
+    monkeypatch.setattr(brown, "HELD", 20)  # so that the rows of a word come in several parts
+    rng = np.random.default_rng(3)
+    texts = []
+    for i in range(240):
+        for k in ("a", "b"):  # rare words of both kinds have the same ending, but stand among words of one kind only
+            words = [f"{k}{x:02d}" for x in rng.integers(0, 20, 20)]
+            texts.append(" ".join(w + f" rare{k}{i % 12}zz" if j % 5 == 2 else w for j, w in enumerate(words)))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    model, got = check(docs, docs)
+    kinds = {k: {model.own[model.units.of(f"rare{k}{i}zz".encode())] for i in range(12)} for k in ("a", "b")}
+    assert not kinds["a"] & kinds["b"]
+    assert model.units.of(b"unseenzz") in range(brown.CLASSES)
