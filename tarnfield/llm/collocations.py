@@ -7,10 +7,11 @@ symbols with a barrier wherever a piece ends or a rarer word stands, written onc
 Level by level: a phrase is a candidate if its words but the last and its words but the first are both
 frequent phrases (no other phrase can be frequent) and the partial counts of that pair of phrases, each cut at
 ``FREQUENT``, reach it. Candidates are packed into double-array tries of about ``TRIE`` phrases; a trie is built
-from its rows alone, one at a time, and broadcast, so what the driver or a task holds of them has a fixed
-size. numpy advances the states of all text positions together, word by word through the trie; the accepting
-states are counted by bincount, and the counts of all tasks are summed. The states at neighbouring positions
-give the next level's candidates.
+from its rows alone by a task of its own, and broadcast, so what the driver or a task holds of them at once has
+a fixed size. The symbols of a phrase tell its trie, so each text position visits one trie, however many there are; a
+task loads a trie once for a group of slices. numpy advances the states of all these positions together, word by
+word through the trie; the accepting states are counted by bincount, and the counts of all tasks are summed. The
+states at neighbouring positions give the next level's candidates.
 
 A candidate's score is floor(2000000 a / (l + r)), in exact decimals, for its weakest cut into a first part (l)
 and a rest (r), ties to the shortest first part. It is dropped if a longer phrase that contains it occurs at
@@ -46,6 +47,9 @@ TRIE = 1 << 19  # phrases aimed at in one trie; ids leave room for eight times a
 ROOM = 1 << 22
 DIGIT = 11  # bits of a symbol that one step of a trie takes
 SLICE = 1 << 22  # bytes of text handled at once
+GROUP = 1 << 23  # text positions for which a task loads each of several tries once
+HELD = 1 << 23  # counts that a task holds before it hands them on
+FACTOR, PRIME = 1_103_515_245, (1 << 31) - 1  # products stay within 63 bits
 PARTS = 64  # of a language, ranked apart first
 
 #: A-Z lower-cased, tabs as blanks, every separator of pieces as a line feed.
@@ -102,14 +106,36 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def identified(df: DataFrame, *order: str) -> DataFrame:
-    """``df`` with ``shard`` (of about ``TRIE`` rows) and ``id``; ids of a shard follow ``order`` without gaps."""
+def word_marks(langs: list[str], words: list[bytes], seed: int = 0) -> np.ndarray:
+    """What ``xxhash64(lang, word)`` gives in Spark, if ``seed`` is 0."""
+    digest = xxhash.xxh64_intdigest
+    starts = {lang: digest(lang.encode(), 42 + seed) for lang in set(langs)}
+    return np.fromiter((digest(w, starts[lang]) for lang, w in zip(langs, words)), dtype=np.uint64, count=len(words))
+
+
+def phrase_mark(symbols: Column) -> Column:
+    return F.aggregate(symbols, F.lit(0).cast("long"), lambda mark, symbol: (mark * FACTOR + symbol) % PRIME)
+
+
+def phrase_marks(codes: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """``phrase_mark`` of the ``length`` symbols from each position on."""
+    marks = np.zeros(len(at), dtype=np.int64)
+    for word in range(length):
+        marks = (marks * FACTOR + codes[at + word]) % PRIME
+    return marks
+
+
+def identified(df: DataFrame, mark: Column, *order: str) -> tuple[DataFrame, int]:
+    """``df`` with ``shard`` (of about ``TRIE`` rows, told by ``mark``) and ``id``, and the number of shards.
+
+    Ids of a shard follow ``order`` without gaps.
+    """
     shards = max(1, math.ceil(df.count() / TRIE))
     if shards * ROOM > 1 << 31:
         raise ValueError("more frequent phrases than ids")
-    placed = df.withColumn("shard", F.pmod(F.xxhash64(*order), F.lit(shards)).cast("int"))
+    placed = df.withColumn("shard", F.pmod(mark, F.lit(shards)).cast("int"))
     nth = F.row_number().over(Window.partitionBy("shard").orderBy(*order)) - 1
-    return placed.withColumn("id", (F.col("shard") * ROOM + nth).cast("int"))
+    return placed.withColumn("id", (F.col("shard") * ROOM + nth).cast("int")), shards
 
 
 def by_shard(df: DataFrame, order: str) -> Iterator[tuple[int, pa.Table]]:
@@ -131,43 +157,42 @@ def held(shared: Broadcast):
     return value
 
 
-def marks(keys: list[bytes], seed: int) -> np.ndarray:
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(k, seed) for k in keys), dtype=np.uint64, count=len(keys))
-
-
 class Vocabulary:
     """Frequent words of one shard: sorted hashes, ids, and the words themselves to make sure."""
 
     def __init__(self, rows: pa.Table):
-        keys = [lang.encode() + b"\x00" + w.encode() for lang, w in zip(rows["lang"].to_pylist(), rows["word"].to_pylist())]
+        langs, words = rows["lang"].to_pylist(), [w.encode() for w in rows["word"].to_pylist()]
         self.seed = 0
         while True:
-            hashes = marks(keys, self.seed)
+            hashes = word_marks(langs, words, self.seed)
             order = np.argsort(hashes)
             self.hashes = hashes[order]
             if (self.hashes[1:] != self.hashes[:-1]).all():
                 break
             self.seed += 1  # two words met in one hash
         self.ids = rows["id"].to_numpy()[order]
+        keys = [lang.encode() + b"\x00" + w for lang, w in zip(langs, words)]
         self.keys = pa.array(keys, pa.large_binary()).take(pa.array(order))
 
-    def ids_of(self, keys: list[bytes]) -> np.ndarray:
-        """Id of each key, -1 where it is none of these words."""
-        hashes = marks(keys, self.seed)
+    def ids_of(self, lang: str, words: list[bytes], hashes: np.ndarray) -> np.ndarray:
+        """Id of each word (with its ``word_marks``), -1 where it is none of these words."""
+        if self.seed:
+            hashes = word_marks([lang] * len(words), words, self.seed)
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         met = np.flatnonzero(self.hashes[at] == hashes)
-        out = np.full(len(keys), -1, dtype=np.int32)
-        same = pc.equal(self.keys.take(pa.array(at[met])), pa.array([keys[i] for i in met], pa.large_binary()))
+        out = np.full(len(words), -1, dtype=np.int32)
+        head = lang.encode() + b"\x00"
+        same = pc.equal(self.keys.take(pa.array(at[met])), pa.array([head + words[i] for i in met], pa.large_binary()))
         met = met[same.to_numpy(zero_copy_only=False)]
         out[met] = self.ids[at[met]]
         return out
 
 
-def encoded(docs: DataFrame, vocabularies: list[Broadcast]) -> DataFrame:
+def encoded(docs: DataFrame, vocabularies: dict[int, Broadcast], shards: int) -> DataFrame:
     """``codes``: slices of text as 32-bit ids of frequent words, with -1 for barriers, compressed one by one.
 
-    A task holds the compressed slices of a whole batch but only one slice of open codes.
+    A task holds the compressed slices of a whole batch but only one slice of open codes. A word is looked up in
+    the vocabulary of its shard alone.
     """
 
     def start():
@@ -179,11 +204,12 @@ def encoded(docs: DataFrame, vocabularies: list[Broadcast]) -> DataFrame:
                 if not len(words):
                     continue
                 kinds = words.dictionary_encode()
-                head = lang.encode() + b"\x00"
-                keys = [head + w for w in kinds.dictionary.to_pylist()]
+                keys = kinds.dictionary.to_pylist()
+                hashes = word_marks([lang] * len(keys), keys)
                 ids = np.full(len(keys), -1, dtype=np.int32)
-                for shared in vocabularies:
-                    np.maximum(ids, held(shared).ids_of(keys), out=ids)
+                for shard, shared in vocabularies.items():
+                    mine = np.flatnonzero(hashes.view(np.int64) % shards == shard)
+                    ids[mine] = held(shared).ids_of(lang, [keys[i] for i in mine], hashes[mine])
                 codes = np.full(places[-1] + 1, -1, dtype=np.int32)
                 codes[places] = ids[kinds.indices.to_numpy()]
                 keep = codes >= 0  # one barrier in a row is enough
@@ -280,15 +306,37 @@ class PhraseTrie:
         accepts[accepts >= 0] = (rows["id"].to_numpy() - self.first)[order][accepts[accepts >= 0]]
         self.count = int(rows["id"].to_numpy().max()) - self.first + 1
 
-    def accepted(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions where a phrase starts and its number in the shard."""
-        local = np.minimum(np.searchsorted(self.known, codes), len(self.known) - 1)
-        local[self.known[local] != codes] = -1
-        local = np.r_[local, np.full(self.length, -1, local.dtype)]
-        at = np.flatnonzero(local[: len(codes)] >= 0)
+    def packed(self) -> pa.Table:
+        """One row of what ``unpacked`` needs."""
+        arrays = {"known": self.known, "base": self.trie.base, "check": self.trie.check, "accepts": self.trie.accepts}
+        plain = {"shard": self.first // ROOM, "length": self.length, "count": self.count}
+        held = {name: pa.array([x.astype(np.int32).tobytes()], pa.binary()) for name, x in arrays.items()}
+        return pa.table({name: pa.array([x], pa.int32()) for name, x in plain.items()} | held)
+
+    @classmethod
+    def unpacked(cls, row: dict) -> PhraseTrie:
+        one, one.trie = cls.__new__(cls), DoubleArray.__new__(DoubleArray)
+        one.first, one.length, one.count = row["shard"] * ROOM, row["length"], row["count"]
+        one.known, *arrays = (np.frombuffer(row[name], dtype=np.int32) for name in ("known", "base", "check", "accepts"))
+        one.trie.base, one.trie.check, one.trie.accepts = arrays
+        return one
+
+    def numbers(self, codes: np.ndarray) -> np.ndarray:
+        """Each symbol's number in this trie, -1 for others."""
+        found = np.minimum(np.searchsorted(self.known, codes), len(self.known) - 1)
+        found[self.known[found] != codes] = -1
+        return found
+
+    def accepted(self, codes: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Positions where a phrase starts and its number in the shard; only of those ``at`` that have room, if given."""
+        if few := at is not None:
+            local = None
+        else:
+            local = np.r_[self.numbers(codes), np.full(self.length, -1)]
+            at = np.flatnonzero(local[: len(codes)] >= 0)
         states = np.zeros(len(at), dtype=np.int64)
         for word in range(self.length):
-            symbol = local[at + word]
+            symbol = self.numbers(codes[at + word]) if few else local[at + word]
             alive = symbol >= 0
             at, states, symbol = at[alive], states[alive], symbol[alive]
             states, goes = self.trie.step(states, symbol >> DIGIT)
@@ -298,7 +346,47 @@ class PhraseTrie:
         return at, self.trie.accepts[states]
 
 
-def scanned(codes: DataFrame, tries: list[Broadcast], length: int, last: bool) -> DataFrame:
+def built(placed: DataFrame, shards: int) -> Iterator[tuple[int, PhraseTrie]]:
+    """The trie of one shard after the other; tasks build them, each its shards."""
+
+    def build(key: tuple[pa.Scalar], rows: pa.Table) -> pa.Table:
+        if rows.num_rows > ROOM:
+            raise ValueError("a shard holds more phrases than it has ids")
+        return PhraseTrie(key[0].as_py(), rows.sort_by("id").combine_chunks()).packed()
+
+    schema = "shard int, length int, count int, known binary, base binary, check binary, accepts binary"
+    rows = placed.select("shard", "symbols", "id").repartition(shards, "shard").groupBy("shard")
+    packed = table(rows.applyInArrow(build, schema), "tries")
+    for shard in range(shards):
+        for row in packed.filter(F.col("shard") == shard).toArrow().to_pylist():
+            yield shard, PhraseTrie.unpacked(row)
+
+
+def dealt(codes: np.ndarray, length: int, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions with ``length`` symbols before the next barrier in the order of their shards, and where each shard begins."""
+    alive = codes[: max(0, len(codes) - length + 1)] >= 0
+    for word in range(1, length):
+        alive &= codes[word : len(alive) + word] >= 0
+    at = np.flatnonzero(alive).astype(np.int32)
+    shard = (phrase_marks(codes, at, length) % shards).astype(np.uint16 if shards <= 1 << 16 else np.int64)
+    return at[np.argsort(shard, kind="stable")], np.r_[0, np.cumsum(np.bincount(shard, minlength=shards))]
+
+
+def advanced(group: list[np.ndarray], tries: Iterator[tuple[int, PhraseTrie]], shards: int, length: int, total: dict[int, np.ndarray]) -> list[np.ndarray]:
+    """Ids of the phrases that start at the positions of each slice (-1: none); their counts are added to ``total`` by the trie's first id."""
+    ids = [np.full(len(codes), -1, dtype=np.int32) for codes in group]
+    places = [dealt(codes, length, shards) for codes in group] if shards > 1 else []
+    for shard, trie in tries:
+        for k, codes in enumerate(group):
+            some = places[k][0][places[k][1][shard] : places[k][1][shard + 1]] if places else None
+            at, found = trie.accepted(codes, some)
+            n = np.bincount(found, minlength=trie.count)
+            total[trie.first] = total[trie.first] + n if trie.first in total else n
+            ids[k][at] = trie.first + found
+    return ids
+
+
+def scanned(codes: DataFrame, tries: dict[int, Broadcast], shards: int, length: int, last: bool) -> DataFrame:
     """Counts of phrases of ``length`` words and, unless ``last``, partial counts of pairs of neighbouring ones.
 
     ``pair`` false: ``key`` is an id. ``pair`` true: ``key`` holds the ids at a position and at the next one.
@@ -309,29 +397,38 @@ def scanned(codes: DataFrame, tries: list[Broadcast], length: int, last: bool) -
             [pa.array(np.full(len(keys), pair)), pa.array(keys.astype(np.int64)), pa.array(n.astype(np.int64))], names=["pair", "key", "n"]
         )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        total: dict[int, np.ndarray] = {}  # of the whole task, however many batches it gets
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        """Open slices, of ``GROUP`` positions together where there are several tries to load."""
+        unpack, group = zstandard.ZstdDecompressor().decompress, []
         for batch in batches:
             for packed in batch.column(0):
-                codes = np.frombuffer(unpack(packed.as_buffer()), dtype=np.int32)
-                ids = codes
-                if length > 1:
-                    ids = np.full(len(codes), -1, dtype=np.int32)
-                    for shared in tries:
-                        trie = held(shared)
-                        at, found = trie.accepted(codes)
-                        n = np.bincount(found, minlength=trie.count)
-                        total[trie.first] = total[trie.first] + n if trie.first in total else n
-                        ids[at] = trie.first + found
-                if not last:
-                    at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
-                    pairs, n = np.unique((ids[at].astype(np.int64) << 32) | ids[at + 1], return_counts=True)
-                    yield rows(True, pairs, np.minimum(n, FREQUENT))
-        for first, n in total.items():
+                group.append(np.frombuffer(unpack(packed.as_buffer()), dtype=np.int32))
+                if shards == 1 or sum(map(len, group)) >= GROUP:
+                    yield group
+                    group = []
+        if group:
+            yield group
+
+    def counts(total: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for first in list(total):
+            n = total.pop(first)
             at = np.flatnonzero(n)
             yield rows(False, first + at, n[at])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}  # of the whole task, however many batches it gets, while they are few
+        for group in groups(batches):
+            found = group
+            if length > 1:
+                found = advanced(group, ((shard, held(shared)) for shard, shared in tries.items()), shards, length, total)
+            for ids in [] if last else found:
+                at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
+                pairs, n = np.unique((ids[at].astype(np.int64) << 32) | ids[at + 1], return_counts=True)
+                yield rows(True, pairs, np.minimum(n, FREQUENT))
+            if sum(map(len, total.values())) > HELD:
+                yield from counts(total)
+        yield from counts(total)
+
     found = codes.mapInArrow(run, "pair boolean, key long, n long")
     summed = found.groupBy("pair", "key").agg(F.sum("n").alias("n"))
     return summed.filter(~F.col("pair") | (F.col("n") >= FREQUENT))
@@ -352,29 +449,29 @@ def phrases(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Frequent phrases of 1 to 4 words (``lang``, ``symbols``, ``text``, ``size``, ``f``) and all words (``lang``, ``word``, ``n``)."""
     spark = docs.sparkSession
     words = table(word_counts(docs), "word_counts", BATCH)
-    frequent = table(identified(words.filter(F.col("n") >= FREQUENT), "lang", "word"), "vocabulary")
-    shared = [
-        spark.sparkContext.broadcast(Vocabulary(rows)) for _, rows in by_shard(frequent.select("shard", "lang", "word", "id"), "id")
-    ]
-    codes = table(encoded(docs, shared), "codes", BATCH)
-    for one in shared:
+    often, shards = identified(words.filter(F.col("n") >= FREQUENT), F.xxhash64("lang", "word"), "lang", "word")
+    frequent = table(often, "vocabulary")
+    shared = {
+        shard: spark.sparkContext.broadcast(Vocabulary(rows))
+        for shard, rows in by_shard(frequent.select("shard", "lang", "word", "id"), "id")
+    }
+    codes = table(encoded(docs, shared, shards), "codes", BATCH)
+    for one in shared.values():
         one.unpersist()
     level = frequent.select("id", "lang", F.array("id").alias("symbols"), F.col("word").alias("text"))
     found = [level.join(frequent.select("id", F.col("n").alias("f")), "id")]
-    tries: list[Broadcast] = []
+    tries: dict[int, Broadcast] = {}
     for size in range(1, LONGEST + 1):
-        counted = table(scanned(codes, tries, size, last=size == LONGEST), "counts", BATCH)
-        for one in tries:
+        counted = table(scanned(codes, tries, shards, size, last=size == LONGEST), "counts", BATCH)
+        for one in tries.values():
             one.unpersist()
         if size > 1:
             found.append(level.join(counted.filter("NOT pair").select(F.col("key").cast("int").alias("id"), F.col("n").alias("f")), "id"))
         if size < LONGEST:
             made = longer(level, counted.filter("pair"))
-            placed = table(identified(table(made, "candidates"), "symbols"), "phrases")
-            tries = [
-                spark.sparkContext.broadcast(PhraseTrie(shard, rows))
-                for shard, rows in by_shard(placed.select("shard", "symbols", "id"), "id")
-            ]
+            placed, shards = identified(table(made, "candidates"), phrase_mark(F.col("symbols")), "symbols")
+            placed = table(placed, "phrases")
+            tries = {shard: spark.sparkContext.broadcast(trie) for shard, trie in built(placed, shards)}
             level = placed.select("id", "lang", "symbols", "text")
     out = found[0]
     for more in found[1:]:

@@ -5,6 +5,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from tarnfield.llm import collocations, common
 
@@ -126,6 +128,54 @@ def test_positions_advance_together():
         assert list(zip(at.tolist(), found.tolist())) == want
 
 
+def test_a_position_visits_one_trie_only(spark):
+    """However many tries there are, all of them together are asked for each position once."""
+    rng = random.Random(9)
+    group = [np.array([rng.choice([-1, *range(30)]) for _ in range(n)], dtype=np.int32) for n in (4000, 3000, 2)]
+    length, shards = 3, 16
+    grams = [(k, i, tuple(c[i : i + length].tolist())) for k, c in enumerate(group) for i in range(len(c) - length + 1)]
+    kept = sorted({g for _, _, g in grams if -1 not in g})[::2]
+    rows = spark.createDataFrame([(list(g),) for g in kept], "symbols array<int>")
+    placed = rows.withColumn("shard", F.pmod(collocations.phrase_mark(F.col("symbols")), F.lit(shards)).cast("int"))
+    nth = F.row_number().over(Window.partitionBy("shard").orderBy("symbols")) - 1
+    placed = placed.withColumn("id", (F.col("shard") * collocations.ROOM + nth).cast("int"))
+    ids = {tuple(r["symbols"]): r["id"] for r in placed.collect()}
+    asked = []
+
+    class Counted:
+        def __init__(self, trie):
+            self.trie, self.first, self.count = trie, trie.first, trie.count
+
+        def accepted(self, codes, at=None):
+            asked.append(len(codes) if at is None else len(at))
+            return self.trie.accepted(codes, at)
+
+    total = {}
+    tries = ((shard, Counted(trie)) for shard, trie in collocations.built(placed, shards))
+    found = collocations.advanced(group, tries, shards, length, total)
+    assert len(total) == shards and sum(asked) == sum(-1 not in g for _, _, g in grams)
+    want = [np.full(len(c), -1, np.int32) for c in group]
+    for k, i, g in grams:
+        want[k][i] = ids.get(g, -1)
+    assert all(np.array_equal(x, y) for x, y in zip(found, want))
+    often = Counter(ids[g] for _, _, g in grams if g in ids)
+    assert {first + i: n for first, some in total.items() for i, n in enumerate(some.tolist())} == often
+
+
+def test_words_are_told_their_shard_as_in_spark(spark):
+    words = [("en", "the"), ("fr", "é"), ("und", "漢字" * 40), ("", "x")]
+    want = [r[0] for r in spark.createDataFrame(words, "lang string, word string").select(F.xxhash64("lang", "word")).collect()]
+    marks = collocations.word_marks([lang for lang, _ in words], [w.encode() for _, w in words])
+    assert marks.view(np.int64).tolist() == want
+
+
+def test_groups_and_held_counts_change_nothing(spark, written, monkeypatch):
+    docs = spark.createDataFrame(written, "doc_id long, text string, lang string").coalesce(2)
+    for name, value in (("TRIE", 20), ("SLICE", 300), ("GROUP", 500), ("HELD", 50)):
+        monkeypatch.setattr(collocations, name, value)
+    assert rows_of(collocations.collocations(docs)) == plain([(r[2], r[1]) for r in written], collocations.FREQUENT)
+
+
 def test_large_counts_stay_exact(spark):
     big = 3 * 10**18
     rows = [([1], big), ([2], big - 1), ([1, 2], big - 2)]
