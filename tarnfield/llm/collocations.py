@@ -49,6 +49,8 @@ DIGIT = 11  # bits of a symbol that one step of a trie takes
 SLICE = 1 << 22  # bytes of text handled at once
 GROUP = 1 << 23  # text positions for which a task loads each of several tries once
 HELD = 1 << 23  # counts that a task holds before it hands them on
+PAIRS = 1 << 19  # pairs of neighbours that a task counts at once
+WIDE = 1 << 24  # symbols, known or not, that a table of a trie's symbols may span
 FACTOR, PRIME = 1_103_515_245, (1 << 31) - 1  # products stay within 63 bits
 PARTS = 64  # of a language, ranked apart first
 
@@ -307,22 +309,39 @@ class PhraseTrie:
         self.count = int(rows["id"].to_numpy().max()) - self.first + 1
 
     def packed(self) -> pa.Table:
-        """One row of what ``unpacked`` needs."""
+        """One row of what ``unpacked`` needs, compressed."""
+        pack = zstandard.ZstdCompressor(level=1).compress
         arrays = {"known": self.known, "base": self.trie.base, "check": self.trie.check, "accepts": self.trie.accepts}
         plain = {"shard": self.first // ROOM, "length": self.length, "count": self.count}
-        held = {name: pa.array([x.astype(np.int32).tobytes()], pa.binary()) for name, x in arrays.items()}
+        held = {name: pa.array([pack(x.astype(np.int32).tobytes())], pa.binary()) for name, x in arrays.items()}
         return pa.table({name: pa.array([x], pa.int32()) for name, x in plain.items()} | held)
 
     @classmethod
     def unpacked(cls, row: dict) -> PhraseTrie:
+        unpack = zstandard.ZstdDecompressor().decompress
         one, one.trie = cls.__new__(cls), DoubleArray.__new__(DoubleArray)
         one.first, one.length, one.count = row["shard"] * ROOM, row["length"], row["count"]
-        one.known, *arrays = (np.frombuffer(row[name], dtype=np.int32) for name in ("known", "base", "check", "accepts"))
+        one.known, *arrays = (np.frombuffer(unpack(row[name]), dtype=np.int32) for name in ("known", "base", "check", "accepts"))
         one.trie.base, one.trie.check, one.trie.accepts = arrays
         return one
 
+    def spread(self) -> np.ndarray | None:
+        """The numbers of all symbols up to the last known one in a row, without the ids that no shard reaches."""
+        shards, self.stride = int(self.known[-1]) // ROOM + 1, int((self.known & (ROOM - 1)).max()) + 1
+        if shards * self.stride > WIDE:
+            return None
+        out = np.full(shards * self.stride + 1, -1, dtype=np.int32)  # the last one stands for all symbols beyond
+        out[self.known // ROOM * self.stride + (self.known & (ROOM - 1))] = np.arange(len(self.known))
+        return out
+
     def numbers(self, codes: np.ndarray) -> np.ndarray:
         """Each symbol's number in this trie, -1 for others."""
+        if not hasattr(self, "table"):
+            self.table = self.spread()
+        if self.table is not None:
+            nth = codes & (ROOM - 1)
+            inside = (codes >= 0) & (codes <= self.known[-1]) & (nth < self.stride)
+            return self.table[np.where(inside, (codes >> ROOM.bit_length() - 1) * self.stride + nth, -1)]
         found = np.minimum(np.searchsorted(self.known, codes), len(self.known) - 1)
         found[self.known[found] != codes] = -1
         return found
@@ -332,7 +351,7 @@ class PhraseTrie:
         if few := at is not None:
             local = None
         else:
-            local = np.r_[self.numbers(codes), np.full(self.length, -1)]
+            local = np.r_[self.numbers(codes), np.full(self.length, -1, np.int32)]
             at = np.flatnonzero(local[: len(codes)] >= 0)
         states = np.zeros(len(at), dtype=np.int64)
         for word in range(self.length):
@@ -415,18 +434,30 @@ def scanned(codes: DataFrame, tries: dict[int, Broadcast], shards: int, length:
             at = np.flatnonzero(n)
             yield rows(False, first + at, n[at])
 
+    def neighbours(ids: np.ndarray) -> np.ndarray:
+        at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
+        return (ids[at].astype(np.int64) << 32) | ids[at + 1]
+
+    def pairs(met: list[np.ndarray]) -> pa.RecordBatch:
+        keys, n = np.unique(np.concatenate(met), return_counts=True)
+        met.clear()
+        return rows(True, keys, np.minimum(n, FREQUENT))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}  # of the whole task, however many batches it gets, while they are few
+        met: list[np.ndarray] = []
         for group in groups(batches):
             found = group
             if length > 1:
                 found = advanced(group, ((shard, held(shared)) for shard, shared in tries.items()), shards, length, total)
             for ids in [] if last else found:
-                at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
-                pairs, n = np.unique((ids[at].astype(np.int64) << 32) | ids[at + 1], return_counts=True)
-                yield rows(True, pairs, np.minimum(n, FREQUENT))
+                met.append(neighbours(ids))
+                if sum(map(len, met)) >= PAIRS:
+                    yield pairs(met)
             if sum(map(len, total.values())) > HELD:
                 yield from counts(total)
+        if met:
+            yield pairs(met)
         yield from counts(total)
 
     found = codes.mapInArrow(run, "pair boolean, key long, n long")

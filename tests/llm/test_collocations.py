@@ -162,6 +162,19 @@ def test_a_position_visits_one_trie_only(spark):
     assert {first + i: n for first, some in total.items() for i, n in enumerate(some.tolist())} == often
 
 
+def test_symbols_are_found_by_table_and_by_search_alike(monkeypatch):
+    rng = np.random.default_rng(3)
+    known = np.unique(rng.integers(0, 900, 400) + rng.integers(0, 3, 400) * collocations.ROOM).astype(np.int32)
+    rows = pa.table({"symbols": pa.array([[k, k] for k in known.tolist()], pa.list_(pa.int32())), "id": pa.array(range(len(known)), pa.int32())})
+    codes = np.r_[known, rng.integers(-1, 1200, 3000), rng.integers(-1, 1 << 31, 3000), 1 + collocations.ROOM * rng.integers(0, 500, 500)].astype(np.int32)
+    want = np.where(np.isin(codes, known), np.searchsorted(known, codes), -1)
+    wide = collocations.PhraseTrie(0, rows)
+    assert wide.spread() is not None and np.array_equal(wide.numbers(codes), want)
+    monkeypatch.setattr(collocations, "WIDE", 100)
+    narrow = collocations.PhraseTrie.unpacked(wide.packed().to_pylist()[0])
+    assert narrow.spread() is None and np.array_equal(narrow.numbers(codes), want)
+
+
 def test_words_are_told_their_shard_as_in_spark(spark):
     words = [("en", "the"), ("fr", "é"), ("und", "漢字" * 40), ("", "x")]
     want = [r[0] for r in spark.createDataFrame(words, "lang string, word string").select(F.xxhash64("lang", "word")).collect()]
@@ -171,7 +184,7 @@ def test_words_are_told_their_shard_as_in_spark(spark):
 
 def test_groups_and_held_counts_change_nothing(spark, written, monkeypatch):
     docs = spark.createDataFrame(written, "doc_id long, text string, lang string").coalesce(2)
-    for name, value in (("TRIE", 20), ("SLICE", 300), ("GROUP", 500), ("HELD", 50)):
+    for name, value in (("TRIE", 20), ("SLICE", 300), ("GROUP", 500), ("HELD", 50), ("PAIRS", 40)):
         monkeypatch.setattr(collocations, name, value)
     assert rows_of(collocations.collocations(docs)) == plain([(r[2], r[1]) for r in written], collocations.FREQUENT)
 
